@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rategrid.llm import chat
+from rategrid.llm import chat, mixing, quality
 from rategrid.llm.common import table
 
 
@@ -57,10 +57,101 @@ SELECT d.conv_id, n_turns, turns_sha256, length(loss_text)::BIGINT AS loss_chars
 FROM d JOIN f ON d.conv_id IS NOT DISTINCT FROM f.conv_id
 """
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("row_id")
+
+
+A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+WORDS = "'[^\\x20\\x09-\\x0D]+'"
+
+OP1_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORDS}) AS ws FROM documents
+), w AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM d
+), w3 AS (
+  SELECT doc_id, pos, w, lead(w, 1) OVER p AS x, lead(w, 2) OVER p AS y FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY pos)
+), g AS (
+  SELECT doc_id, pos, y IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w, x, y) > 1 AS twice FROM w3
+), r AS (
+  SELECT doc_id, twice OR coalesce(lag(twice, 1) OVER p, false) OR coalesce(lag(twice, 2) OVER p, false) AS covered
+  FROM g WINDOW p AS (PARTITION BY doc_id ORDER BY pos)
+), reps AS (
+  SELECT doc_id, count(*) FILTER (WHERE covered)::BIGINT AS n_repeat_words FROM r GROUP BY doc_id
+), rawlines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d
+), lines AS (
+  SELECT doc_id, line, regexp_extract_all(translate(line, {A_TO_Z}), {WORDS}) AS lw FROM rawlines
+), dups AS (
+  SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM lines WHERE len(lw) > 0 GROUP BY doc_id
+), normal AS (
+  SELECT l.doc_id, d.source, d.text, array_to_string(lw, ' ') AS line, sum(len(lw)) AS n
+  FROM lines l JOIN d USING (doc_id) WHERE len(lw) > 0 GROUP BY ALL
+), hosts AS (
+  SELECT source, count(DISTINCT text) AS host_docs FROM d GROUP BY source
+), frequent AS (
+  SELECT n.source, line, min(doc_id) AS first_doc FROM normal n JOIN hosts h ON n.source IS NOT DISTINCT FROM h.source
+  GROUP BY n.source, line, host_docs
+  HAVING count(DISTINCT text) > {quality.LIMIT_DOCS} AND count(DISTINCT text) > {quality.LIMIT_SHARE}::DOUBLE * host_docs
+), removed AS (
+  SELECT n.doc_id, sum(n.n)::BIGINT AS removed_words FROM normal n
+  JOIN frequent f ON n.line = f.line AND n.source IS NOT DISTINCT FROM f.source AND n.doc_id <> f.first_doc
+  GROUP BY n.doc_id
+), s AS (
+  SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    coalesce(removed_words, 0)::BIGINT AS removed_words
+  FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN reps USING (doc_id) LEFT JOIN removed USING (doc_id)
+), b AS (
+  SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM s
+)
+SELECT *, NOT base_failed AND n_words - removed_words >= {quality.MIN_LEFT}::DOUBLE * n_words AS kept FROM b
+"""
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORDS}))::BIGINT AS size,
+    length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS symbols,
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / {2**52}::DOUBLE AS u
+  FROM documents
+), k AS (
+  SELECT *, -ln(u) / (greatest(1, {mixing.LEVELS} - floor({mixing.LEVELS} * symbols::DOUBLE / greatest(size, 1)))::DOUBLE
+    / {mixing.LEVELS}::DOUBLE) AS key FROM d
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source
+), w AS (
+  SELECT *, [5, 2, 1][((place - 1) % 3 + 1)::INT] AS w FROM s
+), l AS (
+  SELECT *, (sum(source_size) OVER () - {mixing.CAP} * coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / (sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM w WINDOW o AS (ORDER BY source_size::DOUBLE / w, place)
+), t AS (
+  SELECT source, source_size, least(({mixing.CAP} * source_size)::DOUBLE, w * max(level) OVER ()) AS target FROM l
+), p AS (
+  SELECT k.doc_id, k.source, k.size, t.source_size, t.target,
+    coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, source, size, source_size, target,
+  (size * (epochs + CASE WHEN (2 * before + size)::DOUBLE <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM p
+"""
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_mixing": op3_mixing,
     "op9_chat_formatting": op9_chat_formatting,
 }
 
 ORACLES = {
+    "op1_quality_rules": OP1_SQL,
+    "op3_mixing": OP3_SQL,
     "op9_chat_formatting": OP9_SQL,
 }
