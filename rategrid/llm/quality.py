@@ -39,7 +39,7 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-SCHEMA = f"row_id long, doc_id long, host string, {STATS}, text_hash long, lines array<struct<line:long,words:int>>"
+SCHEMA = f"row_id long, doc_id long, host string, text_hash long, {STATS}, lines array<struct<line:long,words:int>>"
 
 
 def repeated_words(words: list) -> int:
@@ -67,7 +67,7 @@ def line_hash(words: list[bytes]) -> int:
 
 
 def statistics(text: str | None) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, text_hash, lines of a text."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines of a text."""
     text = text or ""
     data = text.encode("utf-8")
     words = data.split()
@@ -88,20 +88,19 @@ def statistics(text: str | None) -> tuple:
         sum(map(text.count, SYMBOLS)),
         dup,
         repeated_words(words),
-        signed(xxhash.xxh3_64_intdigest(data)),
         [{"line": h, "words": n} for h, n in lines.items()],
     )
 
 
 def _measure(frames):
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_hash", "lines"]
-    kinds = [pa.int64()] * 6 + [pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32())]))]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
+    kinds = [pa.int64()] * 5 + [pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32())]))]
     for batch in frames:
-        found = [statistics(t) for t in batch.column(3).to_pylist()]
-        columns = list(zip(*found)) or [()] * 7
+        found = [statistics(t) for t in batch.column(4).to_pylist()]
+        columns = list(zip(*found)) or [()] * 6
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-            ["row_id", "doc_id", "host", *names],
+            [*batch.columns[:4], *(pa.array(c, k) for c, k in zip(columns, kinds))],
+            ["row_id", "doc_id", "host", "text_hash", *names],
         )
 
 
@@ -111,6 +110,7 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
         F.monotonically_increasing_id().alias("row_id"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col(host).cast("string").alias("host"),
+        F.xxhash64("text").alias("text_hash"),
         F.col("text").cast("string").alias("text"),
     )
     return materialize(own.mapInArrow(_measure, SCHEMA), "quality")
@@ -136,29 +136,36 @@ def frequent_lines(
     )
 
 
-def judge(
-    docs: DataFrame,
-    host: str = "source",
-    limit_docs: int = LIMIT_DOCS,
-    limit_share: float = LIMIT_SHARE,
-    min_left: float = MIN_LEFT,
-) -> DataFrame:
-    """Statistics and verdict of every row: row_id, doc_id, the base statistics, removed_words, base_failed, kept."""
-    measured = measure(docs, host)
-    frequent = frequent_lines(measured, limit_docs, limit_share)
+def _hits(measured: DataFrame, frequent: DataFrame) -> DataFrame:
+    """row_id, line, words of the lines that are to be removed."""
     salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     lines = measured.select(
         "row_id", "doc_id", "host", F.pmod(F.hash("row_id"), F.lit(SALTS)).alias("salt"), F.explode("lines").alias("l")
     ).select("row_id", "doc_id", "host", "salt", "l.line", "l.words")
-    hit = lines.alias("l").join(
+    return lines.alias("l").join(
         salted.alias("f"),
         (F.col("l.line") == F.col("f.line"))
         & F.col("l.host").eqNullSafe(F.col("f.host"))
         & (F.col("l.salt") == F.col("f.salt"))
         & ~F.col("l.doc_id").eqNullSafe(F.col("f.first_doc")),
+    ).select("row_id", "l.line", "words")
+
+
+def judge(
+    docs: DataFrame,
+    host: str = "source",
+    limit_docs: int = LIMIT_DOCS,
+    limit_share: float = LIMIT_SHARE,
+    min_left: float = MIN_LEFT,
+) -> DataFrame:
+    """Statistics and verdict of every row: row_id, doc_id, the base statistics, removed_words, base_failed, kept, and
+    text_hash and removed_lines, by which ``clean`` finds what to remove."""
+    measured = measure(docs, host)
+    frequent = frequent_lines(measured, limit_docs, limit_share)
+    removed = _hits(measured, frequent).groupBy("row_id").agg(
+        F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines")
     )
-    removed = hit.groupBy("row_id").agg(F.sum("words").alias("removed_words"))
-    joined = measured.drop("lines", "text_hash").join(removed, "row_id", "left")
+    joined = measured.drop("lines").join(removed, "row_id", "left")
     gone = F.coalesce("removed_words", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
@@ -175,4 +182,34 @@ def judge(
         gone.cast("long").alias("removed_words"),
         failed.alias("base_failed"),
         (~failed & (left >= F.lit(min_left) * F.col("n_words"))).alias("kept"),
+        "text_hash",
+        "removed_lines",
     )
+
+
+def _without(frames):
+    for batch in frames:
+        at = batch.schema.get_field_index("text")
+        texts = []
+        for text, gone in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            if gone:
+                gone = set(gone)
+                lines = (x for x in text.split("\n"))
+                text = "\n".join(x for x in lines if not (w := x.encode("utf-8").lower().split()) or line_hash(w) not in gone)
+            texts.append(text)
+        columns = batch.columns[:-1]
+        columns[at] = pa.array(texts, batch.schema.field(at).type)
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+
+def clean(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
+    """The kept rows of ``docs``, without the lines above the limits; ``n_chars``, if there, is counted anew."""
+    verdicts = judge(docs, host, **limits)
+    keys = verdicts.filter("kept").groupBy("doc_id", "text_hash").agg(F.first("removed_lines").alias("removed_lines"))
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    joined = hashed.join(
+        keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash"), F.col("removed_lines").alias("_gone")),
+        F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text_hash")),
+    ).select(*[F.col(c) for c in docs.columns], "_gone")
+    out = joined.mapInArrow(_without, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -58,7 +58,7 @@ FROM d JOIN f ON d.conv_id IS NOT DISTINCT FROM f.conv_id
 """
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).drop("row_id")
+    return quality.judge(table(spark, sf_dir, "documents")).drop("row_id", "text_hash", "removed_lines")
 
 
 A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
