@@ -60,7 +60,7 @@ def _remove_written() -> None:
             return
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
     This cuts the lineage in a way that survives lost executors, and lets several consumers read what one
@@ -68,7 +68,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rategrid-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not _written:
         atexit.register(_remove_written)
@@ -80,3 +80,97 @@ def batches(frames, columns: list[str]):
     """Rows of an Arrow batch iterator as tuples of Python values, a batch at a time."""
     for batch in frames:
         yield list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns)))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, max_chars: int) -> list:
+    """A bounded sample of labelled rows for fitting a classifier: (doc_id, text, label, weight) rows, collected.
+
+    Of each label value the ``per_class`` rows of ``labels`` with the lowest hash of their id are taken, from the folds other than
+    ``held_out``; of each text at most ``max_chars`` code points serve for learning.  Rows come in the order of that hash, with a
+    weight: how many labelled rows of its label a row stands for.
+    """
+    spark = docs.sparkSession
+    known = labels.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
+    known = known.groupBy("doc_id").agg(F.min(label).alias("y")).withColumn("place", F.xxhash64("doc_id"))
+    found = []
+    totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    for value in (0, 1):
+        found += known.filter(F.col("y") == value).orderBy("place", "doc_id").limit(per_class).collect()
+    if not found:
+        return []
+    ids = spark.createDataFrame([(r["doc_id"], r["y"], r["place"]) for r in found], "_id long, y int, place long")
+    rows = docs.select("doc_id", F.substring("text", 1, max_chars).alias("text")).join(
+        F.broadcast(ids), F.col("doc_id") == F.col("_id")  # 2 * per_class rows at most
+    )
+    rows = rows.groupBy("_id").agg(F.min("place").alias("place"), F.min("text").alias("text"), F.min("y").alias("y"))
+    got = sorted(rows.collect(), key=lambda r: (r["place"], r["_id"]))
+    share = {v: totals.get(v, 0) / max(1, sum(r["y"] == v for r in got)) for v in (0, 1)}
+    return [(r["_id"], r["text"] or "", r["y"], share[r["y"]]) for r in got]
+
+
+def with_columns(schema, **types):
+    """A copy of a schema with more columns."""
+    from pyspark.sql.types import StructField, StructType
+
+    return StructType([*schema.fields, *(StructField(name, kind) for name, kind in types.items())])
+
+
+def appended(batch, **columns):
+    """An Arrow batch with more columns."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], [*batch.schema.names, *columns])
+
+
+#: Odd 64-bit multipliers.
+MIX1, MIX2, MIX3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def mix64(x):
+    """A bijection of 64-bit words, over a numpy uint64 array."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX2)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX3)
+    return x ^ (x >> np.uint64(31))
+
+
+class WordHashes:
+    """64-bit hashes of words, remembered for up to ``keep`` of them."""
+
+    def __init__(self, keep: int = 500_000):
+        self.known, self.keep = {}, keep
+
+    def of(self, words: list[bytes]):
+        import numpy as np
+        import xxhash
+
+        known = self.known
+        if len(known) > self.keep:
+            known.clear()
+        get, digest = known.get, xxhash.xxh3_64_intdigest
+        out = np.empty(len(words), np.uint64)
+        for i, w in enumerate(words):
+            h = get(w)
+            if h is None:
+                h = known[w] = digest(w)
+            out[i] = h
+        return out
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, comp (smallest node reachable) of every node in ``edges`` (a, b: long).
+
+    Smallest labels spread along the edges and then jump to their own label, until nothing changes; every step is written to
+    the shared folder.  The number of steps grows with the logarithm of a component's width.
+    """
+    both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "labels")
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
+        up = step.select(F.col("node").alias("mid"), F.col("mid").alias("top"))
+        step = materialize(step.join(up, "mid").select("node", "old", F.col("top").alias("comp")), "labels")
+        labels = step.select("node", "comp")
+        if step.filter("comp <> old").isEmpty():
+            return labels

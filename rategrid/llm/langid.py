@@ -23,11 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
+
+from rategrid.llm.common import fold, with_columns
 
 SAMPLE_SYMBOLS = 40_000
 MAX_LANGUAGES = 64
 BLOCK = 1024
 FOLDS, HELD_OUT = 4, 2
+#: Least score at which ``clean`` believes the prediction more than the given language.
+MIN_SCORE = 0.05
 #: Blocks that advance together.
 WIDTH = 4096
 
@@ -221,5 +226,21 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]]) -> DataFrame:
                 [*batch.schema.names, "lang_pred", "score"],
             )
 
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(predict, schema)
+    return docs.mapInArrow(predict, with_columns(docs.schema, lang_pred=StringType(), score=DoubleType()))
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row of ``docs`` (doc_id, text, lang)."""
+    fold_of = fold(F.col("doc_id"), FOLDS)
+    samples = learn(docs.filter(fold_of != HELD_OUT))
+    own = docs.select("doc_id", F.coalesce(fold_of == HELD_OUT, F.lit(False)).alias("held_out"), "text")
+    return identify(own, samples).drop("text")
+
+
+def clean(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, and no clearly other one than ``lang`` says."""
+    samples = learn(docs.filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT))
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    found = identify(own, samples).select("row.*", F.col("lang_pred").alias("_pred"), F.col("score").alias("_score"))
+    other = F.col("lang").isNotNull() & (F.col("lang") != F.col("_pred")) & (F.col("_score") >= min_score)
+    return found.filter((F.col("_pred") != "und") & ~other).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rategrid.llm import chat, mixing, quality
+from rategrid.llm import chat, langid, lm, mixing, neardup, passages, quality, toxicity
 from rategrid.llm.common import table
 
 
@@ -144,10 +144,37 @@ SELECT doc_id, source, size, source_size, target,
 FROM p
 """
 
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.judge(table(spark, sf_dir, "documents"))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.evaluate(table(spark, sf_dir, "documents"))
+
+
+def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.deduplicate(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_mixing": op3_mixing,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_language_id": op5_language_id,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op8_minhash_neardup": op8_minhash_neardup,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
