@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rategrid.llm import chat, langid, lm, mixing, neardup, passages, quality, toxicity
+from rategrid.llm import chat, decontam, langid, lm, mixing, neardup, pages, passages, quality, toxicity
 from rategrid.llm.common import table
 
 
@@ -146,6 +146,10 @@ FROM p
 
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -158,6 +162,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.evaluate(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.deduplicate(table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -168,10 +176,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_html_extraction": op2_html_extraction,
     "op3_mixing": op3_mixing,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_language_id": op5_language_id,
     "op6_lm_scoring": op6_lm_scoring,
+    "op7_decontamination": op7_decontamination,
     "op8_minhash_neardup": op8_minhash_neardup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_toxicity": op10_toxicity,
