@@ -1,5 +1,6 @@
 """Queries of the event engine and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from rategrid.plans import catalog, features, scores  # noqa: F401  they register their queries
+from rategrid.plans.base import ORACLES, QUERIES  # noqa: F401
+
 FLAGSHIP = "q_feature_cube"
