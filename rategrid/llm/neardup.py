@@ -10,9 +10,10 @@ Copies.  Documents with equal sets (128-bit hash) are one class.  Only one docum
 
 Scale.  Links are sought in two rounds, so that no group is expanded into all its pairs.  In the first every node is compared with
 one leader, the smallest node that shares a bucket with it; groups are split by a salt, each salt getting the leader's text.  Connected
-components of these links are found by label propagation.  In the second round only nodes of one bucket that are still in different
-components are compared.  Components then hold every link among the candidates.  Text moves once for each round; nothing is
-gathered in one task or on the driver.
+components of these links are found by label propagation.  In the second round only buckets whose nodes are still in different
+components are looked at: they are cut into parts of bounded size, each pair of parts is compared in one task, and only links that join
+components leave it, so pairs never become rows.  Components then hold every link among the candidates.  Nothing unbounded is gathered
+in one task or on the driver.
 
 Edge cases.  Null texts and texts without a word have an empty set and are linked with nothing.  Rows with one id and text are one
 class; each is returned.  A null id is never the smallest unless no other is there.  An empty table gives no rows.
@@ -32,6 +33,10 @@ BANDS, ROWS = 25, 5
 PERCENT = 85
 #: Members of a leader that one task compares, about.
 GROUP = 2000
+#: Shingles of a part of a bucket; parts meet in pairs, so a task holds two.
+CHUNK = 400_000
+#: Shingles counted at a time.
+COLUMNS = 4096
 #: Nodes whose keys may be broadcast: 24 bytes each.
 BROADCAST_NODES = 100_000
 
@@ -132,22 +137,80 @@ def _against_leader(frames):
                 own = shingles(text)
             elif own is not None and _linked(own, shingles(text)):
                 found.append((leader, node))
-        a, b = zip(*found) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def _pairs(frames):
-    """Rows (a, b, text_a, text_b) -> the linked (a, b)."""
-    last, own = None, None
+        yield _edges(found)
+
+
+def _joining(rows: list) -> list[tuple[int, int]]:
+    """Of (node, comp, chunk, set) rows, links that join components which are still apart; no more than there are rows.
+
+    ``chunk`` differs for the two sides of a group that was cut; then only pairs across the sides are compared.
+    """
+    rows = sorted(rows, key=lambda r: len(r[3]))
+    sizes = np.array([len(r[3]) for r in rows])
+    cut = len({r[2] for r in rows}) > 1
+    root = {r[1]: r[1] for r in rows}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    shared = _overlaps([r[3] for r in rows]) if len(rows) > 24 else None
+    found = []
+    for i, (node, comp, chunk, own) in enumerate(rows):
+        # sets come by size: from some size on no partner is possible
+        last = int(np.searchsorted(sizes, 100 * len(own) // PERCENT, "right"))
+        if shared is None:
+            partners = range(i + 1, last)
+        else:
+            both = shared[i, i + 1 : last]
+            partners = (np.flatnonzero(100 * both >= PERCENT * (len(own) + sizes[i + 1 : last] - both)) + i + 1).tolist()
+        for j in partners:
+            other = rows[j]
+            if (cut and other[2] == chunk) or top(comp) == top(other[1]):
+                continue
+            if shared is not None or _linked(own, other[3]):
+                root[top(comp)] = top(other[1])
+                found.append((node, other[0]))
+    return found
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets with each other."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    keys, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = counts[column] > 1
+    owner, column = owner[several], np.unique(column[several], return_inverse=True)[1]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        own = slice(*np.searchsorted(column, [at, at + COLUMNS]))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[own], column[own] - at] = 1
+        out += part @ part.T
+    return np.rint(out).astype(np.int64)
+
+
+def _apart(frames):
+    """Rows (group, x, y, node, comp, chunk, text), sorted by the first three -> links (a, b)."""
+    key, rows = None, []
     for batch in frames:
         found = []
-        for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-            if b != last:
-                last, own = b, shingles(y)
-            if _linked(shingles(x), own):
-                found.append((a, b))
-        a, b = zip(*found) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for *own, node, comp, chunk, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if own != key:
+                found += _joining(rows)
+                key, rows = own, []
+            if not rows or rows[-1][0] != node:
+                rows.append((node, comp, chunk, shingles(text)))
+        yield _edges(found)
+    yield _edges(_joining(rows))
+
+
+def _edges(found: list) -> pa.RecordBatch:
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _with_text(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -185,27 +248,26 @@ def links(docs: DataFrame, measured: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # round 2: what shares a bucket and is still apart
     placed = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("band", "value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("band", "value")
-    apart = placed.join(mixed, ["band", "value"]).select("band", "value", "node", "n", "comp")
-    x, y = apart.alias("x"), apart.alias("y")
-    near = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.comp") < F.col("y.comp")) & near)
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    tried = chosen.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    pairs = materialize(pairs, "pairs")
-    if pairs.isEmpty():
+    mixed = placed.groupBy("band", "value").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"),
+    )
+    # buckets of several bands with the same nodes are one group
+    mixed = mixed.filter("low <> high").groupBy("low", "high", "c", "x", "chunks").agg(F.min(F.struct("band", "value")).alias("b"))
+    mixed = mixed.select("b.band", "b.value", "chunks", F.xxhash64("b.band", "b.value").alias("group"))
+    apart = placed.join(mixed, ["band", "value"]).select("group", "node", "comp", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
+    apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    apart = apart.select("group", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "node", "comp", "chunk")
+    apart = materialize(apart, "apart")
+    needed = materialize(apart.select("node").distinct().join(slim, "node"), "needed")
+    if needed.isEmpty():
         return classes, comps
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(slim, "node")
-    needed = materialize(needed, "needed")
     if needed.count() <= BROADCAST_NODES:
         needed = F.broadcast(needed)
-    texts = materialize(_with_text(docs, needed).dropDuplicates(["node"]), "texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b"
-    )
-    more = both.select("a", "b", "x", "y").mapInArrow(_pairs, "a long, b long")
-    return classes, components(found.union(materialize(more, "links")))
+    ordered = apart.join(_with_text(docs, needed), "node").select("group", "x", "y", "node", "comp", "chunk", "text")
+    ordered = ordered.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "node")
+    more = materialize(ordered.mapInArrow(_apart, "a long, b long"), "links")
+    return classes, components(found.union(more))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
