@@ -76,10 +76,17 @@ def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
-def batches(frames, columns: list[str]):
-    """Rows of an Arrow batch iterator as tuples of Python values, a batch at a time."""
-    for batch in frames:
-        yield list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns)))
+#: Rows of an Arrow batch: texts can be long, and Spark's default of 10,000 rows would hold that many at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the session's Arrow batches to ``BATCH_ROWS`` rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, max_chars: int) -> list:
@@ -138,7 +145,7 @@ def mix64(x):
 class WordHashes:
     """64-bit hashes of words, remembered for up to ``keep`` of them."""
 
-    def __init__(self, keep: int = 500_000):
+    def __init__(self, keep: int = 150_000):
         self.known, self.keep = {}, keep
 
     def of(self, words: list[bytes]):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rategrid.llm.common import MIX1
+from rategrid.llm.common import MIX1, small_batches
 
 Q = 8
 RATE = 0.1
@@ -275,7 +275,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RAT
                 kinds = [pa.int64()] * 4 + [pa.int32()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "start", "end", "edits", "item_chars"])
 
-        return own.mapInArrow(run, OUT)
+        return small_batches(own).mapInArrow(run, OUT)
 
     return reduce(DataFrame.unionAll, [one(items) for items in _blocks(benchmark)])
 

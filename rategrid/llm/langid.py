@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from rategrid.llm.common import fold, with_columns
+from rategrid.llm.common import fold, small_batches, with_columns
 
 SAMPLE_SYMBOLS = 40_000
 MAX_LANGUAGES = 64
@@ -226,7 +226,7 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]]) -> DataFrame:
                 [*batch.schema.names, "lang_pred", "score"],
             )
 
-    return docs.mapInArrow(predict, with_columns(docs.schema, lang_pred=StringType(), score=DoubleType()))
+    return small_batches(docs).mapInArrow(predict, with_columns(docs.schema, lang_pred=StringType(), score=DoubleType()))
 
 
 def judge(docs: DataFrame) -> DataFrame:

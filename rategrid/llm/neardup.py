@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rategrid.llm.common import MIX1, WordHashes, components, materialize, mix64
+from rategrid.llm.common import MIX1, WordHashes, components, materialize, mix64, small_batches
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
@@ -113,7 +113,7 @@ def measure(docs: DataFrame) -> DataFrame:
         F.col("text").cast("string").alias("text"),
     )
     schema = "row_id long, doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>"
-    return materialize(own.mapInArrow(_measure, schema), "sets")
+    return materialize(small_batches(own).mapInArrow(_measure, schema), "sets")
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-from rategrid.llm.common import appended, with_columns
+from rategrid.llm.common import appended, small_batches, with_columns
 
 SIGMA = 1.0
 SHARE = 0.6
@@ -209,4 +209,4 @@ def main_text(pages: DataFrame) -> DataFrame:
             done = appended(batch.select([0, 1]), text=pa.array(texts, pa.string()), n_chars=pa.array([len(t) for t in texts], pa.int64()))
             yield done
 
-    return own.mapInArrow(run, with_columns(own.drop("html").schema, text=StringType(), n_chars=LongType()))
+    return small_batches(own).mapInArrow(run, with_columns(own.drop("html").schema, text=StringType(), n_chars=LongType()))

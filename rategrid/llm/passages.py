@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from rategrid.llm.common import appended, fold, labelled, with_columns, words_of
+from rategrid.llm.common import appended, fold, labelled, small_batches, with_columns, words_of
 
 FOLDS, HELD_OUT = 4, 2
 PER_CLASS = 2500
@@ -165,7 +165,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
             p = predict(model, batch.column(at).to_pylist())
             yield appended(batch, score=pa.array(p, pa.float64()), predicted=pa.array((p >= CUT).astype("int32"), pa.int32()))
 
-    return docs.mapInArrow(scored, with_columns(docs.schema, score=DoubleType(), predicted=IntegerType()))
+    return small_batches(docs).mapInArrow(scored, with_columns(docs.schema, score=DoubleType(), predicted=IntegerType()))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rategrid.llm.common import materialize
+from rategrid.llm.common import materialize, small_batches
 
 LIMIT_DOCS = 5
 LIMIT_SHARE = 0.005
@@ -113,7 +113,7 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
         F.xxhash64("text").alias("text_hash"),
         F.col("text").cast("string").alias("text"),
     )
-    return materialize(own.mapInArrow(_measure, SCHEMA), "quality")
+    return materialize(small_batches(own).mapInArrow(_measure, SCHEMA), "quality")
 
 
 def frequent_lines(
