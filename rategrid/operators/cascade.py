@@ -1,0 +1,50 @@
+"""Monte-Carlo branching cascades."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+OUT = "sim long, gen int, t double, mag double"
+
+
+def truncated_magnitudes(u: np.ndarray, b: float, low: float, high: float) -> np.ndarray:
+    """Inverse of the truncated Gutenberg-Richter distribution."""
+    beta = b * np.log(10)
+    return low - np.log1p(-u * -np.expm1(-beta * (high - low))) / beta
+
+
+def simulate(
+    spark: SparkSession, sims: int, days: float, mu: float, k: float, alpha: float, c: float, p: float,
+    b: float = 1.0, low: float = 2.0, high: float = 7.6, cap: int = 100_000, seed: int = 1000, parts: int = 32,
+) -> DataFrame:
+    """sim, gen, t, mag of every event of ``sims`` independent cascades over ``days``.
+
+    Background events come at ``mu`` a day; an event of magnitude m has a Poisson number of offspring with mean
+    ``k exp(alpha (m - low))`` at Omori waiting times.  A simulation's generator is seeded by its number alone, so a task that is run again
+    gives the same events.  Simulations are dealt over ``parts`` tasks; each holds one simulation at a time, of at most ``cap`` events a generation.
+    """
+
+    def one(sim: int) -> pd.DataFrame:
+        draw = np.random.default_rng([seed, sim])
+        t = draw.uniform(0, days, draw.poisson(mu * days))
+        found, gen = [], 0
+        while len(t):
+            if len(t) > cap:
+                raise ValueError("a cascade exceeds its cap: the branching ratio is near or above 1")
+            m = truncated_magnitudes(draw.random(len(t)), b, low, high)
+            found.append(pd.DataFrame({"sim": sim, "gen": np.int32(gen), "t": t, "mag": m}))
+            n = draw.poisson(k * np.exp(alpha * (m - low)))
+            wait = c * ((1 - draw.random(n.sum())) ** (-1 / (p - 1)) - 1)
+            t = np.repeat(t, n) + wait
+            t = t[t < days]
+            gen += 1
+        return pd.concat(found) if found else pd.DataFrame({"sim": [], "gen": [], "t": [], "mag": []}).astype({"sim": "int64", "gen": "int32"})
+
+    def run(frames):
+        for frame in frames:
+            for sim in frame["id"].tolist():
+                yield one(sim)
+
+    return spark.range(0, sims, 1, parts).mapInPandas(run, OUT)
