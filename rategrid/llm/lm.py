@@ -2,16 +2,18 @@
 
 Words are lower-cased (A to Z); every text ends with one end token.  Counts are taken over all training documents.  A word's
 probability is ``(c + 0.1) / (N + 0.1 (V + 1))``.  Beyond single words the model holds every n-gram (2 to ``ORDER`` words) whose
-training count is at least ``SHARE`` of all training tokens; as the counts of one order sum up to N at most, there are never more
-than ``1 / SHARE`` of them, however large the corpus, which bounds what is broadcast.  An n-gram can only be that frequent if its parts
-are, so each order is counted among extensions of the order before.
+training count is at least ``LEAST``, whatever the size of the corpus.  An n-gram can only be that frequent if its parts are, so each
+order is counted among extensions of the order before.
 
 States are the contexts that have arcs.  An arc's probability is the n-gram's count less ``DISCOUNT``, over the context's count; the
 rest of the mass goes to the failure arc, which leads to the longest shorter context, with the weight that makes each state's
-probabilities sum to 1.  One traversal from left to right carries the state and adds up log-probabilities.
+probabilities sum to 1.  From the shortest context to the longest, a token's log-probability is that of its arc where there is one, and
+where the context is a state without that arc, the one found so far plus the weight.  ``Automaton`` is the same model in memory.
 
-Scale.  Word counts have no bound and are never broadcast.  Rows are numbered, blocks of ``BLOCK_ROWS`` rows count their distinct
-words, the counts are summed by word, and each block gets back the counts of its own words by a cogroup with its texts.
+Scale.  Neither word nor n-gram counts have a bound, and none are collected or broadcast.  Rows are numbered, blocks of ``BLOCK_ROWS``
+rows count their distinct words, the counts are summed by word, and each block gets back the counts of its own words by a cogroup with
+its texts.  With these it counts its n-grams of the next order, and so on; weights are summed by context from one row of each arc and
+joined to the blocks that have the context.  The last cogroup brings each block its words, arcs and weights.
 
 Words are told apart by 64-bit hashes; among 10 million distinct words two collide with a probability of 3e-6.
 
@@ -31,10 +33,12 @@ from rategrid.llm.common import MIX1, WordHashes, fold, materialize, mix64, smal
 
 FOLDS, HELD_OUT = 10, 0
 ORDER = 3
-SHARE = 1e-5
+LEAST = 2
 DISCOUNT = 0.5
 ADD = 0.1
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 4096
+CHUNK_TOKENS = 1 << 20  # that many tokens of a block are looked up at a time
+FIXED = float(1 << 52)  # sums of probabilities are fixed-point, so they don't depend on the order
 
 #: The end token: no word has the hash of a white-space string.
 _hashes = WordHashes()
@@ -72,46 +76,64 @@ def _count_words(frames):
         yield counted()
 
 
-def _count_ngrams(order: int, words: np.ndarray, lower: np.ndarray):
-    """Counts n-grams of training rows (train, text) all of whose words are in ``words`` and whose two parts of order - 1 are in
-    ``lower`` (sorted hashes)."""
-
-    def isin(sorted_keys, x):
-        return len(sorted_keys) > 0 and sorted_keys[np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)] == x
-
-    def run(frames):
-        for batch in frames:
-            parts = []
-            for train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not train:
-                    continue
-                h = tokens(text)
-                if len(h) < order:
-                    continue
-                head = isin(words, h)
-                key = h
-                for k in range(1, order):
-                    before = key
-                    key = join_keys(key[:-1], h[k:])
-                good = np.logical_and.reduce([head[k : len(h) - order + 1 + k] for k in range(order)]) if order == 2 else isin(lower, before[:-1]) & isin(lower, before[1:])
-                if np.any(good):
-                    at = np.flatnonzero(good)
-                    parts.append(np.stack([key[at], before[at], before[at + 1], h[at + order - 1]], 1))
-            if parts:
-                grams, n = np.unique(np.concatenate(parts), axis=0, return_counts=True) if order > 2 else _unique(np.concatenate(parts))
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in grams.T), pa.array(n.astype(np.int64))], ["key", "context", "rest", "word", "n"])
+def _chunks(texts: list):
+    """Tokens of consecutive texts, and for each token the place of its text among them; a text isn't split."""
+    held, n = [], 0
+    for text in texts:
+        held.append(tokens(text))
+        n += len(held[-1])
+        if n >= CHUNK_TOKENS:
+            yield np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
+
+
+class Found:
+    """Values of keys, looked up in bulk."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], [v[order] for v in values]
+
+    def at(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``x`` among the values, and whether each is there."""
+        if not len(self.keys):
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        place = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
+        return place, self.keys[place] == x
+
+
+def _count_ngrams(order: int):
+    """A block's texts (block, train, text) and its n-grams of order - 1 in the model (key, n, q) -> its n-grams of ``order`` whose two
+    parts are in the model: training count in these texts, count of the context, probability without the first word."""
+
+    def run(texts: pa.Table, lower: pa.Table) -> pa.Table:
+        known = Found(lower.column("key").to_numpy().view(np.uint64), lower.column("n").to_numpy(), lower.column("q").to_numpy())
+        train = np.array(texts.column("train").to_pylist(), np.float64)
+        out, done = [], 0
+        for h, doc in _chunks(texts.column("text").to_pylist()):
+            weight, done = train[done + doc], done + doc[-1] + 1
+            if len(h) < order:
+                continue
+            part = h
+            for k in range(2, order):
+                part = join_keys(part[:-1], h[k - 1 :])
+            place, there = known.at(part)
+            good = np.flatnonzero(there[:-1] & there[1:] & (doc[: len(doc) - order + 1] == doc[order - 1 :]))
+            key, first, same = np.unique(join_keys(part[good], h[good + order - 1]), return_index=True, return_inverse=True)
+            n = np.bincount(same, weight[good], len(key)).astype(np.int64)
+            good = good[first]
+            out.append((key.view(np.int64), part[good].view(np.int64), n, known.values[0][place[good]], known.values[1][place[good + 1]]))
+        columns = [np.concatenate(c) for c in zip(*out)] or [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
+        block = np.full(len(columns[0]), texts.column("block")[0].as_py() if texts.num_rows else 0)
+        return pa.table([pa.array(c) for c in (block, *columns)], names=["block", "key", "context", "n", "whole", "low"])
 
     return run
 
 
-def _unique(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows by their first column, and their counts."""
-    _, first, n = np.unique(grams[:, 0], return_index=True, return_counts=True)
-    return grams[first], n
-
-
 class Automaton:
-    """States, arcs and failure arcs, from the frequent words and n-grams.
+    """States, arcs and failure arcs in memory, from the frequent words and n-grams: what ``evaluate`` is held against.
 
     words: hash -> count.  grams: for each order from 2 a list of (key, context, rest, word, count), where ``rest`` is the key of the
     n-gram without its first word.  Word probabilities of the root come with the texts.
@@ -202,29 +224,28 @@ class Automaton:
         return total
 
 
-def learn(rows: DataFrame, counted: DataFrame, order: int = ORDER, share: float = SHARE) -> tuple[Automaton, int, int]:
-    """The automaton, N and V; ``counted`` has block, key, c (training count) and first (one row for each key)."""
-    once = counted.filter("first and c > 0")
-    total, distinct = once.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(2.0, share * total)
-    words = {r["key"] % (1 << 64): r["c"] for r in once.filter(F.col("c") >= least).select("key", "c").collect()}  # 1 / share rows at most
-    known = np.sort(np.array(list(words), np.uint64))
-    lower, grams = known, []
-    for k in range(2, order + 1):
-        partial = rows.select("train", "text").mapInArrow(_count_ngrams(k, known, lower), "key long, context long, rest long, word long, n long")
-        summed = partial.groupBy("key").agg(*(F.min(c).alias(c) for c in ("context", "rest", "word")), F.sum("n").alias("n"))
-        level = summed.filter(F.col("n") >= least).collect()  # 1 / share rows at most
-        grams.append([(*(r[c] % (1 << 64) for c in ("key", "context", "rest", "word")), r["n"]) for r in sorted(level, key=lambda r: r["key"])])
-        lower = np.sort(np.array([g[0] for g in grams[-1]], np.uint64))
-        if not len(lower):
-            break
-    return Automaton(dict(sorted(words.items())), grams, total, distinct), total, distinct
+def _level(texts: DataFrame, lower: DataFrame, order: int, least: int) -> DataFrame:
+    """block, key, n, q of the n-grams of ``order`` in the model that occur in a block; in one row of each n-gram also context and low."""
+    counts = texts.groupBy("block").cogroup(lower.select("block", "key", "n", "q").groupBy("block")).applyInArrow(_count_ngrams(order), "block long, key long, context long, n long, whole long, low double")
+    of_key = Window.partitionBy("key").orderBy("block")
+    whole = of_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summed = counts.withColumn("c", F.sum("n").over(whole)).withColumn("first", F.row_number().over(of_key) == 1).filter(F.col("c") >= least)
+    rows = summed.select("block", "key", F.col("c").alias("n"), ((F.col("c") - DISCOUNT) / F.col("whole")).alias("q"), F.when(F.col("first"), F.col("context")).alias("context"), F.when(F.col("first"), F.col("low")).alias("low"))
+    return materialize(rows, f"grams{order}", compression="zstd")
+
+
+def _weights(level: DataFrame, lower: DataFrame) -> DataFrame:
+    """block, key, back of the states among ``lower``, the n-grams of the order before."""
+    fixed = lambda x: F.sum(F.round(F.col(x) * FIXED).cast("long")) / FIXED
+    states = level.filter("low is not null").groupBy(F.col("context").alias("key")).agg(fixed("q").alias("seen"), fixed("low").alias("covered"))
+    states = states.select("key", (F.greatest(1 - F.col("seen"), F.lit(1e-12)) / F.greatest(1 - F.col("covered"), F.lit(1e-12))).alias("back"))
+    return lower.select("block", "key").distinct().join(states, "key").select("block", "key", "back")
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def evaluate(docs: DataFrame, order: int = ORDER, share: float = SHARE) -> DataFrame:
+def evaluate(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
     """Base and model score of every row of ``docs`` (doc_id, text)."""
     of_fold = fold(F.col("doc_id"), FOLDS)
     rows = docs.select(
@@ -240,26 +261,39 @@ def evaluate(docs: DataFrame, order: int = ORDER, share: float = SHARE) -> DataF
     whole = of_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     counted = partial.select("block", "key", F.sum("n").over(whole).alias("c"), (F.row_number().over(of_key) == 1).alias("first"))
     counted = materialize(counted, "counts", compression="zstd")
-    model, total, distinct = learn(rows, counted, order, share)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    total, distinct = counted.filter("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     norm = total + ADD * (distinct + 1)
-
-    def scored(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        model = shared.value
-        keys = counts.column("key").to_numpy().view(np.uint64)
-        c = counts.column("c").to_numpy()
-        order_ = np.argsort(keys)
-        keys, c = keys[order_], c[order_]
-        logs = np.log10((c + ADD) / norm) if norm > 0 else np.zeros(len(c))
-        labels = np.array(model.numbers(keys.tolist()), np.int64)
+    blocks = rows.select(F.floor(F.col("row_id") / BLOCK_ROWS).alias("block"), "doc_id", "held_out", "train", "text")
+    lower = counted.filter(F.col("c") >= least).select("block", "key", F.col("c").alias("n"), ((F.col("c") + ADD) / norm).alias("q"))
+    parts = counted.select("block", F.lit(0).alias("kind"), "key", F.col("c").cast("double").alias("v"))
+    for k in range(2, order + 1):
+        level = _level(blocks.select("block", "train", "text"), lower, k, least)
+        parts = parts.unionAll(level.select("block", F.lit(k), "key", F.log10("q")))
+        parts = parts.unionAll(_weights(level, lower).select("block", F.lit(-k), "key", F.log10("back")))
+        lower = level
+
+    def scored(texts: pa.Table, own: pa.Table) -> pa.Table:
+        kind, key, v = (own.column(c).to_numpy() for c in ("kind", "key", "v"))
+        of = {k: Found(key[kind == k].view(np.uint64), v[kind == k]) for k in (0, *range(2, order + 1), *range(-order, -1))}
         found = []
-        for text in texts.column("text").to_pylist():
-            at = np.searchsorted(keys, tokens(text))
-            own = logs[at]
-            found.append((len(at), int((c[at] > 0).sum()), total, float(own.sum()), model.score(labels[at].tolist(), own.tolist())))
-        columns = list(zip(*found)) or [()] * 5
+        for h, doc in _chunks(texts.column("text").to_pylist()):
+            c = of[0].values[0][of[0].at(h)[0]]
+            base = np.log10((c + ADD) / norm) if norm > 0 else np.zeros(len(c))
+            log, part = base.copy(), h
+            for k in range(2, order + 1):
+                if len(h) < k:
+                    break
+                context, part = part[:-1], join_keys(part[:-1], h[k - 1 :])
+                within = doc[: len(doc) - k + 1] == doc[k - 1 :]
+                at, arc = of[k].at(part)
+                to, state = of[-k].at(context)
+                arc, weak = np.flatnonzero(arc & within), np.flatnonzero(~arc & state & within)
+                log[weak + k - 1] += of[-k].values[0][to[weak]]
+                log[arc + k - 1] = of[k].values[0][at[arc]]
+            sums = lambda x: np.bincount(doc, x)
+            found.append((np.bincount(doc), sums(c > 0).astype(np.int64), np.full(doc[-1] + 1, total), sums(base), sums(log)))
+        columns = [np.concatenate(x) for x in zip(*found)] or [()] * 5
         kinds = [pa.int64()] * 3 + [pa.float64()] * 2
         return pa.table([texts.column("doc_id"), texts.column("held_out"), *(pa.array(x, k) for x, k in zip(columns, kinds))], names=[x.split()[0] for x in OUT.split(", ")])
 
-    blocks = rows.select(F.floor(F.col("row_id") / BLOCK_ROWS).alias("block"), "doc_id", "held_out", "text")
-    return blocks.groupBy("block").cogroup(counted.select("block", "key", "c").groupBy("block")).applyInArrow(scored, OUT)
+    return blocks.drop("train").groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(scored, OUT)

@@ -233,3 +233,29 @@ def test_pipeline_stages(spark, docs):
         by[r["source"]].append(r)
     assert all(r["taken"] <= 3 * r["size"] for r in mixed)
     assert abs(sum(rs[0]["target"] for rs in by.values()) - sum(r["size"] for r in mixed)) < 1e-3 * sum(r["size"] for r in mixed) + 1
+
+
+def test_lm_rare_ngrams_of_a_long_corpus(spark):
+    """Pairs seen a few times among half a million tokens are in the model, and scores are those of the automaton over all n-grams."""
+    r = random.Random(3)
+    texts = ["word " * 500_000, *(" ".join(r.choice("abcdefgh") for _ in range(12)) + " rare pair" for _ in range(6)), "rare pair", "a b c rare"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    of = [lm.tokens(t) for t in texts]
+    uni, two, three, parts = Counter(), Counter(), Counter(), {}
+    for i, h in enumerate(of):
+        pairs = lm.join_keys(h[:-1], h[1:])
+        triples = lm.join_keys(pairs[:-1], h[2:])
+        parts.update(zip(pairs.tolist(), zip(h[:-1].tolist(), h[1:].tolist(), h[1:].tolist())))
+        parts.update(zip(triples.tolist(), zip(pairs[:-1].tolist(), pairs[1:].tolist(), h[2:].tolist())))
+        if not held(i):
+            for count, keys in ((uni, h), (two, pairs), (three, triples)):
+                count.update(keys.tolist())
+    n, v = sum(uni.values()), len(uni)
+    grams = [[(k, *parts[k], c) for k, c in sorted(level.items()) if c >= 2] for level in (two, three)]
+    model = lm.Automaton({w: c for w, c in sorted(uni.items()) if c >= 2}, grams, n, v)
+    got = {x["doc_id"]: x["score"] for x in lm.evaluate(df).collect()}
+    for i, h in enumerate(of):
+        logs = [math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in h.tolist()]
+        want = model.score(model.numbers(h.tolist()), logs)
+        assert abs(got[i] - want) < 1e-6 * max(1, -want), i
