@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 OUT = "sim long, gen int, t double, mag double"
+PIECE = 20_000  # background events that a piece of a simulation has on average, at most
 
 
 def truncated_magnitudes(u: np.ndarray, b: float, low: float, high: float) -> np.ndarray:
@@ -22,13 +23,16 @@ def simulate(
     """sim, gen, t, mag of every event of ``sims`` independent cascades over ``days``.
 
     Background events come at ``mu`` a day; an event of magnitude m has a Poisson number of offspring with mean
-    ``k exp(alpha (m - low))`` at Omori waiting times.  A simulation's generator is seeded by its number alone, so a task that is run again
-    gives the same events.  Simulations are dealt over ``parts`` tasks; each holds one simulation at a time, of at most ``cap`` events a generation.
+    ``k exp(alpha (m - low))`` at Omori waiting times.  Background events have their offspring apart from each other, so a simulation is the sum
+    of pieces with an equal share of ``mu``.  A piece's generator is seeded by the numbers of its simulation and its own, so a task that is run
+    again gives the same events.  Pieces are dealt over ``parts`` tasks for each piece of a simulation; each holds one piece at a time, of at most
+    ``cap`` events a generation.
     """
+    pieces = max(1, -int(-mu * days // PIECE))
 
-    def one(sim: int) -> pd.DataFrame:
-        draw = np.random.default_rng([seed, sim])
-        t = draw.uniform(0, days, draw.poisson(mu * days))
+    def one(sim: int, piece: int) -> pd.DataFrame:
+        draw = np.random.default_rng([seed, sim, piece] if piece else [seed, sim])
+        t = draw.uniform(0, days, draw.poisson(mu * days / pieces))
         found, gen = [], 0
         while len(t):
             if len(t) > cap:
@@ -44,7 +48,7 @@ def simulate(
 
     def run(frames):
         for frame in frames:
-            for sim in frame["id"].tolist():
-                yield one(sim)
+            for at in frame["id"].tolist():
+                yield one(*divmod(at, pieces))
 
-    return spark.range(0, sims, 1, parts).mapInPandas(run, OUT)
+    return spark.range(0, sims * pieces, 1, parts * pieces).mapInPandas(run, OUT)

@@ -61,5 +61,5 @@ def q_stream_counts(spark, sf):
 def q_cascade_sim(spark, sf):
     """Rates per generation of simulated cascades; the background rate is that of the events."""
     per_day = events(spark, sf).filter("mag >= 2.0").agg(F.count("*") / 30.0).first()[0]  # one number
-    sims = simulate(spark, 200, 30.0, min(per_day, 50.0), 0.2, 0.8, 0.02, 1.2)
+    sims = simulate(spark, 200, 30.0, per_day, 0.2, 0.8, 0.02, 1.2)
     return sims.groupBy("gen").agg(F.count("*").alias("n"), fixed(F.avg("mag")).alias("mean_mag"), F.countDistinct("sim").alias("sims"))
