@@ -2,8 +2,8 @@
 
 A line counts in its normalised form: A to Z lower-cased, words joined by one space; lines without a word are ignored.  A 64-bit
 hash stands for it.  For each (host, line) the distinct documents are counted.  A line is above the limits when more than
-``limit_docs`` documents and more than ``limit_share`` of the host's documents have it.  It is removed from all these
-documents but the first (the one with the smallest id), so no content leaves the corpus wholly.  A document is depleted, and is
+``limit_docs`` documents have it, however large the host; a ``limit_share`` above 0 asks for more than that share of the host's documents
+as well.  It is removed from all these documents but the first (the one with the smallest id), so no content leaves the corpus wholly.  A document is depleted, and is
 rejected, when less than ``min_left`` of its words is left.
 
 Documents with the same text are counted as one document of their host, so exact copies, which deduplication handles, do not push the
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from rategrid.llm.common import materialize, small_batches
 
 LIMIT_DOCS = 5
+#: Only the SQL of op1 has this limit too; it decides nothing at hosts of up to LIMIT_DOCS / LIMIT_SHARE texts.
 LIMIT_SHARE = 0.005
 MIN_LEFT = 0.5
 SALTS = 32
@@ -117,17 +118,19 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def frequent_lines(
-    measured: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE
+    measured: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = 0.0
 ) -> DataFrame:
     """host, line, docs, first_doc of the lines above the limits."""
     one = measured.groupBy("host", "text_hash").agg(F.min("doc_id").alias("doc_id"), F.first("lines").alias("lines"))
-    totals = measured.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
     counts = (
         one.select("host", "doc_id", F.explode("lines.line").alias("line"))
         .groupBy("host", "line")
         .agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
         .filter(F.col("docs") > limit_docs)
     )
+    if limit_share <= 0:
+        return counts
+    totals = measured.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
     return (
         counts.alias("c")
         .join(totals.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host")))
@@ -155,7 +158,7 @@ def judge(
     docs: DataFrame,
     host: str = "source",
     limit_docs: int = LIMIT_DOCS,
-    limit_share: float = LIMIT_SHARE,
+    limit_share: float = 0.0,
     min_left: float = MIN_LEFT,
 ) -> DataFrame:
     """Statistics and verdict of every row: row_id, doc_id, the base statistics, removed_words, base_failed, kept, and

@@ -259,3 +259,13 @@ def test_lm_rare_ngrams_of_a_long_corpus(spark):
         logs = [math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in h.tolist()]
         want = model.score(model.numbers(h.tolist()), logs)
         assert abs(got[i] - want) < 1e-6 * max(1, -want), i
+
+
+def test_lines_of_a_large_host(spark):
+    r = random.Random(5)
+    own = lambda i: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+    line = "a passage that eight documents of a large host have"
+    rows = [(i, own(i) + ("\n" + line if i % 250 == 0 else ""), "en", "big", 0, "x") for i in range(2000)]
+    got = corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, DOCS), SF).collect()
+    assert len(got) == 2000 and [x["doc_id"] for x in got if line in x["text"]] == [0]
+    assert quality.judge(spark.createDataFrame(rows, DOCS)).filter("removed_words > 0").count() == 7
