@@ -13,6 +13,10 @@ turn (when the first turn's role is ``system``), then of the longest run of turn
 do not exceed ``history``, then of its span.  Repeated turns are context: they are not under the loss mask.  A turn longer than
 the budget stays whole.
 
+Scale.  No row holds more than a window.  Turns are numbered and their tokens summed by window functions within buckets of ``BUCKET`` turn
+numbers, after the sums of the buckets before; then each turn goes to the windows that it is in.  Only ``read_back``, and so the digests,
+put a whole conversation into one row, as a digest runs over all its turns.
+
 Edge cases.  Null texts and roles count as empty.  Rows with the same turn number are ordered by role and text; repeated rows are
 turns of their own; null turn numbers come first.  Rows with a null ``conv_id`` form one conversation.  An empty table gives no rows.
 Other columns are ignored.
@@ -22,9 +26,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 BUDGET = 512
 HISTORY = 128
+BUCKET = 1024  # turn numbers whose turns are numbered together
+SYSTEM_WINDOWS = 64  # windows that share a copy of their conversation's system turn
 OVERHEAD = 4  # tokens that the markers of a turn are counted as
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -53,42 +60,39 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     start and length in code points, both within ``formatted``, of the texts the loss covers)."""
     if not 0 <= history < budget:
         raise ValueError("history must be at least 0 and below budget")
-    turn = F.struct(
-        F.col("turn").alias("turn"),
-        F.coalesce(F.col("role"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    )
-    convs = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    # prefix sums: the tokens before each turn, as a running array
-    sized = convs.withColumn("size", F.transform("turns", lambda t: tokens(t["text"]).cast("long")))
-    before = F.aggregate(
-        F.col("size"),
-        F.array(F.lit(0).cast("long")),
-        lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
-    )
-    placed = sized.withColumn("before", before).withColumn(
-        "owner", F.transform("turns", lambda t, i: F.floor(F.col("before")[i] / F.lit(budget - history)).cast("long"))
-    )
-    spans = placed.withColumn("window", F.explode(F.array_distinct("owner")))
-    first = F.array_position("owner", F.col("window")).cast("int") - 1
-    spans = spans.withColumn("first", first).withColumn(
-        "last", F.size(F.filter("owner", lambda w: w <= F.col("window"))) - 1
-    )
-    reach = F.col("before")[F.col("first")] - F.lit(history)
-    spans = spans.withColumn("from", F.size(F.filter("before", lambda p: p < reach)))
-    has_system = F.col("turns")[0]["role"] == "system"
-    order = F.sequence(F.col("from"), F.col("last"))
-    order = F.when(has_system & (F.col("from") > 0), F.concat(F.array(F.lit(0)), order)).otherwise(order)
-    spans = spans.withColumn("order", order)
-    head = lambda i: F.concat(F.lit(START), escape_role(F.col("turns")[i]["role"]), F.lit("\n"))
-    body = lambda i: escape(F.col("turns")[i]["text"])
-    part = lambda i: F.struct(
-        i.alias("i"),
-        head(i).alias("head"),
-        body(i).alias("body"),
-        ((i >= F.col("first")) & (F.col("turns")[i]["role"] == "assistant")).alias("target"),
+    stride = budget - history
+    turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = turns.withColumn("size", tokens(F.col("text")).cast("long")).withColumn("bucket", F.floor(F.col("turn") / F.lit(BUCKET)))
+    # number and tokens of the turns before: those of earlier buckets, and those before in the own one
+    earlier = Window.partitionBy("conv_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = turns.groupBy("conv_id", "bucket").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    sums = sums.select(
+        F.col("conv_id").alias("_conv"), F.col("bucket").alias("_bucket"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("size0"),
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.sum("size").over(Window.partitionBy("conv_id")).alias("total"),
+    )
+    turns = turns.join(sums, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("bucket").eqNullSafe(F.col("_bucket")))
+    inside = Window.partitionBy("conv_id", "bucket").orderBy("turn", "role", "text")
+    before = F.col("size0") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    turns = turns.select(
+        "conv_id", "role", "total", (F.col("n0") + F.row_number().over(inside) - 1).cast("long").alias("i"), before.alias("before"),
+        F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"),
+    )
+    # each turn goes to its own window and to those that it can be context of
+    owner = F.floor(F.col("before") / F.lit(stride))
+    parts = turns.withColumn("window", F.explode(F.sequence(owner, F.floor((F.col("before") + F.lit(history)) / F.lit(stride)))))
+    parts = parts.withColumn("own", F.col("window") == owner)
+    part = F.struct("i", "before", "own", "head", "body", (F.col("own") & (F.col("role") == "assistant")).alias("target"))
+    spans = parts.groupBy("conv_id", "window").agg(F.min(F.when(F.col("own"), F.col("before"))).alias("start"), F.collect_list(part).alias("parts")).filter("start is not null")
+    spans = spans.withColumn("parts", F.array_sort(F.filter("parts", lambda p: p["own"] | (p["before"] >= F.col("start") - F.lit(history)))))
+    # the system turn, once for every SYSTEM_WINDOWS windows of its conversation
+    system = turns.filter((F.col("i") == 0) & (F.col("role") == "system")).select(
+        F.col("conv_id").alias("_conv"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("total") / F.lit(stride * SYSTEM_WINDOWS)))).alias("_part"),
+        F.struct("i", "before", F.lit(False).alias("own"), "head", "body", F.lit(False).alias("target")).alias("system"),
+    )
+    spans = spans.join(system, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.floor(F.col("window") / F.lit(SYSTEM_WINDOWS)) == F.col("_part")), "left")
+    spans = spans.withColumn(
+        "parts", F.when(F.col("system").isNotNull() & (F.col("parts")[0]["i"] > 0), F.concat(F.array("system"), "parts")).otherwise(F.col("parts"))
     )
-    spans = spans.withColumn("parts", F.transform("order", part))
     tail = F.lit(END + "\n")
     formatted = F.concat_ws("", F.transform("parts", lambda p: F.concat(p["head"], p["body"], tail)))
     # offsets of the bodies: running sum of the lengths of the parts before, plus the head
@@ -116,7 +120,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         "conv_id",
         "window",
         formatted.alias("formatted"),
-        F.size(F.filter("order", lambda i: i < F.col("first"))).alias("n_context"),
+        F.size(F.filter("parts", lambda p: ~p["own"])).alias("n_context"),
         F.aggregate("parts", acc0, step)["loss"].alias("loss"),
     )
 

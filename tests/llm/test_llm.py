@@ -269,3 +269,23 @@ def test_lines_of_a_large_host(spark):
     got = corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, DOCS), SF).collect()
     assert len(got) == 2000 and [x["doc_id"] for x in got if line in x["text"]] == [0]
     assert quality.judge(spark.createDataFrame(rows, DOCS)).filter("removed_words > 0").count() == 7
+
+
+def test_windows_need_no_row_of_a_conversation(spark):
+    """A conversation of 6,000 turns over several buckets: windows and contexts by brute force, and no sort of whole conversations."""
+    r = random.Random(6)
+    rows = [(c, i, "system" if i == 0 and c else "assistant" if i % 2 else "user", f"{i} " + "w " * r.randrange(60)) for c, n in ((None, 40), (1, 6000), (2, 3)) for i in range(n)]
+    made = chat.windows(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    got = {(x["conv_id"], x["window"]): (x["n_context"], x["formatted"]) for x in made.collect()}
+    want = {}
+    for c in (None, 1, 2):
+        own = [x for x in rows if x[0] == c]
+        before = np.cumsum([0, *(len(x[3].split()) + chat.OVERHEAD for x in own)])[:-1].tolist()
+        for w in {b // 384 for b in before}:
+            first = min(i for i, b in enumerate(before) if b // 384 == w)
+            last = max(i for i, b in enumerate(before) if b // 384 == w)
+            start = min(i for i, b in enumerate(before) if b >= before[first] - 128)
+            order = [*([0] if own[0][2] == "system" and start else []), *range(start, last + 1)]
+            want[c, w] = (sum(i < first for i in order), "".join(f"<|im_start|>{own[i][2]}\n{own[i][3]}<|im_end|>\n" for i in order))
+    assert got == want
+    assert 'collect_list(struct(turn' not in made._jdf.queryExecution().toString() and max(len(f) for _, f in got.values()) < 3000
