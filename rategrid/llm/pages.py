@@ -3,8 +3,9 @@
 The standard library's parser streams its events; they are cut into lines at block elements.  A line's ratio is its number of characters
 over the tags that it took.  Ratios are smoothed with a Gaussian and lines above a threshold, the smoothed mean times
 ``SHARE``, form clusters; the cluster with the most text marks the content region.  The region is completed to whole elements: to the
-``article`` or ``main`` around the cluster or, where there is none, to the innermost element that holds the cluster's text up to
-``LOSS`` of it; short paragraphs of an article so aren't lost to the threshold.
+``article`` or ``main`` around the cluster or, where there is none, to the innermost container (``CONTAINERS``; never a single paragraph)
+that holds the cluster's text up to ``LOSS`` of it, and from there to the containers around it as long as what they add has
+``CONTENT_RATIO`` characters a tag; short paragraphs of an article so aren't lost to the threshold.
 
 Elements whose tag, role, class or id says menu, header, footer, sidebar, notice, advert, form or comments give no lines, nor do scripts,
 styles and other elements without readable text.  A ``header`` inside the region counts as content only for its headings.
@@ -32,6 +33,7 @@ from rategrid.llm.common import appended, small_batches, with_columns
 SIGMA = 1.0
 SHARE = 0.6
 LOSS = 0.1
+CONTENT_RATIO = 20
 
 #: HTML elements by role.
 BLOCKS = frozenset(
@@ -44,6 +46,7 @@ DROPPED = frozenset(
     "style svg template textarea title video".split()
 )
 CONTENT = frozenset(("article", "main"))
+CONTAINERS = frozenset("body center div html section table tbody td th tr".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 HINTS = frozenset(
     "ad ads adsbygoogle advert advertisement adverts advertising aside banner banners breadcrumb breadcrumbs byline-share comment comments "
@@ -182,7 +185,14 @@ def region(lines: list, tags_of: dict) -> int:
     marked = [n for n in held if tags_of[n] in CONTENT]
     if marked:
         return min(marked, key=lambda n: (-held[n], n))
-    return max((n for n in held if held[n] >= (1 - LOSS) * most), default=0)
+    around = sorted((n for n in held if tags_of[n] in CONTAINERS and held[n] >= (1 - LOSS) * most), reverse=True)  # the innermost first
+    inside = around[0] if around else 0
+    for outer in around[1:]:
+        added = [(len(t), max(1, n)) for t, n, path in lines if outer in path and inside not in path]
+        if sum(size for size, _ in added) < CONTENT_RATIO * sum(n for _, n in added):
+            break
+        inside = outer
+    return inside
 
 
 def extract(html: str | None) -> str:

@@ -289,3 +289,15 @@ def test_windows_need_no_row_of_a_conversation(spark):
             want[c, w] = (sum(i < first for i in order), "".join(f"<|im_start|>{own[i][2]}\n{own[i][3]}<|im_end|>\n" for i in order))
     assert got == want
     assert 'collect_list(struct(turn' not in made._jdf.queryExecution().toString() and max(len(f) for _, f in got.values()) < 3000
+
+
+def test_page_regions_are_no_single_paragraph():
+    title, long, last = "A title of 20 chars.", "long words " * 45 + "end.", "The last paragraph.."
+    assert pages.extract(f"<body><div><h1>{title}</h1><p>{long}</p><p>{last}</p></div></body>") == "\n".join((title, long, last))
+    short = ["short words " * 16 + f"{i}." for i in range(10)]
+    longest = "long words " * 1800 + "end."
+    want = "\n".join([*short[:5], longest, *short[5:]])
+    rows = [*short[:5], longest, *short[5:]]
+    links = "<div><ul>" + "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(9)) + "</ul></div>"
+    assert pages.extract("<body>" + links + "<div>" + "".join(f"<p>{x}</p>" for x in rows) + "</div></body>") == want
+    assert pages.extract("<body>" + links + "<div>" + "".join(f"<div><p>{x}</p></div>" for x in rows) + "</div></body>") == want
