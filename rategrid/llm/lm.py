@@ -1,53 +1,73 @@
-"""Language-model scoring by a weighted backoff automaton over word n-grams.
-
-Words are lower-cased (A to Z); every text ends with one end token.  Counts are taken over all training documents.  A word's
-probability is ``(c + 0.1) / (N + 0.1 (V + 1))``.  Beyond single words the model holds every n-gram (2 to ``ORDER`` words) whose
-training count is at least ``LEAST``, whatever the size of the corpus.  An n-gram can only be that frequent if its parts are, so each
-order is counted among extensions of the order before.
-
-States are the contexts that have arcs.  An arc's probability is the n-gram's count less ``DISCOUNT``, over the context's count; the
-rest of the mass goes to the failure arc, which leads to the longest shorter context, with the weight that makes each state's
-probabilities sum to 1.  From the shortest context to the longest, a token's log-probability is that of its arc where there is one, and
-where the context is a state without that arc, the one found so far plus the weight.  ``Automaton`` is the same model in memory.
-
-Scale.  Neither word nor n-gram counts have a bound, and none are collected or broadcast.  Rows are numbered, blocks of ``BLOCK_ROWS``
-rows count their distinct words, the counts are summed by word, and each block gets back the counts of its own words by a cogroup with
-its texts.  With these it counts its n-grams of the next order, and so on; weights are summed by context from one row of each arc and
-joined to the blocks that have the context.  The last cogroup brings each block its words, arcs and weights.
-
-Words are told apart by 64-bit hashes; among 10 million distinct words two collide with a probability of 3e-6.
-
-Edge cases.  Null texts count as empty: their only token is the end.  A null id is in no fold, so it isn't held out, nor learned from.
-Repeated rows count each.  With no training rows N and V are 0.
+"""Language-model scoring by a weighted backoff automaton over all n-grams of the training texts.
+
+Words are lower-cased (A to Z); every text ends with one end token.  A word's probability is ``(c + 0.1) / (N + 0.1 (V + 1))``.  N-grams of two
+and three words are smoothed by Dirichlet priors of weight ``PRIOR``: ``p(w | h) = (c(h w) + PRIOR p(w | h')) / (c(h) + PRIOR)``, where ``h'``
+is ``h`` without its first word.  In a training text a context that isn't the end is always followed by a token, so every context's
+probabilities sum to 1.
+
+States are the contexts that occur in training.  A seen n-gram is an arc with the probability above.  The failure arc of a state leads
+to the longest shorter context with the weight ``PRIOR / (c(h) + PRIOR)``, which is what the formula gives an unseen n-gram.  One traversal from
+left to right carries the state, takes an arc or failure arcs for each token, and adds up log-probabilities.  Blocks of texts are
+traversed in bulk: the arcs and weights of all tokens are looked up at once, from the shortest context to the longest.  Every n-gram that
+occurs once is in the model; there is no cutoff.
+
+Scale.  Neither word nor n-gram counts are collected or broadcast.  Texts are packed into rows of about ``BLOCK_BYTES`` (a longer text is
+a row of its own).  A block sends its distinct words and n-grams, sorted by their hashes, to shards of the hash space as one compressed
+row each; a shard adds them up and sends back counts in the order it was asked.  The number of shards follows the size of the corpus
+(``SHARD_BYTES`` of text each), so neither side of the exchange grows with it.  A word or n-gram, however frequent, comes once from a block
+and goes to a shard by its hash, so there are no hot keys.
+
+Hashes.  Words have 64 bits; among 10 million of them two collide with a probability of 3e-6.  N-grams are stored with 56 bits: with 1e9
+distinct ones, one in 70 million takes the count of another as well.
+
+Edge cases.  Null and empty texts have the end as their only token.  A null id is in no fold: it isn't held out, nor learned from.
+Repeated rows count each and are scored each.  With no training rows N and V are 0, and with neither words nor counts the scores of
+all tokens are 0.  An empty table gives no rows.  Other columns are ignored, so they can't clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from rategrid.llm.common import MIX1, WordHashes, fold, materialize, mix64, small_batches
+from rategrid.llm.common import MIX1, fold, materialize, mix64, small_batches
 
 FOLDS, HELD_OUT = 10, 0
-ORDER = 3
-LEAST = 2
-DISCOUNT = 0.5
+PRIOR = 1.0
 ADD = 0.1
-BLOCK_ROWS = 4096
-CHUNK_TOKENS = 1 << 20  # that many tokens of a block are looked up at a time
-FIXED = float(1 << 52)  # sums of probabilities are fixed-point, so they don't depend on the order
+BLOCK_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
+#: Bits of an n-gram's stored hash.
+BITS = 56
+
+_END = b"\n"  # no word has white space
+
 
-#: The end token: no word has the hash of a white-space string.
-_hashes = WordHashes()
-_END = b"\n"
+class Hashes(dict):
+    """64-bit hashes of words, remembered for up to ``KEEP`` of them."""
+
+    KEEP = 300_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.KEEP:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = Hashes()
 
 
 def tokens(text: str | None) -> np.ndarray:
     """64-bit hashes of a text's tokens, the end included."""
-    return _hashes.of([*(text or "").encode("utf-8", "surrogatepass").lower().split(), _END])
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words.append(_END)
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
 def join_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -55,245 +75,183 @@ def join_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix64(context * np.uint64(MIX1) ^ word)
 
 
-def _count_words(frames):
-    """Rows (row_id, train, text) -> block, key, n: the training count of each distinct word of the block's rows."""
-    block, held, weights = None, [], []
+class Grams:
+    """Tokens of a list of texts and, sorted, the distinct hashes of their words and of their n-grams."""
+
+    def __init__(self, texts: list):
+        held = [tokens(t) for t in texts]
+        self.sizes = np.array([len(h) for h in held], np.int64)
+        h = np.concatenate(held)
+        self.doc = np.repeat(np.arange(len(held)), self.sizes)
+        pairs = join_keys(h[:-1], h[1:])
+        triples = join_keys(pairs[:-1], h[2:])
+        #: Places of the last tokens of pairs and triples that lie within one text.
+        self.pair_at = np.flatnonzero(self.doc[:-1] == self.doc[1:]) + 1
+        self.triple_at = np.flatnonzero(self.doc[:-2] == self.doc[2:]) + 2
+        grams = np.concatenate([pairs[self.pair_at - 1], triples[self.triple_at - 2]]) >> np.uint64(64 - BITS)
+        self.keys, self.place = [None, None], [None, None]
+        for kind, x in enumerate((h, grams)):
+            self.keys[kind], self.place[kind] = np.unique(x, return_inverse=True)
+
+    def counts(self, weight: np.ndarray) -> list[np.ndarray]:
+        """How often each distinct word and n-gram occurs in the texts of weight 1."""
+        of = weight[self.doc]
+        ends = np.concatenate([self.pair_at, self.triple_at])
+        return [np.bincount(p, w, len(k)).astype(np.uint64) for p, w, k in zip(self.place, (of, of[ends]), self.keys)]
+
+    def scores(self, count: list[np.ndarray], total: int, distinct: int) -> tuple[np.ndarray, ...]:
+        """n_known, base and model score of each text, from the training counts of its words and n-grams."""
+        n = len(self.sizes)
+        c = count[0][self.place[0]].astype(np.float64)
+        norm = total + ADD * (distinct + 1)
+        p = (c + ADD) / norm
+        base = np.log10(p)
+        grams = count[1][self.place[1]].astype(np.float64)
+        pairs, triples = np.split(grams, [len(self.pair_at)])
+        at = self.pair_at  # the state is the word before: its arc, or its failure arc
+        p[at] = (pairs + PRIOR * p[at]) / (c[at - 1] + PRIOR)
+        whole = np.zeros(len(c))
+        whole[at] = pairs
+        at = self.triple_at  # the state is the pair before
+        p[at] = (triples + PRIOR * p[at]) / (whole[at - 1] + PRIOR)
+        of = lambda x: np.bincount(self.doc, x, n)
+        return of(c > 0).astype(np.int64), of(base), of(np.log10(p))
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Compressed bytes of 64-bit numbers, byte by byte place: high bytes are mostly 0."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.uint64)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
+ROWS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("train", pa.bool_()), ("text", pa.large_string())])
+
+
+def _pack_blocks(frames, block_bytes: int):
+    """Rows of ROWS -> block, rows: as many rows as make up ``block_bytes`` of text."""
+    context = TaskContext.get()
+    block = (context.partitionId() if context else 0) << 32
+    held, size = [], 0
+
+    def packed():
+        table = pa.Table.from_batches(held).cast(ROWS)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, ROWS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+
+    for batch in frames:
+        lengths = np.cumsum(np.array([x or 0 for x in pa.compute.binary_length(batch.column(3)).to_pylist()], np.int64)) + size
+        at = 0
+        while at < batch.num_rows:
+            # up to the row with which the block is full
+            end = min(int(np.searchsorted(lengths, block_bytes)) + 1, batch.num_rows)
+            held.append(batch.slice(at, end - at))
+            size = int(lengths[end - 1])
+            if size >= block_bytes:
+                yield packed()
+                held, block = [], block + 1
+                lengths, size = lengths - size, 0
+            at = end
+    if held:
+        yield packed()
 
-    def counted():
-        keys, at = np.unique(np.concatenate(held), return_inverse=True)
-        n = np.bincount(at, np.repeat(weights, [len(x) for x in held]), len(keys)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block), pa.int64()), pa.array(keys.view(np.int64)), pa.array(n)], ["block", "key", "n"])
 
-    for batch in frames:  # a block's rows follow each other, over several batches
-        for row, train, text in zip(*(c.to_pylist() for c in batch.columns)):
-            if row // BLOCK_ROWS != block:
-                if held:
-                    yield counted()
-                block, held, weights = row // BLOCK_ROWS, [], []
-            held.append(tokens(text))
-            weights.append(float(train))
-    if held:
-        yield counted()
-
-
-def _chunks(texts: list):
-    """Tokens of consecutive texts, and for each token the place of its text among them; a text isn't split."""
-    held, n = [], 0
-    for text in texts:
-        held.append(tokens(text))
-        n += len(held[-1])
-        if n >= CHUNK_TOKENS:
-            yield np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
-            held, n = [], 0
-    if held:
-        yield np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
-
-
-class Found:
-    """Values of keys, looked up in bulk."""
-
-    def __init__(self, keys: np.ndarray, *values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], [v[order] for v in values]
-
-    def at(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of ``x`` among the values, and whether each is there."""
-        if not len(self.keys):
-            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        place = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
-        return place, self.keys[place] == x
-
-
-def _count_ngrams(order: int):
-    """A block's texts (block, train, text) and its n-grams of order - 1 in the model (key, n, q) -> its n-grams of ``order`` whose two
-    parts are in the model: training count in these texts, count of the context, probability without the first word."""
-
-    def run(texts: pa.Table, lower: pa.Table) -> pa.Table:
-        known = Found(lower.column("key").to_numpy().view(np.uint64), lower.column("n").to_numpy(), lower.column("q").to_numpy())
-        train = np.array(texts.column("train").to_pylist(), np.float64)
-        out, done = [], 0
-        for h, doc in _chunks(texts.column("text").to_pylist()):
-            weight, done = train[done + doc], done + doc[-1] + 1
-            if len(h) < order:
-                continue
-            part = h
-            for k in range(2, order):
-                part = join_keys(part[:-1], h[k - 1 :])
-            place, there = known.at(part)
-            good = np.flatnonzero(there[:-1] & there[1:] & (doc[: len(doc) - order + 1] == doc[order - 1 :]))
-            key, first, same = np.unique(join_keys(part[good], h[good + order - 1]), return_index=True, return_inverse=True)
-            n = np.bincount(same, weight[good], len(key)).astype(np.int64)
-            good = good[first]
-            out.append((key.view(np.int64), part[good].view(np.int64), n, known.values[0][place[good]], known.values[1][place[good + 1]]))
-        columns = [np.concatenate(c) for c in zip(*out)] or [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
-        block = np.full(len(columns[0]), texts.column("block")[0].as_py() if texts.num_rows else 0)
-        return pa.table([pa.array(c) for c in (block, *columns)], names=["block", "key", "context", "n", "whole", "low"])
+def _unpacked(rows: bytes) -> pa.Table:
+    return pa.ipc.open_stream(rows).read_all()
 
-    return run
 
+REQUEST = "shard long, kind int, block long, keys binary, counts binary"
+REPLY = "block long, kind int, shard long, counts binary, total long, present long"
 
-class Automaton:
-    """States, arcs and failure arcs in memory, from the frequent words and n-grams: what ``evaluate`` is held against.
 
-    words: hash -> count.  grams: for each order from 2 a list of (key, context, rest, word, count), where ``rest`` is the key of the
-    n-gram without its first word.  Word probabilities of the root come with the texts.
-    """
+def _ask(bits: int):
+    """Rows (block, rows) -> the distinct keys of the block, by kind (0: words, 1: n-grams) and shard, with their training counts."""
 
-    def __init__(self, words: dict, grams: list[list[tuple]], total: int, distinct: int, discount: float = DISCOUNT):
-        norm = total + ADD * (distinct + 1)
-        self.number = {h: i for i, h in enumerate(words)}  # arcs are labelled by these
-        self.width = width = len(words) + 1
-        count = dict(words)
-        for level in grams:
-            for key, _, _, _, n in level:
-                count[key] = n
-        state = {None: 0}
-        for level in grams:
-            for _, context, *_ in level:
-                state.setdefault(context, len(state))
-        fail: dict = {s: 0 for s in range(len(state))}
-        rest_of = {key: rest for level in grams for key, _, rest, _, _ in level}
-        for context, s in state.items():
-            r = rest_of.get(context)  # a word's rest is the root
-            while r is not None and r not in state:
-                r = rest_of.get(r)
-            fail[s] = state[r] if r is not None else 0
-        unigram = {h: (n + ADD) / norm for h, n in words.items()}
-        p: dict = {}
-        back = [1.0] * len(state)
-
-        def lower(s: int, w: int) -> float:
-            weight = 1.0
-            while s:
-                found = p.get((s, w))
-                if found is not None:
-                    return weight * found
-                weight *= back[s]
-                s = fail[s]
-            return weight * unigram[w]
-
-        self.arcs: dict = {}
-        for level in grams:
-            by_context: dict = {}
-            for key, context, rest, word, n in level:
-                by_context.setdefault(context, []).append((key, word, n))
-            for context, out in by_context.items():
-                s, whole = state[context], max(count[context], sum(n for _, _, n in out))
-                seen = covered = 0.0
-                for _, word, n in out:
-                    q = (n - discount) / whole
-                    seen += q
-                    covered += lower(fail[s], word)
-                    p[s, word] = q
-                back[s] = max(1 - seen, 1e-12) / max(1 - covered, 1e-12)
-        key_of = {key: (context, word) for level in grams for key, context, _, word, _ in level}
-        for (s, word), q in p.items():
-            self.arcs[s * width + self.number[word]] = (float(np.log10(q)), 0)
-        # where an arc leads: to the longest state that its n-gram ends in
-        for key, (context, word) in key_of.items():
-            at = key
-            while at is not None and at not in state:
-                at = rest_of.get(at, word if at != word else None)
-            label = state[context] * width + self.number[word]
-            self.arcs[label] = (self.arcs[label][0], state[at] if at is not None else 0)
-        self.fail = [fail[s] for s in range(len(state))]
-        self.log_back = [float(np.log10(b)) for b in back]
-        self.after = {self.number[h]: state.get(h, 0) for h in words}  # the state after a word that no arc has
-
-    def numbers(self, hashes: list[int]) -> list[int]:
-        get = self.number.get
-        return [get(h, -1) for h in hashes]
-
-    def score(self, labels: list[int], log_words: list[float]) -> float:
-        """log10 probability of a text: labels of its tokens (-1: not frequent) and their log10 word probabilities."""
-        arcs, fail, log_back, after, width = self.arcs, self.fail, self.log_back, self.after, self.width
-        total, s = 0.0, 0
-        for w, own in zip(labels, log_words):
-            while s:
-                if w >= 0:
-                    found = arcs.get(s * width + w)
-                    if found is not None:
-                        total += found[0]
-                        s = found[1]
-                        break
-                total += log_back[s]
-                s = fail[s]
-            else:
-                total += own
-                s = after[w] if w >= 0 else 0
-        return total
-
-
-def _level(texts: DataFrame, lower: DataFrame, order: int, least: int) -> DataFrame:
-    """block, key, n, q of the n-grams of ``order`` in the model that occur in a block; in one row of each n-gram also context and low."""
-    counts = texts.groupBy("block").cogroup(lower.select("block", "key", "n", "q").groupBy("block")).applyInArrow(_count_ngrams(order), "block long, key long, context long, n long, whole long, low double")
-    of_key = Window.partitionBy("key").orderBy("block")
-    whole = of_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    summed = counts.withColumn("c", F.sum("n").over(whole)).withColumn("first", F.row_number().over(of_key) == 1).filter(F.col("c") >= least)
-    rows = summed.select("block", "key", F.col("c").alias("n"), ((F.col("c") - DISCOUNT) / F.col("whole")).alias("q"), F.when(F.col("first"), F.col("context")).alias("context"), F.when(F.col("first"), F.col("low")).alias("low"))
-    return materialize(rows, f"grams{order}", compression="zstd")
-
-
-def _weights(level: DataFrame, lower: DataFrame) -> DataFrame:
-    """block, key, back of the states among ``lower``, the n-grams of the order before."""
-    fixed = lambda x: F.sum(F.round(F.col(x) * FIXED).cast("long")) / FIXED
-    states = level.filter("low is not null").groupBy(F.col("context").alias("key")).agg(fixed("q").alias("seen"), fixed("low").alias("covered"))
-    states = states.select("key", (F.greatest(1 - F.col("seen"), F.lit(1e-12)) / F.greatest(1 - F.col("covered"), F.lit(1e-12))).alias("back"))
-    return lower.select("block", "key").distinct().join(states, "key").select("block", "key", "back")
+    def run(frames):
+        for batch in frames:
+            for block, rows in zip(*(c.to_pylist() for c in batch.columns)):
+                table = _unpacked(rows)
+                grams = Grams(table.column("text").to_pylist())
+                train = table.column("train").to_numpy().astype(np.float64)
+                out: list = []
+                for kind, (keys, counts) in enumerate(zip(grams.keys, grams.counts(train))):
+                    top = (keys >> np.uint64((64, BITS)[kind] - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+                    shards, first = np.unique(top, return_index=True)
+                    for shard, a, z in zip(shards.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]):
+                        out.append((shard, kind, block, pack_sorted(keys[a:z]), pack(counts[a:z])))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in REQUEST.split(", ")])
+
+    return run
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """The requests of all blocks to a shard -> for each block the training counts of its keys in all blocks."""
+    keys = [unpack_sorted(b) for b in asked.column("keys").to_pylist()]
+    counts = [unpack(b) for b in asked.column("counts").to_pylist()]
+    ends = np.cumsum([len(k) for k in keys])
+    every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    del keys
+    sums = np.bincount(place, np.concatenate(counts).astype(np.float64), len(every)).astype(np.uint64)
+    replies = [pack(x) for x in np.split(sums[place], ends[:-1])]
+    once = np.arange(len(replies)) == 0  # totals stand in one reply
+    columns = [
+        asked.column("block"), asked.column("kind"), asked.column("shard"), pa.array(replies, pa.binary()),
+        pa.array(once * int(sums.sum())), pa.array(once * int((sums > 0).sum())),
+    ]
+    return pa.table(columns, names=[x.split()[0] for x in REPLY.split(", ")])
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def evaluate(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
-    """Base and model score of every row of ``docs`` (doc_id, text)."""
+def _scored(total: int, distinct: int):
+    def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        out = []
+        for rows in blocks.column("rows").to_pylist():
+            table = _unpacked(rows)
+            grams = Grams(table.column("text").to_pylist())
+            by_kind: tuple = ([], [])
+            for kind, shard, counts in zip(*(replies.column(c).to_pylist() for c in ("kind", "shard", "counts"))):
+                by_kind[kind].append((shard, counts))
+            counts = [np.concatenate([unpack(b) for _, b in sorted(x)] or [np.zeros(0, np.uint64)]) for x in by_kind]
+            known, base, score = grams.scores(counts, total, distinct)
+            out.append(pa.table(
+                [table.column("doc_id"), table.column("held_out"), pa.array(grams.sizes), pa.array(known), pa.array(np.full(len(known), total)), pa.array(base), pa.array(score)],
+                names=[x.split()[0] for x in OUT.split(", ")],
+            ))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def evaluate(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text)."""
     of_fold = fold(F.col("doc_id"), FOLDS)
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(of_fold == HELD_OUT, F.lit(False)).alias("held_out"),
         F.coalesce(of_fold != HELD_OUT, F.lit(False)).alias("train"),
         F.col("text").cast("string").alias("text"),
     )
-    rows = materialize(small_batches(rows), "texts", compression="zstd")
-    partial = rows.select("row_id", "train", "text").mapInArrow(_count_words, "block long, key long, n long")
-    of_key = Window.partitionBy("key").orderBy("block")
-    whole = of_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counted = partial.select("block", "key", F.sum("n").over(whole).alias("c"), (F.row_number().over(of_key) == 1).alias("first"))
-    counted = materialize(counted, "counts", compression="zstd")
-    total, distinct = counted.filter("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    norm = total + ADD * (distinct + 1)
-    blocks = rows.select(F.floor(F.col("row_id") / BLOCK_ROWS).alias("block"), "doc_id", "held_out", "train", "text")
-    lower = counted.filter(F.col("c") >= least).select("block", "key", F.col("c").alias("n"), ((F.col("c") + ADD) / norm).alias("q"))
-    parts = counted.select("block", F.lit(0).alias("kind"), "key", F.col("c").cast("double").alias("v"))
-    for k in range(2, order + 1):
-        level = _level(blocks.select("block", "train", "text"), lower, k, least)
-        parts = parts.unionAll(level.select("block", F.lit(k), "key", F.log10("q")))
-        parts = parts.unionAll(_weights(level, lower).select("block", F.lit(-k), "key", F.log10("back")))
-        lower = level
-
-    def scored(texts: pa.Table, own: pa.Table) -> pa.Table:
-        kind, key, v = (own.column(c).to_numpy() for c in ("kind", "key", "v"))
-        of = {k: Found(key[kind == k].view(np.uint64), v[kind == k]) for k in (0, *range(2, order + 1), *range(-order, -1))}
-        found = []
-        for h, doc in _chunks(texts.column("text").to_pylist()):
-            c = of[0].values[0][of[0].at(h)[0]]
-            base = np.log10((c + ADD) / norm) if norm > 0 else np.zeros(len(c))
-            log, part = base.copy(), h
-            for k in range(2, order + 1):
-                if len(h) < k:
-                    break
-                context, part = part[:-1], join_keys(part[:-1], h[k - 1 :])
-                within = doc[: len(doc) - k + 1] == doc[k - 1 :]
-                at, arc = of[k].at(part)
-                to, state = of[-k].at(context)
-                arc, weak = np.flatnonzero(arc & within), np.flatnonzero(~arc & state & within)
-                log[weak + k - 1] += of[-k].values[0][to[weak]]
-                log[arc + k - 1] = of[k].values[0][at[arc]]
-            sums = lambda x: np.bincount(doc, x)
-            found.append((np.bincount(doc), sums(c > 0).astype(np.int64), np.full(doc[-1] + 1, total), sums(base), sums(log)))
-        columns = [np.concatenate(x) for x in zip(*found)] or [()] * 5
-        kinds = [pa.int64()] * 3 + [pa.float64()] * 2
-        return pa.table([texts.column("doc_id"), texts.column("held_out"), *(pa.array(x, k) for x, k in zip(columns, kinds))], names=[x.split()[0] for x in OUT.split(", ")])
-
-    return blocks.drop("train").groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(scored, OUT)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, int(size // shard_bytes).bit_length())
+    blocks = materialize(small_batches(rows).mapInArrow(lambda frames: _pack_blocks(frames, block_bytes), "block long, rows binary"), "texts", compression="uncompressed")
+    asked = blocks.mapInArrow(_ask(bits), REQUEST)
+    replies = materialize(asked.groupBy("shard", "kind").applyInArrow(_answer, REPLY), "counts", compression="uncompressed")
+    total, distinct = replies.filter("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("present"), F.lit(0))).first()
+    return blocks.groupBy("block").cogroup(replies.drop("total", "present").groupBy("block")).applyInArrow(_scored(total, distinct), OUT)

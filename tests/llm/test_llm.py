@@ -150,28 +150,69 @@ def test_lm_base_and_model(spark, docs):
     assert sum(g["score"] for g in got.values()) > sum(g["base_score"] for g in got.values())
 
 
+class Automaton:
+    """States, arcs and failure arcs over tokens, built plainly from counted texts."""
+
+    def __init__(self, train, prior):
+        self.c, self.prior = Counter(g for t in train for k in (1, 2, 3) for g in zip(*(t[i:] for i in range(k)))), prior
+        self.total = sum(map(len, train))
+        self.distinct = len({w for t in train for w in t})
+        self.states = {g[:-1] for g in self.c if len(g) > 1}
+
+    def word(self, w):
+        return (self.c[w,] + 0.1) / (self.total + 0.1 * (self.distinct + 1))
+
+    def weight(self, state):
+        return self.prior / (self.c[state] + self.prior)
+
+    def arc(self, state, w):
+        if not state:
+            return self.word(w)
+        return (self.c[(*state, w)] + self.prior * self.given(state[1:], w)) / (self.c[state] + self.prior)
+
+    def given(self, state, w):
+        weight = 1.0
+        while state:  # along failure arcs to a state with the arc
+            if state in self.states:
+                if (*state, w) in self.c:
+                    break
+                weight *= self.weight(state)
+            state = state[1:]
+        return weight * self.arc(state, w)
+
+    def score(self, text):
+        state, total = (), 0.0
+        for w in text:
+            total += math.log10(self.given(state, w))
+            state = (*state, w)[-2:]
+        return total
+
+
 def test_automaton_states_sum_to_one():
     r = random.Random(2)
-    text = [r.choice([1, 2, 3, 4, 5]) for _ in range(400)]
-    uni = Counter(text)
-    keys = lambda *w: int(lm.join_keys(np.array([keys(*w[:-1]) if len(w) > 2 else w[0]], np.uint64), np.array([w[-1]], np.uint64))[0])
-    two, three = Counter(zip(text, text[1:])), Counter(zip(text, text[1:], text[2:]))
-    grams = [[(keys(a, b), a, b, b, n) for (a, b), n in two.items() if n > 9], [(keys(a, b, d), keys(a, b), keys(b, d), d, n) for (a, b, d), n in three.items() if n > 4 and two[a, b] > 9 and two[b, d] > 9]]
-    rest = 0.5 / (len(text) + 0.6)  # what the root leaves to unknown words, with its 5 words
-    model = lm.Automaton(dict(uni), grams, len(text), 5)
-    logs = {w: math.log10((n + 0.1) / (len(text) + 0.6)) for w, n in uni.items()}
-    for s in range(len(model.fail)):
-        back, f = 0.0, s
-        while f:
-            back, f = back + model.log_back[f], model.fail[f]
-        total = 10**back * (0.1 / (len(text) + 0.6))
-        for w in uni:
-            t, at = 0.0, s
-            while at and at * model.width + model.number[w] not in model.arcs:
-                t, at = t + model.log_back[at], model.fail[at]
-            t += model.arcs[at * model.width + model.number[w]][0] if at else logs[w]
-            total += 10**t
-        assert abs(total - 1) < 1e-9 and rest > 0
+    model = Automaton([[*(r.choice("abcdef") for _ in range(r.randrange(20))), "end"] for _ in range(30)], 1.0)
+    words = {g[0] for g in model.c if len(g) == 1}
+    rest = 0.1 / (model.total + 0.1 * (model.distinct + 1))  # of a word never seen
+    for s in [(), *model.states]:
+        back = math.prod(model.weight(t) for t in (s[i:] for i in range(len(s))) if t in model.states)
+        assert abs(sum(model.given(s, w) for w in words) + back * rest - 1) < 1e-9
+
+
+@pytest.mark.parametrize("block", [200, 12 << 20])
+def test_lm_scores_of_all_ngrams(spark, block):
+    """Scores are those of the automaton over every n-gram of the training texts, over many blocks and shards and over one."""
+    r = random.Random(3)
+    texts = ["word " * 3000, None, "", *(" ".join(r.choice("abcdefgh") for _ in range(r.randrange(30))) + " rare pair" for _ in range(60)), "rare pair", "a B c rare"]
+    rows = list(enumerate(texts)) + [(None, "a b c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fold = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 10
+    split = lambda t: [*(t or "").lower().split(), "end"]
+    model = Automaton([split(t) for i, t in rows if fold(i)], lm.PRIOR)
+    got = {x["doc_id"]: x for x in lm.evaluate(df, block, block).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        assert got[i]["train_tokens"] == model.total
+        assert abs(got[i]["score"] - model.score(split(t))) < 1e-6 * max(1, -got[i]["score"]), i
 
 
 def test_language_accuracy(spark, docs):
@@ -235,32 +276,6 @@ def test_pipeline_stages(spark, docs):
     assert abs(sum(rs[0]["target"] for rs in by.values()) - sum(r["size"] for r in mixed)) < 1e-3 * sum(r["size"] for r in mixed) + 1
 
 
-def test_lm_rare_ngrams_of_a_long_corpus(spark):
-    """Pairs seen a few times among half a million tokens are in the model, and scores are those of the automaton over all n-grams."""
-    r = random.Random(3)
-    texts = ["word " * 500_000, *(" ".join(r.choice("abcdefgh") for _ in range(12)) + " rare pair" for _ in range(6)), "rare pair", "a b c rare"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
-    of = [lm.tokens(t) for t in texts]
-    uni, two, three, parts = Counter(), Counter(), Counter(), {}
-    for i, h in enumerate(of):
-        pairs = lm.join_keys(h[:-1], h[1:])
-        triples = lm.join_keys(pairs[:-1], h[2:])
-        parts.update(zip(pairs.tolist(), zip(h[:-1].tolist(), h[1:].tolist(), h[1:].tolist())))
-        parts.update(zip(triples.tolist(), zip(pairs[:-1].tolist(), pairs[1:].tolist(), h[2:].tolist())))
-        if not held(i):
-            for count, keys in ((uni, h), (two, pairs), (three, triples)):
-                count.update(keys.tolist())
-    n, v = sum(uni.values()), len(uni)
-    grams = [[(k, *parts[k], c) for k, c in sorted(level.items()) if c >= 2] for level in (two, three)]
-    model = lm.Automaton({w: c for w, c in sorted(uni.items()) if c >= 2}, grams, n, v)
-    got = {x["doc_id"]: x["score"] for x in lm.evaluate(df).collect()}
-    for i, h in enumerate(of):
-        logs = [math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in h.tolist()]
-        want = model.score(model.numbers(h.tolist()), logs)
-        assert abs(got[i] - want) < 1e-6 * max(1, -want), i
-
-
 def test_lines_of_a_large_host(spark):
     r = random.Random(5)
     own = lambda i: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
