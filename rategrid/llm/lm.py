@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -154,7 +155,7 @@ def _pack_blocks(frames, block_bytes: int):
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
 
     for batch in frames:
-        lengths = np.cumsum(np.array([x or 0 for x in pa.compute.binary_length(batch.column(3)).to_pylist()], np.int64)) + size
+        lengths = np.cumsum(np.array([x or 0 for x in pc.binary_length(batch.column(3)).to_pylist()], np.int64)) + size
         at = 0
         while at < batch.num_rows:
             # up to the row with which the block is full
