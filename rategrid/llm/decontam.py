@@ -2,19 +2,20 @@
 
 Texts are normalised: lower-cased, every run of characters that are neither letters nor digits becomes one space.  An item of ``n``
 characters may differ from a region of a text by ``e = floor(RATE * n)`` edits.  A region within that budget shares at least
-``n + 1 - q (e + 1)`` q-grams with the item, and they lie within ``e`` diagonals of each other.  Diagonals (position in the text less
+``n + 1 - q (e + 1)`` q-grams with the item, and they lie within ``e`` diagonals of each other.  ``q`` is ``n div (e + 1)``, at most ``Q``, so the
+bound is positive for every item, whatever its length; items that share a ``q`` share an index.  Diagonals (position in the text less
 position in the item) are cut into bands of width ``w >= e``; two neighbouring bands together hold any such region, so regions are
 kept where two neighbours hold at least that many shared q-grams.  What is kept is verified by banded alignment of the
-whole item, whose ends in the text are free.
+whole item, whose ends in the text are free.  Items whose budget is 0 (under ``1 / RATE`` characters) must stand as whole words.
 
-Where the bound is not positive (items under about 5 * q characters), q-grams can prove nothing: such items, and those whose
-budget is 0, must occur literally.
-
-Scale.  The benchmark is read in blocks of at most ``BLOCK_CHARS`` characters (a stated bound on what tasks hold), each of which meets all
-texts in one pass; texts are never shuffled.  One block holds about 30,000 items.
+Scale.  Texts are never shuffled.  The benchmark is read in blocks of about ``BLOCK_CHARS`` characters, a stated bound on what the driver and
+each task hold of it at a time; each block meets all texts in one pass, and where there are several, each pass is written before the
+next is read.  Shared q-grams are expanded for at most ``HITS`` at once: a range of items with more is halved, and a single item with
+more is searched in overlapping stretches of text, so no phrase that many items or texts share needs more memory.
 
 Edge cases.  Null and empty texts, and items without a letter or digit, match nothing.  Rows that repeat are each matched.  Items that
-share a text are each reported.  An empty table gives no rows.
+share a text are each reported.  Of equally good regions the first is reported.  Very long texts are searched whole.  Empty tables give no
+rows.  ``matches`` ignores other columns; ``clean`` judges row by row, adds no column and keeps those it finds.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rategrid.llm.common import MIX1, small_batches
+from rategrid.llm.common import MIX1, materialize, small_batches
 
 Q = 8
 RATE = 0.1
@@ -35,6 +36,10 @@ BLOCK_CHARS = 8_000_000
 BITS = 22
 #: Characters of text that are looked up together.
 CHUNK = 1 << 21
+#: Cells of the text windows that are aligned with an item at a time.
+CELLS = 1 << 20
+#: Shared q-grams that are expanded at a time.
+HITS = 1 << 21
 
 OUT = "doc_id long, item_id long, start long, end long, edits int, item_chars int"
 
@@ -79,208 +84,257 @@ def _rolling(x: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
-def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
-    """Least edits between the whole item and a region of the text whose alignment stays on the diagonals from ``low`` to ``high``
-    (text less item position), with the region's start and end; None above the budget.  Of equal ones the first end counts."""
-    width = high - low + 1
-    far = budget + 1
-    steps = np.arange(width)
+def align(item: np.ndarray, texts: list[np.ndarray], lows: list[int], width: int, budget: int) -> list[tuple[int, int, int] | None]:
+    """For each text the least edits between the whole item and a region of it whose alignment stays on the ``width`` diagonals from its
+    ``low`` on (text less item position), with the region's start and end; None above the budget.  Of equal ones the first end counts."""
+    n, far, steps = len(item), budget + 1, np.arange(width)
+    low = np.array(lows)[:, None]
+    sizes = np.array([len(t) for t in texts])[:, None]
+    seen = np.full((len(texts), n + width), -1, np.int64)  # column j holds text position low + j
+    for row, t, at in zip(seen, texts, lows):
+        a, z = max(0, at), min(len(t), at + n + width)
+        if z > a:
+            row[a - at : z - at] = t[a:z]
     at = low + steps  # text position before row 0
-    cost = np.where((at >= 0) & (at <= len(text)), 0, far)
-    begin = at.copy()
-    padded = np.concatenate([np.full(max(0, -low), -1, np.int64), text.astype(np.int64), np.full(max(0, high + len(item) - len(text)) + 1, -1, np.int64)])
-    shift = max(0, -low)
-    drop, moved = np.full(width, far), np.zeros(width, np.int64)
+    cost, begin = np.where((at >= 0) & (at <= sizes), 0, far), at
+    live = np.arange(len(texts))
+    drop, moved = np.full(cost.shape, far), np.zeros(cost.shape, np.int64)
     for i, c in enumerate(item):
-        seen = padded[i + low + shift : i + low + shift + width]
-        take = cost + (seen != c) + far * (seen < 0)  # replace or match
-        drop[:-1] = cost[1:] + 1  # a symbol of the item is missing in the text
-        moved[:-1] = begin[1:]
+        here = seen[live, i : i + width] if len(live) < len(seen) else seen[:, i : i + width]
+        take = cost + (here != c) + far * (here < 0)  # replace or match
+        drop[:, :-1] = cost[:, 1:] + 1  # a symbol of the item is missing in the text
+        moved[:, :-1] = begin[:, 1:]
         start = np.where(drop < take, moved, begin)
-        best = np.minimum(take, drop)
         # extra symbols in the text: along the row, one each
-        run = best - steps
-        least = np.minimum.accumulate(run)
-        source = np.maximum.accumulate(np.where(run == least, steps, 0))
+        run = np.minimum(take, drop) - steps
+        least = np.minimum.accumulate(run, 1)
+        source = np.maximum.accumulate(np.where(run == least, steps, 0), 1)
         cost = np.minimum(least + steps, far)
-        begin = start[source]
-        if cost.min() > budget:
-            return None
-    ends = low + steps + len(item)
-    cost = np.where((ends >= 0) & (ends <= len(text)), cost, far)
-    k = int(cost.argmin())
-    return (int(cost[k]), int(begin[k]), int(ends[k])) if cost[k] <= budget else None
+        begin = np.take_along_axis(start, source, 1)
+        within = cost.min(1) <= budget
+        if not within.all():
+            cost, begin, live, drop, moved = cost[within], begin[within], live[within], drop[within], moved[within]
+            if not len(live):
+                break
+    out: list = [None] * len(texts)
+    ends = low[live] + steps + n
+    cost = np.where((ends >= 0) & (ends <= sizes[live]), cost, far)
+    for row, k in enumerate(live.tolist()):
+        j = int(cost[row].argmin())
+        if cost[row, j] <= budget:
+            out[k] = (int(cost[row, j]), int(begin[row, j]), int(ends[row, j]))
+    return out
 
 
-class Index:
-    """The q-grams of a block of items."""
+class Grams:
+    """Items that have one ``q``: their q-grams, and the regions of texts that share enough of them."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = RATE):
-        self.q, self.ids, self.items = q, [], []
-        for i, text in items:
-            x = normalise(text)
-            if len(x):
-                self.ids.append(i)
-                self.items.append(x)
-        sizes = np.array([len(x) for x in self.items], np.int64)
-        self.budget = np.floor(rate * sizes).astype(np.int64)
-        least = sizes + 1 - q * (self.budget + 1)
-        self.budget[least <= 0] = 0
-        self.least = np.maximum(sizes + 1 - q * (self.budget + 1), 1)
+    def __init__(self, q: int, items: list[np.ndarray], budgets: list[int]):
+        self.q, self.items = q, items
+        self.budget = np.array(budgets, np.int64)
+        self.sizes = np.array([len(x) for x in items], np.int64)
+        self.least = self.sizes + 1 - q * (self.budget + 1)
         self.width = np.maximum(self.budget, 1)
-        self.short = [k for k, x in enumerate(self.items) if len(x) < q]
-        hashes = [_rolling(x, q) for x in self.items]
-        owner = np.repeat(np.arange(len(self.items)), [len(h) for h in hashes])
-        place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.keys, self.first, counts = np.unique(h[order], return_index=True, return_counts=True)
-        self.last = self.first + counts
+        hashes = [_rolling(x, q) for x in items]
+        owner = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
+        place = np.concatenate([np.arange(len(h)) for h in hashes])
+        h = np.concatenate(hashes)
+        order = np.argsort(h, kind="stable")  # of one q-gram, postings come by item
+        self.keys, key_of = np.unique(h[order], return_inverse=True)
         self.owner, self.place = owner[order], place[order]
+        self.combined = key_of * len(items) + self.owner
         self.may = np.zeros(1 << BITS, bool)
         self.may[(self.keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
-    def hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """text position, item, item position of every shared q-gram."""
-        h = _rolling(x, self.q)
+    def search(self, texts: list[np.ndarray]):
+        """(text, item, start, end, edits) of regions within the budget; the best of each pair is among them."""
+        sizes = np.array([len(x) for x in texts], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        h = _rolling(np.concatenate(texts), self.q)
         at = np.flatnonzero(self.may[(h >> np.uint64(64 - BITS)).astype(np.int64)])
-        if not len(at) or not len(self.keys):
-            return (np.zeros(0, np.int64),) * 3
         found = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         real = self.keys[found] == h[at]
         at, found = at[real], found[real]
-        counts = self.last[found] - self.first[found]
-        where = np.repeat(self.first[found], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return np.repeat(at, counts), self.owner[where], self.place[where]
+        t = np.searchsorted(begins, at, "right") - 1
+        within = at + self.q <= begins[t] + sizes[t]  # no q-gram crosses the end of a text
+        self.texts, self.bands = texts, int(sizes.max(initial=0) + self.sizes.max() + 2)
+        at, t, found = at[within], t[within], found[within]
+        yield from self._among(at - begins[t], t, found, 0, len(self.items))
+
+    def _among(self, at, t, found, low: int, high: int):
+        """Regions of the items from ``low`` to ``high`` that share the q-grams ``found`` at positions ``at`` of texts ``t``."""
+        first = np.searchsorted(self.combined, found * len(self.items) + low)
+        counts = np.searchsorted(self.combined, found * len(self.items) + high) - first
+        some = counts > 0
+        at, t, found, first, counts = at[some], t[some], found[some], first[some], counts[some]
+        total = int(counts.sum())
+        if total <= HITS:
+            if total:
+                yield from self._regions(at, t, first, counts)
+        elif high - low > 1:
+            middle = (low + high) // 2
+            yield from self._among(at, t, found, low, middle)
+            yield from self._among(at, t, found, middle, high)
+        else:  # one item: stretches of text that overlap by more than a region
+            reach = int(self.sizes[low] + 2 * self.width[low] + self.q)
+            for own in np.unique(t).tolist():
+                of = slice(*np.searchsorted(t, [own, own + 1]))
+                step = max(HITS // int(counts[of].max()), reach)
+                for start in range(int(at[of][0]), int(at[of][-1]) + 1, step):
+                    part = slice(*(np.searchsorted(at[of], [start, start + step + reach]) + of.start))
+                    if part.stop > part.start:
+                        yield from self._regions(at[part], t[part], first[part], counts[part])
+
+    def _regions(self, at, t, first, counts):
+        where = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        item, text = self.owner[where], np.repeat(t, counts)
+        diagonal = np.repeat(at, counts) - self.place[where]
+        key = (item * len(self.texts) + text) * self.bands + (diagonal + self.sizes[item]) // self.width[item]
+        order = np.argsort(key, kind="stable")
+        keys, first, counts = np.unique(key[order], return_index=True, return_counts=True)
+        follows = np.append(keys[1:] == keys[:-1] + 1, False)
+        pair = counts + np.where(follows, np.append(counts[1:], 0), 0)
+        good = np.flatnonzero(pair >= self.least[item[order[first]]])
+        waiting: dict = {}
+        # good pairs that overlap are one region
+        for run in np.split(good, np.flatnonzero(np.diff(keys[good]) != 1) + 1) if len(good) else []:
+            last = run[-1] + 1 if follows[run[-1]] else run[-1]
+            members = order[first[run[0]] : first[last] + counts[last]]
+            i, k = int(item[members[0]]), int(text[members[0]])
+            ds, votes = np.unique(diagonal[members], return_counts=True)
+            at = self._literal(i, self.texts[k], ds, votes)
+            if at is not None:
+                yield k, i, at, at + len(self.items[i]), 0
+            elif self.budget[i]:
+                low, width = int(ds[0] - self.budget[i]), int(ds[-1] - ds[0] + 2 * self.budget[i] + 1)
+                waiting.setdefault((i, width), []).append((k, low))
+        for (i, width), places in waiting.items():
+            step = max(1, CELLS // (len(self.items[i]) + width))
+            for own in (places[a : a + step] for a in range(0, len(places), step)):
+                found = align(self.items[i], [self.texts[k] for k, _ in own], [low for _, low in own], width, int(self.budget[i]))
+                yield from ((k, i, one[1], one[2], one[0]) for (k, _), one in zip(own, found) if one is not None)
+
+    def _literal(self, i: int, text: np.ndarray, ds: np.ndarray, votes: np.ndarray) -> int | None:
+        """Where on the diagonals ``ds`` the item stands as it is; without a budget, as whole words."""
+        item, exact = self.items[i], not self.budget[i]
+        n = len(item)
+        for d in (ds[votes >= n + 1 - self.q] if exact else ds[[votes.argmax()]]).tolist():
+            if 0 <= d <= len(text) - n and np.array_equal(text[d : d + n], item):
+                if not exact or (d == 0 or text[d - 1] == 32) and (d + n == len(text) or text[d + n] == 32):
+                    return d
+        return None
+
+
+class Index:
+    """A block of items, by the length of their q-grams."""
+
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+        self.ids, self.sizes = [], []
+        by_q: dict = {}
+        for i, text in items:
+            x = normalise(text)
+            if len(x):
+                budget = int(rate * len(x))
+                of = by_q.setdefault(min(Q, len(x) // (budget + 1)), ([], [], []))
+                for held, value in zip(of, (len(self.ids), x, budget)):
+                    held.append(value)
+                self.ids.append(i)
+                self.sizes.append(len(x))
+        self.parts = [(np.array(places), Grams(q, xs, budgets)) for q, (places, xs, budgets) in sorted(by_q.items())]
 
     def search(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start, end, edits): the best region of each pair that has one; positions in the normalised text."""
-        # texts side by side, with a gap that no q-gram and no diagonal band crosses
-        gap = int(self.width.max(initial=1)) * 2 + max((len(x) for x in self.items), default=0) + self.q
-        starts, pieces, at = [], [], gap
-        for x in texts:
-            starts.append(at)
-            pieces += [x, np.arange(gap, dtype=np.uint32) + 0x110000]
-            at += len(x) + gap
-        whole = np.concatenate([np.arange(gap, dtype=np.uint32) + 0x110000, *pieces])
-        begins = np.array(starts, np.int64)
         best: dict = {}
-        position, item, place = self.hits(whole)
-        if len(position):
-            diagonal = position - place
-            key = item.astype(np.int64) * (len(whole) + 2) + diagonal // self.width[item]
-            order = np.argsort(key, kind="stable")
-            keys, first, counts = np.unique(key[order], return_index=True, return_counts=True)
-            follows = np.append(keys[1:] == keys[:-1] + 1, False)
-            pair = counts + np.where(follows, np.append(counts[1:], 0), 0)
-            good = np.flatnonzero(pair >= self.least[item[order[first]]])
-            # good pairs that overlap are one region
-            runs = np.split(good, np.flatnonzero(np.diff(keys[good]) != 1) + 1) if len(good) else []
-            for run in runs:
-                last = run[-1] + 1 if follows[run[-1]] else run[-1]
-                members = order[first[run[0]] : first[last] + counts[last]]
-                i = int(item[members[0]])
-                x, e = self.items[i], int(self.budget[i])
-                ds, votes = np.unique(diagonal[members], return_counts=True)
-                t = max(int(np.searchsorted(begins, position[members[0]], "right")) - 1, 0)
-                own, base = texts[t], starts[t]
-                d = int(ds[votes.argmax()]) - base
-                if 0 <= d <= len(own) - len(x) and np.array_equal(own[d : d + len(x)], x):
-                    one = (0, d, d + len(x))
-                else:
-                    low, high = int(ds[0]) - base - e, int(ds[-1]) - base + e
-                    a, z = max(0, low), min(len(own), high + len(x) + 1)
-                    one = align(x, own[a:z], low - a, high - a, e) if z > a else None
-                    if one is None:
-                        continue
-                    one = (one[0], one[1] + a, one[2] + a)
-                if (t, i) not in best or one < best[t, i]:
-                    best[t, i] = one
-        for i in self.short:
-            for t, x in enumerate(texts):
-                at = _literal(self.items[i], x)
-                if at is not None:
-                    best[t, i] = (0, at, at + len(self.items[i]))
+        for places, grams in self.parts:
+            for t, i, start, end, edits in grams.search(texts):
+                pair = (t, int(places[i]))
+                if pair not in best or (edits, start) < best[pair][:2]:
+                    best[pair] = (edits, start, end)
         return [(t, i, s, z, e) for (t, i), (e, s, z) in sorted(best.items())]
 
+    def search_all(self, texts: list):
+        """The same of raw texts, CHUNK characters at a time."""
+        held, owners, size = [], [], 0
 
-def _literal(item: np.ndarray, text: np.ndarray) -> int | None:
-    """Where a short item first stands in a text as whole words."""
-    n = len(text) - len(item) + 1
-    if n <= 0:
-        return None
-    same = np.ones(n, bool)
-    for k, c in enumerate(item):
-        same &= text[k : k + n] == c
-    for at in np.flatnonzero(same).tolist():
-        if (at == 0 or text[at - 1] == 32) and (at + len(item) == len(text) or text[at + len(item)] == 32):
-            return at
-    return None
+        def flush():
+            return [(owners[t], *rest) for t, *rest in self.search(held)]
+
+        for k, text in enumerate(texts):
+            x = normalise(text)
+            if len(x):
+                held.append(x)
+                owners.append(k)
+                size += len(x)
+            if size > CHUNK:
+                yield from flush()
+                held, owners, size = [], [], 0
+        if held:
+            yield from flush()
 
 
 _built: dict = {}
 
 
-def _index(items: list, q: int, rate: float) -> Index:
-    key = (hash(tuple(items)), q, rate)
+def _index(items: list, rate: float) -> Index:
+    key = (hash(tuple(items)), rate)
     if key not in _built:
         _built.clear()
-        _built[key] = Index(items, q, rate)
+        _built[key] = Index(items, rate)
     return _built[key]
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in blocks of at most BLOCK_CHARS characters; one longer item is a block of its own."""
-    out: list = [[]]
-    held = 0
-    for r in benchmark.filter(F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        if out[-1] and held + len(r["text"]) > BLOCK_CHARS:
-            out.append([])
-            held = 0
-        out[-1].append((r["item_id"], r["text"]))
-        held += len(r["text"])
-    return out
-
+def _blocks(benchmark: DataFrame):
+    """The items in blocks of about BLOCK_CHARS characters, as broadcast variables, one after another."""
+    context = benchmark.sparkSession.sparkContext
+    items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = int(size // BLOCK_CHARS) + 1
+    for block in range(n):
+        own = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block)
+        yield context.broadcast([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()]), n > 1
 
-def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, key: str = "doc_id") -> DataFrame:
-    """doc_id, item_id, start, end (in the normalised text), edits, item_chars: for each text and item within the budget, the best
-    region."""
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def one(items: list):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """doc_id, item_id, start, end (in the normalised text), edits, item_chars: for each row of ``docs`` (doc_id, text) and item within the
+    budget, the best region."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
+    def one(shared, several: bool):
         def run(frames):
-            index = _index(shared.value, q, rate)
+            index = _index(shared.value, rate)
             for batch in frames:
                 ids = batch.column(0).to_pylist()
-                found, texts, owners, size = [], [], [], 0
-
-                def flush():
-                    for t, i, s, z, e in index.search(texts):
-                        found.append((ids[owners[t]], index.ids[i], s, z, e, len(index.items[i])))
-
-                for k, text in enumerate(batch.column(1).to_pylist()):
-                    x = normalise(text)
-                    if len(x):
-                        texts.append(x)
-                        owners.append(k)
-                        size += len(x)
-                    if size > CHUNK:
-                        flush()
-                        texts, owners, size = [], [], 0
-                if texts:
-                    flush()
+                found = [(ids[k], index.ids[i], s, z, e, index.sizes[i]) for k, i, s, z, e in index.search_all(batch.column(1).to_pylist())]
                 columns = list(zip(*found)) or [()] * 6
                 kinds = [pa.int64()] * 4 + [pa.int32()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "start", "end", "edits", "item_chars"])
 
-        return small_batches(own).mapInArrow(run, OUT)
+        out = small_batches(own).mapInArrow(run, OUT)
+        if several:
+            out = materialize(out, "matches")
+            shared.destroy()
+        return out
 
-    return reduce(DataFrame.unionAll, [one(items) for items in _blocks(benchmark)])
+    return reduce(DataFrame.unionAll, [one(*block) for block in _blocks(benchmark)])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that hold no item.  Rows that share an id are judged together."""
-    hit = matches(docs, benchmark, **how).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_hit")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item."""
+    at = docs.columns.index("text")
+
+    def one(rows: DataFrame, shared):
+        def run(frames):
+            index = _index(shared.value, rate)
+            for batch in frames:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[k for k, *_ in index.search_all(batch.column(at).to_pylist())]] = False
+                yield batch.filter(pa.array(keep))
+
+        return small_batches(rows).mapInArrow(run, docs.schema)
+
+    for shared, several in _blocks(benchmark):
+        docs = one(docs, shared)
+        if several:
+            docs = materialize(docs, "clean")
+            shared.destroy()
+    return docs

@@ -108,30 +108,61 @@ def edits_within(item, text):
 
 
 def test_decontamination_against_full_alignment(spark):
+    """Items of every length up to 60 and longer ones, with edits up to their budget and beyond."""
     r = random.Random(5)
     words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(300)]
     say = lambda n: " ".join(r.choice(words) for _ in range(n))
-    items = [(i, say(r.randint(1, 40))) for i in range(12)] + [(12, "a b")]
-    texts = []
-    for d in range(40):
-        i, item = r.choice(items)
-        chars = list(item)
-        for _ in range(int(r.choice([0, 0.04, 0.09, 0.2]) * len(chars))):
-            chars[r.randrange(len(chars))] = r.choice("xyz")
-        texts.append((d, say(30) + " " + "".join(chars).upper() + "!\n" + say(20)))
-    got = {(x["doc_id"], x["item_id"]): x["edits"] for x in decontam.matches(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    items = [(n, say(30)[:n].strip() + "k" * (n - len(say(30)[:n].strip()) > 99)) for n in range(1, 61)] + [(61, say(40)), (62, say(25)), (63, "a b"), (64, "..."), (65, None)]
+    texts = [(0, None), (1, "")]
+    for i, item in items[7:62]:
+        for rate in (0, 0.05, 0.1, 0.2):
+            chars = list(item)
+            for _ in range(int(rate * len(decontam.normalise(item)))):
+                k = r.randrange(1, len(chars) - 1)
+                chars[k : k + 1] = r.choice(["x", "", chars[k] + "y"])
+            texts.append((len(texts), say(6) + " " + "".join(chars).upper() + "!\n" + say(4)))
+    found = decontam.matches(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(x["doc_id"], x["item_id"]): x["edits"] for x in found.collect()}
     expected = {}
     for d, t in texts:
         text = decontam.normalise(t)
         for i, item in items:
             x = decontam.normalise(item)
             budget = int(decontam.RATE * len(x))
-            if len(x) + 1 - decontam.Q * (budget + 1) > 0:
-                e = edits_within(x, text)
-                if e <= budget:
-                    expected[d, i] = e
-    long = {k: e for k, e in got.items() if len(decontam.normalise(dict(items)[k[1]])) + 1 > decontam.Q * (int(decontam.RATE * len(decontam.normalise(dict(items)[k[1]]))) + 1)}
-    assert long == expected
+            e = edits_within(x, text) if len(x) else 99
+            if len(x) and budget == 0:
+                e = 0 if f" {''.join(map(chr, x))} " in f" {''.join(map(chr, text))} " else 99
+            if e <= budget:
+                expected[d, i] = e
+    assert got == expected
+    assert {i for _, i in got} >= set(range(10, 63))
+
+
+def test_decontamination_of_a_shared_phrase_in_slices(monkeypatch):
+    """Many items that share a phrase, and texts that repeat it, give the same regions however few hits are expanded at once."""
+    r = random.Random(1)
+    say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    items = [(i, "which of the following statements " + say(60)) for i in range(100)] + [(100, "ab" * 60)]
+    texts = [decontam.normalise(x) for x in ("which of the following statements " * 60, items[7][1], "x " + items[9][1][:40] + "zz" + items[9][1][42:], "ab" * 900, say(400))]
+    want = decontam.Index(items).search(texts)
+    assert {(t, i) for t, i, *_ in want} >= {(1, 7), (2, 9), (3, 100)}
+    sizes = []
+    whole = decontam.Grams._regions
+    monkeypatch.setattr(decontam, "HITS", 5000)
+    monkeypatch.setattr(decontam.Grams, "_regions", lambda self, at, t, first, counts: (sizes.append(counts.sum()), whole(self, at, t, first, counts))[1])
+    assert decontam.Index(items).search(texts) == want
+    assert max(sizes) <= 25_000 and len(sizes) > 20  # a single item's stretch may hold more than HITS
+
+
+def test_decontamination_blocks_and_rows(spark, odd, monkeypatch):
+    """Blocks of the benchmark give what one gives; rows that share an id are judged each."""
+    bench = spark.createDataFrame([(i, f"item number {i} has words of its own w{i * 37}") for i in range(20)], "item_id long, text string")
+    docs = spark.createDataFrame([(5, "item number 3 has words of its own w111"), (5, "clean"), (None, "clean"), (None, "x item number 4 has words of its own w148")], "doc_id long, text string")
+    want = decontam.matches(docs, bench).collect()
+    assert {r["item_id"] for r in want} >= {3, 4}
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 200)
+    assert sorted(decontam.matches(docs, bench).collect(), key=str) == sorted(want, key=str)
+    assert sorted(decontam.clean(docs, bench).collect(), key=str) == sorted(docs.filter("text = 'clean'").collect(), key=str)
 
 
 def test_lm_base_and_model(spark, docs):
