@@ -41,7 +41,7 @@ from rategrid.llm.common import MIX1, fold, materialize, mix64, small_batches
 FOLDS, HELD_OUT = 10, 0
 PRIOR = 1.0
 ADD = 0.1
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 8 << 20
 #: Bits of an n-gram's stored hash.
 BITS = 56
@@ -83,7 +83,8 @@ class Grams:
         held = [tokens(t) for t in texts]
         self.sizes = np.array([len(h) for h in held], np.int64)
         h = np.concatenate(held)
-        self.doc = np.repeat(np.arange(len(held)), self.sizes)
+        self.doc = np.repeat(np.arange(len(held), dtype=np.int32), self.sizes)
+        del held
         pairs = join_keys(h[:-1], h[1:])
         triples = join_keys(pairs[:-1], h[2:])
         #: Places of the last tokens of pairs and triples that lie within one text.
@@ -91,6 +92,7 @@ class Grams:
         self.triple_at = np.flatnonzero(self.doc[:-2] == self.doc[2:]) + 2
         grams = np.concatenate([pairs[self.pair_at - 1], triples[self.triple_at - 2]]) >> np.uint64(64 - BITS)
         self.keys, self.place = [None, None], [None, None]
+        del pairs, triples
         for kind, x in enumerate((h, grams)):
             self.keys[kind], self.place[kind] = np.unique(x, return_inverse=True)
 
