@@ -4,17 +4,22 @@ For each language a suffix automaton is built from a bounded sample of labelled
 phrases: each is the longest string, from where the last one ended, that occurs in the language's sample (or one symbol, if even
 that doesn't occur).  The language that needs the fewest phrases, normalised by the number of symbols, wins.
 
-Symbols are letters, lower-cased; every run of other characters is one space.  Texts are parsed in blocks of ``BLOCK`` symbols, so that a
-batch of texts advances in step through numpy arrays; a phrase that would cross a block's end is cut there, for every language alike.
+Symbols are letters, lower-cased; every run of other characters is one space.  Texts are cut into blocks of ``BLOCK`` symbols, so that many
+blocks advance in step through numpy arrays.  A block starts in the state in which the block before it ends: that state is first guessed
+from its last ``WARM`` symbols, and blocks whose guess was wrong are parsed again until none is, so counts are those of the whole text.
 
 The score is ``1 - p / q`` with ``p`` the fewest and ``q`` the second fewest phrases (1 if only one language was learned).
 
-Learning.  ``sample_symbols`` bounds the sample of each language and ``max_languages`` their number (those with most
-text); documents come in the order of a hash of their id, each giving at most an eighth of the bound, until the bound is reached.
-Everything else covers all rows.  The samples are a few hundred kilobytes; each Python worker builds the automata once.
+Learning.  Every labelled text is cut into passages of ``PASSAGE`` characters, and a language's sample are its passages with the lowest
+hashes of id and place, up to ``sample_symbols`` characters.  Every language in the labels is learned.  A worker builds the automata
+once, a few megabytes a language whatever its alphabet: arcs are kept in a hash table of (state, symbol).
 
-Edge cases.  A null text and one without a letter give ``und`` with score 0, as does every text when nothing was learned.  A null
-id belongs to no fold: it is neither learned from nor held out.  Ties go to the language first in order.  Repeated rows are scored each.
+Scale.  Texts are scored where they are read, whole, without a shuffle; a very long text takes memory for itself only.
+
+Edge cases.  A null text and one without a letter give ``und`` with score 0, as does every text when nothing was learned, and an empty
+table gives no rows.  A null id belongs to no fold: it is neither learned from nor held out.  Ties go to the language first in order.
+Repeated rows are scored each.  ``identify`` replaces columns named lang_pred and score; ``judge`` ignores other columns; ``clean`` keeps all
+columns and adds none.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ from pyspark.sql.types import DoubleType, StringType
 from rategrid.llm.common import fold, small_batches, with_columns
 
 SAMPLE_SYMBOLS = 40_000
-MAX_LANGUAGES = 64
-BLOCK = 1024
+PASSAGE = 1000
+BLOCK, WARM = 1024, 48
 FOLDS, HELD_OUT = 4, 2
 #: Least score at which ``clean`` believes the prediction more than the given language.
 MIN_SCORE = 0.05
@@ -96,6 +101,65 @@ def automaton(sample: np.ndarray) -> list[dict]:
     return to
 
 
+class Arcs:
+    """The arcs of one language's automaton in an open-addressing table: (state, symbol) -> state."""
+
+    ODD = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, states: list[dict], width: int):
+        self.width = width
+        key = np.array([i * width + c for i, to in enumerate(states) for c in to], np.int64)
+        target = np.array([s for to in states for s in to.values()], np.int64)
+        self.root = np.zeros(width, np.int64)  # where a phrase starts with a symbol
+        for c, s in states[0].items():
+            self.root[c] = s
+        bits = max(4, int(4 * len(key)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.targets = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        slot = self._slot(key)
+        while len(key):
+            free = self.keys[slot] < 0
+            at, first = np.unique(slot[free], return_index=True)
+            placed = np.flatnonzero(free)[first]
+            self.keys[at], self.targets[at] = key[placed], target[placed]
+            left = np.ones(len(key), bool)
+            left[placed] = False
+            key, target, slot = key[left], target[left], (slot[left] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * self.ODD) >> self.shift).view(np.int64)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase begins."""
+        key = state * self.width + symbol
+        slot = self._slot(key)
+        seen = self.keys[slot]
+        there = seen == key
+        open_ = np.flatnonzero(~there & (seen >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            seen = self.keys[slot[open_]]
+            there[open_] = seen == key[open_]
+            open_ = open_[(seen != key[open_]) & (seen >= 0)]
+        return np.where(there, self.targets[slot], self.root[symbol]), ~there | (state == 0)
+
+    def run(self, blocks: list[np.ndarray], start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each block, and the state at its end, from the given states."""
+        sizes = np.array([len(b) for b in blocks])
+        order = np.argsort(-sizes, kind="stable")
+        grid = np.zeros((int(sizes.max()), len(blocks)), np.int64)  # a row for each step
+        for k, i in enumerate(order.tolist()):
+            grid[: len(blocks[i]), k] = blocks[i]
+        live = np.searchsorted(-sizes[order], -np.arange(1, len(grid) + 1), side="right")  # blocks that reach a step
+        state, count = start[order], np.zeros(len(blocks), np.int64)
+        for row, n in zip(grid, live.tolist()):
+            state[:n], begun = self.step(state[:n], row[:n])
+            count[:n] += begun
+        out_count, out_state = np.empty_like(count), np.empty_like(state)
+        out_count[order], out_state[order] = count, state
+        return out_count, out_state
+
+
 class Parser:
     """Phrase counts of many texts against the samples of all languages."""
 
@@ -103,62 +167,43 @@ class Parser:
         self.languages = [name for name, _ in samples]
         parts = [symbols(text) for _, text in samples]
         alphabet = np.unique(np.concatenate(parts)) if parts else np.array([], np.uint32)
-        #: Symbol numbers: 0 pads a block, 1 occurs in no sample.
-        self.number = np.ones(0x110000, np.int32)
-        self.number[alphabet] = np.arange(2, len(alphabet) + 2)
-        self.width = width = len(alphabet) + 2
-        self.tables = []
-        for part in parts:
-            states = automaton(self.number[part])
-            root = np.zeros(width, np.int32)  # a phrase starts with the symbol
-            for c, s in states[0].items():
-                root[c] = s
-            fresh = (root * width) << 1 | 1  # targets are scaled; the low bit says that a phrase began
-            fresh[0] = 0
-            table = np.tile(fresh, (len(states), 1))
-            for i, to in enumerate(states):
-                for c, s in to.items():
-                    table[i, c] = (s * width) << 1
-                table[i, 0] = (i * width) << 1
-            for c in states[0]:
-                table[0, c] |= 1
-            self.tables.append(table.ravel())
+        #: Symbol numbers: 0 occurs in no sample.
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[alphabet] = np.arange(1, len(alphabet) + 1)
+        self.arcs = [Arcs(automaton(self.number[part]), len(alphabet) + 1) for part in parts]
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages) phrase counts, and whether a text has a letter."""
-        out = np.zeros((len(texts), len(self.tables)), np.int64)
+        out = np.zeros((len(texts), len(self.arcs)), np.int64)
         letters = np.zeros(len(texts), bool)
-        blocks, owners, held = [], [], 0
+        blocks, owners = [], []
         for i, text in enumerate(texts):
             codes = symbols(text or "")
             letters[i] = bool((codes != 32).any())
             if letters[i]:
                 numbers = self.number[codes]
-                for at in range(0, len(numbers), BLOCK):
-                    blocks.append(numbers[at : at + BLOCK])
-                    owners.append(i)
-                if len(blocks) - held >= WIDTH:
-                    self._add(blocks, owners, out)
-                    blocks, owners = [], []
+                blocks += [numbers[at : at + BLOCK] for at in range(0, len(numbers), BLOCK)]
+                owners += [i] * (len(blocks) - len(owners))
+            if len(blocks) >= WIDTH:
+                self._add(blocks, owners, out)
+                blocks, owners = [], []
         if blocks:
             self._add(blocks, owners, out)
         return out, letters
 
     def _add(self, blocks: list[np.ndarray], owners: list[int], out: np.ndarray) -> None:
-        order = np.argsort([-len(b) for b in blocks], kind="stable")
-        lengths = np.array([len(blocks[i]) for i in order])
-        grid = np.zeros((lengths[0], len(blocks)), np.int32)  # a row for each step
-        for k, i in enumerate(order):
-            grid[: len(blocks[i]), k] = blocks[i]
-        live = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")  # blocks that reach a step
-        owner = np.array(owners)[order]
-        for k, table in enumerate(self.tables):
-            state = np.zeros(len(blocks), np.int32)
-            count = np.zeros(len(blocks), np.int32)
-            for row, n in zip(grid, live):
-                found = table[state[:n] + row[:n]]
-                count[:n] += found & 1
-                state[:n] = found >> 1
+        owner = np.array(owners)
+        later = np.flatnonzero(owner[1:] == owner[:-1]) + 1  # blocks that go on with the text of the block before
+        for k, arcs in enumerate(self.arcs):
+            start = np.zeros(len(blocks), np.int64)
+            if len(later):
+                start[later] = arcs.run([blocks[i - 1][-WARM:] for i in later], np.zeros(len(later), np.int64))[1]
+            count, end = arcs.run(blocks, start)
+            wrong = later[end[later - 1] != start[later]]
+            while len(wrong):
+                start[wrong] = end[wrong - 1]
+                count[wrong], end[wrong] = arcs.run([blocks[i] for i in wrong], start[wrong])
+                wrong = later[end[later - 1] != start[later]]
             np.add.at(out[:, k], owner, count)
 
 
@@ -185,21 +230,20 @@ def decide(counts: np.ndarray, letters: np.ndarray, languages: list[str]) -> tup
     return names, np.where(letters, score, 0.0).tolist()
 
 
-def learn(train: DataFrame, sample_symbols: int = SAMPLE_SYMBOLS, max_languages: int = MAX_LANGUAGES) -> list[tuple[str, str]]:
+def learn(train: DataFrame, sample_symbols: int = SAMPLE_SYMBOLS) -> list[tuple[str, str]]:
     """(language, sample) pairs from rows of (doc_id, text, lang)."""
-    rows = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    part = max(1, sample_symbols // 8)
-    used = F.least(F.length("text"), F.lit(part))
-    sizes = rows.groupBy("lang").agg(F.sum(used).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    if not sizes:
-        return []
-    # of each language, the documents whose hash is low enough that about twice the bound is left
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(2.0 * sample_symbols / max(1, r["n"]) + 1e-9))])
-    low = rows.filter(place < F.element_at(share, F.col("lang"))).select("lang", place.alias("place"), "doc_id", F.substring("text", 1, part).alias("text"))
+    rows = train.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n"))
+    # of each language, the passages whose hash is low enough that about twice the bound is left
+    share = (2.0 * sample_symbols / F.greatest("n", F.lit(1)) + 1e-9).alias("share")
+    rows = rows.join(sizes.select("lang", share), "lang")
+    place = lambda k: F.pmod(F.xxhash64("doc_id", k), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    every = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / PASSAGE).cast("int"))
+    low = rows.withColumn("k", F.explode(F.filter(every, lambda k: place(k) < F.col("share"))))
+    low = low.select("lang", place(F.col("k")).alias("place"), "doc_id", "k", F.substring("text", F.col("k") * PASSAGE + 1, F.lit(PASSAGE)).alias("text"))
     samples: dict[str, list[str]] = {}
     held: dict[str, int] = {}
-    for r in low.orderBy("lang", "place", "doc_id", "text").toLocalIterator():
+    for r in low.orderBy("lang", "place", "doc_id", "k", "text").toLocalIterator():
         left = sample_symbols - held.get(r["lang"], 0)
         if left > 0:
             samples.setdefault(r["lang"], []).append(r["text"][:left])
@@ -238,9 +282,16 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, and no clearly other one than ``lang`` says."""
+    """The rows of ``docs`` whose text has a letter and isn't clearly in another language than their ``lang``, if that was learned."""
     samples = learn(docs.filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
-    found = identify(own, samples).select("row.*", F.col("lang_pred").alias("_pred"), F.col("score").alias("_score"))
-    other = F.col("lang").isNotNull() & (F.col("lang") != F.col("_pred")) & (F.col("_score") >= min_score)
-    return found.filter((F.col("_pred") != "und") & ~other).select(*docs.columns)
+    text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(frames):
+        parser = parser_of(samples)
+        for batch in frames:
+            counts, letters = parser.counts(batch.column(text_at).to_pylist())
+            found = zip(*decide(counts, letters, parser.languages), batch.column(lang_at).to_pylist())
+            other = [given in parser.languages and given != name and score >= min_score for name, score, given in found]
+            yield batch.filter(pa.array(letters & ~np.array(other, bool)))
+
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -251,17 +251,42 @@ def test_language_accuracy(spark, docs):
     assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.95 * len(got)
 
 
-def test_longest_matches_by_brute_force():
-    sample, text = "the cat sat on the mat", "the mat sat on a dog"
-    parser = langid.Parser([("en", sample)])
-    ours = int(parser.counts([text])[0][0, 0])
-    n, at = 0, 0
+def phrases(sample, text):
+    n = at = 0
     while at < len(text):
         k = 1
         while at + k < len(text) and text[at : at + k + 1] in sample:
             k += 1
         at, n = at + k, n + 1
-    assert ours == n
+    return n
+
+
+def test_longest_matches_by_brute_force():
+    """Phrase counts of whole texts, over many blocks: ordinary ones, a copy of the sample, one phrase without end, large alphabets."""
+    r = random.Random(4)
+    say = lambda n, letters="abcdefg ": " ".join("".join(r.choice(letters) for _ in range(n)).split())
+    wide = "".join(chr(0x4E00 + k) for k in range(3000))
+    samples = [("aa", "a" * 3000), ("en", say(6000)), ("zh", say(4000, wide))]
+    texts = ["the mat sat on a dog", samples[1][1][500:5500], "a" * 9000, say(5000), say(3000, wide), say(40) + samples[1][1] + say(3000), None, " 123 "]
+    counts, letters = langid.Parser(samples).counts(texts)
+    assert letters.tolist() == [True] * 6 + [False] * 2
+    assert counts[:6].tolist() == [[phrases(s, t) for _, s in samples] for t in texts[:6]]
+
+
+def test_languages_without_bound(spark):
+    r = random.Random(2)
+    rows = []
+    for k in range(80):
+        letters = "".join(r.sample([chr(0x61 + i) for i in range(26)], 5))
+        for _ in range(3):
+            text = " ".join("".join(r.choice(letters) for _ in range(4)) for _ in range(120))
+            rows.append((len(rows), text, f"l{k:02}", "s", 0, "x"))
+    docs = spark.createDataFrame(rows + [(9999, rows[0][1], "not learned", "s", 0, "x")], DOCS)
+    assert len(langid.learn(docs)) == 81
+    assert corpus_pipeline.language_id(spark, docs.filter("doc_id < 240"), SF).count() == 240
+    # nothing is known of any language: only texts without letters go
+    bare = spark.createDataFrame([(1, "words", None, "s", 0, "x"), (2, "12", None, "s", 0, "x")], DOCS)
+    assert [x["doc_id"] for x in corpus_pipeline.language_id(spark, bare, SF).collect()] == [1]
 
 
 def held_out_accuracy(spark, model, label):
