@@ -89,30 +89,25 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, max_chars: int) -> list:
-    """A bounded sample of labelled rows for fitting a classifier: (doc_id, text, label, weight) rows, collected.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int) -> tuple[DataFrame, dict]:
+    """A bounded sample of labelled rows for fitting a classifier: (id, place, text, y), and how many labelled rows of its label a row
+    stands for.
 
     Of each label value the ``per_class`` rows of ``labels`` with the lowest hash of their id are taken, from the folds other than
-    ``held_out``; of each text at most ``max_chars`` code points serve for learning.  Rows come in the order of that hash, with a
-    weight: how many labelled rows of its label a row stands for.
+    ``held_out``, with their whole texts.  ``place`` is that hash.  Of rows with one id the first text and the lowest label count; null
+    labels and ids are left out.
     """
     spark = docs.sparkSession
-    known = labels.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
-    known = known.groupBy("doc_id").agg(F.min(label).alias("y")).withColumn("place", F.xxhash64("doc_id"))
-    found = []
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out))
+    known = known.groupBy("doc_id").agg(F.min(label).cast("int").alias("y")).withColumn("place", F.xxhash64("doc_id"))
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    for value in (0, 1):
-        found += known.filter(F.col("y") == value).orderBy("place", "doc_id").limit(per_class).collect()
-    if not found:
-        return []
-    ids = spark.createDataFrame([(r["doc_id"], r["y"], r["place"]) for r in found], "_id long, y int, place long")
-    rows = docs.select("doc_id", F.substring("text", 1, max_chars).alias("text")).join(
-        F.broadcast(ids), F.col("doc_id") == F.col("_id")  # 2 * per_class rows at most
-    )
-    rows = rows.groupBy("_id").agg(F.min("place").alias("place"), F.min("text").alias("text"), F.min("y").alias("y"))
-    got = sorted(rows.collect(), key=lambda r: (r["place"], r["_id"]))
-    share = {v: totals.get(v, 0) / max(1, sum(r["y"] == v for r in got)) for v in (0, 1)}
-    return [(r["_id"], r["text"] or "", r["y"], share[r["y"]]) for r in got]
+    found = [r for value in (0, 1) for r in known.filter(F.col("y") == value).orderBy("place", "doc_id").limit(per_class).collect()]
+    ids = spark.createDataFrame([(r["doc_id"], r["y"], r["place"]) for r in found], "id long, y int, place long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("id"))  # 2 * per_class rows at most
+    rows = rows.groupBy("id", "place", "y").agg(F.coalesce(F.min("text"), F.lit("")).alias("text")).select("id", "place", "text", "y")
+    weight = {v: totals.get(v, 0) / max(1, sum(r["y"] == v for r in found)) for v in (0, 1)}
+    return rows, weight
 
 
 def with_columns(schema, **types):

@@ -1,16 +1,19 @@
 """Quality classification by attention-based multiple-instance learning.
 
 A document is a bag of passages of ``PASSAGE_WORDS`` words.  Every passage is encoded: shares of its bytes by kind (each ASCII
-punctuation mark, digits, upper and lower case, white space, the rest), and how words repeat, their length and number.  A layer
-gives ``h``; gated attention ``softmax(w . (tanh(V h) * sigmoid(U h)))`` weighs the passages of a document; the weighted sum of
-their ``h`` is scored.  Encoder, attention and scorer are learned together from document labels by Adam.
+punctuation mark, digits, upper and lower case, white space, the rest), how words repeat, their length and number, and the shares of its
+character 3-grams in ``BUCKETS`` hash buckets.  A layer gives ``h``; gated attention ``softmax(w . (tanh(V h) * sigmoid(U h)))`` weighs the
+passages of a document; the weighted sum of their ``h`` is scored.  Encoder, attention and scorer are learned together from document
+labels by Adam.
 
-Learning takes ``PER_CLASS`` rows of each label at most, and ``LEARN_CHARS`` code points of each; scoring covers every passage of
-every whole text.  The model is a few thousand numbers.
+Learning takes ``PER_CLASS`` rows of each label at most, all of their passages; scoring covers every passage of every whole text.
+Passages are encoded on the executors; the driver gets the sample's numbers only.  The model is a few thousand numbers.
 
 Edge cases.  Null texts and texts without a word have no passage and get score 0, as everything does if no label could be learned.
-With one label only, every other text gets that label as its score.  A null id belongs to no fold and isn't learned from.
-Repeated rows are scored each.
+With one label only, every other text gets that label as its score.  A null id belongs to no fold and isn't learned from; null labels
+aren't either.  Repeated rows are scored each, alike; of several labels of an id the lowest counts.  A very long text has many passages, and
+memory for those of one text at a time.  An empty table gives no rows.  ``score`` replaces columns named score and predicted and keeps
+others; ``classify`` ignores other columns.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from rategrid.llm.common import appended, fold, labelled, small_batches, with_co
 
 FOLDS, HELD_OUT = 4, 2
 PER_CLASS = 2500
-LEARN_CHARS = 20_000
 PASSAGE_WORDS = 64
+BUCKETS = 64
 CUT = 0.7
 HIDDEN, GATE = 16, 8
 STEPS, BAGS, RATE = 1500, 128, 0.01
@@ -47,23 +50,30 @@ def _kinds() -> np.ndarray:
 
 
 _KINDS = _kinds()
-WIDTH = _KINDS.shape[1] + 6
+SHAPE = 6
+WIDTH = _KINDS.shape[1] + BUCKETS + SHAPE
 
 
 def encode(text: str | None) -> np.ndarray:
     """(passages, WIDTH) numbers."""
     words = words_of(text or "")
-    out = np.zeros((-(-len(words) // PASSAGE_WORDS), WIDTH))
-    counts = np.zeros((len(out), 256))
-    for i in range(len(out)):
+    n = -(-len(words) // PASSAGE_WORDS)
+    out = np.zeros((n, WIDTH), np.float32)
+    counts, grams = np.zeros((n, 256)), np.zeros((n, BUCKETS))
+    for i in range(n):
         own = words[i * PASSAGE_WORDS : (i + 1) * PASSAGE_WORDS]
-        n = len(own)
-        counts[i] = np.bincount(np.frombuffer(b" ".join(own), np.uint8), minlength=256)
+        k = len(own)
+        data = np.frombuffer(b" ".join(own), np.uint8)
+        counts[i] = np.bincount(data, minlength=256)
+        x = data.astype(np.uint32)
+        h = ((x[:-2] * 961 + x[1:-1] * 31 + x[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(26)
+        grams[i] = np.bincount(h, minlength=BUCKETS)
         same = sum(a == b for a, b in zip(own, own[1:]))
-        length = sum(map(len, own)) / n
-        out[i, -6:] = len(set(own)) / n, same / n, min(length, 40.0) / 10, max(map(len, own)) ** 0.5 / 10, n / PASSAGE_WORDS, n < 8
-    if len(out):
-        out[:, :-6] = np.sqrt(counts @ _KINDS / counts.sum(1, keepdims=True))
+        length = sum(map(len, own)) / k
+        out[i, -SHAPE:] = len(set(own)) / k, same / k, min(length, 40.0) / 10, max(map(len, own)) ** 0.5 / 10, k / PASSAGE_WORDS, k < 8
+    if n:
+        share = np.hstack([counts @ _KINDS / counts.sum(1, keepdims=True), grams / np.maximum(grams.sum(1, keepdims=True), 1)])
+        out[:, :-SHAPE] = np.sqrt(share)
     return out
 
 
@@ -98,9 +108,8 @@ def _gradient(m: dict, x: np.ndarray, bag: np.ndarray, y: np.ndarray) -> dict:
     return {"W": s.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ out, "c0": out.sum()}
 
 
-def fit(rows: list) -> dict | None:
-    """The model from (doc_id, text, label, weight) rows; None without rows."""
-    bags = [(encode(t), float(y)) for _, t, y, *_ in rows]
+def fit(bags: list[tuple[np.ndarray, float]]) -> dict | None:
+    """The model from (passages, label) pairs; None without any."""
     bags = [(x, y) for x, y in bags if len(x)]
     if not bags:
         return None
@@ -168,8 +177,20 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     return small_batches(docs).mapInArrow(scored, with_columns(docs.schema, score=DoubleType(), predicted=IntegerType()))
 
 
+def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
+    rows, _ = labelled(docs, labels, "quality", FOLDS, HELD_OUT, PER_CLASS)
+
+    def encoded(frames):
+        for batch in frames:
+            held = [encode(t).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(held, pa.binary())], ["place", "y", "passages"])
+
+    got = small_batches(rows.select("place", "text", "y")).mapInArrow(encoded, "place long, y int, passages binary").collect()
+    bags = sorted((r["place"], r["y"], bytes(r["passages"])) for r in got)
+    return fit([(np.frombuffer(x, np.float32).reshape(-1, WIDTH), float(y)) for _, y, x in bags])
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text), learned from ``labels`` (doc_id, quality)."""
-    model = fit(labelled(docs, labels, "quality", FOLDS, HELD_OUT, PER_CLASS, LEARN_CHARS))
     own = docs.select("doc_id", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "text")
-    return score(own, model).drop("text")
+    return score(own, learn(docs, labels)).drop("text")

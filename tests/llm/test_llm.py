@@ -304,6 +304,47 @@ def test_toxicity_accuracy(spark):
     assert held_out_accuracy(spark, toxicity, "toxic") >= 0.9
 
 
+def test_attention_by_brute_force():
+    """Scores are those of a plain forward pass, and the gradient that of finite differences."""
+    draw = np.random.default_rng(1)
+    shapes = {"W": (passages.WIDTH, 3), "b": (3,), "V": (3, 2), "U": (3, 2), "w": (2,), "c": (3,), "c0": ()}
+    m = {k: draw.normal(0, 0.5, v) for k, v in shapes.items()} | {"mean": np.full(passages.WIDTH, 0.1), "sd": np.full(passages.WIDTH, 0.5)}
+    texts = ["one two three " * 60, None, "Half! of 100 words, " * 25, "a"]
+    got = passages.predict(m, texts)
+    for text, p in zip(texts, got.tolist()):
+        hs = [np.tanh((x - m["mean"]) / m["sd"] @ m["W"] + m["b"]) for x in passages.encode(text)]
+        e = [float(m["w"] @ (np.tanh(h @ m["V"]) / (1 + np.exp(-(h @ m["U"]))))) for h in hs]
+        z = sum(math.exp(a) * h for a, h in zip(e, hs)) / sum(map(math.exp, e)) if hs else None
+        assert abs(p - (1 / (1 + math.exp(-(z @ m["c"] + m["c0"]))) if hs else 0)) < 1e-9
+    bags = [x for x in map(passages.encode, texts) if len(x)]
+    x, bag, y = np.vstack(bags).astype(float), np.repeat(np.arange(3), [len(b) for b in bags]), np.array([1.0, 0.0, 1.0])
+    loss = lambda: -np.mean(np.log(np.where(y == 1, p := passages._forward(m, x, bag, 3)["p"], 1 - p)))
+    for k, g in passages._gradient(m, x, bag, y).items():
+        for at in list(np.ndindex(m[k].shape))[:40]:
+            old, step = m[k][at], 1e-5
+            m[k][at] = old + step
+            up = loss()
+            m[k][at] = old - step
+            down = loss()
+            m[k][at] = old
+            assert abs((up - down) / (2 * step) - g[at]) < 1e-6, (k, at)
+
+
+def test_compression_distance_by_brute_force():
+    """Distances are differences of plain compressed sizes, and the thresholds count the words of whole texts."""
+    import zstandard
+
+    framed = lambda words: [f" {w} ".encode() for w in words.split()] * 50
+    model = {"toxic": toxicity.dictionary(framed("idiot moron scum"), 4096), "ordinary": toxicity.dictionary(framed("the house and garden river is in"), 8192)}
+    parameters = zstandard.ZstdCompressionParameters(**toxicity._LEVEL)
+    size = lambda d, w: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), compression_params=parameters).compress(toxicity._HEAD + w + toxicity._TAIL))
+    distance = toxicity.Distance(model["toxic"], model["ordinary"])
+    text = "You IDIOT, moron! the house is in the garden " * 300
+    ds = [size(model["ordinary"], w) - size(model["toxic"], w) for w in toxicity.words(text)]
+    assert distance.counts(text) == [*(sum(d >= t for d in ds) for t in toxicity.THRESHOLDS), len(ds)]
+    assert distance.of(b"idiot") > 0 > distance.of(b"garden") and distance.counts(None)[-1] == 0
+
+
 def test_page_regions():
     html = """<html><head><title>t</title><style>x</style></head><body><header><h1>Site</h1></header><nav><ul><li>Home</ul></nav>
     <div class="cookie-notice">We use cookies to do many things on this long line</div><div id="content"><h2>Title</h2><p>First &amp; long paragraph with
