@@ -335,7 +335,7 @@ def test_compression_distance_by_brute_force():
     import zstandard
 
     framed = lambda words: [f" {w} ".encode() for w in words.split()] * 50
-    model = {"toxic": toxicity.dictionary(framed("idiot moron scum"), 4096), "ordinary": toxicity.dictionary(framed("the house and garden river is in"), 8192)}
+    model = {"toxic": toxicity.dictionary(framed("idiot moron scum worthless"), 4096), "ordinary": toxicity.dictionary(framed("the house and garden river is in understand"), 8192)}
     parameters = zstandard.ZstdCompressionParameters(**toxicity._LEVEL)
     size = lambda d, w: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), compression_params=parameters).compress(toxicity._HEAD + w + toxicity._TAIL))
     distance = toxicity.Distance(model["toxic"], model["ordinary"])
