@@ -354,6 +354,51 @@ def test_page_regions():
     assert pages.extract(None) == pages.extract("") == pages.extract("<nav>x</nav>") == ""
 
 
+def test_page_names_are_hints():
+    """Names drop what their ratios confirm, not article text; of headers only headings count."""
+    long = "A sentence of the article that goes on for quite a while, as sentences in articles do. " * 3
+    page = f"""<body><header><h1>Site</h1><nav><a href=/>Home</a></nav></header><div class="elementor-widget"><div class="entry-header"><h1 class="entry-header">Title</h1>
+    <span>By somebody</span></div><p>{long}</p><section class="related-work"><h2>Related work</h2><p>{long}</p></section><p>A <label>label</label> and <math><mi>x</mi></math>.</p>
+    <div class="related-posts"><a href=1>One more page</a> <a href=2>Another page to read</a></div></div><div id="comments"><p>{long}</p></div></body>"""
+    want = [x.strip() for x in ("Title", long, "Related work", long, "A label and x.")]
+    assert pages.extract(page).split("\n") == want
+    assert pages.extract(f"<body><form id=aspnet><div><h1>Title</h1><p>{long}</p></div><form><input></form></form></body>") == f"Title\n{long.strip()}"
+    article = f"<article><header><h1>Title</h1><p>By somebody</p></header><p>{long}</p><footer>Tags</footer><div class=ad>Buy</div></article>"
+    assert pages.extract(f"<body><main>{article}</main></body>") == f"Title\n{long.strip()}"
+
+
+def test_pages_of_any_bytes():
+    """Nothing in a page ends the job, and the time is linear in unclosed and stray tags."""
+    import time
+
+    r = random.Random(9)
+    parts = ["<![foo bar", "<![1[", "<!", "<?", "</", "<", ">", "&#x110000;", "&", "<p>", "</p>", "<div class='ad'>", "<a href=x>", "]]>", "--", "<!--", "'", '"', "x ", "<li", "<script>", "<![CDATA[", "\x00", "\ud800"[:0]]
+    for _ in range(3000):
+        pages.extract("".join(r.choice(parts) for _ in range(r.randrange(1, 12))))
+    assert pages.extract("<p>a</p><![1[ x ><p>b</p>") == "a\nb" and pages.extract("<![foo bar") in ("", "<![foo bar")
+    for unit in ("<div>a ", "<b>a ", "a</p></i>", "<p><span>a", "<li>a"):
+        took = []
+        for n in (20_000, 80_000):
+            began = time.process_time()
+            pages.extract(unit * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.5, unit
+
+
+def test_smoothing_and_sums_by_brute_force():
+    r = np.random.default_rng(3)
+    x = r.random(30)
+    k = lambda d: math.exp(-0.5 * (d / pages.SIGMA) ** 2) if abs(d) <= 3 * pages.SIGMA else 0.0
+    want = [sum(k(i - j) * x[j] for j in range(30)) / sum(k(i - j) for j in range(30)) for i in range(30)]
+    assert np.allclose(pages.smoothed(x), want)
+    parser = pages.Lines()
+    parser.feed("<body><div><p>aa<p>bbb<div><p>c</div></div><ul><li>dddd<li>e</ul></body>")
+    parser.cut()
+    page = pages.Page(parser)
+    up = lambda e: [e, *(up(int(page.parent[e])) if e else [])]
+    assert page.sums(page.size).tolist() == [sum(len(t) for t, _, _, e in parser.lines if n in up(e)) for n in range(len(page.tag))]
+
+
 def test_pipeline_stages(spark, docs):
     before = {r["doc_id"]: r for r in docs.collect()}
     kept = docs
