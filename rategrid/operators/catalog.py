@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rategrid.operators.graph import components
+
 
 def first_of_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row of each key, the first in order."""
@@ -49,20 +51,9 @@ def drop_near_repeats(df: DataFrame, by: list[str], gap: int, dmag: float) -> Da
 
 
 def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, cluster: the smallest id reachable over ``edges`` (a, b).  Labels spread to the neighbours until nothing changes; every
-    few steps a checkpoint cuts the lineage where a checkpoint folder is set."""
-    spark = nodes.sparkSession
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().cache()
-    labels = nodes.select("id", F.col("id").alias("cluster"))
-    while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("cluster").alias("near"))
-        step = labels.join(near, labels["id"] == near["a"], "left").select("id", F.col("cluster").alias("old"), F.least("cluster", F.coalesce("near", "cluster")).alias("cluster"))
-        if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
-            step = step.checkpoint()
-        changed = step.filter("old <> cluster").limit(1).count()
-        labels = step.select("id", "cluster")
-        if not changed:
-            return labels
+    """id, cluster of every node (id): the smallest id reachable over ``edges`` (a, b)."""
+    found = components(edges)
+    return nodes.join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("comp", "id").alias("cluster"))
 
 
 def band(at: Column, gap: int) -> Column:

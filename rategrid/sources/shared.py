@@ -1,17 +1,47 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables written there between steps."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, a temporary folder in local mode and the warehouse on a cluster."""
+    """spark.checkpoint.dir of the session; where it is unset, a temporary folder in local mode, where one machine does everything, and
+    the warehouse on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
         found = "file://" + tempfile.mkdtemp(prefix="rategrid-") if local else spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
+
+
+def release() -> None:
+    """Deletes the tables that ``materialize`` has written so far; for long sessions, once their results are read.  Runs when the driver ends."""
+    while _written:
+        path, fs = _written.pop()
+        try:
+            fs.delete(path, True)
+        except Exception:  # the JVM may have ended before
+            return
+
+
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` to the shared folder and return the written table.
+
+    This cuts the lineage in a way that survives lost executors, and lets several consumers read what one pass made.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/rategrid-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression=compression)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not _written:
+        atexit.register(release)
+    _written.append((jvm_path, jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())))
+    return spark.read.schema(df.schema).parquet(path)
