@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rategrid.sources.shared import materialize  # noqa: F401  for the operators
+
 #: White space that separates words everywhere in this subpackage: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list = []
-
-
 def words_of(text: str) -> list[bytes]:
     """The words of a text as UTF-8; bytes.split() cuts at exactly space and U+0009 to U+000D."""
     return text.encode("utf-8", "surrogatepass").split()
@@ -34,48 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where that is unset is another one chosen: a temporary folder in local mode, where one machine
-    does everything, and the warehouse on a cluster.
-    """
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if found:
-        return found
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        found = "file://" + tempfile.mkdtemp(prefix="rategrid-")
-    else:
-        found = spark.conf.get("spark.sql.warehouse.dir")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def _remove_written() -> None:
-    for jvm_path, fs in _written:
-        try:
-            fs.delete(jvm_path, True)
-        except Exception:  # the JVM may have ended before
-            return
-
-
-def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table.
-
-    This cuts the lineage in a way that survives lost executors, and lets several consumers read what one
-    Python pass made.  The tables are deleted when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rategrid-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not _written:
-        atexit.register(_remove_written)
-    _written.append((jvm_path, jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of an Arrow batch: texts can be long, and Spark's default of 10,000 rows would hold that many at once.
 BATCH_ROWS = 1000
 
@@ -110,6 +63,17 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_ou
     return rows, weight
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, with underscores before those that ``columns`` has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def with_columns(schema, **types):
     """A copy of a schema with more columns."""
     from pyspark.sql.types import StructField, StructType
@@ -158,21 +122,3 @@ class WordHashes:
                 h = known[w] = digest(w)
             out[i] = h
         return out
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, comp (smallest node reachable) of every node in ``edges`` (a, b: long).
-
-    Smallest labels spread along the edges and then jump to their own label, until nothing changes; every step is written to
-    the shared folder.  The number of steps grows with the logarithm of a component's width.
-    """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
-        up = step.select(F.col("node").alias("mid"), F.col("mid").alias("top"))
-        step = materialize(step.join(up, "mid").select("node", "old", F.col("top").alias("comp")), "labels")
-        labels = step.select("node", "comp")
-        if step.filter("comp <> old").isEmpty():
-            return labels

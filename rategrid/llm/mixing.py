@@ -5,24 +5,29 @@ documents in ascending key order form a weighted sample without replacement at e
 times its size and a rest takes ``e`` complete epochs, and of one more the prefix in key order whose words come nearest
 to the rest.
 
+The quality weight comes from the base statistics of the quality rules: ``k / LEVELS``, where ``k`` falls from ``LEVELS`` to 1 with the share
+of a document's words that repeat (in 3-word windows), carry symbols or stand in repeated lines.
+
 Scale.  Only (id, source, size, weight, u) of each document is shuffled.  The prefix sum does not gather a source in one task:
 keys are cut into about sqrt(n) buckets of equal expected size, summed per (source, bucket), and the sums of the buckets are
 prefix-summed per source; within a bucket a window adds the rest.  The table of sources has one row a source, and only that is
 ordered as a whole.
 
-Edge cases.  Null texts have size 0.  The null source is a source of its own, last in order.  A null id is hashed as the empty text.
-Rows with one id have one key; ties go by id, then size.  Repeated rows count each.  Documents of size 0 take 0.  An empty table
-gives no rows.  Other columns pass through unless they have the name of a result column, which replaces them.
+Edge cases.  Null texts have size 0.  The null source is a source of its own, last in order.  A document without an id is hashed by its text.
+Rows with one id have one key; ties go by id, then size.  Repeated rows count each.  Documents of size 0 take 0.  A very long text is one
+row of sizes.  An empty table gives no rows.  Only the columns named in ``mix`` come out, so others can't clash.
 """
 
 from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rategrid.llm.common import materialize, n_words
+from rategrid.llm.common import materialize, small_batches
+from rategrid.llm.quality import base
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -30,16 +35,23 @@ CAP = 3
 LEVELS = 8
 
 
-def quality_weight(text: Column, size: Column) -> Column:
-    """From 1/8 to 1 in steps of 1/8: falls with the number of symbols ``#*$%&|<>`` a word."""
-    symbols = F.regexp_count(text, F.lit(r"[#*$%&|<>]"))
-    level = F.greatest(F.lit(1), F.lit(LEVELS) - F.floor(F.lit(LEVELS) * symbols / F.greatest(size, F.lit(1))))
-    return F.coalesce(level, F.lit(1)).cast("int") / F.lit(float(LEVELS))
+def size_and_level(text: str | None) -> tuple[int, int]:
+    """Number of words, and the quality level from 1 to ``LEVELS``."""
+    text = text or ""
+    words = text.encode("utf-8").split()
+    _, symbols, dup_lines, repeated = base(text, words)
+    return len(words), max(1, LEVELS - LEVELS * (symbols + repeated + 10 * dup_lines) // max(1, len(words)))
+
 
+def _measure(frames):
+    for batch in frames:
+        sizes, levels = list(zip(*map(size_and_level, batch.column(3).to_pylist()))) or ((), ())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(levels, pa.int32())], ["doc_id", "source", "u", "size", "level"])
 
-def uniform(doc_id: Column) -> Column:
-    """In (0, 1), from the first 13 hexadecimal digits of the md5 of the id's text."""
-    h = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10)
+
+def uniform(doc_id: Column, text: Column) -> Column:
+    """In (0, 1), from the first 13 hexadecimal digits of the md5 of the id's text, or of the text itself without an id."""
+    h = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), text, F.lit("")).cast("binary")), 1, 13), 16, 10)
     return (h.cast("long").cast("double") + 0.5) / F.lit(float(2**52))
 
 
@@ -70,11 +82,10 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataF
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row of ``docs`` (doc_id, text, source)."""
-    size = n_words(F.col("text"))
-    slim = docs.select(
-        "doc_id", "source", size.alias("size"), quality_weight(F.col("text"), size).alias("weight"), uniform(F.col("doc_id")).alias("u")
-    )
-    slim = materialize(slim, "mix").withColumn("key", -F.log("u") / F.col("weight"))
+    slim = docs.select("doc_id", "source", uniform(F.col("doc_id"), F.col("text")).alias("u"), F.col("text").cast("string").alias("text"))
+    kinds = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in ("doc_id", "source"))
+    slim = small_batches(slim).mapInArrow(_measure, f"{kinds}, u double, size long, level int")
+    slim = materialize(slim.withColumn("weight", F.col("level") / F.lit(float(LEVELS))), "mix").withColumn("key", -F.log("u") / F.col("weight"))
     # the share of documents whose key is below a value, from the counts of the quality levels
     counts = {r["weight"]: r["n"] for r in slim.groupBy("weight").agg(F.count("*").alias("n")).collect()}  # 8 rows at most
     n = max(1, sum(counts.values()))

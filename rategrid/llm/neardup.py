@@ -11,12 +11,14 @@ Copies.  Documents with equal sets (128-bit hash) are one class.  Only one docum
 Scale.  Links are sought in two rounds, so that no group is expanded into all its pairs.  In the first every node is compared with
 one leader, the smallest node that shares a bucket with it; groups are split by a salt, each salt getting the leader's text.  Connected
 components of these links are found by label propagation.  In the second round only buckets whose nodes are still in different
-components are looked at: they are cut into parts of bounded size, each pair of parts is compared in one task, and only links that join
-components leave it, so pairs never become rows.  Components then hold every link among the candidates.  Nothing unbounded is gathered
-in one task or on the driver.
+components are looked at: they are cut into parts of ``CHUNK`` shingles at most, each pair of parts is compared in one task, and only links
+that join components leave it, so pairs never become rows.  Within a task, sets meet by prefix filtering: of two sets that are similar
+enough, one of the rarest shingles of either is shared, so a posting list over those finds all partners, and memory follows the number of
+shingles.  Components then hold every link among the candidates.  Nothing unbounded is gathered in one task or on the driver.
 
 Edge cases.  Null texts and texts without a word have an empty set and are linked with nothing.  Rows with one id and text are one
-class; each is returned.  A null id is never the smallest unless no other is there.  An empty table gives no rows.
+class; each is returned.  A null id is never the smallest unless no other is there.  A very long text is one more row; its set is held at
+once.  An empty table gives no rows.  ``deduplicate`` ignores other columns; ``clean`` keeps them and uses names that they don't have.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rategrid.llm.common import MIX1, WordHashes, components, materialize, mix64, small_batches
+from rategrid.llm.common import MIX1, WORD, WordHashes, materialize, mix64, small_batches, unused
+from rategrid.operators.graph import components
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
@@ -35,10 +38,6 @@ PERCENT = 85
 GROUP = 2000
 #: Shingles of a part of a bucket; parts meet in pairs, so a task holds two.
 CHUNK = 400_000
-#: Shingles counted at a time.
-COLUMNS = 4096
-#: Nodes whose keys may be broadcast: 24 bytes each.
-BROADCAST_NODES = 100_000
 
 _hashes = WordHashes()
 _STEP = 0x61C88647  # the circular shift between coordinates
@@ -145,8 +144,7 @@ def _joining(rows: list) -> list[tuple[int, int]]:
 
     ``chunk`` differs for the two sides of a group that was cut; then only pairs across the sides are compared.
     """
-    rows = sorted(rows, key=lambda r: len(r[3]))
-    sizes = np.array([len(r[3]) for r in rows])
+    rows = sorted(rows, key=lambda r: (len(r[3]), r[0]))
     cut = len({r[2] for r in rows}) > 1
     root = {r[1]: r[1] for r in rows}
 
@@ -156,43 +154,31 @@ def _joining(rows: list) -> list[tuple[int, int]]:
             c = root[c]
         return c
 
-    shared = _overlaps([r[3] for r in rows]) if len(rows) > 24 else None
-    found = []
+    if not rows:
+        return []
+    _, number, counts = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True, return_counts=True)
+    postings: dict = {}
+    found, at = [], 0
     for i, (node, comp, chunk, own) in enumerate(rows):
-        # sets come by size: from some size on no partner is possible
-        last = int(np.searchsorted(sizes, 100 * len(own) // PERCENT, "right"))
-        if shared is None:
-            partners = range(i + 1, last)
-        else:
-            both = shared[i, i + 1 : last]
-            partners = (np.flatnonzero(100 * both >= PERCENT * (len(own) + sizes[i + 1 : last] - both)) + i + 1).tolist()
-        for j in partners:
+        shingle = number[at : at + len(own)]
+        at += len(own)
+        # a similar set shares at least PERCENT of the shingles, so one of the rarest that are left when these are taken off
+        prefix = shingle[np.argsort(counts[shingle], kind="stable")[: len(own) - -(-PERCENT * len(own) // 100) + 1]]
+        met: set = set()
+        for k in prefix[counts[prefix] > 1].tolist():
+            held = postings.setdefault(k, [])
+            met.update(held)
+            held.append(i)
+        for j in sorted(met):
             other = rows[j]
             if (cut and other[2] == chunk) or top(comp) == top(other[1]):
                 continue
-            if shared is not None or _linked(own, other[3]):
+            if _linked(own, other[3]):
                 root[top(comp)] = top(other[1])
                 found.append((node, other[0]))
     return found
 
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets with each other."""
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    keys, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    several = counts[column] > 1
-    owner, column = owner[several], np.unique(column[several], return_inverse=True)[1]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    for at in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
-        own = slice(*np.searchsorted(column, [at, at + COLUMNS]))
-        part = np.zeros((len(sets), COLUMNS), np.float32)
-        part[owner[own], column[own] - at] = 1
-        out += part @ part.T
-    return np.rint(out).astype(np.int64)
-
-
 def _apart(frames):
     """Rows (group, x, y, node, comp, chunk, text), sorted by the first three -> links (a, b)."""
     key, rows = None, []
@@ -262,8 +248,6 @@ def links(docs: DataFrame, measured: DataFrame) -> tuple[DataFrame, DataFrame]:
     needed = materialize(apart.select("node").distinct().join(slim, "node"), "needed")
     if needed.isEmpty():
         return classes, comps
-    if needed.count() <= BROADCAST_NODES:
-        needed = F.broadcast(needed)
     ordered = apart.join(_with_text(docs, needed), "node").select("group", "x", "y", "node", "comp", "chunk", "text")
     ordered = ordered.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "node")
     more = materialize(ordered.mapInArrow(_apart, "a long, b long"), "links")
@@ -271,23 +255,30 @@ def links(docs: DataFrame, measured: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and text_key (xxhash64 of the text) of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text), with text_key (xxhash64 of the text) and group, a
+    number of the row's component, null for an empty set."""
     measured = measure(docs)
     classes, comps = links(docs, measured)
-    placed = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    first = placed.groupBy("comp").agg(F.min("cls_doc").alias("component"))
-    placed = placed.join(first, "comp").select("set_a", "set_b", "component")
+    placed = classes.join(comps, "node", "left").withColumn("group", F.coalesce("comp", "node"))
+    first = placed.groupBy("group").agg(F.min("cls_doc").alias("component"))
+    placed = placed.join(first, "group").select("set_a", "set_b", "component", "group")
     own = measured.select("doc_id", "text_key", "n_shingles", "set_a", "set_b")
     linked = own.filter("n_shingles > 0").join(placed, ["set_a", "set_b"])
-    alone = own.filter("n_shingles = 0").withColumn("component", F.col("doc_id"))
+    alone = own.filter("n_shingles = 0").withColumn("component", F.col("doc_id")).withColumn("group", F.lit(None).cast("long"))
     return linked.unionByName(alone).select(
-        "doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"), "text_key"
+        "doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"), "text_key", "group"
     )
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """One document of each component: the rows of ``docs`` whose id is the component's; repeated rows with that id stay once."""
-    kept = deduplicate(docs).filter("kept").groupBy("doc_id").agg(F.min("text_key").alias("_key"))
-    kept = kept.select(F.col("doc_id").alias("_id"), "_key")
-    joined = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")))
-    return joined.dropDuplicates(["_id"]).select(*[docs[c] for c in docs.columns])
+    """One row of each component, with its smallest id, and every row with an empty set.
+
+    The kept document of a component is found again by its id and text; of rows that repeat both one stays.
+    """
+    i, k, g = unused(docs.columns, "id_", "key_", "group_")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key")))  # nulls last
+    kept = deduplicate(docs).groupBy("group").agg(first.alias("m"))
+    kept = kept.filter("group is not null").select(F.col("m.doc_id").alias(i), F.col("m.text_key").alias(k), F.col("group").alias(g))
+    joined = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(k))).dropDuplicates([g])
+    empty = docs.filter(F.coalesce(~F.col("text").rlike(WORD), F.lit(True)))
+    return joined.select(*[docs[c] for c in docs.columns]).unionAll(empty)

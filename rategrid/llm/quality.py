@@ -2,8 +2,7 @@
 
 A line counts in its normalised form: A to Z lower-cased, words joined by one space; lines without a word are ignored.  A 64-bit
 hash stands for it.  For each (host, line) the distinct documents are counted.  A line is above the limits when more than
-``limit_docs`` documents have it, however large the host; a ``limit_share`` above 0 asks for more than that share of the host's documents
-as well.  It is removed from all these documents but the first (the one with the smallest id), so no content leaves the corpus wholly.  A document is depleted, and is
+``limit_docs`` documents have it, however large the host.  It is removed from all these documents but the first (the one with the smallest id), so no content leaves the corpus wholly.  A document is depleted, and is
 rejected, when less than ``min_left`` of its words is left.
 
 Documents with the same text are counted as one document of their host, so exact copies, which deduplication handles, do not push the
@@ -13,9 +12,10 @@ Scale.  One Python pass over the texts writes the statistics and (line hash, wor
 aggregates partially before its shuffle; the frequent lines are joined back with a salt of the document, so a line or host with a third
 of all rows spreads over ``SALTS`` keys.  Nothing is gathered per line or host.
 
-Edge cases.  A null or empty text has no words and fails the base rules.  A null source is a host of its own.  A null id is
-never the first one.  Repeated rows with one id and text are one document for the counts; each row is returned.  An empty
-table gives no rows.  Other columns are ignored.
+Edge cases.  A null text counts as an empty one; it has no words and fails the base rules.  A null source is a host of its own.  A null id
+is never the first one.  Repeated rows with one id, host and text are one document for the counts; each row is returned, with one verdict.
+Of documents that share an id each is the first one.  A very long text is one more row; its distinct lines are held at once.  An empty
+table gives no rows.  ``judge`` ignores other columns; ``clean`` keeps them and uses names that they don't have.
 """
 
 from __future__ import annotations
@@ -26,11 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rategrid.llm.common import materialize, small_batches
+from rategrid.llm.common import materialize, small_batches, unused
 
 LIMIT_DOCS = 5
-#: Only the SQL of op1 has this limit too; it decides nothing at hosts of up to LIMIT_DOCS / LIMIT_SHARE texts.
-LIMIT_SHARE = 0.005
 MIN_LEFT = 0.5
 SALTS = 32
 MIN_WORDS = 50
@@ -67,30 +65,30 @@ def line_hash(words: list[bytes]) -> int:
     return signed(xxhash.xxh3_64_intdigest(b" ".join(words)))
 
 
+def base(text: str, words: list[bytes]) -> tuple[int, int, int, int]:
+    """word_chars, n_symbols, n_dup_lines and n_repeat_words of a text, given its words."""
+    seen: set = set()
+    dup = 0
+    for line in text.split("\n"):
+        if line in seen:
+            dup += 1
+        elif line.strip(SPACES):
+            seen.add(line)
+    return len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup, repeated_words(words)
+
+
 def statistics(text: str | None) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines of a text."""
     text = text or ""
     data = text.encode("utf-8")
     words = data.split()
-    seen: set = set()
-    dup = 0
     lines: dict = {}
-    for line in data.split(b"\n"):
-        own = line.lower().split()
-        if not own:
-            continue
-        dup += line in seen
-        seen.add(line)
-        h = line_hash(own)
-        lines[h] = lines.get(h, 0) + len(own)
-    return (
-        len(words),
-        len(text) - sum(map(text.count, SPACES)),
-        sum(map(text.count, SYMBOLS)),
-        dup,
-        repeated_words(words),
-        [{"line": h, "words": n} for h, n in lines.items()],
-    )
+    for line in data.lower().split(b"\n"):
+        own = line.split()
+        if own:
+            h = line_hash(own)
+            lines[h] = lines.get(h, 0) + len(own)
+    return len(words), *base(text, words), [{"line": h, "words": n} for h, n in lines.items()]
 
 
 def _measure(frames):
@@ -111,32 +109,21 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
         F.monotonically_increasing_id().alias("row_id"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col(host).cast("string").alias("host"),
-        F.xxhash64("text").alias("text_hash"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
         F.col("text").cast("string").alias("text"),
     )
     return materialize(small_batches(own).mapInArrow(_measure, SCHEMA), "quality")
 
 
-def frequent_lines(
-    measured: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = 0.0
-) -> DataFrame:
-    """host, line, docs, first_doc of the lines above the limits."""
+def frequent_lines(measured: DataFrame, limit_docs: int = LIMIT_DOCS) -> DataFrame:
+    """host, line, docs, first_doc of the lines above the limit."""
     one = measured.groupBy("host", "text_hash").agg(F.min("doc_id").alias("doc_id"), F.first("lines").alias("lines"))
-    counts = (
+    return (
         one.select("host", "doc_id", F.explode("lines.line").alias("line"))
         .groupBy("host", "line")
         .agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
         .filter(F.col("docs") > limit_docs)
     )
-    if limit_share <= 0:
-        return counts
-    totals = measured.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
-    return (
-        counts.alias("c")
-        .join(totals.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host")))
-        .filter(F.col("docs") > F.lit(limit_share) * F.col("host_docs"))
-        .select("c.host", "line", "docs", "first_doc")
-    )
 
 
 def _hits(measured: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -158,13 +145,12 @@ def judge(
     docs: DataFrame,
     host: str = "source",
     limit_docs: int = LIMIT_DOCS,
-    limit_share: float = 0.0,
     min_left: float = MIN_LEFT,
 ) -> DataFrame:
     """Statistics and verdict of every row: row_id, doc_id, the base statistics, removed_words, base_failed, kept, and
-    text_hash and removed_lines, by which ``clean`` finds what to remove."""
+    host, text_hash and removed_lines, by which ``clean`` finds what to remove."""
     measured = measure(docs, host)
-    frequent = frequent_lines(measured, limit_docs, limit_share)
+    frequent = frequent_lines(measured, limit_docs)
     removed = _hits(measured, frequent).groupBy("row_id").agg(
         F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines")
     )
@@ -185,6 +171,7 @@ def judge(
         gone.cast("long").alias("removed_words"),
         failed.alias("base_failed"),
         (~failed & (left >= F.lit(min_left) * F.col("n_words"))).alias("kept"),
+        "host",
         "text_hash",
         "removed_lines",
     )
@@ -206,13 +193,14 @@ def _without(frames):
 
 
 def clean(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The kept rows of ``docs``, without the lines above the limits; ``n_chars``, if there, is counted anew."""
+    """The kept rows of ``docs``, without the lines above the limits; ``n_chars``, if there, is counted anew.
+
+    The verdict follows from a row's id, host and text, so rows are found again by these.
+    """
     verdicts = judge(docs, host, **limits)
-    keys = verdicts.filter("kept").groupBy("doc_id", "text_hash").agg(F.first("removed_lines").alias("removed_lines"))
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = hashed.join(
-        keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash"), F.col("removed_lines").alias("_gone")),
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text_hash")),
-    ).select(*[F.col(c) for c in docs.columns], "_gone")
-    out = joined.mapInArrow(_without, docs.schema)
+    i, h, t, gone, own = unused(docs.columns, "id_", "host_", "hash_", "gone_", "own_")
+    keys = verdicts.filter("kept").groupBy(F.col("doc_id").alias(i), F.col("host").alias(h), F.col("text_hash").alias(t)).agg(F.first("removed_lines").alias(gone))
+    hashed = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & F.col(host).cast("string").eqNullSafe(F.col(h)) & (F.col(own) == F.col(t))
+    out = hashed.join(keys, same).select(*docs.columns, gone).mapInArrow(_without, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -58,14 +58,13 @@ FROM d JOIN f ON d.conv_id IS NOT DISTINCT FROM f.conv_id
 """
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).drop("row_id", "text_hash", "removed_lines")
+    return quality.judge(table(spark, sf_dir, "documents")).drop("row_id", "host", "text_hash", "removed_lines")
 
 
 A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 WORDS = "'[^\\x20\\x09-\\x0D]+'"
 
-OP1_SQL = f"""
-WITH d AS (
+BASE_SQL = f"""d AS (
   SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORDS}) AS ws FROM documents
 ), w AS (
   SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM d
@@ -84,15 +83,14 @@ WITH d AS (
   SELECT doc_id, line, regexp_extract_all(translate(line, {A_TO_Z}), {WORDS}) AS lw FROM rawlines
 ), dups AS (
   SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM lines WHERE len(lw) > 0 GROUP BY doc_id
-), normal AS (
+)"""
+
+OP1_SQL = f"""
+WITH {BASE_SQL}, normal AS (
   SELECT l.doc_id, d.source, d.text, array_to_string(lw, ' ') AS line, sum(len(lw)) AS n
   FROM lines l JOIN d USING (doc_id) WHERE len(lw) > 0 GROUP BY ALL
-), hosts AS (
-  SELECT source, count(DISTINCT text) AS host_docs FROM d GROUP BY source
 ), frequent AS (
-  SELECT n.source, line, min(doc_id) AS first_doc FROM normal n JOIN hosts h ON n.source IS NOT DISTINCT FROM h.source
-  GROUP BY n.source, line, host_docs
-  HAVING count(DISTINCT text) > {quality.LIMIT_DOCS} AND count(DISTINCT text) > {quality.LIMIT_SHARE}::DOUBLE * host_docs
+  SELECT source, line, min(doc_id) AS first_doc FROM normal GROUP BY source, line HAVING count(DISTINCT text) > {quality.LIMIT_DOCS}
 ), removed AS (
   SELECT n.doc_id, sum(n.n)::BIGINT AS removed_words FROM normal n
   JOIN frequent f ON n.line = f.line AND n.source IS NOT DISTINCT FROM f.source AND n.doc_id <> f.first_doc
@@ -115,22 +113,21 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = f"""
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORDS}))::BIGINT AS size,
-    length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS symbols,
-    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / {2**52}::DOUBLE AS u
-  FROM documents
+WITH {BASE_SQL}, q AS (
+  SELECT doc_id, source, len(ws)::BIGINT AS size,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) + coalesce(n_repeat_words, 0) + 10 * coalesce(n_dup_lines, 0) AS bad,
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, text)), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / {2**52}::DOUBLE AS u
+  FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN reps USING (doc_id)
 ), k AS (
-  SELECT *, -ln(u) / (greatest(1, {mixing.LEVELS} - floor({mixing.LEVELS} * symbols::DOUBLE / greatest(size, 1)))::DOUBLE
-    / {mixing.LEVELS}::DOUBLE) AS key FROM d
+  SELECT *, -ln(u) / (greatest(1, {mixing.LEVELS} - {mixing.LEVELS} * bad // greatest(size, 1))::DOUBLE / {mixing.LEVELS}::DOUBLE) AS key FROM q
 ), s AS (
-  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source
-), w AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM q GROUP BY source
+), sw AS (
   SELECT *, [5, 2, 1][((place - 1) % 3 + 1)::INT] AS w FROM s
 ), l AS (
   SELECT *, (sum(source_size) OVER () - {mixing.CAP} * coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
     / (sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
-  FROM w WINDOW o AS (ORDER BY source_size::DOUBLE / w, place)
+  FROM sw WINDOW o AS (ORDER BY source_size::DOUBLE / w, place)
 ), t AS (
   SELECT source, source_size, least(({mixing.CAP} * source_size)::DOUBLE, w * max(level) OVER ()) AS target FROM l
 ), p AS (
@@ -167,7 +164,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.deduplicate(table(spark, sf_dir, "documents")).drop("text_key")
+    return neardup.deduplicate(table(spark, sf_dir, "documents")).drop("text_key", "group")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

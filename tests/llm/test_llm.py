@@ -95,6 +95,37 @@ def test_near_duplicates_against_all_pairs(spark, docs):
     assert got == {i: (len(s), top(i), top(i) == i) for i, s in rows}
 
 
+def test_joins_of_templated_texts_by_brute_force():
+    """Links within a task join what all pairs join, and thousands of short templated texts need little memory and time."""
+    import time
+    import tracemalloc
+
+    r = random.Random(8)
+    base = [neardup.shingles(" ".join(f"w{r.randrange(40)}" for _ in range(60))) for _ in range(6)]
+    rows = []
+    for i in range(150):
+        own = np.array(sorted(set(r.choice(base).tolist()) ^ set(np.array([r.randrange(1 << 63) for _ in range(r.randrange(14))], np.uint64).tolist())), np.uint64)
+        rows.append((i, i, 0, own))
+    parent = list(range(150))
+    top = lambda x: x if parent[x] == x else top(parent[x])
+    for i in range(150):
+        for j in range(i):
+            if neardup._linked(rows[i][3], rows[j][3]):
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    want = [top(i) for i in range(150)]
+    parent = list(range(150))
+    for a, b in neardup._joining(rows):
+        parent[max(top(a), top(b))] = min(top(a), top(b))
+    assert [top(i) for i in range(150)] == want and len(set(want)) > 6
+    words = "this is a template of which only one word is another in each text that comes".split()
+    many = [(i, i, 0, neardup.shingles(" ".join([*words[:8], f"v{i}", *words[8:]]))) for i in range(20_000)]
+    tracemalloc.start()
+    began = time.process_time()
+    assert neardup._joining(many) == []
+    assert time.process_time() - began < 60 and tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+
+
 def edits_within(item, text):
     """Least edits between the item and any region of the text."""
     row = np.zeros(len(text) + 1, int)
@@ -399,6 +430,47 @@ def test_smoothing_and_sums_by_brute_force():
     assert page.sums(page.size).tolist() == [sum(len(t) for t, _, _, e in parser.lines if n in up(e)) for n in range(len(page.tag))]
 
 
+CLASHES = ["id_", "host_", "hash_", "gone_", "own_", "key_", "group_", "_id", "_hash", "_key", "_pred", "_score", "_hit", "block", "row_id", "node", "lang_pred", "score", "weight", "u", "bands", "ID_"]
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES[:-1], ids=lambda s: s[0])
+def test_stages_on_odd_rows(spark, odd, stage):
+    """Nulls, empty and long texts, repeats, shared ids, empty tables and clashing names go through every stage; columns stay as they are."""
+    name, run = stage
+    many = odd.unionAll(odd.filter("doc_id = 4").withColumn("text", F.lit("another text of the same id " + "w x y z " * 30)))
+    for k, c in enumerate(CLASHES[:-1]):
+        many = many.withColumn(c, F.lit(k))
+    got = run(spark, many, SF)
+    assert got.columns == many.columns and got.schema.simpleString() == many.schema.simpleString()
+    rows = got.collect()
+    if name == "near_dedup":
+        assert Counter((r["doc_id"], (r["text"] or "")[:7]) for r in rows) == Counter({(1, ""): 1, (2, ""): 1, (3, " \n\t "): 1, (4, "one two"): 1, (None, "one two"): 1, (6, "word wo"): 1, (7, "\U0001f600 ퟿ é ñ"): 1, (4, "another"): 1})
+    elif name == "language_id":
+        assert len(rows) == 6 and all(r["text"].strip() for r in rows)
+    elif name == "decontamination":
+        assert len(rows) == 10
+    assert run(spark, many.limit(0), SF).count() == 0
+    assert all(r[c] == k for r in rows for k, c in enumerate(CLASHES[:-1]))
+
+
+def test_dedup_of_rows_without_ids(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    rows = [(None, own(i), "en", "a", 0, "x") for i in range(5)] * 2 + [(3, own(9), "en", "a", 0, "x"), (3, own(8), "en", "a", 0, "x"), (9, own(9) + " more", "en", "a", 0, "x")]
+    got = neardup.clean(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([*((0, own(i)) for i in range(5)), (3, own(9)), (3, own(8))])
+
+
+def test_quality_verdicts_by_host(spark):
+    """A row that stands under two hosts gets each host's verdict."""
+    r = random.Random(5)
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    line = "a line that many documents of one host have in common"
+    rows = [(i, own(i) + "\n" + line, "en", "one", 0, "x") for i in range(9)] + [(8, own(8) + "\n" + line, "en", "two", 0, "x")]
+    r.shuffle(rows)
+    got = quality.clean(spark.createDataFrame(rows, DOCS)).collect()
+    assert {(x["doc_id"], x["source"]) for x in got if line in x["text"]} == {(0, "one"), (8, "two")} and len(got) == 10
+
+
 def test_pipeline_stages(spark, docs):
     before = {r["doc_id"]: r for r in docs.collect()}
     kept = docs
