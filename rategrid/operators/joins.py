@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rategrid.sources.shared import materialize
+
 
 def range_join(events: DataFrame, probes: DataFrame, at: str, low: str, high: str, bucket: int, by: tuple = (), how: str = "inner") -> DataFrame:
     """Rows of ``probes`` with the rows of ``events`` whose ``at`` is in [low, high).
@@ -23,16 +27,45 @@ def range_join(events: DataFrame, probes: DataFrame, at: str, low: str, high: st
     return joined.select("e.*", *[F.col(f"p.{c}") for c in probes.columns if c not in by]).drop("_b")
 
 
-def nearest(points: DataFrame, places: DataFrame, key: list[str], distance: Column, place_id: str) -> DataFrame:
-    """For each point the place with the least distance; of equal ones the lowest id.  ``places`` is a small dimension."""
-    return points.crossJoin(F.broadcast(places)).groupBy(*key).agg(F.min(F.struct(distance.alias("distance"), F.col(place_id))).alias("_m")).select(*key, f"_m.{place_id}", "_m.distance")
+def nearest(points: DataFrame, places: DataFrame, key: str, place: str, cell: float, reach: int = 2) -> DataFrame:
+    """key, place, distance: for each point (key, x, y) the nearest of the ``places`` (place, x, y); of equal ones the lowest id.
 
+    Points meet places in the square cells within ``reach`` of their own.  What a point finds there is nearest for sure if it is not farther
+    than that ring; points that found nothing so near widen the ring, doubling it, until none is left.
+    """
+    at = lambda df: df.withColumn("_i", F.floor(F.col("x") / cell)).withColumn("_j", F.floor(F.col("y") / cell))
+    spots = at(places.select(place, "x", "y")).select(place, F.col("x").alias("px"), F.col("y").alias("py"), "_i", "_j")
+    bounds = spots.agg(F.min("_i"), F.max("_i"), F.min("_j"), F.max("_j")).first()
+    if bounds[0] is None:
+        return points.select(key).limit(0).withColumn(place, F.lit(None).cast(places.schema[place].dataType)).withColumn("distance", F.lit(None).cast("double"))
+    left, done = at(points.select(key, "x", "y")), []
+    while True:
+        around = F.sequence(F.lit(-reach), F.lit(reach))
+        asked = left.withColumn("_di", F.explode(around)).withColumn("_dj", F.explode(around)).withColumn("_i", F.col("_i") + F.col("_di")).withColumn("_j", F.col("_j") + F.col("_dj"))
+        asked = asked.filter(F.col("_i").between(bounds[0], bounds[1]) & F.col("_j").between(bounds[2], bounds[3])).select(key, "x", "y", "_i", "_j")
+        dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
+        found = asked.join(spots, ["_i", "_j"]).groupBy(key).agg(F.min(F.struct(F.sqrt(dx * dx + dy * dy).alias("distance"), F.col(place))).alias("_m"))
+        found = materialize(left.join(found, key, "left").withColumn("_ok", F.coalesce(F.col("_m.distance") <= reach * cell, F.lit(False))), "nearest")
+        done.append(found.filter("_ok").select(key, f"_m.{place}", "_m.distance"))
+        left = found.filter("not _ok").select(key, "x", "y", "_i", "_j")
+        if left.isEmpty():
+            return reduce(DataFrame.unionAll, done)
+        reach *= 2
 
-def as_of(events: DataFrame, probes: DataFrame, at: str, value: str, by: list[str]) -> DataFrame:
-    """Each probe with the last ``value`` strictly before it: a union of both, and the last non-null value before in one window."""
-    from pyspark.sql import Window
 
+def as_of(events: DataFrame, probes: DataFrame, at: str, value: str, by: list[str], block: int) -> DataFrame:
+    """Each probe with the last ``value`` strictly before it.
+
+    Within blocks of ``block`` on the axis, probes and events are united and the last value before is taken; the first probes of a block take
+    the last value of the blocks before, from a table with one row a group and block.
+    """
+    cut = lambda df: df.withColumn("_b", F.floor(F.col(at) / block))
     both = events.select(*by, at, value, F.lit(1).alias("_e")).unionByName(probes.select(*by, at, F.lit(None).alias(value), F.lit(0).alias("_e")))
+    both = cut(both)
+    ends = both.groupBy(*by, "_b").agg(F.max_by(value, F.when(F.col("_e") == 1, F.col(at))).alias("_end"))
+    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*by, "_b", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
     # at one time the probe comes first, so an event at it isn't seen
-    before = Window.partitionBy(*by).orderBy(at, "_e").rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("last_value", F.last(value, ignorenulls=True).over(before)).filter("_e = 0").select(*by, at, "last_value")
+    before = Window.partitionBy(*by, "_b").orderBy(at, "_e").rowsBetween(Window.unboundedPreceding, -1)
+    joined = both.join(ends, [*by, "_b"]).withColumn("last_value", F.coalesce(F.last(value, ignorenulls=True).over(before), "_before"))
+    return joined.filter("_e = 0").select(*by, at, "last_value")

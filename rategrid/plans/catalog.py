@@ -1,10 +1,10 @@
 """Catalog preparation, bucketing and joins."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rategrid.functions.core import decimal_year, moment_magnitude
 from rategrid.operators import catalog, joins
+from rategrid.operators.sequences import trailing_count
 from rategrid.plans.base import CELLS, EV, GRID, US_PER_DAY, events, fixed, query, r6
 
 _KIND = "CASE mag_type WHEN 'click' THEN 'Mw' WHEN 'view' THEN ' ML ' WHEN 'purchase' THEN 'Md' WHEN 'signup' THEN 'Ms' ELSE 'Mb' END"
@@ -58,15 +58,17 @@ def q_dedupe_greedy(spark, sf):
     return catalog.drop_near_repeats(events(spark, sf).select("id", "t_us", "mag", "ic"), ["ic"], _GAP, 0.05).select("id")
 
 
-_CROSS = f"""WITH {EV}, a AS (SELECT * FROM ev WHERE id % 3 = 0), b AS (SELECT * FROM ev WHERE id % 3 = 1)
-SELECT id FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.ic = b.ic AND a.t_us >= b.t_us - 600000000 AND a.t_us < b.t_us + 600000001)"""
-
-
-@query(_CROSS)
+@query(f"""WITH {EV}, a AS (SELECT * FROM ev WHERE mag_type IN ('click', 'view')), b AS (SELECT * FROM ev WHERE mag_type NOT IN ('click', 'view')), cut AS (SELECT max(t_us) - 2 * 86400000000 AS t FROM a)
+SELECT id FROM a UNION ALL SELECT id FROM b, cut WHERE b.t_us < cut.t AND NOT EXISTS (SELECT 1 FROM a WHERE a.ic = b.ic AND a.t_us >= b.t_us - 600000000 AND a.t_us < b.t_us + 600000001)
+UNION ALL SELECT id FROM b, cut WHERE b.t_us >= cut.t""")
 def q_cross_source_anti(spark, sf):
+    """Reviewed events, the others that none of them is near, and all others of the last two days, which aren't reviewed yet."""
     e = events(spark, sf)
-    spans = e.filter("id % 3 = 0").select((F.col("t_us") - 600_000_000).alias("low"), (F.col("t_us") + 600_000_001).alias("high"), "ic")
-    return joins.range_join(e.filter("id % 3 = 1"), spans, "t_us", "low", "high", 3_600_000_000, ("ic",), "left_anti").select("id")
+    reviewed, others = e.filter("mag_type IN ('click', 'view')"), e.filter("mag_type NOT IN ('click', 'view')")
+    others = others.crossJoin(F.broadcast(reviewed.agg((F.max("t_us") - 2 * US_PER_DAY).alias("cut"))))
+    spans = reviewed.select((F.col("t_us") - 600_000_000).alias("low"), (F.col("t_us") + 600_000_001).alias("high"), "ic")
+    lone = joins.range_join(others.filter("t_us < cut"), spans, "t_us", "low", "high", 3_600_000_000, ("ic",), "left_anti")
+    return reviewed.select("id").unionAll(lone.select("id")).unionAll(others.filter("t_us >= cut").select("id"))
 
 
 @query(f"""WITH {EV} SELECT count(*)::BIGINT AS pairs FROM ev a JOIN ev b ON a.id < b.id AND a.ic = b.ic AND abs(a.t_us - b.t_us) <= 300000000""")
@@ -127,7 +129,7 @@ def q_asof(spark, sf):
     # events at one microsecond of a cell: the largest id is the last
     e = e.groupBy("ic", "t_us").agg(F.max_by("mag", "id").alias("mag"))
     probes = e.select("ic").distinct().crossJoin(F.broadcast(spark.range(1, 30).select((F.col("id") * US_PER_DAY).alias("t_us"))))
-    return joins.as_of(e, probes, "t_us", "mag", ["ic"]).select("ic", "t_us", fixed(F.col("last_value")).alias("last_mag"))
+    return joins.as_of(e, probes, "t_us", "mag", ["ic"], US_PER_DAY).select("ic", "t_us", fixed(F.col("last_value")).alias("last_mag"))
 
 
 @query(f"""WITH {EV}, big AS (SELECT * FROM ev WHERE mag >= 3.2) SELECT b.id, coalesce(min(e.t_us), -1)::BIGINT AS first_t FROM big b LEFT JOIN ev e ON e.ic = b.ic AND e.mag >= 2.5 AND e.t_us > b.t_us AND e.t_us <= b.t_us + 7200000000 GROUP BY b.id""")
@@ -152,13 +154,12 @@ def q_episodes(spark, sf):
     return catalog.clusters(big.select("id"), edges)
 
 
-@query("""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), s AS (SELECT * FROM p WHERE vec_id < 20)
-SELECT p.vec_id, arg_min(s.vec_id, (sqrt((p.x-s.x)*(p.x-s.x)+(p.y-s.y)*(p.y-s.y)), s.vec_id)) AS place FROM p, s GROUP BY p.vec_id""")
+@query("""WITH v AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3] > 0 AS place FROM embeddings)
+SELECT p.vec_id, arg_min(s.vec_id, (sqrt((p.x-s.x)*(p.x-s.x)+(p.y-s.y)*(p.y-s.y)), s.vec_id)) AS place FROM v p, v s WHERE NOT p.place AND s.place GROUP BY p.vec_id""")
 def q_nearest(spark, sf):
-    p = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    s = p.filter("vec_id < 20").select(F.col("vec_id").alias("place"), F.col("x").alias("px"), F.col("y").alias("py"))
-    dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
-    return joins.nearest(p, s, ["vec_id"], F.sqrt(dx * dx + dy * dy), "place").select("vec_id", "place")
+    e = F.col("embedding")
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", e[0].cast("double").alias("x"), e[1].cast("double").alias("y"), (e[2] > 0).alias("place"))
+    return joins.nearest(v.filter("not place"), v.filter("place").select(F.col("vec_id").alias("place"), "x", "y"), "vec_id", "place", 0.05).select("vec_id", "place")
 
 
 @query(f"WITH {EV}, a AS (SELECT DISTINCT ir, ic FROM ev WHERE mag >= 2.5), b AS (SELECT DISTINCT ir, ic FROM ev WHERE mag >= 3.2) SELECT 'both' AS k, count(*)::BIGINT AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'minus', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)")
@@ -171,5 +172,4 @@ def q_set_operations(spark, sf):
 
 @query(f"""WITH {EV} SELECT id, (count(*) OVER (PARTITION BY ic ORDER BY t_us RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING))::BIGINT AS n FROM ev""")
 def q_trailing_count(spark, sf):
-    w = Window.partitionBy("ic").orderBy("t_us").rangeBetween(-3_600_000_000, -1)
-    return events(spark, sf).select("id", F.count("*").over(w).alias("n"))
+    return trailing_count(events(spark, sf), ["ic"], 3_600_000_000, 6 * 3_600_000_000).select("id", "n")

@@ -4,33 +4,38 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rategrid.operators.features import cube
+from rategrid.operators.sequences import steps
 from rategrid.plans.base import CELLS, EV, GRID, WINS, events, fixed, query, r6
 
 MC = 2.0
 CUBE = f"""{EV}, {CELLS}, {WINS},
-day AS (SELECT ir, ic, win, count(*) FILTER (mag >= 2.0) AS n, max(mag) AS top, max(CASE WHEN mag >= 2.0 THEN t_us END) AS last_t FROM ev GROUP BY ALL),
-own AS (SELECT w.win AS "window", ir, ic, sum(CASE WHEN w.win - d.win <= 1 THEN n ELSE 0 END) AS cnt1, sum(CASE WHEN w.win - d.win <= 3 THEN n ELSE 0 END) AS cnt3, sum(n) AS cnt7, max(top) AS top, max(last_t) AS last_t
-  FROM wins w JOIN day d ON d.win BETWEEN w.win - 7 AND w.win - 1 GROUP BY ALL),
-n3 AS (SELECT o."window", c.ir, c.ic, sum(cnt7) AS nbr3 FROM cells c JOIN own o ON abs(o.ir - c.ir) <= 1 AND abs(o.ic - c.ic) <= 1 GROUP BY ALL),
-n5 AS (SELECT o."window", c.ir, c.ic, sum(cnt7) AS nbr5, max(top) AS maxmag, max(last_t) AS last_t FROM cells c JOIN own o ON abs(o.ir - c.ir) <= 2 AND abs(o.ic - c.ic) <= 2 GROUP BY ALL),
+day AS (SELECT ir, ic, win, count(*) FILTER (mag >= 2.0) AS n, max(mag) AS top, sum(value) FILTER (mag >= 2.0) AS value, max(t_us) FILTER (mag >= 2.5) AS last0, max(t_us) FILTER (mag >= 3.2) AS last1 FROM ev GROUP BY ALL),
+own AS (SELECT w.win AS "window", ir, ic, sum(n) FILTER (w.win - d.win <= 1) AS cnt1, sum(n) FILTER (w.win - d.win <= 3) AS cnt3, sum(value) FILTER (w.win - d.win <= 3) AS value,
+  sum(n) FILTER (w.win - d.win <= 7) AS cnt7, max(top) FILTER (w.win - d.win <= 7) AS top, max(last0) AS last0, max(last1) AS last1
+  FROM wins w JOIN day d ON d.win < w.win GROUP BY ALL),
+n3 AS (SELECT o."window", c.ir, c.ic, sum(cnt1) AS nbr3_cnt1, sum(cnt7) AS nbr3_cnt7 FROM cells c JOIN own o ON abs(o.ir - c.ir) <= 1 AND abs(o.ic - c.ic) <= 1 GROUP BY ALL),
+n5 AS (SELECT o."window", c.ir, c.ic, sum(cnt1) AS nbr5_cnt1, sum(cnt7) AS nbr5_cnt7, max(top) AS maxmag, max(last0) AS last0, max(last1) AS last1 FROM cells c JOIN own o ON abs(o.ir - c.ir) <= 2 AND abs(o.ic - c.ic) <= 2 GROUP BY ALL),
 hit AS (SELECT DISTINCT win AS "window", ir, ic FROM ev WHERE mag >= 2.5),
-cube AS (SELECT w.win AS "window", c.ir, c.ic, coalesce(cnt1, 0)::BIGINT AS cnt1, coalesce(cnt3, 0)::BIGINT AS cnt3, coalesce(cnt7, 0)::BIGINT AS cnt7,
-  coalesce(nbr3, 0)::BIGINT AS nbr3_cnt7, coalesce(nbr5, 0)::BIGINT AS nbr5_cnt7, coalesce(n5.maxmag, 0) AS maxmag,
-  least(7.0::DOUBLE, coalesce(w.win - n5.last_t::DOUBLE / 86400000000, 7.0::DOUBLE)) AS days_since, (h.ir IS NOT NULL)::INT AS y,
+whole AS (SELECT w.win AS "window", sum(value) FILTER (w.win - d.win <= 3) / nullif(sum(n) FILTER (w.win - d.win <= 3), 0) AS recent, sum(value) / nullif(sum(n), 0) AS ever FROM wins w LEFT JOIN day d ON d.win < w.win GROUP BY ALL),
+cube AS (SELECT w.win AS "window", c.ir, c.ic, coalesce(cnt1, 0)::BIGINT AS cnt1, coalesce(cnt3, 0)::BIGINT AS cnt3, coalesce(cnt7, 0)::BIGINT AS cnt7, coalesce(nbr3_cnt1, 0)::BIGINT AS nbr3_cnt1,
+  coalesce(nbr3_cnt7, 0)::BIGINT AS nbr3_cnt7, coalesce(nbr5_cnt1, 0)::BIGINT AS nbr5_cnt1, coalesce(nbr5_cnt7, 0)::BIGINT AS nbr5_cnt7, coalesce(n5.maxmag, 0) AS maxmag,
+  least(30.0::DOUBLE, coalesce(w.win - n5.last0::DOUBLE / 86400000000, 30.0::DOUBLE)) AS days_since0, least(30.0::DOUBLE, coalesce(w.win - n5.last1::DOUBLE / 86400000000, 30.0::DOUBLE)) AS days_since1,
+  coalesce(o.value / nullif(cnt3, 0), recent, ever, 10.0::DOUBLE) AS mean_value, (h.ir IS NOT NULL)::INT AS y,
   coalesce(cnt1, 0)::DOUBLE / (coalesce(cnt7, 0)::DOUBLE / 7.0::DOUBLE + 0.1::DOUBLE) AS rate_ratio
-  FROM wins w CROSS JOIN cells c LEFT JOIN own o ON o."window" = w.win AND o.ir = c.ir AND o.ic = c.ic
+  FROM wins w CROSS JOIN cells c JOIN whole ON whole."window" = w.win LEFT JOIN own o ON o."window" = w.win AND o.ir = c.ir AND o.ic = c.ic
   LEFT JOIN n3 ON n3."window" = w.win AND n3.ir = c.ir AND n3.ic = c.ic LEFT JOIN n5 ON n5."window" = w.win AND n5.ir = c.ir AND n5.ic = c.ic
   LEFT JOIN hit h ON h."window" = w.win AND h.ir = c.ir AND h.ic = c.ic)"""
+_REAL = ("maxmag", "days_since0", "days_since1", "mean_value", "rate_ratio")
 
 
 def feature_cube(spark, sf):
     return cube(spark, events(spark, sf), GRID, 7, 29, MC)
 
 
-@query(f'WITH {CUBE} SELECT "window", ir, ic, cnt1, cnt3, cnt7, nbr3_cnt7, nbr5_cnt7, {r6("maxmag")} AS maxmag, {r6("days_since")} AS days_since, {r6("rate_ratio")} AS rate_ratio, y FROM cube')
+@query(f'WITH {CUBE} SELECT "window", ir, ic, cnt1, cnt3, cnt7, nbr3_cnt1, nbr3_cnt7, nbr5_cnt1, nbr5_cnt7, {", ".join(f"{r6(c)} AS {c}" for c in _REAL)}, y FROM cube')
 def q_feature_cube(spark, sf):
     c = feature_cube(spark, sf)
-    return c.select(*[fixed(F.col(x)).alias(x) if x in ("maxmag", "days_since", "rate_ratio") else F.col(x) for x in c.columns])
+    return c.select(*[fixed(F.col(x)).alias(x) if x in _REAL else F.col(x) for x in c.columns])
 
 
 @query(f"WITH {EV}, {CELLS} SELECT c.ir, c.ic, count(e.id)::BIGINT AS n FROM cells c LEFT JOIN ev e ON e.ir = c.ir AND e.ic = c.ic AND e.mag >= 2.5 GROUP BY ALL")
@@ -69,15 +74,21 @@ def q_fmd(spark, sf):
     return h.withColumn("above", F.sum("n").over(Window.partitionBy("mag_type").orderBy(F.desc("bin"))))
 
 
-@query(f"""WITH {EV} SELECT mag_type, CASE WHEN count(*) < 10 THEN 1.0::DOUBLE ELSE {r6("1 / (ln(10) * greatest(avg(mag) - 2.0, 0.001))")} END AS b FROM ev WHERE mag >= 2.0 GROUP BY mag_type""")
+@query(f"""WITH {EV}, v AS (SELECT mag_type, CASE WHEN id % 2 = 0 THEN mag ELSE round(mag, 1) END AS mag FROM ev WHERE mag_type <> 'error' UNION ALL SELECT mag_type, round(mag * 10) / 10 FROM ev WHERE mag_type = 'error'),
+s AS (SELECT mag_type, count(*) AS n, avg(mag) AS m, bool_and(abs(mag * 10 - round(mag * 10)) < 0.001) AS binned FROM v WHERE mag >= 2.0 GROUP BY mag_type)
+SELECT mag_type, CASE WHEN n < 10 THEN 1.0::DOUBLE ELSE {r6("1 / (ln(10) * greatest(m - 2.0 + CASE WHEN binned THEN 0.05 ELSE 0 END, 0.001))")} END AS b FROM s""")
 def q_aki_b(spark, sf):
-    b = fixed(1 / (F.log(F.lit(10.0)) * F.greatest(F.avg("mag") - 2.0, F.lit(0.001))))
-    return events(spark, sf).filter("mag >= 2.0").groupBy("mag_type").agg(F.when(F.count("*") < 10, F.lit(1.0)).otherwise(b).alias("b"))
+    """Maximum-likelihood slope; where every magnitude lies on a grid of 0.1, half a bin is added."""
+    tenths = F.rint(F.col("mag") * 10) / 10
+    v = events(spark, sf).withColumn("mag", F.when(F.col("mag_type") == "error", tenths).when(F.col("id") % 2 == 0, F.col("mag")).otherwise(F.round("mag", 1)))
+    s = v.filter("mag >= 2.0").groupBy("mag_type").agg(F.count("*").alias("n"), F.avg("mag").alias("m"), F.bool_and(F.abs(F.col("mag") * 10 - F.rint(F.col("mag") * 10)) < 0.001).alias("binned"))
+    b = fixed(1 / (F.log(F.lit(10.0)) * F.greatest(F.col("m") - 2.0 + F.when(F.col("binned"), 0.05).otherwise(0.0), F.lit(0.001))))
+    return s.select("mag_type", F.when(F.col("n") < 10, F.lit(1.0)).otherwise(b).alias("b"))
 
 
 @query(f"""WITH {EV}, d AS (SELECT ic, mag - lag(mag) OVER (PARTITION BY ic ORDER BY t_us, id) AS d FROM ev) SELECT ic, count(*)::BIGINT AS n, CASE WHEN count(*) >= 30 THEN {r6("1 / (ln(10) * (avg(d) - 0.1))")} END AS b FROM d WHERE d >= 0.2 GROUP BY ic""")
 def q_b_positive(spark, sf):
-    d = events(spark, sf).select("ic", (F.col("mag") - F.lag("mag").over(Window.partitionBy("ic").orderBy("t_us", "id"))).alias("d"))
+    d = steps(events(spark, sf), "mag", ["ic"]).select("ic", F.col("step").alias("d"))
     return d.filter("d >= 0.2").groupBy("ic").agg(F.count("*").alias("n"), F.when(F.count("*") >= 30, fixed(1 / (F.log(F.lit(10.0)) * (F.avg("d") - 0.1)))).alias("b"))
 
 
@@ -117,8 +128,10 @@ def q_ols_slope(spark, sf):
 
 @query(f"""WITH {EV} SELECT "ic", id, t_us FROM (SELECT ic, id, t_us, row_number() OVER (PARTITION BY ic ORDER BY t_us DESC, id DESC) AS k FROM ev) WHERE k <= 5""")
 def q_tail_n(spark, sf):
-    w = Window.partitionBy("ic").orderBy(F.desc("t_us"), F.desc("id"))
-    return events(spark, sf).withColumn("k", F.row_number().over(w)).filter("k <= 5").select("ic", "id", "t_us")
+    """The last five of each group: first of each day in a group, then of those."""
+    last = lambda *by: Window.partitionBy(*by).orderBy(F.desc("t_us"), F.desc("id"))
+    few = events(spark, sf).select("ic", "id", "t_us", "win").withColumn("k", F.row_number().over(last("ic", "win"))).filter("k <= 5")
+    return few.withColumn("k", F.row_number().over(last("ic"))).filter("k <= 5").select("ic", "id", "t_us")
 
 
 @query(f"WITH {EV}, {CELLS}, n AS (SELECT ir, ic, count(*) AS n FROM ev GROUP BY ALL) SELECT a.ir, a.ic, {r6('sum(b.n * exp(-0.5 * ((a.ir-b.ir)*(a.ir-b.ir) + (a.ic-b.ic)*(a.ic-b.ic))::DOUBLE / 4.0::DOUBLE))')} AS rate FROM cells a, n b GROUP BY ALL")

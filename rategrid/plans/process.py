@@ -36,15 +36,30 @@ def q_novelty_anti(spark, sf):
 
 
 @query(f"""WITH {EV}, p AS (SELECT a.id, b.id AS other, b.t_us - a.t_us AS residual FROM ev a JOIN ev b ON a.ir = b.ir AND a.ic = b.ic AND a.id <> b.id
-AND b.t_us >= a.t_us - {4 * HOUR} AND b.t_us < a.t_us + {4 * HOUR} WHERE a.id % 20 = 0)
+AND b.t_us >= a.t_us - {4 * HOUR} AND b.t_us < a.t_us + {4 * HOUR})
 SELECT id, other, residual FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(residual), other) AS n FROM p) WHERE n = 1""")
 def q_nearest_time(spark, sf):
+    return nearest_times(spark, sf)
+
+
+def nearest_times(spark, sf):
+    """id, other, residual: for every event the one nearest in time in its cell, within four hours."""
     e = events(spark, sf).select(F.col("id").alias("other"), "ir", "ic", "t_us")
-    asked = e.filter("other % 20 = 0").select(F.col("other").alias("id"), "ir", "ic", F.col("t_us").alias("at"), (F.col("t_us") - 4 * HOUR).alias("low"), (F.col("t_us") + 4 * HOUR).alias("high"))
+    asked = e.select(F.col("other").alias("id"), "ir", "ic", F.col("t_us").alias("at"), (F.col("t_us") - 4 * HOUR).alias("low"), (F.col("t_us") + 4 * HOUR).alias("high"))
     found = joins.range_join(e, asked, "t_us", "low", "high", 8 * HOUR, ("ir", "ic")).filter("id <> other").withColumn("residual", F.col("t_us") - F.col("at"))
     return found.groupBy("id").agg(F.min(F.struct(F.abs("residual").alias("d"), "other", "residual")).alias("m")).select("id", "m.other", "m.residual")
 
 
+@query(f"""WITH {EV}, p AS (SELECT a.id, a.win, b.id AS other, b.t_us - a.t_us AS residual FROM ev a JOIN ev b ON a.ir = b.ir AND a.ic = b.ic AND a.id <> b.id
+AND b.t_us >= a.t_us - {4 * HOUR} AND b.t_us < a.t_us + {4 * HOUR}), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(residual), other) AS n FROM p)
+SELECT (win >= 15)::INT AS late, count(*)::BIGINT AS n, {r6("quantile_cont(residual, 0.5)")} AS median_us, max(abs(residual))::BIGINT AS max_us FROM n WHERE n = 1 GROUP BY 1""")
+def q_residual_seasons(spark, sf):
+    """The residuals of the nearest matches by season: count, median and largest."""
+    season = events(spark, sf).select("id", (F.col("win") >= 15).cast("int").alias("late"))
+    r = nearest_times(spark, sf).join(season, "id").groupBy("late")
+    return r.agg(F.count("*").alias("n"), fixed(F.percentile("residual", 0.5)).alias("median_us"), F.max(F.abs("residual")).alias("max_us"))
+
+
 @query(f"WITH {EV} SELECT id, {r6('t_us::DOUBLE / 86400000000')} AS days FROM ev")
 def q_days(spark, sf):
     return events(spark, sf).select("id", fixed(F.col("t_us") / 86_400_000_000.0).alias("days"))
