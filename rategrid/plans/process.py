@@ -3,11 +3,12 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rategrid.functions.core import rate_of
 from rategrid.operators import joins
 from rategrid.operators.resample import stationary
 from rategrid.plans.base import CELLS, EV, GRID, WINS, events, fixed, query, r6
 from rategrid.plans.features import CUBE, feature_cube
-from rategrid.plans.scores import PRED, long, predictions
+from rategrid.plans.scores import PRED, RATE, long, predictions
 
 HOUR = 3_600_000_000
 
@@ -234,25 +235,30 @@ def q_blend(spark, sf):
     return p.groupBy("w").agg(fixed(F.sum(F.col("y") * F.log(lam) - lam)).alias("ll"))
 
 
-@query(f"""WITH {PRED}, d AS (SELECT "window", sum(y * (ln(own) - ln(near)) - (own - near)) AS d FROM pred GROUP BY ALL)
+@query(f"""WITH {PRED}, d AS (SELECT "window", sum(y * (ln({RATE('own')}) - ln({RATE('near')})) - ({RATE('own')} - {RATE('near')})) AS d FROM pred GROUP BY ALL)
 SELECT count(*) FILTER (d > 0)::BIGINT AS plus, count(*) FILTER (d < 0)::BIGINT AS minus, {r6("max(abs(d)) / sum(abs(d))")} AS top_share, max_by("window", abs(d))::INT AS top_window FROM d""")
 def q_top_share(spark, sf):
-    per = predictions(spark, sf).groupBy("window").agg(F.sum(F.col("y") * (F.log("own") - F.log("near")) - (F.col("own") - F.col("near"))).alias("d"))
+    per = predictions(spark, sf).groupBy("window").agg(F.sum(_gain()).alias("d"))
     size = F.abs("d")
     return per.agg(F.count_if(F.col("d") > 0).alias("plus"), F.count_if(F.col("d") < 0).alias("minus"), fixed(F.max(size) / F.sum(size)).alias("top_share"), F.max_by("window", size).alias("top_window"))
 
 
+def _gain():
+    a, b = rate_of(F.col("own")), rate_of(F.col("near"))
+    return F.col("y") * (F.log(a) - F.log(b)) - (a - b)
+
+
 _HEX = "('0x' || substr(md5(draw || '-' || pos), {}, 8))::BIGINT"
 _PLAN = f"""g AS (SELECT d.range AS draw, p.range AS pos FROM range(200) d, range(23) p), f AS (SELECT *, CASE WHEN pos = 0 OR {_HEX.format(1)} % 3 = 0 THEN pos END AS begun, {_HEX.format(9)} % 23 AS s FROM g),
 l AS (SELECT draw, pos, max(begun) OVER (PARTITION BY draw ORDER BY pos ROWS UNBOUNDED PRECEDING) AS begun FROM f), plan AS (SELECT l.draw, (f.s + l.pos - l.begun) % 23 AS place FROM l JOIN f ON f.draw = l.draw AND f.pos = l.begun)"""
 
 
-@query(f"""WITH {PRED}, d AS (SELECT "window", sum(y * (ln(own) - ln(near)) - (own - near)) AS d, sum(y) AS y FROM pred GROUP BY ALL), {_PLAN},
+@query(f"""WITH {PRED}, d AS (SELECT "window", sum(y * (ln({RATE('own')}) - ln({RATE('near')})) - ({RATE('own')} - {RATE('near')})) AS d, sum(y) AS y FROM pred GROUP BY ALL), {_PLAN},
 b AS (SELECT draw, sum(d) / greatest(sum(y), 1)::DOUBLE AS gain FROM plan JOIN d ON d."window" = place + 7 GROUP BY draw)
 SELECT {r6("quantile_cont(gain, 0.025)")} AS low, {r6("quantile_cont(gain, 0.975)")} AS high, {r6("avg((gain > 0)::INT)")} AS wins, (quantile_cont(gain, 0.025) > 0 OR quantile_cont(gain, 0.975) < 0) AS excludes_0 FROM b""")
 def q_bootstrap_ig(spark, sf):
     """Interval of the gain: windows are summed once and drawn in blocks, the same for both forecasts."""
-    per = predictions(spark, sf).groupBy("window").agg(F.sum(F.col("y") * (F.log("own") - F.log("near")) - (F.col("own") - F.col("near"))).alias("d"), F.sum("y").alias("y"))
+    per = predictions(spark, sf).groupBy("window").agg(F.sum(_gain()).alias("d"), F.sum("y").alias("y"))
     plan = stationary(spark, 23, 200)
     draws = plan.join(F.broadcast(per), F.col("window") == F.col("place") + 7).groupBy("draw").agg((F.sum("d") / F.greatest(F.sum("y"), F.lit(1))).alias("gain"))
     low, high = (F.percentile("gain", F.lit(q)) for q in (0.025, 0.975))

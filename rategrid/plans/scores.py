@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rategrid.functions.core import at_least_one, omori_cumulative, omori_density, productivity, rescaled, wilson
+from rategrid.functions.core import at_least_one, omori_cumulative, omori_density, productivity, rate_of, rescaled, wilson
 from rategrid.operators import metrics
 from rategrid.plans.base import EV, events, fixed, query, r6
 from rategrid.plans.features import CUBE, feature_cube
@@ -13,6 +13,11 @@ PRED = f"""{CUBE}, pred AS (SELECT "window", ir, ic, y, 1 - exp(-(cnt7::DOUBLE /
 long AS (SELECT 'own' AS model, "window", ir, ic, y, own AS p FROM pred UNION ALL SELECT 'near', "window", ir, ic, y, near FROM pred)"""
 
 
+def RATE(p):
+    """SQL of the Poisson rate of a probability."""
+    return f"greatest(-ln(1 - least({p}, 1 - 1e-9)), 1e-9)"
+
+
 def predictions(spark, sf):
     c = feature_cube(spark, sf)
     p = lambda n, d: 1 - F.exp(-(F.col(n) / float(d) + 0.05))
@@ -37,11 +42,11 @@ def q_reliability(spark, sf):
     return every.join(own, ["model", "bin"], "left").select("model", "bin", F.coalesce("n", F.lit(0)).alias("n"), "mean_p", "freq")
 
 
-@query(f"""WITH {PRED} SELECT {r6("sum(y * (ln(greatest(own, 1e-9)) - ln(greatest(near, 1e-9))) - (greatest(own, 1e-9) - greatest(near, 1e-9))) / greatest(sum(y), 1)::DOUBLE")} AS gain,
+@query(f"""WITH {PRED} SELECT {r6(f"sum(y * (ln({RATE('own')}) - ln({RATE('near')})) - ({RATE('own')} - {RATE('near')})) / greatest(sum(y), 1)::DOUBLE")} AS gain,
 {r6("sum(y * (ln(own) - ln(near)) + (1 - y) * (ln(1 - own) - ln(1 - near))) / greatest(sum(y), 1)::DOUBLE")} AS bernoulli FROM pred""")
 def q_info_gain(spark, sf):
     a, b, y = F.col("own"), F.col("near"), F.col("y")
-    return predictions(spark, sf).agg(fixed(metrics.information_gain(a, b, y)).alias("gain"), fixed(metrics.bernoulli_gain(a, b, y)).alias("bernoulli"))
+    return predictions(spark, sf).agg(fixed(metrics.information_gain(rate_of(a), rate_of(b), y)).alias("gain"), fixed(metrics.bernoulli_gain(a, b, y)).alias("bernoulli"))
 
 
 @query(f"""WITH {PRED}, t AS (SELECT model, p, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM long GROUP BY ALL),
@@ -53,12 +58,16 @@ def q_score_bundle(spark, sf):
     return r.select("model", *[fixed(F.col(c)).alias(c) for c in r.columns[1:]])
 
 
-@query(f"""WITH {PRED}, k AS (SELECT *, row_number() OVER (PARTITION BY model, "window" ORDER BY p DESC, ir, ic) <= 3 AS alarm FROM long WHERE model = 'near')
-SELECT count(*) FILTER (alarm)::BIGINT AS alarms, {r6("count(*) FILTER (alarm AND y = 1)::DOUBLE / count(*) FILTER (alarm)")} AS precision, {r6("count(*) FILTER (alarm AND y = 1)::DOUBLE / sum(y)")} AS recall FROM k""")
+@query(f"""WITH {PRED}, k AS (SELECT *, row_number() OVER (PARTITION BY model, "window" ORDER BY p DESC, ir, ic) AS r FROM long), s AS (SELECT *, r <= ceil(share * 150) AS alarm FROM k, (VALUES (0.005::DOUBLE), (0.01::DOUBLE), (0.02::DOUBLE)) s(share))
+SELECT model, share, count(*) FILTER (alarm)::BIGINT AS alarms, {r6("count(*) FILTER (alarm AND y = 1)::DOUBLE / count(*) FILTER (alarm)")} AS precision, {r6("count(*) FILTER (alarm AND y = 1)::DOUBLE / sum(y)")} AS recall FROM s GROUP BY ALL""")
 def q_alert_budget(spark, sf):
-    near = long(spark, sf).filter("model = 'near'")
-    out = metrics.alert_budget(near, ["window"], ["ir", "ic"], 0.02, 150)
-    return out.select("alarms", fixed(F.col("precision")).alias("precision"), fixed(F.col("recall")).alias("recall"))
+    """Precision and recall of the highest cells of each window at three budgets; windows are ranked once."""
+    top = Window.partitionBy("model", "window").orderBy(F.desc("p"), "ir", "ic")
+    ranked = long(spark, sf).withColumn("r", F.row_number().over(top)).withColumn("share", F.explode(F.array(*[F.lit(x) for x in (0.005, 0.01, 0.02)])))
+    alarm = F.col("r") <= F.ceil(F.col("share") * 150)
+    hits = F.count_if(alarm & (F.col("y") == 1))
+    out = ranked.groupBy("model", "share").agg(F.count_if(alarm).alias("alarms"), hits.alias("hits"), F.sum("y").alias("pos"))
+    return out.select("model", "share", "alarms", fixed(F.col("hits") / F.col("alarms")).alias("precision"), fixed(F.col("hits") / F.col("pos")).alias("recall"))
 
 
 @query(f"""WITH {PRED} SELECT "window", ir, ic, {r6("near")} AS p FROM pred ORDER BY near DESC, "window", ir, ic LIMIT 20""")
@@ -80,9 +89,9 @@ def q_poisson_clim(spark, sf):
     return c.filter("window >= 20").join(own, ["ir", "ic"], "left").crossJoin(F.broadcast(train.agg(F.avg("y").alias("whole")))).select("window", "ir", "ic", fixed(F.coalesce("own", "whole")).alias("p"))
 
 
-@query(f"""WITH {PRED}, s AS (SELECT model, "window", sum(y * ln(p) - p) AS ll FROM long GROUP BY ALL) SELECT "window", {r6("max(ll) FILTER (model = 'own') - max(ll) FILTER (model = 'near')")} AS diff FROM s GROUP BY "window" """)
+@query(f"""WITH {PRED}, s AS (SELECT model, "window", sum(y * ln({RATE('p')}) - {RATE('p')}) AS ll FROM long GROUP BY ALL) SELECT "window", {r6("max(ll) FILTER (model = 'own') - max(ll) FILTER (model = 'near')")} AS diff FROM s GROUP BY "window" """)
 def q_window_partials(spark, sf):
-    s = long(spark, sf).groupBy("window").pivot("model", ["own", "near"]).agg(F.sum(F.col("y") * F.log("p") - F.col("p")))
+    s = long(spark, sf).groupBy("window").pivot("model", ["own", "near"]).agg(F.sum(F.col("y") * F.log(rate_of(F.col("p"))) - rate_of(F.col("p"))))
     return s.select("window", fixed(F.col("own") - F.col("near")).alias("diff"))
 
 
@@ -95,8 +104,6 @@ def q_kernels(spark, sf):
 
 @query(f"""WITH {PRED} SELECT "window", ir, ic, {r6("-ln(1 - least(near, 1 - 1e-9)) * pow(10, -0.5)")} AS rate, {r6("1 - exp(-(-ln(1 - least(near, 1 - 1e-9)) * pow(10, -0.5)))")} AS p FROM pred""")
 def q_gr_scale(spark, sf):
-    from rategrid.functions.core import rate_of
-
     rate = rescaled(rate_of(F.col("near")), 1.0, 0.5)
     return predictions(spark, sf).select("window", "ir", "ic", fixed(rate).alias("rate"), fixed(at_least_one(rate)).alias("p"))
 
@@ -109,12 +116,17 @@ def q_wilson(spark, sf):
     return s.select("ir", fixed(low).alias("low"), fixed(high).alias("high"))
 
 
-@query(f"""WITH {EV}, t AS (SELECT ic, count(*)::BIGINT AS n FROM ev GROUP BY ic), p AS (SELECT ic, (((n * 37) % 1000) + 1)::DOUBLE / 1001 AS p FROM t),
-r AS (SELECT *, row_number() OVER (ORDER BY p, ic) AS r, count(*) OVER () AS m FROM p), k AS (SELECT coalesce(max(r) FILTER (p <= 0.1::DOUBLE * r / m), 0) AS k FROM r)
-SELECT ic, {r6("p")} AS p, r <= k AS rejected FROM r, k""")
+@query(f"""WITH {PRED}, d AS (SELECT ir, "window", sum(y * (ln({RATE('own')}) - ln({RATE('near')})) - ({RATE('own')} - {RATE('near')})) AS d FROM pred GROUP BY ALL),
+p AS (SELECT ir, 2 * least(avg((d > 0)::INT), 1 - avg((d > 0)::INT)) AS p FROM d GROUP BY ir),
+r AS (SELECT *, row_number() OVER (ORDER BY p, ir) AS r, count(*) OVER () AS m FROM p), k AS (SELECT coalesce(max(r) FILTER (p <= 0.2::DOUBLE * r / m), 0) AS k FROM r)
+SELECT ir, {r6("p")} AS p, r <= k AS rejected FROM r, k""")
 def q_bh_fdr(spark, sf):
-    p = events(spark, sf).groupBy("ic").agg(F.count("*").alias("n")).select("ic", (((F.col("n") * 37) % 1000 + 1) / 1001.0).alias("p"))
+    """Two-sided p of each row's win rate over windows, and which the Benjamini-Hochberg rule rejects."""
+    gain = F.col("y") * (F.log(rate_of(F.col("own"))) - F.log(rate_of(F.col("near")))) - (rate_of(F.col("own")) - rate_of(F.col("near")))
+    d = predictions(spark, sf).groupBy("ir", "window").agg(F.sum(gain).alias("d"))
+    wins = F.avg((F.col("d") > 0).cast("int"))
+    p = d.groupBy("ir").agg((2 * F.least(wins, 1 - wins)).alias("p"))
     # one row a test: a family of tests is a small table
-    r = p.withColumn("r", F.row_number().over(Window.orderBy("p", "ic"))).withColumn("m", F.count("*").over(Window.partitionBy()))
-    k = r.agg(F.coalesce(F.max(F.when(F.col("p") <= F.lit(0.1) * F.col("r") / F.col("m"), F.col("r"))), F.lit(0)).alias("k"))
-    return r.crossJoin(F.broadcast(k)).select("ic", fixed(F.col("p")).alias("p"), (F.col("r") <= F.col("k")).alias("rejected"))
+    r = p.withColumn("r", F.row_number().over(Window.orderBy("p", "ir"))).withColumn("m", F.count("*").over(Window.partitionBy()))
+    k = r.agg(F.coalesce(F.max(F.when(F.col("p") <= F.lit(0.2) * F.col("r") / F.col("m"), F.col("r"))), F.lit(0)).alias("k"))
+    return r.crossJoin(F.broadcast(k)).select("ir", fixed(F.col("p")).alias("p"), (F.col("r") <= F.col("k")).alias("rejected"))
