@@ -29,7 +29,11 @@ def r6(sql: str) -> str:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return shaped(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def shaped(e: DataFrame) -> DataFrame:
+    """The view of a table or stream of events."""
     t = micros_since(F.col("ts"), "2024-01-01")
     return e.select(
         F.col("event_id").alias("id"),
@@ -57,4 +61,4 @@ def query(sql: str | None):
     return add
 
 
-__all__ = ["CELLS", "DAYS", "EV", "GRID", "ORACLES", "QUERIES", "US_PER_DAY", "WINS", "events", "fixed", "query", "r6"]
+__all__ = ["CELLS", "DAYS", "EV", "GRID", "ORACLES", "QUERIES", "US_PER_DAY", "WINS", "events", "fixed", "query", "r6", "shaped"]

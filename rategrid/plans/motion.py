@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from rategrid.functions.core import micros_since, omori_cumulative, omori_density, productivity
 from rategrid.operators import joins
 from rategrid.operators.cascade import simulate
-from rategrid.plans.base import EV, GRID, events, fixed, query, r6
+from rategrid.plans import catalog  # noqa: F401  its SQL is used
+from rategrid.plans.base import EV, GRID, ORACLES, events, fixed, query, r6, shaped
 from rategrid.sources.shared import shared_folder
-from rategrid.streaming.counts import drained, window_counts
+from rategrid.streaming.counts import drained, sequences, sliding_counts, window_counts, without_near_repeats
 
 #: Offspring of an event: mean K exp(ALPHA (m - 2)), waiting times (C, P) in days, up to REACH hours, over the 3 x 3 cells around.
 MU, K, ALPHA, C, P, REACH = 0.4, 0.3, 0.8, 0.02, 1.2, 3
@@ -63,3 +64,39 @@ def q_cascade_sim(spark, sf):
     per_day = events(spark, sf).filter("mag >= 2.0").agg(F.count("*") / 30.0).first()[0]  # one number
     sims = simulate(spark, 200, 30.0, per_day, 0.2, 0.8, 0.02, 1.2)
     return sims.groupBy("gen").agg(F.count("*").alias("n"), fixed(F.avg("mag")).alias("mean_mag"), F.countDistinct("sim").alias("sims"))
+
+
+def _instants(e):
+    return e.withColumn("ts", F.timestamp_micros(micros_since(F.col("ts"), "1970-01-01")))
+
+
+def _plain(c):
+    """A UTC instant as a timestamp without zone."""
+    return F.timestamp_add("SECOND", F.unix_seconds(c), F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
+@query("WITH d AS (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY, date_trunc('day', ts) - INTERVAL 2 DAY]) AS start FROM events) SELECT start::TIMESTAMP AS start, count(*)::BIGINT AS n FROM d GROUP BY start")
+def q_stream_sliding(spark, sf):
+    """Three-day counts sliding by a day, by Structured Streaming."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    out = drained(spark, sf, schema, lambda e: sliding_counts(_instants(e)), shared_folder(spark), "events.parquet")
+    return out.select(_plain("start").alias("start"), "n")
+
+
+@query("""WITH g AS (SELECT event_type, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 3 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)), s AS (SELECT event_type, ts, sum(new) OVER (PARTITION BY event_type ORDER BY ts) AS k FROM g)
+SELECT event_type, epoch_us(min(ts)) AS start, count(*)::BIGINT AS n FROM s GROUP BY event_type, k""")
+def q_stream_sessions(spark, sf):
+    """Sequences of each kind by Structured Streaming, as far as the stream has gone."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    build = lambda e: sequences(_instants(e), "event_type", gap="3 hours").withColumn("start", F.struct("event_type", "start"))
+    out = drained(spark, sf, schema, build, shared_folder(spark), "events.parquet", "complete")
+    return out.select("event_type", F.unix_micros("start.start").alias("start"), "n")
+
+
+@query(ORACLES["q_dedupe_greedy"].replace("SELECT id FROM r WHERE keep", "SELECT ic, id FROM r WHERE keep"))
+def q_stream_dedupe(spark, sf):
+    """The greedy dedupe with its kept rows as streaming state."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    build = lambda e: without_near_repeats(shaped(e).select("ic", "id", "t_us", "mag"), "ic", HOUR, 0.05).withColumn("start", F.col("id"))
+    out = drained(spark, sf, schema, build, shared_folder(spark), "events.parquet", "append")
+    return out.select("ic", "id")
