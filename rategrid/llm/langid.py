@@ -236,7 +236,7 @@ def learn(train: DataFrame, sample_symbols: int = SAMPLE_SYMBOLS) -> list[tuple[
     sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n"))
     # of each language, the passages whose hash is low enough that about twice the bound is left
     share = (2.0 * sample_symbols / F.greatest("n", F.lit(1)) + 1e-9).alias("share")
-    rows = rows.join(sizes.select("lang", share), "lang")
+    rows = rows.join(F.broadcast(sizes.select("lang", share)), "lang")  # a row for each language
     place = lambda k: F.pmod(F.xxhash64("doc_id", k), F.lit(1 << 30)) / F.lit(float(1 << 30))
     every = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / PASSAGE).cast("int"))
     low = rows.withColumn("k", F.explode(F.filter(every, lambda k: place(k) < F.col("share"))))
