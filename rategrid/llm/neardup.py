@@ -12,9 +12,7 @@ Scale.  Links are sought in two rounds, so that no group is expanded into all it
 one leader, the smallest node that shares a bucket with it; groups are split by a salt, each salt getting the leader's text.  Connected
 components of these links are found by label propagation.  In the second round only buckets whose nodes are still in different
 components are looked at: they are cut into parts of ``CHUNK`` shingles at most, each pair of parts is compared in one task, and only links
-that join components leave it, so pairs never become rows.  Within a task, sets meet by prefix filtering: of two sets that are similar
-enough, one of the rarest shingles of either is shared, so a posting list over those finds all partners, and memory follows the number of
-shingles.  Components then hold every link among the candidates.  Nothing unbounded is gathered in one task or on the driver.
+that join components leave it, so pairs never become rows.  Within a task, sets are compared in tiles of bounded size.  Components then hold every link among the candidates.  Nothing unbounded is gathered in one task or on the driver.
 
 Edge cases.  Null texts and texts without a word have an empty set and are linked with nothing.  Rows with one id and text are one
 class; each is returned.  A null id is never the smallest unless no other is there.  A very long text is one more row; its set is held at
@@ -38,6 +36,10 @@ PERCENT = 85
 GROUP = 2000
 #: Shingles of a part of a bucket; parts meet in pairs, so a task holds two.
 CHUNK = 400_000
+#: Nodes whose keys may be broadcast: 24 bytes each.  More are joined by a shuffle.
+BROADCAST_NODES = 100_000
+#: Sets, and shingles, that are compared at a time.
+TILE, COLUMNS = 1024, 4096
 
 _hashes = WordHashes()
 _STEP = 0x61C88647  # the circular shift between coordinates
@@ -142,40 +144,54 @@ def _against_leader(frames):
 def _joining(rows: list) -> list[tuple[int, int]]:
     """Of (node, comp, chunk, set) rows, links that join components which are still apart; no more than there are rows.
 
-    ``chunk`` differs for the two sides of a group that was cut; then only pairs across the sides are compared.
+    ``chunk`` differs for the two sides of a group that was cut; then only pairs across the sides are compared.  Sizes of intersections are
+    products of 0/1 matrices, ``TILE`` sets by as many and ``COLUMNS`` shingles at a time, so memory doesn't grow with the number of pairs.
     """
-    rows = sorted(rows, key=lambda r: (len(r[3]), r[0]))
-    cut = len({r[2] for r in rows}) > 1
-    root = {r[1]: r[1] for r in rows}
-
-    def top(c):
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
-    if not rows:
+    if len(rows) < 2:
         return []
-    _, number, counts = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True, return_counts=True)
-    postings: dict = {}
-    found, at = [], 0
-    for i, (node, comp, chunk, own) in enumerate(rows):
-        shingle = number[at : at + len(own)]
-        at += len(own)
-        # a similar set shares at least PERCENT of the shingles, so one of the rarest that are left when these are taken off
-        prefix = shingle[np.argsort(counts[shingle], kind="stable")[: len(own) - -(-PERCENT * len(own) // 100) + 1]]
-        met: set = set()
-        for k in prefix[counts[prefix] > 1].tolist():
-            held = postings.setdefault(k, [])
-            met.update(held)
-            held.append(i)
-        for j in sorted(met):
-            other = rows[j]
-            if (cut and other[2] == chunk) or top(comp) == top(other[1]):
-                continue
-            if _linked(own, other[3]):
-                root[top(comp)] = top(other[1])
-                found.append((node, other[0]))
+    rows = sorted(rows, key=lambda r: (len(r[3]), r[0]))
+    sizes = np.array([len(r[3]) for r in rows], np.float64)
+    chunk = np.array([r[2] for r in rows])
+    cut = len(set(chunk.tolist())) > 1
+    label = np.unique([r[1] for r in rows], return_inverse=True)[1]
+    _, column, counts = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(rows)), sizes.astype(np.int64))
+    several = counts[column] > 1  # the others are in no intersection
+    owner, column = owner[several], np.unique(column[several], return_inverse=True)[1]
+    width = int(column.max(initial=-1)) + 1
+    tiles = []
+    for start in range(0, len(rows), TILE):
+        own = (owner >= start) & (owner < start + TILE)
+        order = np.argsort(column[own], kind="stable")
+        tiles.append((start, min(start + TILE, len(rows)), owner[own][order] - start, column[own][order]))
+
+    def dense(tile, at):
+        first, end, row, of = tile
+        part = slice(*np.searchsorted(of, [at, at + COLUMNS]))
+        out = np.zeros((end - first, COLUMNS), np.float32)
+        out[row[part], of[part] - at] = 1
+        return out
+
+    found = []
+    for k, left in enumerate(tiles):
+        for right in tiles[k:]:
+            (a, z), (c, e) = left[:2], right[:2]
+            if 100 * sizes[z - 1] < PERCENT * sizes[c]:
+                break  # sets come by size: from here on all are too large
+            both = np.zeros((z - a, e - c), np.float32)
+            for at in range(0, width, COLUMNS):
+                x = dense(left, at)
+                both += x @ (x if right is left else dense(right, at)).T
+            similar = 100 * both.astype(np.float64) >= PERCENT * (sizes[a:z, None] + sizes[None, c:e] - both)
+            if right is left:
+                similar &= np.tri(z - a, dtype=bool).T & ~np.eye(z - a, dtype=bool)
+            if cut:
+                similar &= chunk[a:z, None] != chunk[None, c:e]
+            for i in np.flatnonzero(similar.any(1)).tolist():
+                while len(apart := np.flatnonzero(similar[i] & (label[c:e] != label[a + i]))):
+                    j = c + int(apart[0])
+                    found.append((rows[a + i][0], rows[j][0]))
+                    label[label == label[j]] = label[a + i]
     return found
 
 
@@ -248,6 +264,8 @@ def links(docs: DataFrame, measured: DataFrame) -> tuple[DataFrame, DataFrame]:
     needed = materialize(apart.select("node").distinct().join(slim, "node"), "needed")
     if needed.isEmpty():
         return classes, comps
+    if needed.count() <= BROADCAST_NODES:
+        needed = F.broadcast(needed)
     ordered = apart.join(_with_text(docs, needed), "node").select("group", "x", "y", "node", "comp", "chunk", "text")
     ordered = ordered.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "node")
     more = materialize(ordered.mapInArrow(_apart, "a long, b long"), "links")
