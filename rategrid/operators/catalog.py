@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rategrid.operators.graph import components
+from rategrid.sources.shared import materialize
 
 
 def first_of_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -15,46 +16,69 @@ def first_of_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def sessions(df: DataFrame, at: str, gap: int, by: list[str], order: list[str]) -> DataFrame:
-    """``session``: a number that grows where more than ``gap`` lies between neighbours."""
-    w = Window.partitionBy(*by).orderBy(at, *order)
-    new = F.coalesce((F.col(at) - F.lag(at).over(w) > gap).cast("int"), F.lit(1))
-    return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
+WARM = 8  # gaps of events before a block from which its incoming state is guessed
 
 
-def drop_near_repeats(df: DataFrame, by: list[str], gap: int, dmag: float) -> DataFrame:
+def drop_near_repeats(df: DataFrame, by: list[str], gap: int, dmag: float, block: int | None = None) -> DataFrame:
     """Drops rows (id, t_us, mag, ``by``) within ``gap`` and ``dmag`` of an earlier row that was kept.
 
-    A row that was dropped drops no other, so this is no self anti join.  Only rows less than ``gap`` apart can meet: sessions are cut at
-    larger gaps, and each is walked in time order.
+    A row that was dropped drops no other, so this is no self anti join but a walk in time.  Blocks of time (24 gaps, if nothing else is
+    said) are walked at once.  What was kept in the gap before a block decides its first rows: it is guessed by walking the last ``WARM`` gaps
+    of the block before, and compared with what that block did keep.  Blocks that guessed wrong are walked again from there, until none is.
     """
-    kept_schema = df.schema
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t_us", "id"], kind="stable")
-        kept: list = []
-        take = []
-        for t, m in zip(rows["t_us"].tolist(), rows["mag"].tolist()):
-            while kept and t - kept[0][0] > gap:
-                kept.pop(0)
-            new = all(abs(m - k) > dmag for _, k in kept)
-            take.append(new)
-            if new:
-                kept.append((t, m))
-        return rows[take][kept_schema.names]
-
-    cut = sessions(df, "t_us", gap, by, ["id"])
-    lone = Window.partitionBy(*by, "session")
-    cut = cut.withColumn("_n", F.count("*").over(lone))
-    alone = cut.filter("_n = 1").select(*df.columns)  # most rows meet nobody
-    return alone.unionByName(cut.filter("_n > 1").groupBy(*by, "session").applyInPandas(walk, kept_schema))
+    block = block or 24 * gap
+    names = df.columns
+    own = df.withColumn("_b", F.floor(F.col("t_us") / block))
+    start = lambda c: F.col(c) * block
+
+    def walked(rows: DataFrame) -> DataFrame:
+        """Of the rows of blocks, ``_own`` (0: before the block) and ``_seed`` (known state or null): rows kept, with the state before and after."""
+        kinds = dict(df.dtypes)
+        schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", _b long, ids array<long>, before array<struct<t:long,m:double>>, after array<struct<t:long,m:double>>"
+
+        def walk(key, frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values(["t_us", "id"], kind="stable")
+            first, ids = int(key[-1]) * block, []
+            seed = frame["_seed"].iloc[0]
+            kept = [] if seed is None else [(x["t"], x["m"]) for x in seed]
+            before = None
+            for i, t, m, inside in zip(frame["id"].tolist(), frame["t_us"].tolist(), frame["mag"].tolist(), frame["_own"].tolist()):
+                if inside and before is None:
+                    before = [x for x in kept if first - x[0] <= gap]
+                if not inside and seed is not None:
+                    continue
+                kept = [x for x in kept if t - x[0] <= gap]
+                if all(abs(m - k) > dmag for _, k in kept):
+                    kept.append((t, m))
+                    if inside:
+                        ids.append(i)
+            before = [x for x in kept if first - x[0] <= gap] if before is None else before
+            state = lambda xs: [{"t": t, "m": m} for t, m in xs]
+            after = [x for x in kept if first + block - x[0] <= gap]
+            return pd.DataFrame({**{c: [v] for c, v in zip(by, key)}, "_b": [int(key[-1])], "ids": [ids], "before": [state(before)], "after": [state(after)]})
+
+        return rows.groupBy(*by, "_b").applyInPandas(walk, schema)
+
+    warm = own.filter(F.col("t_us") >= start("_b") + block - WARM * gap).withColumn("_b", F.col("_b") + 1)
+    there = own.select(*by, "_b").distinct()
+    none = F.lit(None).cast("array<struct<t:bigint,m:double>>")
+    rows = own.withColumn("_own", F.lit(1)).unionByName(warm.join(there, [*by, "_b"], "left_semi").withColumn("_own", F.lit(0)))
+    done = materialize(walked(rows.withColumn("_seed", none)), "walked")
+    while True:
+        # a row for each group and block
+        came = done.select(*by, (F.col("_b") + 1).alias("_b"), F.col("after").alias("_came"))
+        empty = F.array().cast("array<struct<t:bigint,m:double>>")
+        checked = done.join(came, [*by, "_b"], "left").withColumn("_came", F.coalesce("_came", empty))
+        wrong = materialize(checked.filter(F.col("before") != F.col("_came")).select(*by, "_b", F.col("_came").alias("_seed")), "wrong")
+        if wrong.isEmpty():
+            break
+        again = walked(own.withColumn("_own", F.lit(1)).join(wrong, [*by, "_b"]))
+        done = materialize(done.join(wrong, [*by, "_b"], "left_anti").unionByName(again), "walked")
+    kept = done.select(*by, "_b", F.explode("ids").alias("id"))
+    return own.join(kept, [*by, "_b", "id"], "left_semi").select(*names)
 
 
 def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, cluster of every node (id): the smallest id reachable over ``edges`` (a, b)."""
     found = components(edges)
     return nodes.join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("comp", "id").alias("cluster"))
-
-
-def band(at: Column, gap: int) -> Column:
-    return F.floor(at / gap)

@@ -36,6 +36,19 @@ def test_a_dropped_repeat_drops_no_other(spark):
     assert sorted(r["id"] for r in catalog.drop_near_repeats(df, ["ic"], 10, 0.5).collect()) == [1, 3, 4, 5]
 
 
+def test_greedy_walk_by_blocks_is_that_of_whole_groups(spark):
+    """Dense events, where every kept row depends on those before, over many blocks and from wrong guesses."""
+    r = random.Random(12)
+    rows = [(i, r.randrange(60_000), 2 + 0.3 * r.random(), i % 2) for i in range(3000)]
+    want, kept = [], {0: [], 1: []}
+    for i, t, m, g in sorted(rows, key=lambda x: (x[1], x[0])):
+        if all(t - a > 100 or abs(m - b) > 0.05 for a, b in kept[g][-40:]):
+            kept[g].append((t, m))
+            want.append(i)
+    df = spark.createDataFrame(rows, "id long, t_us long, mag double, ic int")
+    assert sorted(x["id"] for x in catalog.drop_near_repeats(df, ["ic"], 100, 0.05, 300).collect()) == sorted(want)
+
+
 def test_surface_wave_gap_gives_null(spark):
     df = spark.createDataFrame([("Ms", 5.45), (" MS ", 5.4), (None, 3.0)], "k string, m double")
     got = [r[0] for r in df.select(moment_magnitude(F.col("k"), F.col("m"))).collect()]
