@@ -23,10 +23,11 @@ def bulletin(pages: DataFrame) -> DataFrame:
     The table stands in ``pre``; a row has 15 fields.  A page whose number of rows isn't the announced one shows in the counts.
     """
     body = F.regexp_extract("html", r"(?s)<pre>(.*?)</pre>", 1)
-    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.split(x, "\t")), lambda x: F.size(x) == len(FIELDS))
     announced = F.regexp_extract("html", r"(\d+) rows", 1).try_cast("long")
-    rows = pages.select("page_id", announced.alias("announced"), F.size(lines).cast("long").alias("rows"), F.explode(lines).alias("f"))
-    return rows.select("page_id", "announced", "rows", *[F.trim(F.col("f")[k]).alias(name) for k, name in enumerate(FIELDS)])
+    lines = pages.select("page_id", announced.alias("announced"), F.explode(F.split(body, "\n")).alias("line")).withColumn("f", F.split("line", "\t"))
+    rows = lines.filter(F.size("f") == len(FIELDS))
+    found = rows.groupBy("page_id").agg(F.count("*").alias("rows"))
+    return rows.join(found, "page_id").select("page_id", "announced", "rows", *[F.trim(F.col("f")[k]).alias(name) for k, name in enumerate(FIELDS)])
 
 
 def events_of_xml(pages: DataFrame) -> DataFrame:
