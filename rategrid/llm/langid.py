@@ -12,7 +12,7 @@ The score is ``1 - p / q`` with ``p`` the fewest and ``q`` the second fewest phr
 
 Learning.  Every labelled text is cut into passages of ``PASSAGE`` characters, and a language's sample are its passages with the lowest
 hashes of id and place, up to ``sample_symbols`` characters.  Every language in the labels is learned.  A worker builds the automata
-once, a few megabytes a language whatever its alphabet: arcs are kept in a hash table of (state, symbol).
+once, a few megabytes a language whatever its alphabet: the rows of its states are laid over each other.
 
 Scale.  Texts are scored where they are read, whole, without a shuffle; a very long text takes memory for itself only.
 
@@ -102,46 +102,39 @@ def automaton(sample: np.ndarray) -> list[dict]:
 
 
 class Arcs:
-    """The arcs of one language's automaton in an open-addressing table: (state, symbol) -> state."""
-
-    ODD = np.uint64(0x9E3779B97F4A7C15)
+    """The arcs of one language's automaton, rows laid over each other: a state is the offset of its row, no two states have the same one,
+    and the slot ``state + symbol`` holds the next state where ``owner`` says that it belongs to the state.  The first state is 0."""
 
     def __init__(self, states: list[dict], width: int):
-        self.width = width
-        key = np.array([i * width + c for i, to in enumerate(states) for c in to], np.int64)
-        target = np.array([s for to in states for s in to.values()], np.int64)
+        taken, offsets, number = bytearray(4 * (sum(map(len, states)) + width)), set(), [0] * len(states)
+        low = 0
+        for i in sorted(range(len(states)), key=lambda i: (i > 0, -len(states[i]))):  # the first state, then wide rows before narrow ones
+            symbols_of = sorted(states[i]) or [0]
+            at = 0 if i == 0 else max(0, low - symbols_of[0])
+            while at in offsets or any(taken[at + c] for c in symbols_of):
+                at += 1
+                if at + width >= len(taken):
+                    taken += bytearray(len(taken))
+            number[i] = at
+            offsets.add(at)
+            for c in states[i]:
+                taken[at + c] = 1
+            while taken[low]:
+                low += 1
+        size = max(number) + width + 1
+        self.owner, self.target = np.full(size, -1, np.int64), np.zeros(size, np.int64)
         self.root = np.zeros(width, np.int64)  # where a phrase starts with a symbol
+        for i, to in enumerate(states):
+            for c, s in to.items():
+                self.owner[number[i] + c], self.target[number[i] + c] = number[i], number[s]
         for c, s in states[0].items():
-            self.root[c] = s
-        bits = max(4, int(4 * len(key)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.targets = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
-        slot = self._slot(key)
-        while len(key):
-            free = self.keys[slot] < 0
-            at, first = np.unique(slot[free], return_index=True)
-            placed = np.flatnonzero(free)[first]
-            self.keys[at], self.targets[at] = key[placed], target[placed]
-            left = np.ones(len(key), bool)
-            left[placed] = False
-            key, target, slot = key[left], target[left], (slot[left] + 1) & self.mask
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key.view(np.uint64) * self.ODD) >> self.shift).view(np.int64)
+            self.root[c] = number[s]
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states, and where a phrase begins."""
-        key = state * self.width + symbol
-        slot = self._slot(key)
-        seen = self.keys[slot]
-        there = seen == key
-        open_ = np.flatnonzero(~there & (seen >= 0))
-        while len(open_):
-            slot[open_] = (slot[open_] + 1) & self.mask
-            seen = self.keys[slot[open_]]
-            there[open_] = seen == key[open_]
-            open_ = open_[(seen != key[open_]) & (seen >= 0)]
-        return np.where(there, self.targets[slot], self.root[symbol]), ~there | (state == 0)
+        slot = state + symbol
+        there = self.owner[slot] == state
+        return np.where(there, self.target[slot], self.root[symbol]), ~there | (state == 0)
 
     def run(self, blocks: list[np.ndarray], start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrases that begin in each block, and the state at its end, from the given states."""
