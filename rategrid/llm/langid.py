@@ -40,6 +40,8 @@ FOLDS, HELD_OUT = 4, 2
 MIN_SCORE = 0.05
 #: Blocks that advance together.
 WIDTH = 4096
+#: Offsets tried for a row of arcs before the slots up to the one found are left as they are.
+TRIES = 64
 
 _codes = None
 _built: dict = {}
@@ -110,7 +112,7 @@ class Arcs:
         low = 0
         for i in sorted(range(len(states)), key=lambda i: (i > 0, -len(states[i]))):  # the first state, then wide rows before narrow ones
             symbols_of = sorted(states[i]) or [0]
-            at = 0 if i == 0 else max(0, low - symbols_of[0])
+            at = first = 0 if i == 0 else max(0, low - symbols_of[0])
             while at in offsets or any(taken[at + c] for c in symbols_of):
                 at += 1
                 if at + width >= len(taken):
@@ -119,6 +121,8 @@ class Arcs:
             offsets.add(at)
             for c in states[i]:
                 taken[at + c] = 1
+            if at - first > TRIES:  # free slots that no row fits must not be tried again for every row
+                low = max(low, at + symbols_of[0])
             while taken[low]:
                 low += 1
         size = max(number) + width + 1

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -530,3 +531,16 @@ def test_page_regions_are_no_single_paragraph():
     links = "<div><ul>" + "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(9)) + "</ul></div>"
     assert pages.extract("<body>" + links + "<div>" + "".join(f"<p>{x}</p>" for x in rows) + "</div></body>") == want
     assert pages.extract("<body>" + links + "<div>" + "".join(f"<div><p>{x}</p></div>" for x in rows) + "</div></body>") == want
+
+
+@pytest.mark.parametrize("letters", [8, 25, 2000])
+def test_arcs_are_packed_in_linear_time(letters):
+    """Rows of arcs are found a place without trying the same slots for each of them, and stay close together."""
+    r = random.Random(6)
+    words = ["".join(chr(0x4E00 + r.randrange(letters)) for _ in range(r.randint(2, 9))) for _ in range(2000)]
+    codes, numbers = np.unique(langid.symbols(" ".join(r.choice(words) for _ in range(7000))[:40_000]), return_inverse=True)
+    states = langid.automaton(numbers + 1)
+    begun = time.process_time()
+    arcs = langid.Arcs(states, len(codes) + 1)
+    assert time.process_time() - begun < 20
+    assert len(arcs.owner) < 3 * sum(map(len, states)) + len(codes) + 2
