@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rategrid.llm import chat, decontam, langid, lm, mixing, neardup, pages, passages, quality, toxicity
+from rategrid.llm import chat, decontam, divergence, langid, lm, mixing, neardup, pages, passages, quality, toxicity
 from rategrid.llm.common import table
 
 
@@ -171,6 +171,48 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+TERM = "'[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'"
+
+OP11_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), {A_TO_Z}) AS text
+  FROM documents
+), o AS (
+  SELECT row_id, lang, source, unnest(regexp_extract_all(text, {TERM})) AS term FROM d
+), t AS (
+  SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT row_id) >= {divergence.MIN_DOCS}
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM o JOIN t USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), s AS (
+  SELECT lang, source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL
+), l AS (
+  SELECT lang, sum(total) AS lang_total, any_value(v) AS v FROM s JOIN (
+    SELECT g.lang, count(DISTINCT t.term) AS v FROM g LEFT JOIN t USING (lang) GROUP BY g.lang
+  ) USING (lang) GROUP BY lang
+), p AS (
+  SELECT s.lang, s.source, t.term, coalesce(c.n, 0) AS n, 1 + ({divergence.UNIT}::HUGEINT * (coalesce(c.n, 0) + 1)) // (total + v) AS p
+  FROM s JOIN l USING (lang) JOIN t USING (lang) LEFT JOIN c USING (lang, source, term)
+), q AS (
+  SELECT lang, term, 1 + ({divergence.UNIT}::HUGEINT * (sum(n) + 1)) // (any_value(lang_total) + any_value(v)) AS q FROM c JOIN l USING (lang) GROUP BY lang, term
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (FROM pairs UNION ALL FROM terms)
+)
+FROM r WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_extraction": op2_html_extraction,
@@ -182,10 +224,12 @@ QUERIES = {
     "op8_minhash_neardup": op8_minhash_neardup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_toxicity": op10_toxicity,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
     "op3_mixing": OP3_SQL,
     "op9_chat_formatting": OP9_SQL,
+    "op11_source_divergence": OP11_SQL,
 }
