@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rategrid.llm import chat, decontam, divergence, langid, lm, mixing, neardup, pages, passages, quality, toxicity
+from rategrid.llm import chat, codes, decontam, divergence, langid, lm, mixing, neardup, pages, passages, quality, toxicity
 from rategrid.llm.common import table
 
 
@@ -213,6 +213,55 @@ WITH d AS (
 FROM r WHERE part = 'pair' OR rank <= {divergence.TOP}
 """
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql() -> str:
+    steps = []
+    for i in range(codes.ROUNDS + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT id, part, arg_min(entry, d * {codes.ENTRIES} + entry) AS entry, min(d) AS d FROM (
+    SELECT id, part, entry, x.xx + list_inner_product(c.p, c.p) - 2 * list_inner_product(x.p, c.p) AS d FROM x JOIN c{i} c USING (part)
+  ) GROUP BY id, part
+)""")
+        if i < codes.ROUNDS:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c.part, c.entry, coalesce(m.p, c.p) AS p FROM c{i} c LEFT JOIN (
+    SELECT part, entry, list(floor(s / n) ORDER BY pos) AS p FROM (
+      SELECT part, entry, pos, sum(y) AS s, count(*) AS n FROM (
+        SELECT a.part, a.entry, unnest(x.p) AS y, generate_subscripts(x.p, 1) AS pos FROM a{i} a JOIN x USING (id, part)
+      ) GROUP BY ALL
+    ) GROUP BY part, entry
+  ) m USING (part, entry)
+)""")
+    last = codes.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, list_transform(embedding, lambda y: floor(y::DOUBLE * {codes.SCALE})) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0
+), x AS MATERIALIZED (
+  SELECT id, part, p, list_inner_product(p, p) AS xx FROM (
+    SELECT id, part, e[part * len(e) // {codes.PARTS} + 1 : (part + 1) * len(e) // {codes.PARTS}] AS p FROM v, (SELECT unnest(range({codes.PARTS})) AS part)
+  )
+), c0 AS MATERIALIZED (
+  SELECT part, id - 1 AS entry, p FROM x WHERE id <= {codes.ENTRIES}
+), {", ".join(steps)}, r AS (
+  SELECT id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{last} GROUP BY id
+), l AS (
+  SELECT label, sum(error)::BIGINT AS label_error FROM r JOIN v USING (id) GROUP BY label
+), h AS (
+  SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256
+  FROM (SELECT part, entry, unnest(p) AS y, generate_subscripts(p, 1) AS pos FROM c{last})
+)
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM r JOIN v USING (id) JOIN l ON v.label IS NOT DISTINCT FROM l.label, h
+"""
+
+
+OP12_SQL = _op12_sql()
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_extraction": op2_html_extraction,
@@ -225,6 +274,7 @@ QUERIES = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_toxicity": op10_toxicity,
     "op11_source_divergence": op11_source_divergence,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 ORACLES = {
@@ -232,4 +282,5 @@ ORACLES = {
     "op3_mixing": OP3_SQL,
     "op9_chat_formatting": OP9_SQL,
     "op11_source_divergence": OP11_SQL,
+    "op12_vector_codes": OP12_SQL,
 }
