@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rategrid.llm import chat, codes, decontam, divergence, langid, lm, mixing, neardup, pages, passages, quality, toxicity
+from rategrid.llm import chat, codes, decontam, divergence, fingerprints, langid, lm, mixing, neardup, pages, passages, quality, toxicity
 from rategrid.llm.common import table
 
 
@@ -262,6 +262,10 @@ FROM r JOIN v USING (id) JOIN l ON v.label IS NOT DISTINCT FROM l.label, h
 
 OP12_SQL = _op12_sql()
 
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_extraction": op2_html_extraction,
@@ -275,6 +279,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_source_divergence": op11_source_divergence,
     "op12_vector_codes": op12_vector_codes,
+    "op13_document_fingerprints": op13_document_fingerprints,
 }
 
 ORACLES = {
