@@ -81,3 +81,9 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     middle = (p + z2 / (2 * n)) / (1 + z2 / n)
     half = z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)
     return middle - half, middle + half
+
+
+def bounds_below(bounds: Column, x: Column, most: int) -> Column:
+    """How many of the sorted array ``bounds`` (of at most ``most``) are not above ``x``, by binary search."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, most.bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= x, at + step).otherwise(at))

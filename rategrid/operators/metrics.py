@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rategrid.operators.quantiles import all_equal, bucketed
+from rategrid.sources.shared import materialize
+
 EPS = 1e-9
 
 
@@ -21,11 +24,19 @@ def bernoulli_gain(p: Column, base: Column, y: Column) -> Column:
 
 
 def ranked(df: DataFrame, by: list[str]) -> DataFrame:
-    """Positives and rows of each distinct score, with running sums from the highest score on.  Rows with one score are first
-    summed, so the window sees distinct scores only and ties count together."""
-    tied = df.groupBy(*by, "p").agg(F.sum("y").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return tied.withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down))
+    """Positives and rows of each distinct score, with running sums from the highest score on.
+
+    Rows with one score are first summed, so ties count together.  Each group's scores are cut into buckets at the boundaries that a sketch
+    gives; sums of buckets are added up from the highest on, and within a bucket a window adds the rest.
+    """
+    tied = materialize(df.groupBy(*by, "p").agg(F.sum("y").cast("double").alias("pos"), F.count("*").cast("double").alias("n")), "scores")
+    cut = bucketed(tied, by, "p", "_k")
+    sums = cut.groupBy(*by, "_k").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    above = Window.partitionBy(*by).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    so_far = sums.select(*by, "_k", *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(f"_{c}") for c in ("pos", "n")])
+    down = Window.partitionBy(*by, "_k").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = cut.alias("c").join(so_far.alias("s"), all_equal("c", "s", [*by, "_k"])).select("c.*", "s._pos", "s._n")
+    return joined.withColumn("tp", F.col("_pos") + F.sum("pos").over(down)).withColumn("seen", F.col("_n") + F.sum("n").over(down)).drop("_k", "_pos", "_n")
 
 
 def ranking(df: DataFrame, by: list[str]) -> DataFrame:

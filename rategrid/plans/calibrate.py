@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rategrid.functions.core import rate_of
 from rategrid.operators.isotonic import pool
+from rategrid.operators.quantiles import quantiles
 from rategrid.operators.resample import digits
 from rategrid.plans.base import EV, events, fixed, query, r6
 from rategrid.plans.features import CUBE, feature_cube
@@ -20,7 +21,7 @@ SELECT model, bins, {r6('slope')} AS slope, {r6('(y - slope * x) / w')} AS inter
 def q_reliability_q(spark, sf):
     """Reliability over quantile bins: a weighted line through their frequencies, and a verdict on slope and intercept."""
     df = long(spark, sf)
-    q = F.broadcast(df.groupBy("model").agg(F.array_distinct(F.percentile("p", _TENTHS)).alias("q")))  # a row for each model
+    q = F.broadcast(quantiles(df, ["model"], "p", _TENTHS).select("model", F.array_distinct("p").alias("q")))  # a row for each model
     b = df.join(q, "model").groupBy("model", F.size(F.filter("q", lambda x: x < F.col("p"))).alias("bin")).agg(F.avg("p").alias("p"), F.avg("y").alias("f"), F.count("*").cast("double").alias("n"), F.sum("y").alias("pos"))
     n, p, f = F.col("n"), F.col("p"), F.col("f")
     s = b.groupBy("model").agg(F.sum(n).alias("w"), F.sum(n * p).alias("x"), F.sum(n * f).alias("y"), F.sum(n * p * p).alias("xx"), F.sum(n * p * f).alias("xy"), F.sum("pos").alias("pos"), F.count("*").alias("bins"))
@@ -64,7 +65,7 @@ def q_static_map(spark, sf):
     """Likelihood of later windows as forecast, with a scalar on either side of the median rate, and with a shrunk factor for each cell."""
     df = predictions(spark, sf).withColumn("lam", rate_of(F.col("near")))
     train = df.filter("window < 18")
-    m = F.broadcast(train.agg(F.percentile("lam", 0.5).alias("m")))  # one row
+    m = F.broadcast(quantiles(train, [], "lam", [0.5]).select(F.col("p")[0].alias("m")))  # one row
     two = train.crossJoin(m).groupBy((F.col("lam") > F.col("m")).alias("high")).agg((F.sum("y") / F.sum("lam")).alias("s2"))
     cell = train.groupBy("ir", "ic").agg(((F.sum("y") + 1.0) / (F.sum("lam") + 1.0)).alias("sc"))
     e = df.filter("window >= 18").crossJoin(m).withColumn("high", F.col("lam") > F.col("m")).join(F.broadcast(two), "high").join(cell, ["ir", "ic"])

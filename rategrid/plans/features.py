@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rategrid.operators.features import cube
+from rategrid.operators.quantiles import quantiles
 from rategrid.operators.sequences import steps
 from rategrid.plans.base import CELLS, EV, GRID, WINS, events, fixed, query, r6
 
@@ -108,8 +109,8 @@ def q_quadrants(spark, sf):
 
 @query(f"WITH {EV} SELECT mag_type, {r6('quantile_cont(mag, 0.05)')} AS p05, {r6('quantile_cont(mag, 0.5)')} AS p50, {r6('quantile_cont(mag, 0.95)')} AS p95 FROM ev GROUP BY mag_type")
 def q_percentiles(spark, sf):
-    p = F.percentile("mag", [0.05, 0.5, 0.95])
-    return events(spark, sf).groupBy("mag_type").agg(p.alias("p")).select("mag_type", *[fixed(F.col("p")[i]).alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
+    p = quantiles(events(spark, sf), ["mag_type"], "mag", [0.05, 0.5, 0.95])
+    return p.select("mag_type", *[fixed(F.col("p")[i]).alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
 
 
 @query(f"WITH {EV}, n AS (SELECT ic, count(*)::DOUBLE AS n FROM ev GROUP BY ic), t AS (SELECT sum(n) AS s, count(*)::DOUBLE AS k FROM n) SELECT ic, {r6('(s - n) / (k - 1)')} AS left_out FROM n, t WHERE k > 1")

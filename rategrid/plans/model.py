@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rategrid.functions.core import omori_cumulative, omori_density, productivity, rate_of, rescaled, spatial_density
 from rategrid.operators import joins, metrics
 from rategrid.operators.features import dense
+from rategrid.operators.quantiles import quantiles
 from rategrid.operators.sequences import steps
 from rategrid.plans.base import CELLS, EV, GRID, WINS, events, fixed, query, r6
 from rategrid.plans.features import CUBE, feature_cube
@@ -65,7 +66,7 @@ _Q = [k / 20 for k in range(21)]
 @query(f"WITH {EV}, q AS (SELECT unnest(range(21)) AS k, unnest(quantile_cont(mag, {_Q})) AS mag FROM ev) SELECT k, {r6('mag')} AS mag FROM q")
 def q_deciles(spark, sf):
     """Quantiles in steps of 5 %."""
-    p = events(spark, sf).agg(F.percentile("mag", _Q).alias("p"))
+    p = quantiles(events(spark, sf), [], "mag", _Q)
     return p.select(F.posexplode("p").alias("k", "m")).select(F.col("k").cast("long").alias("k"), fixed(F.col("m")).alias("mag"))
 
 
@@ -296,7 +297,7 @@ b AS (SELECT ir, ic, lam, len(list_filter(q, lambda x: x < dist)) AS bin FROM r,
 def q_fault_decile(spark, sf):
     """Climatology by distance to the line: the mean rate of the cells of each tenth; equal break points fall together."""
     r = feature_cube(spark, sf).filter("window < 20").groupBy("ir", "ic").agg(F.avg("y").alias("lam")).join(F.broadcast(polyline(spark)), ["ir", "ic"])
-    q = F.broadcast(r.agg(F.array_distinct(F.percentile("dist", [k / 10 for k in range(1, 10)])).alias("q")))  # one row
+    q = F.broadcast(quantiles(r, [], "dist", [k / 10 for k in range(1, 10)]).select(F.array_distinct("p").alias("q")))  # one row
     b = r.crossJoin(q).withColumn("bin", F.size(F.filter("q", lambda x: x < F.col("dist"))).cast("long"))
     return b.select("ir", "ic", "bin", fixed(F.avg("lam").over(Window.partitionBy("bin"))).alias("p"))
 

@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from rategrid.functions.core import rate_of
 from rategrid.operators import joins
+from rategrid.operators.quantiles import quantiles
 from rategrid.operators.resample import stationary
 from rategrid.plans.base import CELLS, EV, GRID, WINS, events, fixed, query, r6
 from rategrid.plans.features import CUBE, feature_cube
 from rategrid.plans.scores import PRED, RATE, long, predictions
+from rategrid.sources.shared import materialize
 
 HOUR = 3_600_000_000
 
@@ -57,8 +59,9 @@ SELECT (win >= 15)::INT AS late, count(*)::BIGINT AS n, {r6("quantile_cont(resid
 def q_residual_seasons(spark, sf):
     """The residuals of the nearest matches by season: count, median and largest."""
     season = events(spark, sf).select("id", (F.col("win") >= 15).cast("int").alias("late"))
-    r = nearest_times(spark, sf).join(season, "id").groupBy("late")
-    return r.agg(F.count("*").alias("n"), fixed(F.percentile("residual", 0.5)).alias("median_us"), F.max(F.abs("residual")).alias("max_us"))
+    r = materialize(nearest_times(spark, sf).join(season, "id"), "residuals")
+    middle = quantiles(r, ["late"], "residual", [0.5]).select("late", fixed(F.col("p")[0]).alias("median_us"))
+    return r.groupBy("late").agg(F.count("*").alias("n"), F.max(F.abs("residual")).alias("max_us")).join(middle, "late").select("late", "n", "median_us", "max_us")
 
 
 @query(f"WITH {EV} SELECT id, {r6('t_us::DOUBLE / 86400000000')} AS days FROM ev")

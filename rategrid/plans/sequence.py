@@ -4,8 +4,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rategrid.functions.core import rate_of
-from rategrid.operators import joins, metrics
+from rategrid.operators import joins, metrics, slopes
 from rategrid.operators.features import box, dense
+from rategrid.operators.quantiles import quantiles
 from rategrid.operators.sequences import steps
 from rategrid.plans.base import CELLS, EV, GRID, WINS, events, fixed, query, r6
 from rategrid.plans.features import CUBE, feature_cube
@@ -185,7 +186,7 @@ def stations(spark, sf):
 def q_common_mode(spark, sf):
     """Values less the median of all stations of the day."""
     st = stations(spark, sf)
-    m = st.groupBy("win").agg(F.percentile("v", 0.5).alias("m"))
+    m = quantiles(st, ["win"], "v", [0.5]).select("win", F.col("p")[0].alias("m"))
     return st.join(F.broadcast(m), "win").select("station", "win", fixed(F.col("v") - F.col("m")).alias("v"))  # one row a day
 
 
@@ -259,23 +260,22 @@ def q_repeater(spark, sf):
     return g.select("window", "ir", "ic", F.col("repeaters").cast("long").alias("repeaters"), fixed(F.col("s") / 7).alias("creep"))
 
 
-_BPOS = f"""{EV}, {CELLS}, {WINS}, h AS (SELECT w.win AS "window", k.ir, k.ic, e.t_us, e.id, e.mag FROM wins w CROSS JOIN cells k JOIN ev e ON e.win < w.win AND e.win >= w.win - 7 AND e.mag >= 2.0 AND abs(e.ir - k.ir) <= 4 AND abs(e.ic - k.ic) <= 4),
-d AS (SELECT *, mag - lag(mag) OVER (PARTITION BY "window", ir, ic ORDER BY t_us, id) AS d FROM h), b AS (SELECT "window", ir, ic, count(*) AS n, count(*) FILTER (d >= 0.2) AS k, 1 / (ln(10) * (avg(d) FILTER (d >= 0.2) - 0.1)) AS b FROM d GROUP BY ALL)"""
+#: Slopes around cells, of the week before each window: of the 9 x 9 cells, else of all, else 1.
+BPOS = """h AS (SELECT w.win AS "window", k.ir, k.ic, e.t_us, e.id, e.mag FROM wins w CROSS JOIN cells k JOIN ev e ON e.win < w.win AND e.win >= w.win - 7 AND e.mag >= 2.0 AND abs(e.ir - k.ir) <= 4 AND abs(e.ic - k.ic) <= 4),
+hd AS (SELECT *, mag - lag(mag) OVER (PARTITION BY "window", ir, ic ORDER BY t_us, id) AS d FROM h), hb AS (SELECT "window", ir, ic, CASE WHEN count(*) FILTER (d >= 0.1) >= 30 THEN 1 / (ln(10) * (avg(d) FILTER (d >= 0.1) - 0.1)) END AS b FROM hd GROUP BY ALL),
+hr AS (SELECT "window", CASE WHEN count(*) FILTER (d >= 0.1) >= 30 THEN 1 / (ln(10) * (avg(d) FILTER (d >= 0.1) - 0.1)) END AS b FROM (SELECT w.win AS "window", mag - lag(mag) OVER (PARTITION BY w.win ORDER BY t_us, id) AS d FROM wins w JOIN ev e ON e.win < w.win AND e.win >= w.win - 7 AND e.mag >= 2.0) GROUP BY 1),
+bpos AS (SELECT w.win AS "window", k.ir, k.ic, coalesce(hb.b, hr.b, 1.0::DOUBLE) AS b, hb.b IS NULL AS fallback FROM wins w CROSS JOIN cells k LEFT JOIN hb ON hb."window" = w.win AND hb.ir = k.ir AND hb.ic = k.ic LEFT JOIN hr ON hr."window" = w.win)"""
 
 
-@query(f"""WITH {_BPOS} SELECT w.win AS "window", k.ir, k.ic, CASE WHEN n >= 31 AND b.k >= 30 THEN {r6('b')} ELSE 1.0::DOUBLE END AS b, NOT coalesce(n >= 31 AND b.k >= 30, false) AS fallback FROM wins w CROSS JOIN cells k LEFT JOIN b ON b."window" = w.win AND b.ir = k.ir AND b.ic = k.ic""")
-def q_b_neighbourhood(spark, sf):
-    """Slope by positive steps between successive events of the 9 x 9 cells around, with a fallback where they are too few.
+def slopes_around(spark, sf):
+    e = events(spark, sf).filter("mag >= 2.0")
+    return slopes.neighbourhood(e, GRID, dense(spark, GRID, 0, 29), 7).filter("window >= 7")
 
-    The order runs over all events around a cell, so they are copied to it; a week's events of 81 cells are what one group holds.
-    """
-    e = events(spark, sf).filter("mag >= 2.0").select("ir", "ic", "win", "t_us", "id", "mag")
-    h = GRID.neighbours(e.withColumn("window", F.explode(F.sequence(F.col("win") + 1, F.col("win") + 7))).filter(F.col("window").between(7, 29)), 4)
-    d = h.withColumn("d", F.col("mag") - F.lag("mag").over(Window.partitionBy("window", "ir", "ic").orderBy("t_us", "id")))
-    up = F.when(F.col("d") >= 0.2, F.col("d"))
-    b = d.groupBy("window", "ir", "ic").agg(F.count("*").alias("n"), F.count(up).alias("k"), (1 / (F.log(F.lit(10.0)) * (F.avg(up) - 0.1))).alias("b"))
-    ok = F.coalesce((F.col("n") >= 31) & (F.col("k") >= 30), F.lit(False))
-    return dense(spark, GRID, 7, 29).join(b, ["window", "ir", "ic"], "left").select("window", "ir", "ic", F.when(ok, fixed(F.col("b"))).otherwise(1.0).alias("b"), (~ok).alias("fallback"))
+
+@query(f"""WITH {EV}, {CELLS}, {WINS}, {BPOS} SELECT "window", ir, ic, {r6('b')} AS b, fallback FROM bpos""")
+def q_b_neighbourhood(spark, sf):
+    """Slope by positive steps between successive events of the 9 x 9 cells around; where they are too few that of all cells, else 1."""
+    return slopes_around(spark, sf).select("window", "ir", "ic", fixed(F.col("b")).alias("b"), "fallback")
 
 
 @query(f"""WITH {EV}, {CELLS}, node AS (SELECT r.range AS i, c.range AS j, (r.range * 1.0 - 2) * (c.range + 1) / 10.0 AS v FROM range(5) r, range(6) c), k AS (SELECT ir, ic, least(greatest(floor(ir / 2.5), 0), 3)::INT AS i, least(greatest(floor(ic / 3.0), 0), 4)::INT AS j FROM cells)
