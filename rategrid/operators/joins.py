@@ -53,6 +53,39 @@ def nearest(points: DataFrame, places: DataFrame, key: str, place: str, cell: fl
         reach *= 2
 
 
+def k_nearest(points: DataFrame, places: DataFrame, key: str, place: str, k: int, cell: float, reach: int = 1, carry: tuple = ()) -> DataFrame:
+    """key, rank, place, px, py, distance and ``carry``: for each point (key, x, y) its ``k`` nearest ``places`` (place, x, y, carry), from rank 1; of
+    equally near ones the lower ids.  With fewer than ``k`` places all of them.
+
+    Points meet places in the square cells within ``reach`` of their own.  The k found are the nearest for sure if none is farther than that
+    ring, or if the ring covers all places; the other points widen it, doubling it, until none is left.  Of what a point meets in a task
+    only ``k`` are kept before rows are shuffled.
+    """
+    at = lambda df: df.withColumn("_i", F.floor(F.col("x") / cell)).withColumn("_j", F.floor(F.col("y") / cell))
+    spots = materialize(at(places.select(place, "x", "y", *carry)).select(place, F.col("x").alias("px"), F.col("y").alias("py"), "_i", "_j", *carry), "places")
+    low_i, high_i, low_j, high_j = spots.agg(F.min("_i"), F.max("_i"), F.min("_j"), F.max("_j")).first()
+    around = F.sequence(F.lit(-reach), F.lit(reach))
+    left, done = at(points.select(key, "x", "y")), []
+    names = [key, "rank", place, "px", "py", "distance", *carry]
+    while True:
+        asked = left.withColumn("_di", F.explode(around)).withColumn("_dj", F.explode(around)).withColumn("_i", F.col("_i") + F.col("_di")).withColumn("_j", F.col("_j") + F.col("_dj"))
+        asked = asked.filter(F.col("_i").between(low_i, high_i) & F.col("_j").between(low_j, high_j)).select(key, "x", "y", "_i", "_j")
+        dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
+        met = asked.join(spots, ["_i", "_j"]).withColumn("distance", F.sqrt(dx * dx + dy * dy))
+        rank = F.row_number().over(Window.partitionBy(key).orderBy("distance", place))
+        found = materialize(met.withColumn("rank", rank).filter(F.col("rank") <= k).select(*names), "near")
+        sure = found.groupBy(key).agg(F.count("*").alias("_n"), F.max("distance").alias("_far"))
+        covers = (F.col("_i") - reach <= low_i) & (F.col("_i") + reach >= high_i) & (F.col("_j") - reach <= low_j) & (F.col("_j") + reach >= high_j)
+        near = (F.col("_n") == k) & (F.col("_far") <= reach * cell)
+        judged = left.join(sure, key, "left").withColumn("_ok", F.coalesce(near, F.lit(False)) | F.coalesce(covers, F.lit(True)))
+        left = materialize(judged.filter("NOT _ok").select(key, "x", "y", "_i", "_j"), "points")
+        done.append(found.join(left.select(key), key, "left_anti").select(*names))
+        if left.isEmpty():
+            return reduce(DataFrame.unionAll, done)
+        reach *= 2
+        around = F.sequence(F.lit(-reach), F.lit(reach))
+
+
 def as_of(events: DataFrame, probes: DataFrame, at: str, value: str, by: list[str], block: int) -> DataFrame:
     """Each probe with the last ``value`` strictly before it.
 

@@ -26,19 +26,13 @@ cube AS (SELECT w.win AS "window", c.ir, c.ic, coalesce(cnt1, 0)::BIGINT AS cnt1
   FROM wins w CROSS JOIN cells c JOIN whole ON whole."window" = w.win LEFT JOIN own o ON o."window" = w.win AND o.ir = c.ir AND o.ic = c.ic
   LEFT JOIN n3 ON n3."window" = w.win AND n3.ir = c.ir AND n3.ic = c.ic LEFT JOIN n5 ON n5."window" = w.win AND n5.ir = c.ir AND n5.ic = c.ic
   LEFT JOIN hit h ON h."window" = w.win AND h.ir = c.ir AND h.ic = c.ic)"""
-_REAL = ("maxmag", "days_since0", "days_since1", "mean_value", "rate_ratio")
+REAL = ("maxmag", "days_since0", "days_since1", "mean_value", "rate_ratio")
 
 
 def feature_cube(spark, sf):
     return cube(spark, events(spark, sf), GRID, 7, 29, MC)
 
 
-@query(f'WITH {CUBE} SELECT "window", ir, ic, cnt1, cnt3, cnt7, nbr3_cnt1, nbr3_cnt7, nbr5_cnt1, nbr5_cnt7, {", ".join(f"{r6(c)} AS {c}" for c in _REAL)}, y FROM cube')
-def q_feature_cube(spark, sf):
-    c = feature_cube(spark, sf)
-    return c.select(*[fixed(F.col(x)).alias(x) if x in _REAL else F.col(x) for x in c.columns])
-
-
 @query(f"WITH {EV}, {CELLS} SELECT c.ir, c.ic, count(e.id)::BIGINT AS n FROM cells c LEFT JOIN ev e ON e.ir = c.ir AND e.ic = c.ic AND e.mag >= 2.5 GROUP BY ALL")
 def q_count_grid(spark, sf):
     n = events(spark, sf).filter("mag >= 2.5").groupBy("ir", "ic").agg(F.count("*").alias("n"))

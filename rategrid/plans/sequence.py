@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rategrid.functions.core import rate_of
-from rategrid.operators import joins, metrics, slopes
+from rategrid.operators import field, joins, metrics, slopes
 from rategrid.operators.features import box, dense
 from rategrid.operators.quantiles import quantiles
 from rategrid.operators.sequences import steps
@@ -278,19 +278,49 @@ def q_b_neighbourhood(spark, sf):
     return slopes_around(spark, sf).select("window", "ir", "ic", fixed(F.col("b")).alias("b"), "fallback")
 
 
-@query(f"""WITH {EV}, {CELLS}, node AS (SELECT r.range AS i, c.range AS j, (r.range * 1.0 - 2) * (c.range + 1) / 10.0 AS v FROM range(5) r, range(6) c), k AS (SELECT ir, ic, least(greatest(floor(ir / 2.5), 0), 3)::INT AS i, least(greatest(floor(ic / 3.0), 0), 4)::INT AS j FROM cells)
-SELECT ir, ic, {r6('a.v * (1 - (ir / 2.5 - k.i)) * (1 - (ic / 3.0 - k.j)) + b.v * (ir / 2.5 - k.i) * (1 - (ic / 3.0 - k.j)) + c.v * (1 - (ir / 2.5 - k.i)) * (ic / 3.0 - k.j) + d.v * (ir / 2.5 - k.i) * (ic / 3.0 - k.j)')} AS v FROM k JOIN node a ON a.i = k.i AND a.j = k.j JOIN node b ON b.i = k.i + 1 AND b.j = k.j JOIN node c ON c.i = k.i AND c.j = k.j + 1 JOIN node d ON d.i = k.i + 1 AND d.j = k.j + 1""")
+#: Two components of each station's motion, and their strain at coarse nodes, from the three nearest stations.
+STRAIN = """sites AS (SELECT user_id AS station, any_value(ir) + (user_id % 7) / 10.0::DOUBLE AS y, any_value(ic) + (user_id % 5) / 10.0::DOUBLE AS x, avg(mag) AS u, avg(value) / 100 AS v FROM ev GROUP BY user_id HAVING count(DISTINCT win) >= 2),
+nodes AS (SELECT r.range AS i, c.range AS j, r.range * 2.5::DOUBLE AS y, c.range * 3.0::DOUBLE AS x FROM range(5) r, range(6) c),
+three_near AS (SELECT i, j, s.* FROM nodes n, sites s QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY sqrt((n.x - s.x) * (n.x - s.x) + (n.y - s.y) * (n.y - s.y)), station) <= 3),
+ns AS (SELECT i, j, sum(x*x) - sum(x)*sum(x)/count(*) AS xx, sum(x*y) - sum(x)*sum(y)/count(*) AS xy, sum(y*y) - sum(y)*sum(y)/count(*) AS yy, sum(x*u) - sum(x)*sum(u)/count(*) AS xu, sum(y*u) - sum(y)*sum(u)/count(*) AS yu, sum(x*v) - sum(x)*sum(v)/count(*) AS xv, sum(y*v) - sum(y)*sum(v)/count(*) AS yv FROM three_near GROUP BY i, j),
+ng AS (SELECT i, j, CASE WHEN xx * yy - xy * xy > 1e-3 THEN xx * yy - xy * xy END AS det, (xu * yy - yu * xy) AS ux, (yu * xx - xu * xy) AS uy, (xv * yy - yv * xy) AS vx, (yv * xx - xv * xy) AS vy FROM ns),
+strain_nodes AS (SELECT n.i, n.j, coalesce(sqrt(ux/det*(ux/det) + vy/det*(vy/det) + (uy/det + vx/det)*(uy/det + vx/det)/2), 0) AS v FROM nodes n LEFT JOIN ng USING (i, j)),
+patch AS (SELECT ir, ic, least(greatest(floor(ir / 2.5::DOUBLE), 0), 3)::INT AS i, least(greatest(floor(ic / 3.0::DOUBLE), 0), 4)::INT AS j FROM cells),
+strain AS (SELECT ir, ic, a.v * (1 - (ir / 2.5::DOUBLE - k.i)) * (1 - (ic / 3.0::DOUBLE - k.j)) + b.v * (ir / 2.5::DOUBLE - k.i) * (1 - (ic / 3.0::DOUBLE - k.j)) + c.v * (1 - (ir / 2.5::DOUBLE - k.i)) * (ic / 3.0::DOUBLE - k.j) + d.v * (ir / 2.5::DOUBLE - k.i) * (ic / 3.0::DOUBLE - k.j) AS strain
+  FROM patch k JOIN strain_nodes a ON a.i = k.i AND a.j = k.j JOIN strain_nodes b ON b.i = k.i + 1 AND b.j = k.j JOIN strain_nodes c ON c.i = k.i AND c.j = k.j + 1 JOIN strain_nodes d ON d.i = k.i + 1 AND d.j = k.j + 1)"""
+
+
+def sites(spark, sf):
+    """station, x, y, u, v: places and two components of motion of the stations seen on two days or more."""
+    by_day = events(spark, sf).groupBy(F.col("user_id").alias("station"), "ir", "ic", "win").agg(F.sum("mag").alias("u"), F.sum("value").alias("v"), F.count("*").alias("n"))
+    own = by_day.groupBy("station", "ir", "ic").agg(F.sum("u").alias("u"), F.sum("v").alias("v"), F.sum("n").alias("n"), F.count("*").alias("days")).filter("days >= 2")
+    return own.select("station", (F.col("ic") + F.col("station") % 5 / 10.0).alias("x"), (F.col("ir") + F.col("station") % 7 / 10.0).alias("y"), (F.col("u") / F.col("n")).alias("u"), (F.col("v") / F.col("n") / 100).alias("v"))
+
+
+def strain_nodes(spark, sf):
+    """i, j, v: the second invariant of strain at the 5 x 6 nodes of a coarse lattice; 0 where the stations near lie on a line."""
+    nodes = spark.range(30).select(F.col("id").alias("node"), (F.floor(F.col("id") / 6) * 2.5).alias("y"), (F.col("id") % 6 * 3.0).alias("x"))
+    near = joins.k_nearest(nodes, sites(spark, sf), "node", "station", 3, 1.5, carry=("u", "v"))
+    g = field.gradients(near, ["node"], "px", "py", ["u", "v"])
+    v = field.second_invariant(F.col("du_dx"), F.col("du_dy"), F.col("dv_dx"), F.col("dv_dy"))
+    own = nodes.select("node").join(g.select("node", v.alias("v")), "node", "left")
+    return own.select(F.floor(F.col("node") / 6).cast("int").alias("i"), (F.col("node") % 6).cast("int").alias("j"), F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+@query(f"WITH {EV}, {STRAIN.split('patch AS')[0].rstrip().rstrip(',')} SELECT i::INT AS i, j::INT AS j, {r6('v')} AS v FROM strain_nodes")
+def q_station_strain(spark, sf):
+    return strain_nodes(spark, sf).select("i", "j", fixed(F.col("v")).alias("v"))
+
+
+def strain_field(spark, sf):
+    """ir, ic, strain of every cell."""
+    return field.bilinear(GRID.cells(spark), strain_nodes(spark, sf), 2.5, 3.0, 5, 6).select("ir", "ic", F.col("v").alias("strain"))
+
+
+@query(f"WITH {EV}, {CELLS}, {STRAIN} SELECT ir, ic, {r6('strain')} AS strain FROM strain")
 def q_bilinear(spark, sf):
-    """A coarse field at the cells by bilinear interpolation, beyond its ends by the last patch."""
-    node = spark.range(30).select(F.floor(F.col("id") / 6).cast("int").alias("i"), (F.col("id") % 6).cast("int").alias("j")).withColumn("v", (F.col("i") - 2.0) * (F.col("j") + 1) / 10.0)
-    corner = lambda di, dj, name: F.broadcast(node.select((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.col("v").alias(name)))
-    clip = lambda x, top: F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(top)).cast("int")
-    k = GRID.cells(spark).withColumn("i", clip(F.col("ir") / 2.5, 3)).withColumn("j", clip(F.col("ic") / 3.0, 4))
-    for di, dj, name in ((0, 0, "a"), (1, 0, "b"), (0, 1, "c"), (1, 1, "d")):
-        k = k.join(corner(di, dj, name), ["i", "j"])
-    s, t = F.col("ir") / 2.5 - F.col("i"), F.col("ic") / 3.0 - F.col("j")
-    v = F.col("a") * (1 - s) * (1 - t) + F.col("b") * s * (1 - t) + F.col("c") * (1 - s) * t + F.col("d") * s * t
-    return k.select("ir", "ic", fixed(v).alias("v"))
+    """The coarse strain field at the cells by bilinear interpolation, beyond its ends by the last patch."""
+    return strain_field(spark, sf).select("ir", "ic", fixed(F.col("strain")).alias("strain"))
 
 
 @query(None)
