@@ -207,24 +207,6 @@ def q_spatial_kernel(spark, sf):
 _G = f"0.2::DOUBLE * pow({C}::DOUBLE, 0.2::DOUBLE) * pow((b.t_us - a.t_us)::DOUBLE / 86400000000 + {C}::DOUBLE, -{P}::DOUBLE) / 9"
 
 
-@query(f"""WITH {EV}, x AS (SELECT b.id, sum(exp({ALPHA}::DOUBLE * (a.mag - 2)) * {_G}) AS s, sum((a.mag - 2) * exp({ALPHA}::DOUBLE * (a.mag - 2)) * {_G}) AS sm FROM ev a JOIN ev b ON abs(a.ir - b.ir) <= 1 AND abs(a.ic - b.ic) <= 1 AND b.t_us > a.t_us AND b.t_us <= a.t_us + {REACH * HOUR} GROUP BY b.id),
-r AS (SELECT ev.id, mag, coalesce(s, 0) AS s, coalesce(sm, 0) AS sm FROM ev LEFT JOIN x ON x.id = ev.id), h AS (SELECT 1 - pow(1 + {REACH}::DOUBLE / 24 / {C}::DOUBLE, -0.2::DOUBLE) AS h)
-SELECT {r6(f"30 * 150 - sum(1 / ({MU} + {K} * s))")} AS d_mu, {r6(f"any_value(h) * sum(exp({ALPHA} * (mag - 2))) - sum(s / ({MU} + {K} * s))")} AS d_k, {r6(f"{K} * any_value(h) * sum((mag - 2) * exp({ALPHA} * (mag - 2))) - sum({K} * sm / ({MU} + {K} * s))")} AS d_alpha FROM r, h""")
-def q_nll_gradient(spark, sf):
-    """The gradient of the negative log-likelihood in the background rate and the productivity, in one aggregation over pair sums."""
-    e = events(spark, sf)
-    later = e.select("id", "ir", "ic", "t_us")
-    before = e.select("ir", "ic", F.col("mag").alias("m"), F.col("t_us").alias("from"), (F.col("t_us") + 1).alias("low"), (F.col("t_us") + REACH * HOUR + 1).alias("high"))
-    found = joins.range_join(later, GRID.neighbours(before, 1), "t_us", "low", "high", REACH * HOUR, ("ir", "ic"))
-    g = F.exp(ALPHA * (F.col("m") - 2)) * omori_density((F.col("t_us") - F.col("from")) / 86_400_000_000.0, C, P) / 9
-    sums = found.groupBy("id").agg(F.sum(g).alias("s"), F.sum((F.col("m") - 2) * g).alias("sm"))
-    r = e.select("id", "mag").join(sums, "id", "left").select((F.col("mag") - 2).alias("m"), F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("sm", F.lit(0.0)).alias("sm"))
-    h, lam, grown = F.max(omori_cumulative(F.lit(REACH / 24), C, P)), MU + K * F.col("s"), F.exp(ALPHA * F.col("m"))
-    return r.agg(
-        fixed(30 * 150 - F.sum(1 / lam)).alias("d_mu"), fixed(h * F.sum(grown) - F.sum(F.col("s") / lam)).alias("d_k"), fixed(K * h * F.sum(F.col("m") * grown) - F.sum(K * F.col("sm") / lam)).alias("d_alpha")
-    )
-
-
 @query(f"""WITH {EV}, main AS (SELECT * FROM ev WHERE mag >= 3.2), c AS (SELECT e.id, e.mag, greatest(2.0::DOUBLE, coalesce(max(m.mag - 1.2 - 0.75 * log10((e.t_us - m.t_us)::DOUBLE / 86400000000)), 2.0::DOUBLE)) AS mc FROM ev e LEFT JOIN main m ON m.ic = e.ic AND e.t_us > m.t_us AND e.t_us <= m.t_us + {6 * HOUR} GROUP BY e.id, e.mag)
 SELECT id, {r6('mc')} AS mc, mag >= mc AS complete FROM c""")
 def q_stai(spark, sf):

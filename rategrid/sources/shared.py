@@ -32,6 +32,13 @@ def release() -> None:
             return
 
 
+def _release_later(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not _written:
+        atexit.register(release)
+    _written.append((jvm_path, jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())))
+
+
 def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
@@ -40,8 +47,17 @@ def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/rategrid-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not _written:
-        atexit.register(release)
-    _written.append((jvm_path, jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())))
+    _release_later(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed_table(df: DataFrame, label: str, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder as a table in buckets sorted by ``keys``, and return it.  Grouping and joining it by ``keys`` then needs
+    no shuffle, however often it is read.  A bucket is written by one task, so a key's rows are in one file."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"rategrid_{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    _release_later(spark, path)
+    return spark.table(name)
