@@ -27,7 +27,8 @@ def all_equal(a: str, b: str, columns: list[str]) -> Column:
 def bucketed(rows: DataFrame, by: list[str], x: str, bucket: str, buckets: int = BUCKETS) -> DataFrame:
     """``rows`` with ``bucket``, which grows with ``x`` within each group; equal values share one, and a boundary has one of its own."""
     cuts = F.percentile_approx(x, [k / buckets for k in range(1, buckets)], 4 * buckets)
-    bounds = rows.groupBy(*by).agg(cuts.alias("_cuts"))
+    # written, as a sketch that is made again may give other boundaries
+    bounds = materialize(rows.groupBy(*by).agg(cuts.alias("_cuts")), "bounds")
     joined = rows.alias("r").join(bounds.alias("b"), all_equal("r", "b", by)).select("r.*", "b._cuts") if by else rows.crossJoin(F.broadcast(bounds))  # one row
     below = bounds_below(F.col("_cuts"), F.col(x), buckets)
     beyond = F.when((below > 0) & (F.get("_cuts", below - 1) < F.col(x)), 1).otherwise(0)

@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from rategrid.functions.core import rate_of
 from rategrid.operators import metrics
-from rategrid.operators.resample import stationary
+from rategrid.operators.resample import multiplicities, ranked_draws, stationary
 from rategrid.plans.base import fixed, query, r6
 from rategrid.plans.scores import PRED, RATE, predictions
 
-DRAWS, UNITS, FIRST = 60, 23, 7
+DRAWS, UNITS, FIRST = 2000, 23, 7
 #: A third forecast between the two: the geometric mean of their rates.
 THREE = f"""{PRED}, three AS (SELECT * FROM long UNION ALL SELECT 'mix', "window", ir, ic, y, 1 - exp(-sqrt({RATE('own')} * {RATE('near')})) FROM pred),
 lls AS (SELECT model, "window", sum(y * ln({RATE('p')}) - {RATE('p')}) AS ll, sum(y * ln(p) + (1 - y) * ln(1 - p)) AS bl, sum((p - y) * (p - y)) AS sq, sum(y)::DOUBLE AS y, count(*)::DOUBLE AS n FROM three GROUP BY ALL)"""
@@ -46,15 +46,7 @@ ranks AS (SELECT draw, model, sum(pos * tp / seen) / sum(pos) AS pr, sum((n - po
 
 
 def ranks(spark, df):
-    m = plan(spark).groupBy("draw", "window").agg(F.count("*").alias("m"))
-    tied = df.groupBy("window", "model", "p").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))  # before the draws multiply it
-    tied = tied.join(m, "window").groupBy("draw", "model", "p").agg(F.sum(F.col("m") * F.col("pos")).cast("double").alias("pos"), F.sum(F.col("m") * F.col("n")).cast("double").alias("n"))
-    down = Window.partitionBy("draw", "model").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = tied.withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down))
-    neg = F.col("n") - F.col("pos")
-    s = c.groupBy("draw", "model").agg(F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("ap"), F.sum(neg * (F.col("tp") - F.col("pos") / 2)).alias("above"), F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    s = s.filter((F.col("pos") > 0) & (F.col("pos") < F.col("n")))  # a draw of one class has no ranking
-    return s.select("draw", "model", (F.col("ap") / F.col("pos")).alias("pr"), (F.col("above") / (F.col("pos") * (F.col("n") - F.col("pos")))).alias("roc"))
+    return ranked_draws(df, multiplicities(plan(spark), UNITS, FIRST, DRAWS), FIRST)
 
 
 @query(f"""WITH {RANKS}, b AS (SELECT draw, model, sum(sq) / sum(n) AS brier FROM plan JOIN lls USING ("window") GROUP BY ALL),

@@ -252,7 +252,7 @@ def _gain():
 
 
 _HEX = "('0x' || substr(md5(draw || '-' || pos), {}, 8))::BIGINT"
-_PLAN = f"""g AS (SELECT d.range AS draw, p.range AS pos FROM range(200) d, range(23) p), f AS (SELECT *, CASE WHEN pos = 0 OR {_HEX.format(1)} % 3 = 0 THEN pos END AS begun, {_HEX.format(9)} % 23 AS s FROM g),
+_PLAN = f"""g AS (SELECT d.range AS draw, p.range AS pos FROM range(2000) d, range(23) p), f AS (SELECT *, CASE WHEN pos = 0 OR {_HEX.format(1)} % 3 = 0 THEN pos END AS begun, {_HEX.format(9)} % 23 AS s FROM g),
 l AS (SELECT draw, pos, max(begun) OVER (PARTITION BY draw ORDER BY pos ROWS UNBOUNDED PRECEDING) AS begun FROM f), plan AS (SELECT l.draw, (f.s + l.pos - l.begun) % 23 AS place FROM l JOIN f ON f.draw = l.draw AND f.pos = l.begun)"""
 
 
@@ -262,7 +262,7 @@ SELECT {r6("quantile_cont(gain, 0.025)")} AS low, {r6("quantile_cont(gain, 0.975
 def q_bootstrap_ig(spark, sf):
     """Interval of the gain: windows are summed once and drawn in blocks, the same for both forecasts."""
     per = predictions(spark, sf).groupBy("window").agg(F.sum(_gain()).alias("d"), F.sum("y").alias("y"))
-    plan = stationary(spark, 23, 200)
+    plan = stationary(spark, 23, 2000)
     draws = plan.join(F.broadcast(per), F.col("window") == F.col("place") + 7).groupBy("draw").agg((F.sum("d") / F.greatest(F.sum("y"), F.lit(1))).alias("gain"))
     low, high = (F.percentile("gain", F.lit(q)) for q in (0.025, 0.975))
     return draws.agg(fixed(low).alias("low"), fixed(high).alias("high"), fixed(F.avg((F.col("gain") > 0).cast("int"))).alias("wins"), ((low > 0) | (high < 0)).alias("excludes_0"))
