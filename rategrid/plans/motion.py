@@ -1,14 +1,14 @@
-"""Likelihoods over pairs, simulated cascades and streams."""
+"""Likelihoods over pairs, and streams."""
 
 from pyspark.sql import functions as F
 
 from rategrid.functions.core import micros_since, omori_cumulative, omori_density, productivity
 from rategrid.operators import joins
-from rategrid.operators.cascade import simulate
 from rategrid.plans import catalog  # noqa: F401  its SQL is used
-from rategrid.plans.base import EV, GRID, ORACLES, events, fixed, query, r6, shaped
+from rategrid.plans.base import EV, GRID, ORACLES, events, fixed, query, r6
 from rategrid.sources.shared import shared_folder
-from rategrid.streaming.counts import drained, sequences, sliding_counts, window_counts, without_near_repeats
+from rategrid.streaming.counts import drained, sequences, sliding_counts, window_counts
+from rategrid.streaming.ordered import keyed_timers, without_near_repeats
 
 #: Offspring of an event: mean K exp(ALPHA (m - 2)), waiting times (C, P) in days, up to REACH hours, over the 3 x 3 cells around.
 MU, K, ALPHA, C, P, REACH = 0.4, 0.3, 0.8, 0.02, 1.2, 3
@@ -58,14 +58,6 @@ def q_stream_counts(spark, sf):
     return out.select(F.timestamp_add("SECOND", F.unix_seconds("start"), F.lit("1970-01-01").cast("timestamp_ntz")).alias("start"), "n", "top")
 
 
-@query(None)
-def q_cascade_sim(spark, sf):
-    """Rates per generation of simulated cascades; the background rate is that of the events."""
-    per_day = events(spark, sf).filter("mag >= 2.0").agg(F.count("*") / 30.0).first()[0]  # one number
-    sims = simulate(spark, 200, 30.0, per_day, 0.2, 0.8, 0.02, 1.2)
-    return sims.groupBy("gen").agg(F.count("*").alias("n"), fixed(F.avg("mag")).alias("mean_mag"), F.countDistinct("sim").alias("sims"))
-
-
 def _instants(e):
     return e.withColumn("ts", F.timestamp_micros(micros_since(F.col("ts"), "1970-01-01")))
 
@@ -86,17 +78,22 @@ def q_stream_sliding(spark, sf):
 @query("""WITH g AS (SELECT event_type, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 3 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)), s AS (SELECT event_type, ts, sum(new) OVER (PARTITION BY event_type ORDER BY ts) AS k FROM g)
 SELECT event_type, epoch_us(min(ts)) AS start, count(*)::BIGINT AS n FROM s GROUP BY event_type, k""")
 def q_stream_sessions(spark, sf):
-    """Sequences of each kind by Structured Streaming, as far as the stream has gone."""
+    """Sequences of each kind by Structured Streaming; each comes out when the watermark has passed it, and leaves the state."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     build = lambda e: sequences(_instants(e), "event_type", gap="3 hours").withColumn("start", F.struct("event_type", "start"))
-    out = drained(spark, sf, schema, build, shared_folder(spark), "events.parquet", "complete")
+    out = drained(spark, sf, schema, build, shared_folder(spark), "events.parquet", "append", close="ts")
     return out.select("event_type", F.unix_micros("start.start").alias("start"), "n")
 
 
 @query(ORACLES["q_dedupe_greedy"].replace("SELECT id FROM r WHERE keep", "SELECT ic, id FROM r WHERE keep"))
 def q_stream_dedupe(spark, sf):
-    """The greedy dedupe with its kept rows as streaming state."""
+    """The greedy dedupe over a stream whose rows may come out of order, with waiting rows and kept ones as its state."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    build = lambda e: without_near_repeats(shaped(e).select("ic", "id", "t_us", "mag"), "ic", HOUR, 0.05).withColumn("start", F.col("id"))
-    out = drained(spark, sf, schema, build, shared_folder(spark), "events.parquet", "append")
+
+    def build(e):
+        rows = _instants(e).select(F.col("event_id").alias("id"), "ts", F.unix_micros("ts").alias("t_us"), (1 + F.log(1 + F.col("value")) / F.log(F.lit(10.0))).alias("mag"), (F.floor(F.col("user_id") / 10) % 15).cast("int").alias("ic"))
+        return without_near_repeats(rows, "ic", HOUR, 0.05).withColumn("start", F.col("id"))
+
+    with keyed_timers(spark):
+        out = drained(spark, sf, schema, build, shared_folder(spark), "events.parquet", "append", close="ts")
     return out.select("ic", "id")

@@ -1,18 +1,22 @@
 """Sequences, alarms and forecasts that are issued and scored; stations as sources of features."""
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rategrid.functions.core import rate_of
-from rategrid.operators import field, joins, metrics, slopes
+from rategrid.operators import field, joins, metrics, slopes, trajectory
 from rategrid.operators.features import box, dense
 from rategrid.operators.quantiles import quantiles
 from rategrid.operators.sequences import steps
+from rategrid.operators.trajectory import DEPENDENT
 from rategrid.plans.base import CELLS, EV, GRID, WINS, events, fixed, query, r6
 from rategrid.plans.features import CUBE, feature_cube
 from rategrid.plans.model import EXPECTED, expected_counts
 from rategrid.plans.scores import PRED, RATE, predictions
 from rategrid.sources import tables
+from rategrid.sources.shared import materialize
 from rategrid.plans.contract import FEATURES
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -199,22 +203,47 @@ def q_slope_change(spark, sf):
     return s.filter("na >= 3 AND nb >= 3").select("station", fixed(F.col("b") - F.col("a")).alias("change"))
 
 
-#: Normal equations of a trend and one step at day 15, by sums.
-_TRAJ = f"""{ST}, x AS (SELECT station, win::DOUBLE AS t, (win >= 15)::INT::DOUBLE AS h, v FROM st), s AS (SELECT station, count(*)::DOUBLE AS n, sum(t) AS t, sum(h) AS h, sum(t * t) AS tt, sum(t * h) AS th, sum(h * h) AS hh, sum(v) AS v, sum(t * v) AS tv, sum(h * v) AS hv FROM x GROUP BY station),
-c AS (SELECT *, tt - t * t / n AS ctt, th - t * h / n AS cth, hh - h * h / n AS chh, tv - t * v / n AS ctv, hv - h * v / n AS chv FROM s), d AS (SELECT *, ctt * chh - cth * cth AS det FROM c)"""
+_M, _YEAR = 7, 10.0
+_XS = ["1.0::DOUBLE", "win::DOUBLE", "(win >= 15)::INT::DOUBLE", *[f"{f}({k * 2 * math.pi / _YEAR!r}::DOUBLE * win)" for k in (1, 2) for f in ("sin", "cos")], "v"]
+#: Normal equations of cells' series up to every fifth day, eliminated one diagonal element after another.
+_TRAJ = f"""sr AS (SELECT ir * 15 + ic AS station, win, avg(mag) AS v FROM ev GROUP BY ALL), ns AS (SELECT station, b.range AS cutoff, count(*)::BIGINT AS n, [{", ".join(f"sum({_XS[i]} * {_XS[j]})" for i in range(_M) for j in range(_M + 1))}] AS a FROM sr, range(1, 7) b WHERE win < b.range * 5 GROUP BY ALL HAVING bool_or(win >= b.range * 5 - 5)),
+el AS (SELECT station, cutoff, n, 0 AS k, a, a AS a0 FROM ns UNION ALL SELECT station, cutoff, n, k + 1, list_transform(range({_M * (_M + 1)}), lambda q: CASE WHEN abs(a[k * {_M + 2} + 1]) > {DEPENDENT} * greatest(abs(a0[k * {_M + 2} + 1]), 1e-300)
+  THEN CASE WHEN q // {_M + 1} = k THEN a[q + 1] / a[k * {_M + 2} + 1] ELSE a[q + 1] - a[(q // {_M + 1}) * {_M + 1} + k + 1] * a[k * {_M + 1} + q % {_M + 1} + 1] / a[k * {_M + 2} + 1] END
+  ELSE CASE WHEN q // {_M + 1} = k OR q % {_M + 1} = k THEN 0 ELSE a[q + 1] END END), a0 FROM el WHERE k < {_M}),
+tj AS (SELECT station, cutoff, n, list_transform(range({_M}), lambda i: a[i * {_M + 1} + {_M + 1}]) AS c FROM el WHERE k = {_M} AND n >= 14)"""
+
+
+def cell_series(spark, sf):
+    """station, win, v: the mean magnitude of each cell and day."""
+    return events(spark, sf).groupBy((F.col("ir") * 15 + F.col("ic")).alias("station"), "win").agg(F.avg("mag").alias("v"))
+
+
+def trajectories(series):
+    """Fits of the series up to every fifth day: a trend, a step at day 15, and waves of ten and five days."""
+    columns = trajectory.design(F.col("win"), _YEAR, (F.col("win") >= 15,))
+    return trajectory.fits(series, "station", F.floor(F.col("win") / 5), columns, F.col("v"), 14).filter("c IS NOT NULL")
 
 
-@query(f"WITH {_TRAJ} SELECT station, {r6('(ctv * chh - chv * cth) / det')} AS trend, {r6('(ctt * chv - cth * ctv) / det')} AS step FROM d WHERE det > 1e-6")
+@query(f"WITH RECURSIVE {EV}, {_TRAJ} SELECT station, cutoff, n, {r6('c[2]')} AS trend, {r6('c[3]')} AS step, {r6('sqrt(c[4] * c[4] + c[5] * c[5])')} AS yearly, {r6('sqrt(c[6] * c[6] + c[7] * c[7])')} AS half_yearly FROM tj")
 def q_trajectory(spark, sf):
-    """Least squares of a trend and a step for each station, from sums: no station is gathered."""
-    t, h, v = F.col("win").cast("double"), (F.col("win") >= 15).cast("double"), F.col("v")
-    names = {"t": t, "h": h, "tt": t * t, "th": t * h, "hh": h * h, "v": v, "tv": t * v, "hv": h * v}
-    s = stations(spark, sf).groupBy("station").agg(F.count("*").cast("double").alias("n"), *[F.sum(x).alias(k) for k, x in names.items()])
-    c = lambda a, x, y: (F.col(a) - F.col(x) * F.col(y) / F.col("n")).alias("c" + a)
-    d = s.select("station", c("tt", "t", "t"), c("th", "t", "h"), c("hh", "h", "h"), c("tv", "t", "v"), c("hv", "h", "v"))
-    det = F.col("ctt") * F.col("chh") - F.col("cth") * F.col("cth")
-    d = d.withColumn("det", det).filter("det > 1e-6")
-    return d.select("station", fixed((F.col("ctv") * F.col("chh") - F.col("chv") * F.col("cth")) / F.col("det")).alias("trend"), fixed((F.col("ctt") * F.col("chv") - F.col("cth") * F.col("ctv")) / F.col("det")).alias("step"))
+    """Trend, step and amplitudes of the waves of each cell's series, as they stood at every cutoff; no station is gathered."""
+    c = lambda i: F.get("c", F.lit(i))
+    wave = lambda i: fixed(F.sqrt(c(i) * c(i) + c(i + 1) * c(i + 1)))
+    return trajectories(cell_series(spark, sf)).select("station", "cutoff", "n", fixed(c(1)).alias("trend"), fixed(c(2)).alias("step"), wave(3).alias("yearly"), wave(5).alias("half_yearly"))
+
+
+@query(f"""WITH RECURSIVE {EV}, {_TRAJ}, rs AS (SELECT sr.station, win, v - ({" + ".join(f"c[{i + 1}] * {_XS[i]}" for i in range(_M))}) AS r FROM sr JOIN tj ON tj.station = sr.station AND tj.cutoff = win // 5), md AS (SELECT win, quantile_cont(r, 0.5) AS m FROM rs GROUP BY win)
+SELECT station, win // 5 AS cutoff, count(*)::BIGINT AS n, {r6("max(abs(r - m))")} AS largest, {r6("regr_slope(r - m, win)")} AS rate FROM rs JOIN md USING (win) GROUP BY station, win // 5 HAVING count(*) > 1""")
+def q_transients(spark, sf):
+    """What the series did after the fits that stood then: residuals less the median of all cells of the day, their rate and the largest."""
+    series = cell_series(spark, sf)
+    columns = trajectory.design(F.col("win"), _YEAR, (F.col("win") >= 15,))
+    r = trajectory.residuals(series, trajectories(series), "station", F.floor(F.col("win") / 5), columns, F.col("v")).filter("residual IS NOT NULL")
+    r = materialize(r, "residuals")
+    common = quantiles(r, ["win"], "residual", [0.5]).select(F.col("win").alias("day"), F.col("p")[0].alias("m"))
+    left = r.join(common, F.col("win") == F.col("day")).withColumn("x", F.col("residual") - F.col("m"))
+    out = left.groupBy("station", F.floor(F.col("win") / 5).alias("cutoff")).agg(F.count("*").alias("n"), fixed(F.max(F.abs("x"))).alias("largest"), fixed(F.regr_slope("x", F.col("win").cast("double"))).alias("rate"))
+    return out.filter("n > 1")
 
 
 IDW = f"""{ST}, {CELLS}, pl AS (SELECT station, any_value(ir) + (station % 7) / 10.0 AS r, any_value(ic) + (station % 5) / 10.0 AS c, avg(v) AS v, count(*) AS days FROM st GROUP BY station), dd AS (SELECT k.ir, k.ic, v, greatest(sqrt((k.ir - r) ** 2 + (k.ic - c) ** 2), 0.5) AS d FROM cells k, pl WHERE days >= 2),

@@ -32,7 +32,8 @@ def release() -> None:
             return
 
 
-def _release_later(spark: SparkSession, path: str) -> None:
+def release_later(spark: SparkSession, path: str) -> None:
+    """``release`` will delete ``path``."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not _written:
         atexit.register(release)
@@ -47,7 +48,7 @@ def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/rategrid-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    _release_later(spark, path)
+    release_later(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,5 +60,5 @@ def bucketed_table(df: DataFrame, label: str, keys: list[str], buckets: int | No
     name = f"rategrid_{label.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
     df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
-    _release_later(spark, path)
+    release_later(spark, path)
     return spark.table(name)

@@ -1,43 +1,11 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from rategrid.operators.cascade import simulate, truncated_magnitudes
 from rategrid.operators.resample import stationary
-from rategrid.plans.base import events
-from rategrid.plans.motion import q_cascade_sim
 from rategrid.sources.logs import append_new, read_catalog
 from rategrid.streaming.counts import drained, window_counts
 
 
-def test_cascade_without_offspring_is_poisson(spark):
-    n = [r["n"] for r in simulate(spark, 400, 10.0, 3.0, 0.0, 0.8, 0.02, 1.2).groupBy("sim").agg(F.count("*").alias("n")).collect()]
-    assert abs(np.mean(n) - 30) < 1.5 and abs(np.var(n) - 30) < 8
-
-
-def test_cascade_first_generation(spark):
-    # waits are short against the span, so nearly every offspring falls inside it; without a magnitude effect its mean is k
-    got = {r["gen"]: r["n"] for r in simulate(spark, 100, 1000.0, 0.5, 0.4, 0.0, 1e-6, 2.0).groupBy("gen").agg(F.count("*").alias("n")).collect()}
-    assert abs(got[1] / got[0] - 0.4) < 0.02 and abs(got[2] / got[1] - 0.4) < 0.02
-
-
-def test_cascade_of_many_background_events(spark):
-    # 150,000 of them in one simulation, in pieces that all differ
-    got = simulate(spark, 2, 10.0, 15_000.0, 0.0, 0.8, 0.02, 1.2).groupBy("sim").agg(F.count("*").alias("n"), F.countDistinct("t").alias("times")).collect()
-    assert len(got) == 2 and all(abs(r["n"] - 150_000) < 2500 and r["n"] == r["times"] for r in got)
-
-
-def test_cascades_have_the_rate_of_the_events(spark):
-    sf = "/root/testdata/sf0.01"
-    n = events(spark, sf).filter("mag >= 2.0").count()
-    got = {r["gen"]: r["n"] for r in q_cascade_sim(spark, sf).collect()}
-    assert n > 50 * 30 and abs(got[0] / 200 / n - 1) < 0.01
-
-
-def test_magnitudes_stay_in_range():
-    m = truncated_magnitudes(np.array([0.0, 0.5, 1 - 1e-16]), 1.0, 2.0, 7.6)
-    assert m[0] == 2.0 and 2.2 < m[1] < 2.4 and m[2] <= 7.6 + 1e-9
-
-
 def test_resampling_plan(spark):
     rows = stationary(spark, 20, 50).collect()
     assert len(rows) == 1000 and all(0 <= r["place"] < 20 for r in rows)
