@@ -98,17 +98,6 @@ def q_mechanism(spark, sf):
     return t.select(F.coalesce("early", F.lit(-1)).alias("early"), F.coalesce("zone", F.lit(-1)).alias("zone"), fixed(F.col("placement")).alias("placement"), fixed(F.col("counts")).alias("counts"), fixed(share).alias("share"))
 
 
-@query(f"""WITH {_SIMS}, n AS (SELECT sim, count(*) FILTER (mag >= 2.5)::DOUBLE AS n, max(mag) AS top, sum(ir) FILTER (mag >= 2.5)::DOUBLE / nullif(count(*) FILTER (mag >= 2.5), 0) AS r FROM s GROUP BY sim), o AS (SELECT * FROM n WHERE sim = 0)
-SELECT count(*)::BIGINT AS sims, {r6('avg((n.n <= o.n)::INT)')} AS n_test, {r6('avg((n.top <= o.top)::INT)')} AS m_test, {r6('avg((n.r <= o.r)::INT)')} AS s_test FROM n, o WHERE n.sim > 0""")
-def q_csep_quantile(spark, sf):
-    """Consistency: the share of simulated catalogs with at most the observed count, largest magnitude and mean place; catalog 0 is the observed one."""
-    big = F.col("mag") >= 2.5
-    n = _sims(spark, sf).groupBy("sim").agg(F.count_if(big).alias("n"), F.max("mag").alias("top"), F.avg(F.when(big, F.col("ir"))).alias("r"))
-    o = F.broadcast(n.filter("sim = 0").select(F.col("n").alias("n0"), F.col("top").alias("top0"), F.col("r").alias("r0")))  # one row
-    share = lambda a, b: fixed(F.avg((F.col(a) <= F.col(b)).cast("int")))
-    return n.filter("sim > 0").crossJoin(o).agg(F.count("*").alias("sims"), share("n", "n0").alias("n_test"), share("top", "top0").alias("m_test"), share("r", "r0").alias("s_test"))
-
-
 @query(f"""WITH {PRED}, d AS (SELECT ir, "window", sum(y * (ln({RATE('own')}) - ln({RATE('near')})) - ({RATE('own')} - {RATE('near')})) AS d FROM pred GROUP BY ALL), k AS (SELECT ir, count(*) FILTER (d > 0) AS k, count(*) AS n FROM d GROUP BY ir)
 SELECT ir, k::BIGINT AS k, {r6('(SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) - n * ln(2.0))) FROM range(24) r(i) WHERE i >= k AND i <= n)')} AS tail FROM k""")
 def q_binomial_gate(spark, sf):

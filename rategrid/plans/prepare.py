@@ -1,13 +1,15 @@
 """Sources in text form, preparation of catalogs, and their joins."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rategrid.functions.core import micros_since
 from rategrid.operators import joins
 from rategrid.plans.base import CELLS, EV, GRID, events, fixed, query, r6
-from rategrid.sources import tables, text
-from rategrid.sources.shared import shared_folder
+from rategrid.sources import encoded, tables, text
+from rategrid.sources.shared import release_later, shared_folder
 
 HOUR = 3_600_000_000
 
@@ -31,6 +33,33 @@ def q_parse_bulletin(spark, sf):
     return got.select("page_id", F.col("no").cast("long").alias("id"), fixed(text.number(F.col("pref"))).alias("pref"), fixed(text.number(F.col("md"))).alias("md"), F.when(F.col("announced") == F.col("rows"), F.col("announced")).alias("announced"), "kind")
 
 
+#: Letters that the older code page has and ASCII has not.
+_PLACE = "\u0130ZM\u0130R \u015eİLE \u011f\u0131"
+
+
+@query(f"""WITH {EV}, p AS (SELECT range AS page_id FROM range(32)), n AS (SELECT win AS page_id, count(*) AS n, sum(round(mag, 1)) AS mag FROM ev GROUP BY win)
+SELECT p.page_id::BIGINT AS page_id, (CASE WHEN p.page_id >= 30 THEN 2 ELSE coalesce(n, 0) + (p.page_id % 10 = 3)::INT END)::BIGINT AS announced, coalesce(n, 0)::BIGINT AS rows, p.page_id < 30 AND p.page_id % 10 <> 3 AS ok, coalesce(n, 0)::BIGINT AS places, {r6('coalesce(mag, 0)')} AS mag FROM p LEFT JOIN n USING (page_id)""")
+def q_encoded_bulletin(spark, sf):
+    """Events as pages in files of code page 1254, one a day, read back by file: counts that a page announces wrongly show, and so do pages that announce
+    rows and hold none."""
+    e = events(spark, sf)
+    mag, blank = F.format_number("mag", 1), F.lit("")
+    fields = [F.col("id").cast("string"), F.concat(F.lit("c"), F.col("id")), F.date_format("ts", "yyyy.MM.dd"), F.date_format("ts", "HH:mm:ss.SS"), F.col("ir").cast("string"), F.col("ic").cast("string"), F.lit("5.0"), mag, mag, mag, blank, blank, F.lit("0.0"), F.lit("Ke"), F.lit(_PLACE)]
+    rows = e.select(F.col("win").cast("long").alias("page_id"), F.lit(1).alias("part"), "id", F.concat_ws("\t", *fields).alias("line"))
+    n = e.groupBy(F.col("win").cast("long").alias("page_id")).agg(F.count("*").alias("n"))
+    said = spark.range(32).withColumnRenamed("id", "page_id").join(n, "page_id", "left")
+    wrong = F.coalesce("n", F.lit(0)) + (F.col("page_id") % 10 == 3).cast("int")
+    head = said.select("page_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("id"), F.concat(F.lit("<html><b>"), F.when(F.col("page_id") >= 30, 2).otherwise(wrong), F.lit(" rows</b><pre>No\tcode")).alias("line"))
+    foot = said.select("page_id", F.lit(2).alias("part"), F.lit(0).cast("long").alias("id"), F.lit("</pre></html>").alias("line"))
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    release_later(spark, folder)
+    encoded.write_pages(head.unionByName(rows).unionByName(foot), folder, "page_id", ["part", "id"], "cp1254")
+    pages = encoded.read_pages(spark, folder, "cp1254", "*.csv").withColumn("page_id", F.col("page_id").cast("long"))
+    got = text.bulletin(pages)
+    sums = got.groupBy("page_id").agg(F.count_if(F.col("place") == _PLACE).alias("places"), fixed(F.sum(text.number(F.col("pref")))).alias("mag"))
+    return encoded.judged(pages, got).join(sums, "page_id", "left").select("page_id", "announced", "rows", "ok", F.coalesce("places", F.lit(0)).alias("places"), F.coalesce("mag", F.lit(0.0)).alias("mag"))
+
+
 @query(f"WITH {EV} SELECT mag_type AS kind, count(*)::BIGINT AS n, mag_type <> 'error' AS kept, {r6('count(*)::DOUBLE / sum(count(*)) OVER ()')} AS share FROM ev GROUP BY mag_type")
 def q_type_histogram(spark, sf):
     """Rows of each kind, and whether the category filter keeps it."""
@@ -51,15 +80,21 @@ def q_parse_xml(spark, sf):
     return got.select(F.col("place").cast("long").alias("id"), F.coalesce("lat", F.lit(0.0)).alias("lat"), fixed(F.col("mag")).alias("mag"), micros_since(text.to_utc(local), "1970-01-01").alias("utc_us"))
 
 
-@query(f"WITH {EV} SELECT count(*)::BIGINT AS days, sum(n)::BIGINT AS n, {r6('sum(s)')} AS east FROM (SELECT user_id, win, count(*) AS n, round(sum(mag), 4) AS s FROM ev GROUP BY ALL)")
+@query(f"WITH {EV} SELECT lpad(ic::VARCHAR, 4, '0') AS station, count(*)::BIGINT AS days, min(win)::INT AS first_day, {r6('sum(s)')} AS east, {r6('sum(n)::DOUBLE')} AS north FROM (SELECT ic, win, count(*) AS n, round(sum(mag), 4) AS s FROM ev GROUP BY ALL) GROUP BY ic")
 def q_station_series(spark, sf):
-    """Daily positions written as a whitespace-separated series, read back."""
-    d = events(spark, sf).groupBy("user_id", "win").agg(F.count("*").alias("n"), F.round(F.sum("mag"), 4).alias("s"))
+    """Daily positions as files of whitespace-separated columns, one a station, read back."""
+    d = events(spark, sf).groupBy("ic", "win").agg(F.count("*").alias("n"), F.round(F.sum("mag"), 4).alias("s"))
     day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("win"))
-    line = F.concat_ws("  ", F.lpad(F.col("user_id").cast("string"), 4, "0"), F.date_format(day, "yyMMMdd"), F.lit("2024.0001"), (F.datediff(day, F.lit("1858-11-17").cast("date"))).cast("string"), F.lit("2000"), F.lit("1"), F.lit("27.0"), F.lit("0"), F.format_string("%.7f", F.col("s") / 1000), F.col("n").cast("string"), F.lit("0.0"))
-    got = text.station_series(d.select(line.alias("line")).unionAll(spark.createDataFrame([("site YYMMMDD yyyy.yyyy",)], "line string")))
-    good = got.filter(F.datediff("day", F.lit("1858-11-17").cast("date")) == F.col("mjd"))
-    return good.agg(F.count("*").alias("days"), (F.sum("north") / 1000).cast("long").alias("n"), fixed(F.sum("east")).alias("east"))
+    number = lambda x: F.format_string("%.7f", x / 1000)
+    line = F.concat_ws("  ", F.lpad(F.col("ic").cast("string"), 4, "0"), F.date_format(day, "yyMMMdd"), F.lit("2024.0001"), (F.datediff(day, F.lit("1858-11-17").cast("date"))).cast("string"), F.lit("2000"), F.lit("1"), F.lit("27.0"), F.lit("0"), number(F.col("s")), F.lit("0"), number(F.col("n")))
+    rows = d.select(F.col("ic").alias("station"), F.col("win").alias("at"), line.alias("line"))
+    heads = d.select(F.col("ic").alias("station"), F.lit(-1).alias("at"), F.lit("site YYMMMDD yyyy.yyyy __MJD week d reflon _e0(m)").alias("line")).distinct()
+    folder = f"{shared_folder(spark)}/series-{uuid.uuid4().hex}"
+    release_later(spark, folder)
+    rows.unionByName(heads).repartition("station").sortWithinPartitions("station", "at").select("station", F.col("line").alias("value")).write.partitionBy("station").text(folder)
+    got = text.station_series(spark.read.text(folder).select(F.col("value").alias("line")))
+    first = F.datediff(F.min("day"), F.lit("2024-01-01").cast("date"))
+    return got.groupBy("station").agg(F.count("*").alias("days"), first.alias("first_day"), fixed(F.sum("east")).alias("east"), fixed(F.sum("north")).alias("north"))
 
 
 @query(f"WITH {EV}, s AS (SELECT user_id, max(ts)::DATE AS day, count(*)::INT AS kind FROM ev GROUP BY user_id) SELECT lpad(user_id::VARCHAR, 5, '0') AS station, day, kind FROM s")

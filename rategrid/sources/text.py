@@ -20,14 +20,17 @@ def number(text: Column) -> Column:
 def bulletin(pages: DataFrame) -> DataFrame:
     """page_id, announced (rows the page says it has), rows (found) and the FIELDS of every row of tab-separated pages (page_id, html).
 
-    The table stands in ``pre``; a row has 15 fields.  A page whose number of rows isn't the announced one shows in the counts.
+    The table stands in ``pre``; a row has 15 fields.  A page whose number of rows isn't the announced one shows in the counts; one that
+    announces rows and has none is a row without fields.
     """
     body = F.regexp_extract("html", r"(?s)<pre>(.*?)</pre>", 1)
     announced = F.regexp_extract("html", r"(\d+) rows", 1).try_cast("long")
     lines = pages.select("page_id", announced.alias("announced"), F.explode(F.split(body, "\n")).alias("line")).withColumn("f", F.split("line", "\t"))
     rows = lines.filter(F.size("f") == len(FIELDS))
     found = rows.groupBy("page_id").agg(F.count("*").alias("rows"))
-    return rows.join(found, "page_id").select("page_id", "announced", "rows", *[F.trim(F.col("f")[k]).alias(name) for k, name in enumerate(FIELDS)])
+    every = pages.select("page_id", announced.alias("announced")).join(found, "page_id", "left").filter("rows > 0 OR announced > 0")
+    own = rows.select(F.col("page_id").alias("_page"), *[F.trim(F.col("f")[k]).alias(name) for k, name in enumerate(FIELDS)])
+    return every.join(own, F.col("page_id") == F.col("_page"), "left").select("page_id", "announced", F.coalesce("rows", F.lit(0)).alias("rows"), *FIELDS)
 
 
 def events_of_xml(pages: DataFrame) -> DataFrame:
