@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rategrid.operators.graph import components
+from rategrid.operators.graph import components_by_size
 from rategrid.sources.shared import materialize
 
 
@@ -80,5 +80,5 @@ def drop_near_repeats(df: DataFrame, by: list[str], gap: int, dmag: float, block
 
 def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, cluster of every node (id): the smallest id reachable over ``edges`` (a, b)."""
-    found = components(edges)
+    found = components_by_size(edges)
     return nodes.join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("comp", "id").alias("cluster"))

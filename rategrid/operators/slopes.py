@@ -61,6 +61,14 @@ def over_all(events: DataFrame, block: int, least: float) -> DataFrame:
     return slim.withColumn("up", up).groupBy("_b").agg(F.min_by("mag", at).alias("first"), F.max_by("mag", at).alias("last"), F.count("up").alias("k"), F.coalesce(F.sum("up"), F.lit(0.0)).alias("s"))
 
 
+def slope_of_all(events: DataFrame, block: int, least: float, enough: int = 30) -> DataFrame:
+    """One row: b of all events, null with fewer than ``enough`` positive steps."""
+    parts = over_all(events, block, least)
+    jump = F.col("first") - F.lag("last").over(Window.orderBy("_b"))  # a row for each block
+    sums = parts.withColumn("j", F.when(jump >= least, jump)).agg((F.coalesce(F.sum("k"), F.lit(0)) + F.count("j")).alias("k"), (F.coalesce(F.sum("s"), F.lit(0.0)) + F.coalesce(F.sum("j"), F.lit(0.0))).alias("s"))
+    return sums.select(F.when(F.col("k") >= enough, 1 / (F.log(F.lit(10.0)) * (F.col("s") / F.col("k") - least))).alias("b"))
+
+
 def trailing(parts: DataFrame, frame: DataFrame, by: list[str], days: int, blocks_a_day: int, least: float, enough: int = 30) -> DataFrame:
     """``by``, window, b for every row of ``frame`` (``by``, window: every day): the slope of the ``days`` days before the window, null with
     fewer than ``enough`` positive steps.  A step counts if both its events are in these days."""

@@ -98,9 +98,12 @@ def q_flat_cell(spark, sf):
     return events(spark, sf).groupBy((F.col("ir") * 15 + F.col("ic")).alias("cell")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {CELLS} SELECT ir, ic FROM cells")
+@query(f"WITH {EV}, {CELLS} SELECT c.ir, c.ic, c.ir + 0.5::DOUBLE AS row_centre, c.ic + 0.5::DOUBLE AS col_centre, count(DISTINCT e.user_id)::BIGINT AS stations FROM cells c LEFT JOIN ev e USING (ir, ic) GROUP BY c.ir, c.ic")
 def q_lattice(spark, sf):
-    return GRID.cells(spark)
+    """Every cell with its centre, and the stations in it."""
+    n = events(spark, sf).groupBy("ir", "ic", "user_id").agg(F.lit(1).alias("one")).groupBy("ir", "ic").agg(F.count("*").alias("stations"))
+    centre = lambda c: (F.col(c) + 0.5)
+    return GRID.cells(spark).join(n, ["ir", "ic"], "left").select("ir", "ic", centre("ir").alias("row_centre"), centre("ic").alias("col_centre"), F.coalesce("stations", F.lit(0)).alias("stations"))
 
 
 @query("SELECT o_orderkey, floor((year(o_orderdate) + (epoch_us(date_trunc('day', o_orderdate)) - epoch_us(date_trunc('year', o_orderdate)))::DOUBLE / (epoch_us(date_trunc('year', o_orderdate) + INTERVAL 1 YEAR) - epoch_us(date_trunc('year', o_orderdate)))::DOUBLE) * 1000000 + 0.5) / 1000000 AS decimal_year FROM orders")

@@ -4,10 +4,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rategrid.functions.core import omori_cumulative, omori_density, productivity, rate_of, rescaled, spatial_density
-from rategrid.operators import joins, metrics
+from rategrid.operators import joins, metrics, slopes
 from rategrid.operators.features import dense
 from rategrid.operators.quantiles import quantiles
-from rategrid.operators.sequences import steps
 from rategrid.plans.base import CELLS, EV, GRID, WINS, events, fixed, query, r6
 from rategrid.plans.features import CUBE, feature_cube
 from rategrid.plans.motion import ALPHA, C, HOUR, K, MU, P, REACH, triggered
@@ -135,28 +134,39 @@ def q_silverman(spark, sf):
     return s.select(fixed(n).alias("n_eff"), fixed(F.least(F.greatest(sd * F.pow(n, F.lit(-1.0 / 6)), F.lit(0.3)), F.lit(5.0))).alias("bandwidth"))
 
 
-@query(f"""SELECT a.range AS k, {r6(f"CASE WHEN abs({BETA} - al) < 1e-6 THEN {K} * {BETA} * {MMAX - MC} / (1 - exp(-{BETA} * {MMAX - MC})) ELSE {K} * {BETA} * (1 - exp(-({BETA} - al) * {MMAX - MC})) / (({BETA} - al) * (1 - exp(-{BETA} * {MMAX - MC}))) END")} AS n,
-CASE WHEN {BETA} > al THEN {r6(f"{K} * {BETA} / ({BETA} - al)")} END AS untruncated FROM (SELECT range, CASE WHEN range = 25 THEN {BETA} ELSE range / 10.0::DOUBLE END AS al FROM range(30)) a""")
+_BETA_OF = "bt AS (SELECT 1 / (avg(mag) - 2.0) AS beta FROM ev WHERE mag >= 2.0)"
+
+
+def _beta(spark, sf):
+    """beta: that of the events' slope; one row."""
+    return F.broadcast(events(spark, sf).filter("mag >= 2.0").agg((1 / (F.avg("mag") - 2.0)).alias("beta")))
+
+
+@query(f"""WITH {EV}, {_BETA_OF}, a AS (SELECT range, beta, CASE WHEN range = 25 THEN beta ELSE range / 10.0::DOUBLE END AS al FROM range(30), bt)
+SELECT range AS k, {r6(f"CASE WHEN abs(beta - al) < 1e-6 THEN {K} * beta * {MMAX - MC} / (1 - exp(-beta * {MMAX - MC})) ELSE {K} * beta * (1 - exp(-(beta - al) * {MMAX - MC})) / ((beta - al) * (1 - exp(-beta * {MMAX - MC}))) END")} AS n,
+CASE WHEN beta - al > 0 THEN {r6(f"{K} * beta / (beta - al)")} END AS untruncated FROM a""")
 def q_branching(spark, sf):
-    """Mean offspring of an event over truncated and unlimited magnitudes, for a range of productivities; where it equals beta, the limit."""
-    beta = B * 2.302585092994046
-    k = F.col("id")
-    al = F.when(k == 25, F.lit(beta)).otherwise(k / 10.0)
-    dm, gap = MMAX - MC, F.lit(beta) - al
-    rest = 1 - F.exp(F.lit(-beta * dm))
+    """Mean offspring of an event over truncated and unlimited magnitudes at the events' slope, for a range of productivities; where one equals beta, the
+    limit."""
+    k, beta = F.col("id"), F.col("beta")
+    al = F.when(k == 25, beta).otherwise(k / 10.0)
+    dm, gap = MMAX - MC, beta - al
+    rest = 1 - F.exp(-beta * dm)
     n = F.when(F.abs(gap) < 1e-6, K * beta * dm / rest).otherwise(K * beta * (1 - F.exp(-gap * dm)) / (F.when(F.abs(gap) < 1e-6, 1.0).otherwise(gap) * rest))
-    return spark.range(30).select(k.alias("k"), fixed(n).alias("n"), F.when(gap > 0, fixed(K * beta / gap)).alias("untruncated"))
+    return spark.range(30).crossJoin(_beta(spark, sf)).select(k.alias("k"), fixed(n).alias("n"), F.when(gap > 0, fixed(K * beta / F.nullif(gap, F.lit(0.0)))).alias("untruncated"))
 
 
-@query(f"""WITH x AS (SELECT 2.0::DOUBLE + range * {(MMAX - MC) / 4000}::DOUBLE AS m, CASE WHEN range IN (0, 4000) THEN 0.5 ELSE 1 END AS h FROM range(4001))
-SELECT {r6(f"sum(h * {K} * exp({ALPHA} * (m - {MC})) * {BETA} * exp(-{BETA} * (m - {MC}))) * {(MMAX - MC) / 4000}::DOUBLE / (1 - exp(-{BETA} * {MMAX - MC}))")} AS n FROM x""")
+@query(f"""WITH {EV}, {_BETA_OF}, x AS (SELECT beta, 2.0::DOUBLE + range * {(MMAX - MC) / 4000}::DOUBLE AS m, CASE WHEN range IN (0, 4000) THEN 0.5 ELSE 1 END AS h FROM range(4001), bt)
+SELECT {r6(f"sum(h * {K} * exp({ALPHA} * (m - {MC})) * beta * exp(-beta * (m - {MC}))) * {(MMAX - MC) / 4000}::DOUBLE / (1 - exp(-any_value(beta) * {MMAX - MC}))")} AS n, {r6(f"{K} * any_value(beta) * (1 - exp(-(any_value(beta) - {ALPHA}) * {MMAX - MC})) / ((any_value(beta) - {ALPHA}) * (1 - exp(-any_value(beta) * {MMAX - MC})))")} AS closed FROM x""")
 def q_quadrature(spark, sf):
-    """The same mean by the trapezoid rule, over nodes that are rows."""
-    beta, step = B * 2.302585092994046, (MMAX - MC) / 4000
+    """The same mean by the trapezoid rule, over nodes that are rows, beside its closed form."""
+    step, beta = (MMAX - MC) / 4000, F.col("beta")
     m = MC + F.col("id") * step
     h = F.when(F.col("id").isin(0, 4000), 0.5).otherwise(1.0)
     f = h * K * F.exp(ALPHA * (m - MC)) * beta * F.exp(-beta * (m - MC))
-    return spark.range(4001).agg(fixed(F.sum(f) * step / (1 - F.exp(F.lit(-beta * (MMAX - MC))))).alias("n"))
+    rest = 1 - F.exp(-F.max(beta) * (MMAX - MC))
+    closed = K * F.max(beta) * (1 - F.exp(-(F.max(beta) - ALPHA) * (MMAX - MC))) / ((F.max(beta) - ALPHA) * rest)
+    return spark.range(4001).crossJoin(_beta(spark, sf)).agg(fixed(F.sum(f) * step / rest).alias("n"), fixed(closed).alias("closed"))
 
 
 _SRC = f"{K}::DOUBLE * exp({ALPHA}::DOUBLE * (e.mag - 2)) * (pow(1 + (w.win * 86400000000 - e.t_us)::DOUBLE / 86400000000 / {C}::DOUBLE, -0.2::DOUBLE) - pow(1 + ((w.win + 1) * 86400000000 - e.t_us)::DOUBLE / 86400000000 / {C}::DOUBLE, -0.2::DOUBLE))"
@@ -274,14 +284,21 @@ def q_b_calibrate(spark, sf):
 # reference forecasts
 
 
-@query(f"""WITH {CUBE}, {POLY}, r AS (SELECT ir, ic, avg(y) AS lam, any_value(dist) AS dist FROM cube JOIN poly USING (ir, ic) WHERE "window" < 20 GROUP BY ALL), q AS (SELECT list_distinct(quantile_cont(dist, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])) AS q FROM r),
-b AS (SELECT ir, ic, lam, len(list_filter(q, lambda x: x < dist)) AS bin FROM r, q), m AS (SELECT bin, avg(lam) AS p FROM b GROUP BY bin) SELECT ir, ic, bin::BIGINT AS bin, {r6('p')} AS p FROM b JOIN m USING (bin)""")
-def q_fault_decile(spark, sf):
-    """Climatology by distance to the line: the mean rate of the cells of each tenth; equal break points fall together."""
+FAULT = f"""{POLY}, fr AS (SELECT ir, ic, avg(y) AS lam, any_value(dist) AS dist FROM cube JOIN poly USING (ir, ic) WHERE "window" < 20 GROUP BY ALL), fq AS (SELECT list_distinct(quantile_cont(dist, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])) AS q FROM fr),
+fb AS (SELECT ir, ic, lam, len(list_filter(q, lambda x: x < dist)) AS bin FROM fr, fq), fm AS (SELECT bin, avg(lam) AS p FROM fb GROUP BY bin), fault AS (SELECT ir, ic, bin::BIGINT AS bin, p FROM fb JOIN fm USING (bin))"""
+
+
+def fault_climatology(spark, sf):
+    """ir, ic, bin, p: climatology by distance to the line, the mean rate of the cells of each tenth; equal break points fall together."""
     r = feature_cube(spark, sf).filter("window < 20").groupBy("ir", "ic").agg(F.avg("y").alias("lam")).join(F.broadcast(polyline(spark)), ["ir", "ic"])
     q = F.broadcast(quantiles(r, [], "dist", [k / 10 for k in range(1, 10)]).select(F.array_distinct("p").alias("q")))  # one row
     b = r.crossJoin(q).withColumn("bin", F.size(F.filter("q", lambda x: x < F.col("dist"))).cast("long"))
-    return b.select("ir", "ic", "bin", fixed(F.avg("lam").over(Window.partitionBy("bin"))).alias("p"))
+    return b.select("ir", "ic", "bin", F.avg("lam").over(Window.partitionBy("bin")).alias("p"))  # a row for each cell
+
+
+@query(f"WITH {CUBE}, {FAULT} SELECT ir, ic, bin, {r6('p')} AS p FROM fault")
+def q_fault_decile(spark, sf):
+    return fault_climatology(spark, sf).select("ir", "ic", "bin", fixed(F.col("p")).alias("p"))
 
 
 _SIG = (0.7, 1.0, 1.8)
@@ -328,25 +345,24 @@ def q_sigma_select(spark, sf):
     return a.select(fixed(F.col("sigma")).alias("sigma"), fixed(F.col("ap")).alias("ap"), first.alias("chosen"))
 
 
-@query(f"""WITH {EV}, d AS (SELECT mag - lag(mag) OVER (PARTITION BY ic ORDER BY t_us, id) AS d, win FROM ev), s AS (SELECT avg(d) FILTER (d >= 0.2) AS m, count(*) FILTER (d >= 0.2) AS n FROM d WHERE win < 20) SELECT CASE WHEN n >= 30 THEN {r6('1 / (ln(10) * (m - 0.1))')} ELSE 1.0::DOUBLE END AS b FROM s""")
+@query(f"""WITH {EV}, d AS (SELECT mag - lag(mag) OVER (ORDER BY t_us, id) AS d FROM ev WHERE mag >= 2.0 AND win < 20), s AS (SELECT avg(d) FILTER (d >= 0.1) AS m, count(*) FILTER (d >= 0.1) AS n FROM d) SELECT CASE WHEN n >= 30 THEN {r6('1 / (ln(10) * (m - 0.1))')} ELSE 1.0::DOUBLE END AS b FROM s""")
 def q_train_b(spark, sf):
-    """Slope of the training era by positive steps; 1 if there are too few."""
-    d = steps(events(spark, sf), "mag", ["ic"]).filter("win < 20 AND step >= 0.2").agg(F.avg("step").alias("m"), F.count("*").alias("n"))
-    return d.select(F.when(F.col("n") >= 30, fixed(1 / (F.log(F.lit(10.0)) * (F.col("m") - 0.1)))).otherwise(1.0).alias("b"))
+    """Slope of the training era by positive steps of the whole catalog; 1 if there are too few."""
+    b = slopes.slope_of_all(events(spark, sf).filter("mag >= 2.0 AND win < 20"), 3_600_000_000, 0.1)
+    return b.select(F.coalesce(fixed(F.col("b")), F.lit(1.0)).alias("b"))
 
 
-@query(f"""WITH {SMOOTH}, {POLY}, r AS (SELECT ir, ic, avg(y) AS f FROM cube WHERE "window" < 20 GROUP BY ALL), v AS (SELECT y, -ln(1 - (1 - exp(-(cnt7::DOUBLE / 7 + 0.05::DOUBLE)))) AS own, greatest(lam, 1e-9) AS sm, greatest(-ln(1 - least(f, 1 - 1e-9)), 1e-9) AS cl FROM cube JOIN smooth USING ("window", ir, ic) JOIN r USING (ir, ic) WHERE "window" >= 20 AND sigma = 1.0),
+@query(f"""WITH {SMOOTH}, {FAULT}, v AS (SELECT y, -ln(1 - (1 - exp(-(cnt7::DOUBLE / 7 + 0.05::DOUBLE)))) AS own, greatest(lam, 1e-9) AS sm, greatest(-ln(1 - least(f.p, 1 - 1e-9)), 1e-9) AS cl FROM cube JOIN smooth USING ("window", ir, ic) JOIN fault f USING (ir, ic) WHERE "window" >= 20 AND sigma = 1.0),
 g AS (SELECT sum(y * (ln(own) - ln(sm)) - (own - sm)) / greatest(sum(y), 1) AS a, sum(y * (ln(own) - ln(cl)) - (own - cl)) / greatest(sum(y), 1) AS b FROM v)
-SELECT {r6('a')} AS over_smoothed, {r6('b')} AS over_climatology, CASE WHEN a > 0 AND b > 0 THEN 'model' ELSE 'baseline' END AS reported FROM g""")
+SELECT {r6('a')} AS over_smoothed, {r6('b')} AS over_fault, CASE WHEN a > 0 AND b > 0 THEN 'model' ELSE 'baseline' END AS reported FROM g""")
 def q_report_rule(spark, sf):
-    """A model is reported only if it gains over both baselines."""
+    """A model is reported only if it gains over both the smoothed rates and the climatology by distance to the line."""
     c = feature_cube(spark, sf)
-    r = c.filter("window < 20").groupBy("ir", "ic").agg(F.avg("y").alias("f"))
-    v = c.filter("window >= 20").join(smoothed(spark, sf).filter("sigma = 1.0"), ["window", "ir", "ic"]).join(r, ["ir", "ic"])
+    v = c.filter("window >= 20").join(smoothed(spark, sf).filter("sigma = 1.0"), ["window", "ir", "ic"]).join(fault_climatology(spark, sf).select("ir", "ic", F.col("p").alias("f")), ["ir", "ic"])
     own = rate_of(1 - F.exp(-(F.col("cnt7") / 7.0 + 0.05)))
     clim = F.greatest(rate_of(F.col("f")), F.lit(1e-9))
     g = v.agg(metrics.information_gain(own, F.col("lam"), F.col("y")).alias("a"), metrics.information_gain(own, clim, F.col("y")).alias("b"))
-    return g.select(fixed(F.col("a")).alias("over_smoothed"), fixed(F.col("b")).alias("over_climatology"), F.when((F.col("a") > 0) & (F.col("b") > 0), "model").otherwise("baseline").alias("reported"))
+    return g.select(fixed(F.col("a")).alias("over_smoothed"), fixed(F.col("b")).alias("over_fault"), F.when((F.col("a") > 0) & (F.col("b") > 0), "model").otherwise("baseline").alias("reported"))
 
 
 @query(f"WITH {EV}, {CELLS}, {WINS}, l AS (SELECT * FROM (VALUES (2.8::DOUBLE), (3.1::DOUBLE)) l(level)) SELECT w.win AS \"window\", level, count(DISTINCT (e.ir, e.ic))::BIGINT AS cells, count(*)::BIGINT AS n FROM wins w JOIN ev e ON e.win = w.win, l WHERE e.mag >= level GROUP BY ALL")

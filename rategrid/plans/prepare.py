@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rategrid.functions.core import micros_since
-from rategrid.operators import joins
+from rategrid.operators import catalog, joins
 from rategrid.plans.base import CELLS, EV, GRID, events, fixed, query, r6
 from rategrid.sources import encoded, tables, text
 from rategrid.sources.shared import release_later, shared_folder
@@ -152,14 +152,14 @@ def q_type_infer_all(spark, sf):
 
 
 @query(f"""WITH {EV}, old AS (SELECT * FROM ev WHERE win < 15), fresh AS (SELECT * FROM ev WHERE win BETWEEN 13 AND 20)
-SELECT id FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.user_id = f.user_id AND o.mag_type = f.mag_type) AND NOT EXISTS (SELECT 1 FROM old o WHERE o.ir = f.ir AND o.ic = f.ic AND o.t_us BETWEEN f.t_us - {HOUR} AND f.t_us + {HOUR})""")
+SELECT id FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.user_id = f.user_id AND floor(o.value) = floor(f.value)) AND NOT EXISTS (SELECT 1 FROM old o WHERE o.ir = f.ir AND o.ic = f.ic AND o.t_us BETWEEN f.t_us - {HOUR // 6} AND f.t_us + {HOUR // 6})""")
 def q_novelty_known(spark, sf):
     """A refresh that overlaps what is there: rows with a known code, or near a known row in time and place, aren't new."""
     e = events(spark, sf)
-    old, fresh = e.filter("win < 15"), e.filter("win BETWEEN 13 AND 20")
-    fresh = fresh.join(old.select("user_id", "mag_type").distinct(), ["user_id", "mag_type"], "left_anti")
-    near = old.select("ir", "ic", (F.col("t_us") - HOUR).alias("low"), (F.col("t_us") + HOUR + 1).alias("high"))
-    return joins.range_join(fresh, near, "t_us", "low", "high", 4 * HOUR, ("ir", "ic"), "left_anti").select("id")
+    old, fresh = e.filter("win < 15"), e.filter("win BETWEEN 13 AND 20").withColumn("code", F.floor("value"))
+    fresh = fresh.join(old.select("user_id", F.floor("value").alias("code")).distinct(), ["user_id", "code"], "left_anti")
+    near = old.select("ir", "ic", (F.col("t_us") - HOUR // 6).alias("low"), (F.col("t_us") + HOUR // 6 + 1).alias("high"))
+    return joins.range_join(fresh, near, "t_us", "low", "high", HOUR, ("ir", "ic"), "left_anti").select("id")
 
 
 @query(f"""WITH {EV}, v AS (SELECT *, CASE WHEN id % 9 = 0 THEN NULL ELSE mag END AS m FROM ev) SELECT count(*)::BIGINT AS pairs, count(*) FILTER (a.m IS NULL OR b.m IS NULL)::BIGINT AS unknown FROM v a JOIN v b ON a.id < b.id AND a.ic = b.ic AND abs(a.t_us - b.t_us) <= 300000000 AND (a.m IS NULL OR b.m IS NULL OR abs(a.m - b.m) <= 0.5)""")
@@ -193,12 +193,16 @@ def q_union_sorted(spark, sf):
     return both.join(F.broadcast(days), "win").select("id", "src", (F.col("before") + F.row_number().over(inside) - 1).alias("place"))
 
 
-@query(f"WITH {EV}, s AS (SELECT id, t_us, ic, row_number() OVER (PARTITION BY ic ORDER BY t_us, id) AS k FROM ev WHERE mag_type IN ('signup', 'error') OR mag >= 3), old AS (SELECT * FROM ev WHERE mag_type = 'click') SELECT s.id FROM s WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.ic = s.ic AND old.t_us < s.t_us AND old.t_us >= s.t_us - 60000000)")
+@query(f"""WITH RECURSIVE {EV}, o AS (SELECT id, t_us, ic, row_number() OVER (PARTITION BY ic ORDER BY t_us, id) AS k FROM ev WHERE mag_type = 'click'),
+r AS (SELECT ic, k, t_us, true AS kept, t_us AS last FROM o WHERE k = 1 UNION ALL SELECT o.ic, o.k, o.t_us, o.t_us - r.last > 60000000, CASE WHEN o.t_us - r.last > 60000000 THEN o.t_us ELSE r.last END FROM r JOIN o ON o.ic = r.ic AND o.k = r.k + 1),
+s AS (SELECT id, t_us, ic FROM ev WHERE mag_type IN ('signup', 'error') OR mag >= 3) SELECT s.id FROM s WHERE NOT EXISTS (SELECT 1 FROM r WHERE kept AND r.ic = s.ic AND r.t_us < s.t_us AND r.t_us >= s.t_us - 60000000)""")
 def q_near_previous(spark, sf):
-    """Rows of a later source that no earlier row of the first one is near, whatever their magnitudes."""
+    """Rows of a later source that no earlier row of the first one is near, whatever their magnitudes.  The first source's own repeats are dropped
+    before, and a dropped row drops no other."""
     e = events(spark, sf)
     later = e.filter("mag_type IN ('signup', 'error') OR mag >= 3")
-    spans = e.filter("mag_type = 'click'").select("ic", (F.col("t_us") + 1).alias("low"), (F.col("t_us") + 60_000_001).alias("high"))
+    first = catalog.drop_near_repeats(e.filter("mag_type = 'click'").select("id", "t_us", "mag", "ic"), ["ic"], 60_000_000, 1e9, 86_400_000_000)
+    spans = first.select("ic", (F.col("t_us") + 1).alias("low"), (F.col("t_us") + 60_000_001).alias("high"))
     return joins.range_join(later, spans, "t_us", "low", "high", HOUR, ("ic",), "left_anti").select("id")
 
 

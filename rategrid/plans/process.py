@@ -69,15 +69,23 @@ def q_days(spark, sf):
     return events(spark, sf).select("id", fixed(F.col("t_us") / 86_400_000_000.0).alias("days"))
 
 
-@query("SELECT range::INT AS k, (DATE '2005-01-01' + (30 * range)::INT)::DATE AS t0 FROM range((DATE '2026-03-31' - DATE '2005-01-01') // 30)")
+@query("""WITH b AS (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS z FROM orders), w AS (SELECT unnest(range((z - a) // 30)) AS k, a FROM b), n AS (SELECT (o_orderdate::DATE - a) // 30 AS k, count(*) AS n FROM orders, b GROUP BY 1)
+SELECT w.k::INT AS k, (a + (30 * w.k)::INT)::DATE AS t0, coalesce(n, 0)::BIGINT AS n FROM w LEFT JOIN n USING (k)""")
 def q_windows(spark, sf):
-    whole = F.sequence(F.lit("2005-01-01").cast("date"), F.lit("2026-03-01").cast("date"), F.expr("INTERVAL 30 DAYS"))
-    return spark.range(1).select(F.posexplode(whole).alias("k", "t0")).select("k", "t0")
+    """Windows of 30 days from the first day of a table on, as far as whole ones go, and the rows in each."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderdate").cast("date").alias("d"))
+    b = o.agg(F.min("d").alias("a"), F.max("d").alias("z"))  # one row
+    n = o.crossJoin(F.broadcast(b)).groupBy(F.floor(F.datediff("d", "a") / 30).cast("int").alias("k")).agg(F.count("*").alias("n"))
+    whole = F.floor(F.datediff("z", "a") / 30).cast("int")
+    w = b.filter(whole > 0).select("a", F.explode(F.sequence(F.lit(0), whole - 1)).alias("k"))
+    return w.join(n, "k", "left").select("k", F.date_add("a", F.col("k") * 30).alias("t0"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(f"WITH {CELLS} SELECT ir, ic, {r6('(ic - 7) * 111.19::DOUBLE * cos(radians(40.75::DOUBLE))')} AS x, {r6('(ir - 5) * 111.19::DOUBLE')} AS y FROM cells")
+@query(f"WITH {EV} SELECT id, {r6('(ic + (user_id % 5) / 10.0::DOUBLE - 7) * 111.19::DOUBLE * cos(radians(40.75::DOUBLE))')} AS x, {r6('(ir + (user_id % 7) / 10.0::DOUBLE - 5) * 111.19::DOUBLE')} AS y FROM ev")
 def q_project(spark, sf):
-    return GRID.cells(spark).select("ir", "ic", fixed((F.col("ic") - 7) * 111.19 * F.cos(F.radians(F.lit(40.75)))).alias("x"), fixed((F.col("ir") - 5) * 111.19).alias("y"))
+    """Events' places in km from the region's centre, on a flat earth."""
+    col, row = F.col("ic") + F.col("user_id") % 5 / 10.0, F.col("ir") + F.col("user_id") % 7 / 10.0
+    return events(spark, sf).select("id", fixed((col - 7) * 111.19 * F.cos(F.radians(F.lit(40.75)))).alias("x"), fixed((row - 5) * 111.19).alias("y"))
 
 
 @query(f"""WITH {EV}, {CELLS}, n AS (SELECT win // 3 AS k, ir, ic, count(*)::BIGINT AS n FROM ev WHERE mag >= 2.5 GROUP BY ALL)
@@ -121,18 +129,29 @@ def q_pairs(spark, sf):
     return found.select("earlier", "later", (F.col("t_us") - F.col("from")).alias("dt"))
 
 
-@query(f"""WITH {CELLS}, p(place, r, c) AS (VALUES (1, 2, 3), (2, 5, 9), (3, 8, 12)), d AS (SELECT *, sqrt(((ic - c) * 85.0::DOUBLE) ** 2 + ((ir - r) * 111.0::DOUBLE) ** 2) AS km FROM cells, p)
-SELECT ir, ic, place, {r6("km")} AS km FROM d WHERE km <= 250""")
+@query(f"""WITH {EV}, p AS (SELECT id AS place, ir AS r, ic AS c FROM ev WHERE mag >= 3.4), d AS (SELECT e.id, p.place, sqrt(((e.ic - p.c) * 85.0::DOUBLE) ** 2 + ((e.ir - p.r) * 111.0::DOUBLE) ** 2) AS km FROM ev e, p WHERE e.id <> p.place AND e.mag >= 3.2)
+SELECT id, count(*)::BIGINT AS near, {r6("min(km)")} AS nearest FROM d WHERE km <= 250 GROUP BY id""")
 def q_within_km(spark, sf):
-    places = spark.createDataFrame([(1, 2, 3), (2, 5, 9), (3, 8, 12)], "place int, r int, c int")
+    """Large events within 250 km of a larger one: how many, and the nearest.  Places are counted by cell, and a cell meets those within reach."""
+    e = events(spark, sf)
+    places = e.filter("mag >= 3.4").groupBy(F.col("ir").alias("r"), F.col("ic").alias("c")).agg(F.count("*").alias("n"))
+    near = GRID.neighbours(places.withColumn("ir", F.col("r")).withColumn("ic", F.col("c")), 2)
     km = F.sqrt(F.pow((F.col("ic") - F.col("c")) * 85.0, F.lit(2)) + F.pow((F.col("ir") - F.col("r")) * 111.0, F.lit(2)))
-    return GRID.cells(spark).crossJoin(F.broadcast(places)).filter(km <= 250).select("ir", "ic", "place", fixed(km).alias("km"))
+    own = F.when((F.col("ir") == F.col("r")) & (F.col("ic") == F.col("c")) & (F.col("mag") >= 3.4), 1).otherwise(0)  # an event is no neighbour of itself
+    met = e.filter("mag >= 3.2").join(near, ["ir", "ic"]).withColumn("km", km).filter("km <= 250").withColumn("m", F.col("n") - own).filter("m > 0")
+    return met.groupBy("id").agg(F.sum("m").alias("near"), fixed(F.min("km")).alias("nearest"))
 
 
-@query(f"SELECT range::INT AS k, {r6('pow(10, -1.15::DOUBLE * range / 10) - pow(10, -1.15::DOUBLE * (range + 1) / 10)')} AS p FROM range(41)")
+@query(f"""WITH {EV}, b AS (SELECT 1 / (avg(mag) - 2.0) AS beta, count(*) AS whole FROM ev WHERE mag >= 2.0), n AS (SELECT floor((mag - 2.0) / 0.1)::INT AS k, count(*) AS n FROM ev WHERE mag >= 2.0 GROUP BY 1)
+SELECT r.range::INT AS k, {r6('exp(-beta * r.range / 10) - exp(-beta * (r.range + 1) / 10)')} AS p, {r6('coalesce(n, 0)::DOUBLE / whole')} AS seen FROM range(41) r CROSS JOIN b LEFT JOIN n ON n.k = r.range""")
 def q_mag_pmf(spark, sf):
-    k = F.col("id")
-    return spark.range(41).select(k.cast("int").alias("k"), fixed(F.pow(F.lit(10.0), -1.15 * k / 10) - F.pow(F.lit(10.0), -1.15 * (k + 1) / 10)).alias("p"))
+    """Probabilities of magnitude bins at the events' own slope, beside their shares."""
+    big = events(spark, sf).filter("mag >= 2.0")
+    n = big.groupBy(F.floor((F.col("mag") - 2.0) / 0.1).cast("int").alias("k")).agg(F.count("*").alias("n"), F.sum("mag").alias("s"))
+    b = F.broadcast(n.agg((1 / (F.sum("s") / F.sum("n") - 2.0)).alias("beta"), F.sum("n").alias("whole")))  # one row
+    bins = spark.range(41).select(F.col("id").cast("int").alias("k")).crossJoin(b).join(n, "k", "left")
+    share = lambda k: F.exp(-F.col("beta") * k / 10)
+    return bins.select("k", fixed(share(F.col("k")) - share(F.col("k") + 1)).alias("p"), fixed(F.coalesce("n", F.lit(0)) / F.col("whole")).alias("seen"))
 
 
 @query(f"""WITH {EV}, {WINS}, r AS (SELECT id, t_us::DOUBLE / 86400000000 AS t, mag FROM ev WHERE mag >= 3.2)

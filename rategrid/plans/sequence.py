@@ -113,13 +113,28 @@ def q_survival(spark, sf):
     return a.crossJoin(f).select("rung", fixed(F.col("alive")).alias("alive"), (F.col("rung") < F.col("failed")).alias("held"), (F.col("rung") == F.col("failed") - 1).alias("last"))
 
 
-@query(f"""WITH {EV}, k AS (SELECT r.range AS step, 0.5::DOUBLE + 0.1 * r.range AS c FROM range(12) r), s AS (SELECT step, sum(n * ln(c) - c) AS ll FROM (SELECT win, count(*) FILTER (mag >= 3) AS n FROM ev GROUP BY win), k GROUP BY step) SELECT arg_max(step, (ll, -step))::BIGINT AS best, {r6('max(ll)')} AS ll, count(*)::BIGINT AS steps FROM s""")
+_STAGES = 8
+_EM = ", ".join(f"""w{k + 1} AS (SELECT avg(w * own / (w * own + (1 - w) * near)) AS w FROM pred, w{k} WHERE "window" < 18 AND y = 1)""" for k in range(_STAGES))
+_STAGED = " UNION ALL ".join(f"SELECT {k} AS step, w FROM w{k}" for k in range(_STAGES + 1))
+
+
+@query(f"""WITH {PRED}, w0 AS (SELECT 0.5::DOUBLE AS w), {_EM}, st AS ({_STAGED}), s AS (SELECT step, any_value(w) AS w, sum(y * ln(w * own + (1 - w) * near) + (1 - y) * ln(1 - w * own - (1 - w) * near)) AS ll FROM pred, st WHERE "window" >= 18 GROUP BY step)
+SELECT arg_max(step, (ll, -step))::BIGINT AS best, {r6('arg_max(w, (ll, -step))')} AS weight, {r6('max(ll)')} AS ll, count(*)::BIGINT AS steps FROM s""")
 def q_best_iteration(spark, sf):
-    """Of staged scores the first best one."""
-    n = events(spark, sf).groupBy("win").agg(F.count_if(F.col("mag") >= 3).alias("n")).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(11))))
-    c = 0.5 + F.lit(0.1) * F.col("step")
-    s = n.groupBy(F.col("step").cast("long").alias("step")).agg(F.sum(F.col("n") * F.log(c) - c).alias("ll"))
-    return s.agg(F.max_by("step", F.struct(F.col("ll"), -F.col("step"))).alias("best"), fixed(F.max("ll")).alias("ll"), F.count("*").alias("steps"))
+    """The weight of a mixture of two forecasts, fitted by expectation steps on the windows before; of the stages the first best one on those after.
+
+    A step is one aggregation, and one number comes back.
+    """
+    p = materialize(predictions(spark, sf).select("window", "y", "own", "near"), "stages")
+    train, weights = p.filter("window < 18 AND y = 1"), [0.5]
+    for _ in range(_STAGES):
+        own = weights[-1] * F.col("own")
+        weights.append(train.agg(F.avg(own / (own + (1 - weights[-1]) * F.col("near")))).first()[0])
+    mixed = lambda w: w * F.col("own") + (1 - w) * F.col("near")
+    ll = lambda m: F.sum(F.col("y") * F.log(m) + (1 - F.col("y")) * F.log(1 - m))
+    rows = p.filter("window >= 18").agg(F.array(*[F.struct(ll(mixed(w)).alias("ll"), F.lit(-k).cast("long").alias("k"), F.lit(w).alias("w")) for k, w in enumerate(weights)]).alias("s"))
+    best = F.array_max("s")
+    return rows.select((-best["k"]).alias("best"), fixed(best["w"]).alias("weight"), fixed(best["ll"]).alias("ll"), F.size("s").cast("long").alias("steps"))
 
 
 @query(f"""WITH {EV}, big AS (SELECT * FROM ev WHERE mag >= 3.2), b AS (SELECT big.id, count(e.id) FILTER (e.t_us < big.t_us) AS pre, count(e.id) FILTER (e.t_us > big.t_us) AS post, max(e.mag) FILTER (e.t_us > big.t_us) AS top, any_value(big.mag) AS m FROM big LEFT JOIN ev e ON e.ic = big.ic AND e.mag >= 2.0 AND e.t_us >= big.t_us - {6 * HOUR} AND e.t_us <= big.t_us + {6 * HOUR} GROUP BY big.id)
@@ -373,11 +388,22 @@ def q_feature_sources(spark, sf):
     return out
 
 
-@query(f"""WITH {CUBE}, c AS (SELECT "window", ir, ic, y, mean_value AS x FROM cube), m AS (SELECT *, {RATE('1 - exp(-0.2::DOUBLE)')} AS base, {RATE('1 - exp(-0.2::DOUBLE * exp((x - 10) * 0.01))')} AS more FROM c)
-SELECT {r6('sum(y * (ln(more) - ln(base)) - (more - base)) / greatest(sum(y), 1)::DOUBLE')} AS gain, CASE WHEN sum(y * (ln(more) - ln(base)) - (more - base)) > 0 THEN 'helps' ELSE 'does not help' END AS verdict FROM m""")
+@query(f"""WITH {CUBE}, c AS (SELECT "window", y, mean_value AS x FROM cube), q AS (SELECT list_distinct(quantile_cont(x, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])) AS q FROM c WHERE "window" < 20), b AS (SELECT "window", y, len(list_filter(q, lambda z: z < x)) AS bin FROM c, q),
+w AS (SELECT avg(y) AS base FROM b WHERE "window" < 20), f AS (SELECT bin, (sum(y) + 10 * any_value(base)) / (count(*) + 10) AS more FROM b, w WHERE "window" < 20 GROUP BY bin),
+v AS (SELECT y, greatest(base, 1e-9) AS base, greatest(coalesce(more, base), 1e-9) AS more FROM b CROSS JOIN w LEFT JOIN f USING (bin) WHERE "window" >= 20), g AS (SELECT sum(y * (ln(more) - ln(base)) - (more - base)) / greatest(sum(y), 1)::DOUBLE AS g FROM v)
+SELECT {r6('g')} AS gain, CASE WHEN g > 0 THEN 'helps' ELSE 'does not help' END AS verdict FROM g""")
 def q_source_gain(spark, sf):
-    """The gain of a forecast with a feature over the one without it, and the verdict."""
-    c = feature_cube(spark, sf).select("y", F.col("mean_value").alias("x"))
-    base, more = rate_of(1 - F.exp(F.lit(-0.2))), rate_of(1 - F.exp(-0.2 * F.exp((F.col("x") - 10) * 0.01)))
-    g = metrics.information_gain(more, base, F.col("y"))
-    return c.agg(g.alias("g")).select(fixed(F.col("g")).alias("gain"), F.when(F.col("g") > 0, "helps").otherwise("does not help").alias("verdict"))
+    """The gain on later windows of a forecast fitted with a feature over one fitted without it, and the verdict.
+
+    Both are fitted to the windows before: the one without has their rate, the one with it the rate of each tenth of the feature, drawn to the
+    whole's as by ten rows.
+    """
+    c = materialize(feature_cube(spark, sf).select("window", "y", F.col("mean_value").alias("x")), "gain")
+    q = F.broadcast(quantiles(c.filter("window < 20"), [], "x", [k / 10 for k in range(1, 10)]).select(F.array_distinct("p").alias("q")))  # one row
+    b = c.crossJoin(q).select("window", "y", F.size(F.filter("q", lambda z: z < F.col("x"))).alias("bin"))
+    train = b.filter("window < 20")
+    w = F.broadcast(train.agg(F.avg("y").alias("base")))
+    f = train.crossJoin(w).groupBy("bin").agg(((F.sum("y") + 10 * F.max("base")) / (F.count("*") + 10)).alias("more"))
+    v = b.filter("window >= 20").crossJoin(w).join(F.broadcast(f), "bin", "left")  # ten bins
+    g = v.agg(metrics.information_gain(F.coalesce("more", "base"), F.col("base"), F.col("y")).alias("g"))
+    return g.select(fixed(F.col("g")).alias("gain"), F.when(F.col("g") > 0, "helps").otherwise("does not help").alias("verdict"))

@@ -65,7 +65,9 @@ prof AS (SELECT i, n, 2 * (max(ll) OVER () - ll) AS lr, n >= arg_max(n, ll) OVER
 def q_lr_profile(spark, sf):
     """Likelihood-ratio profile of a factor: where the one-sided bound lies between two values, and whether it rises beyond the best."""
     n = 0.5 + F.col("i") * 0.25
-    g = _fcst(spark, sf).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(15)))).groupBy(F.col("i").cast("long").alias("i")).agg(F.sum(F.col("k") * F.log(F.col("lam") * n) - F.col("lam") * n).alias("ll"))
+    # ln(lam n) = ln lam + ln n: three sums give every factor's likelihood
+    sums = _fcst(spark, sf).agg(F.sum(F.col("k") * F.log("lam")).alias("a"), F.sum("k").alias("k"), F.sum("lam").alias("lam"))
+    g = sums.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(15)))).select(F.col("i").cast("long").alias("i"), (F.col("a") + F.col("k") * F.log(n) - F.col("lam") * n).alias("ll"))
     whole = Window.partitionBy()  # sixteen rows
     best = F.max(F.struct("ll", "i")).over(whole)
     g = g.select("i", (2 * (best["ll"] - F.col("ll"))).alias("lr"), (F.col("i") >= best["i"]).alias("above")).withColumn("after", F.lead("lr").over(Window.orderBy("i")))
@@ -73,12 +75,17 @@ def q_lr_profile(spark, sf):
     return g.select("i", fixed(F.col("lr")).alias("lr"), F.coalesce(cross, F.lit(False)).alias("brackets"), F.coalesce(~F.col("above") | (F.col("after") >= F.col("lr")), F.lit(True)).alias("monotone"))
 
 
-@query(f"WITH {EV}, a AS (SELECT mag_type, avg(value) FILTER (win < 15) AS a, avg(value) FILTER (win >= 15) AS b, count(*) FILTER (win < 15) >= 1000000 AS pinned FROM ev GROUP BY mag_type) SELECT mag_type, CASE WHEN b <> 0 THEN {r6('100 * (a - b) / abs(b)')} END AS change, CASE WHEN b - b <> 0 THEN 1.0::DOUBLE END AS undefined, pinned FROM a")
+@query(f"""WITH {EV}, w AS (SELECT 1 / (ln(10) * (avg(mag) - 2.0)) AS cap FROM ev WHERE mag >= 2.0), a AS (SELECT mag_type, 1 / (ln(10) * (avg(mag) FILTER (win < 15) - 2.0)) AS early, 1 / (ln(10) * (avg(mag) FILTER (win >= 15) - 2.0)) AS late FROM ev WHERE mag >= 2.0 GROUP BY mag_type)
+SELECT mag_type, {r6('100 * (least(late, cap) - early) / abs(early)')} AS change, {r6('100 * (least(late, cap) - late) / abs(late)')} AS held_back, late >= cap AS pinned FROM a, w""")
 def q_rel_change(spark, sf):
-    """Relative change of a parameter between two fits, null where there is nothing to relate to, and whether it stands at its bound."""
-    early = F.col("win") < 15
-    a = events(spark, sf).groupBy("mag_type").agg(F.avg(F.when(early, F.col("value"))).alias("a"), F.avg(F.when(~early, F.col("value"))).alias("b"), (F.count_if(early) >= 1000000).alias("pinned"))
-    return a.select("mag_type", fixed(F.try_divide(100 * (F.col("a") - F.col("b")), F.abs("b"))).alias("change"), F.try_divide(F.col("a"), F.col("b") - F.col("b")).alias("undefined"), "pinned")
+    """Slopes of each kind, held at or under that of the whole catalog: their change from the earlier era's and from the free fit in percent, null where
+    there is nothing to relate to, and whether they stand at the bound."""
+    big, early = events(spark, sf).filter("mag >= 2.0"), F.col("win") < 15
+    slope = lambda m: 1 / (F.log(F.lit(10.0)) * (m - 2.0))
+    a = big.groupBy("mag_type").agg(slope(F.avg(F.when(early, F.col("mag")))).alias("early"), slope(F.avg(F.when(~early, F.col("mag")))).alias("late"))
+    a = a.crossJoin(F.broadcast(big.agg(slope(F.avg("mag")).alias("cap")))).withColumn("held", F.least("late", "cap"))  # one row
+    change = lambda x, y: fixed(F.try_divide(100 * (F.col(x) - F.col(y)), F.abs(y)))
+    return a.select("mag_type", change("held", "early").alias("change"), change("held", "late").alias("held_back"), (F.col("late") >= F.col("cap")).alias("pinned"))
 
 
 @query(f"""WITH {CUBE}, s AS (SELECT "window", sum(cnt7)::BIGINT AS n FROM cube GROUP BY ALL), b AS (SELECT arg_max("window", (n, -"window")) AS w FROM s) SELECT ir, ic, cnt7, nbr5_cnt7, (SELECT count(*) FROM ev e, b WHERE e.mag >= 2.0 AND e.win >= b.w - 7 AND e.win < b.w AND e.ir = cube.ir AND e.ic = cube.ic) = cnt7 AS recomputed FROM cube, b WHERE "window" = b.w""")
@@ -107,10 +114,10 @@ def q_regex_gate(spark, sf):
     return refs.join(known, "ref", "left").groupBy("page_id").agg(F.sum("n").alias("refs"), F.count_if(F.col("known").isNull()).alias("dangling"))
 
 
-@query(f"""WITH {PRED}, x AS (SELECT pred.*, coalesce(lam, 0) AS lam FROM pred LEFT JOIN (SELECT ir, ic, win + 1 AS "window", count(*)::DOUBLE AS lam FROM ev WHERE mag >= 2.0 AND win % 2 = 0 GROUP BY ALL) USING ("window", ir, ic)) SELECT "window", ir, ic, {r6('lam')} AS lam, {r6('near')} AS near FROM x""")
+@query(f"""WITH {PRED}, x AS (SELECT pred.*, coalesce(lam, 0) AS lam FROM pred LEFT JOIN (SELECT ir, ic, win + 1 AS "window", count(*)::DOUBLE AS lam FROM ev WHERE mag >= 3.0 GROUP BY ALL) USING ("window", ir, ic)) SELECT "window", ir, ic, {r6('lam')} AS lam, {r6('near')} AS near FROM x""")
 def q_rates_join(spark, sf):
     """Rates of another table brought to the forecasts by window and cell, 0 where it has no row."""
-    r = events(spark, sf).filter("mag >= 2.0 AND win % 2 = 0").groupBy((F.col("win") + 1).alias("window"), "ir", "ic").agg(F.count("*").cast("double").alias("lam"))
+    r = events(spark, sf).filter("mag >= 3.0").groupBy((F.col("win") + 1).alias("window"), "ir", "ic").agg(F.count("*").cast("double").alias("lam"))
     return predictions(spark, sf).join(r, ["window", "ir", "ic"], "left").select("window", "ir", "ic", fixed(F.coalesce("lam", F.lit(0.0))).alias("lam"), fixed(F.col("near")).alias("near"))
 
 

@@ -106,3 +106,15 @@ def test_slopes_do_not_see_the_future(spark):
     for w in (1, 3, 6):
         cut = of([e for e in rows if e[3] < w * DAY])
         assert all(cut[k] == v for k, v in whole.items() if k[0] == w)
+
+
+def test_components_by_either_way(spark, monkeypatch):
+    from rategrid.operators import graph
+
+    r = random.Random(9)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, 5000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    small = {x["node"]: x["comp"] for x in graph.components_by_size(df).collect()}
+    monkeypatch.setattr(graph, "SMALL", 10)
+    assert small == {x["node"]: x["comp"] for x in graph.components_by_size(df).collect()} and small[1100] == 1000 and small[5000] == 5000
+    assert graph.components_by_size(df.limit(0)).collect() == []
