@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rategrid.operators import consistency
 from rategrid.operators.importance import importance
-from rategrid.plans.base import events, fixed, query, r6
+from rategrid.plans.base import EV, events, fixed, query, r6
 from rategrid.plans.features import CUBE, feature_cube
 from rategrid.plans.model import EXPECTED, expected_counts
 
@@ -59,3 +59,40 @@ def q_permutation_importance(spark, sf):
     within = importance(c, GROUPS, _rate, _score, ["window"], key, "window").withColumn("scope", F.lit("window"))
     among = importance(c, GROUPS, _rate, _score, [], key, "global", 16).withColumn("scope", F.lit("global"))
     return within.unionByName(among).select("scope", "name", fixed(F.col("score")).alias("score"), fixed(F.col("loss")).alias("loss"))
+
+
+_FACTORS = [(a, b) for a in (0.02, 0.05, 0.1, 0.2) for b in (0.0, 0.01, 0.02, 0.05)]
+_CANDIDATES = ", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in enumerate(_FACTORS))
+
+
+@query(f"""WITH {CUBE}, f(k, a, b) AS (VALUES {_CANDIDATES}), s AS (SELECT k, a, b, sum(y * ln(0.02::DOUBLE + a * cnt7 + b * nbr3_cnt7) - (0.02::DOUBLE + a * cnt7 + b * nbr3_cnt7)) AS ll FROM cube, f WHERE "window" BETWEEN 15 AND 19 GROUP BY ALL)
+SELECT k::BIGINT AS k, a, b, {r6('ll')} AS ll, k = (SELECT arg_max(k, (ll, -k)) FROM s) AS chosen FROM s""")
+def q_candidate_sweep(spark, sf):
+    """The likelihood of every combination of two factors on validation windows, in one aggregation; the first best is chosen."""
+    c = feature_cube(spark, sf).filter("window BETWEEN 15 AND 19")
+    lam = lambda a, b: 0.02 + a * F.col("cnt7") + b * F.col("nbr3_cnt7")
+    ll = lambda x: F.sum(F.col("y") * F.log(x) - x)
+    rows = [F.struct(F.lit(k).cast("long").alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b"), ll(lam(a, b)).alias("ll")) for k, (a, b) in enumerate(_FACTORS)]
+    s = c.agg(F.array(*rows).alias("s"))
+    best = F.array_max(F.transform("s", lambda x: F.struct(x["ll"], -x["k"])))
+    return s.select(F.explode("s").alias("x"), (-best["col2"]).alias("best")).select("x.k", "x.a", "x.b", fixed(F.col("x.ll")).alias("ll"), (F.col("x.k") == F.col("best")).alias("chosen"))
+
+
+_BASE = dict(k=0.3, alpha=0.8, c=0.02, p=1.2)
+
+
+def _mass_sql(v: dict) -> str:
+    return f"sum({v['k']!r}::DOUBLE * exp({v['alpha']!r}::DOUBLE * (mag - 2)) * (1 - pow(1 + 1 / {v['c']!r}::DOUBLE, 1 - {v['p']!r}::DOUBLE)))"
+
+
+_SHIFTED = {"base": _BASE, **{n: {**_BASE, n: x * 1.1} for n, x in _BASE.items()}}
+
+
+@query(f"""WITH {EV}, m AS (SELECT {", ".join(f"{_mass_sql(v)} AS {n}_" for n, v in _SHIFTED.items())} FROM ev WHERE mag >= 2.0), u AS (UNPIVOT m ON {", ".join(f"{n}_" for n in _SHIFTED if n != "base")} INTO NAME name VALUE mass)
+SELECT rtrim(name, '_') AS name, {r6('mass / base_ - 1')} AS change, {r6('abs(mass / base_ - 1) / (1 - pow(10, -0.1::DOUBLE))')} AS of_b FROM u""")
+def q_perturbation(spark, sf):
+    """What ten percent more of each parameter changes in the offspring of a day, and how much that is of what a slope 0.1 higher changes one magnitude up."""
+    mass = lambda v: F.sum(v["k"] * F.exp(v["alpha"] * (F.col("mag") - 2)) * (1 - F.pow(F.lit(1 + 1 / v["c"]), F.lit(1 - v["p"]))))
+    m = events(spark, sf).filter("mag >= 2.0").agg(*[mass(v).alias(n) for n, v in _SHIFTED.items()])
+    u = m.unpivot("base", [n for n in _SHIFTED if n != "base"], "name", "mass").withColumn("change", F.col("mass") / F.col("base") - 1)
+    return u.select("name", fixed(F.col("change")).alias("change"), fixed(F.abs("change") / (1 - 10**-0.1)).alias("of_b"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rategrid.functions.core import rate_of
-from rategrid.operators import field, joins, metrics, slopes, trajectory
+from rategrid.operators import field, joins, metrics, slopes, snapshots, trajectory
 from rategrid.operators.features import box, dense
 from rategrid.operators.quantiles import quantiles
 from rategrid.operators.sequences import steps
@@ -14,6 +14,7 @@ from rategrid.operators.trajectory import DEPENDENT
 from rategrid.plans.base import CELLS, EV, GRID, WINS, events, fixed, query, r6
 from rategrid.plans.features import CUBE, feature_cube
 from rategrid.plans.model import EXPECTED, expected_counts
+from rategrid.plans.prepare import _LINE as LINE
 from rategrid.plans.scores import PRED, RATE, predictions
 from rategrid.sources import tables
 from rategrid.sources.shared import materialize
@@ -47,17 +48,49 @@ def q_ftls(spark, sf):
 _DAYS = (1, 3, 7)
 
 
-@query(f"""WITH {EV}, big AS (SELECT * FROM ev WHERE mag >= 3.2), h AS (SELECT * FROM (VALUES (1), (3), (7)) h(days)), s AS (SELECT b.id, h.days, count(*)::BIGINT AS n, max(e.mag) AS top FROM big b, h, ev e WHERE e.ic = b.ic AND e.t_us > b.t_us AND e.t_us <= b.t_us + h.days * {DAY} GROUP BY ALL HAVING count(*) >= 3)
-SELECT s.id, s.days::INT AS days, n, {r6('top')} AS top, EXISTS (SELECT 1 FROM ev e, big b WHERE b.id = s.id AND e.ic = b.ic AND e.t_us > b.t_us + s.days * {DAY} AND e.t_us <= b.t_us + (s.days + 2) * {DAY} AND e.mag >= b.mag - 0.3) AS label FROM s""")
+_REF_B = 1.0
+
+
+@query(f"""WITH {EV}, big AS (SELECT * FROM ev WHERE mag >= 3.2), h AS (SELECT * FROM (VALUES (1), (3), (7)) h(days)), st AS (SELECT b.id, e.t_us - b.t_us AS wait, e.mag - lag(e.mag) OVER (PARTITION BY b.id ORDER BY e.t_us, e.id) AS d FROM big b JOIN ev e ON e.ic = b.ic AND e.mag >= 2.0 AND e.t_us > b.t_us AND e.t_us <= b.t_us + 9 * {DAY}),
+bs AS (SELECT id, h.days, CASE WHEN count(*) FILTER (d >= 0.1) >= 30 THEN 1 / (ln(10) * (avg(d) FILTER (d >= 0.1) - 0.1)) END AS b FROM st, h WHERE wait <= h.days * {DAY} GROUP BY ALL),
+s AS (SELECT b.id, h.days, count(*)::BIGINT AS n, max(e.mag) AS top FROM big b, h, ev e WHERE e.ic = b.ic AND e.t_us > b.t_us AND e.t_us <= b.t_us + h.days * {DAY} GROUP BY ALL HAVING count(*) >= 3)
+SELECT s.id, s.days::INT AS days, n, {r6('top')} AS top, {r6(f'coalesce({_REF_B} - bs.b, 0)')} AS b_drop, EXISTS (SELECT 1 FROM ev e, big b WHERE b.id = s.id AND e.ic = b.ic AND e.t_us > b.t_us + s.days * {DAY} AND e.t_us <= b.t_us + (s.days + 2) * {DAY} AND e.mag >= b.mag - 0.3) AS label FROM s LEFT JOIN bs ON bs.id = s.id AND bs.days = s.days""")
 def q_snapshots(spark, sf):
-    """What followed each trigger by three horizons, and whether another as large comes after: one range join for all horizons."""
-    e = events(spark, sf).select("ic", "t_us", "mag")
+    """What followed each trigger by three horizons, and whether another as large comes after: one range join for all horizons.
+
+    The horizons begin with their trigger, so a step between successive events is the same in all that hold it.
+    """
+    e = events(spark, sf).select(F.col("id").alias("eid"), "ic", "t_us", "mag")
     big = events(spark, sf).filter("mag >= 3.2").select("id", F.col("mag").alias("m"), "ic", F.col("t_us").alias("from"), (F.col("t_us") + 1).alias("low"), (F.col("t_us") + 9 * DAY + 1).alias("high"))
-    found = joins.range_join(e, big, "t_us", "low", "high", DAY, ("ic",)).withColumn("days", F.explode(F.array(*[F.lit(d) for d in _DAYS])))
+    found = joins.range_join(e, big, "t_us", "low", "high", DAY, ("ic",)).withColumn("heavy", F.col("mag") >= 2.0)
+    step = F.when(F.col("heavy"), F.col("mag") - F.lag("mag").over(Window.partitionBy("id", "heavy").orderBy("t_us", "eid")))
+    found = found.withColumn("step", step).withColumn("days", F.explode(F.array(*[F.lit(d) for d in _DAYS])))
     wait = F.col("t_us") - F.col("from")
     inside, later = wait <= F.col("days") * DAY, (wait > F.col("days") * DAY) & (wait <= (F.col("days") + 2) * DAY)
-    s = found.groupBy("id", "days").agg(F.count_if(inside).alias("n"), F.max(F.when(inside, F.col("mag"))).alias("top"), F.coalesce(F.bool_or(later & (F.col("mag") >= F.col("m") - 0.3)), F.lit(False)).alias("label"))
-    return s.filter("n >= 3").select("id", "days", "n", fixed(F.col("top")).alias("top"), "label")
+    b_drop = snapshots.drop(_REF_B, snapshots.slope(F.col("step"), inside))
+    s = found.groupBy("id", "days").agg(F.count_if(inside).alias("n"), F.max(F.when(inside, F.col("mag"))).alias("top"), b_drop.alias("b_drop"), F.coalesce(F.bool_or(later & (F.col("mag") >= F.col("m") - 0.3)), F.lit(False)).alias("label"))
+    return s.filter("n >= 3").select("id", "days", "n", fixed(F.col("top")).alias("top"), fixed(F.col("b_drop")).alias("b_drop"), "label")
+
+
+_SPOT = "ic + (user_id % 5) / 10.0::DOUBLE AS x, ir + (user_id % 7) / 10.0::DOUBLE AS y"
+_TO_LINE = "least(" + ", ".join(f"sqrt((y - {a[0]} - t{k} * {b[0] - a[0]}) ** 2 + (x - {a[1]} - t{k} * {b[1] - a[1]}) ** 2)" for k, (a, b) in enumerate(zip(LINE, LINE[1:]))) + ")"
+_ALONG = ", ".join(f"greatest(0, least(1, ((y - {a[0]}) * {b[0] - a[0]} + (x - {a[1]}) * {b[1] - a[1]}) / {(b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2}::DOUBLE)) AS t{k}" for k, (a, b) in enumerate(zip(LINE, LINE[1:])))
+
+
+@query(f"""WITH {EV}, sp AS (SELECT id, t_us, mag, win, {_SPOT} FROM ev), pt AS (SELECT id AS place, t_us, x, y FROM sp WHERE win >= 5 QUALIFY row_number() OVER (PARTITION BY win ORDER BY mag DESC, id) = 1),
+m AS (SELECT p.place, e.mag, p.t_us - e.t_us AS age, e.mag - lag(e.mag) OVER (PARTITION BY p.place ORDER BY e.t_us, e.id) AS d FROM pt p JOIN sp e ON e.mag >= 2.0 AND e.t_us >= p.t_us - 5 * {DAY} AND e.t_us <= p.t_us AND (e.x - p.x) * (e.x - p.x) + (e.y - p.y) * (e.y - p.y) <= 9),
+s AS (SELECT place, count(*)::BIGINT AS seq_count, max(mag) AS max_mag, least(max(age)::DOUBLE / {DAY}, 5.0::DOUBLE) AS t_since_start, CASE WHEN count(*) FILTER (d >= 0.1) >= 30 THEN 1 / (ln(10) * (avg(d) FILTER (d >= 0.1) - 0.1)) END AS b FROM m GROUP BY place HAVING count(*) >= 3),
+l AS (SELECT *, {_ALONG} FROM pt)
+SELECT place, {r6(f'coalesce({_REF_B} - b, 0)')} AS b_drop, seq_count, {r6('max_mag')} AS max_mag, {r6('t_since_start')} AS t_since_start, {r6(_TO_LINE)} AS dist FROM s JOIN l USING (place)""")
+def q_sequence_scores(spark, sf):
+    """The features of the sequences around the largest event of each day, as they stood at it."""
+    e = events(spark, sf)
+    spot = e.select("id", "t_us", "mag", "win", (F.col("ic") + F.col("user_id") % 5 / 10.0).alias("x"), (F.col("ir") + F.col("user_id") % 7 / 10.0).alias("y"))
+    top = spot.filter("win >= 5").groupBy("win").agg(F.max_by(F.struct("id", "t_us", "x", "y"), F.struct("mag", -F.col("id"))).alias("p"))
+    points = top.select(F.col("p.id").alias("place"), "p.t_us", "p.x", "p.y")
+    s = snapshots.scores(spot, points, 5.0, 3.0, _REF_B)
+    dist = points.select("place", snapshots.line_distance(F.col("x"), F.col("y"), LINE).alias("dist"))
+    return s.join(dist, "place").select("place", fixed(F.col("b_drop")).alias("b_drop"), "seq_count", *[fixed(F.col(c)).alias(c) for c in ("max_mag", "t_since_start", "dist")])
 
 
 @query(f"""WITH {EXPECTED}, f AS (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY lam DESC, ir, ic) AS rank, sum(lam) OVER (PARTITION BY "window") AS whole FROM expected WHERE "window" IN (14, 21, 27, 29))
@@ -407,3 +440,15 @@ def q_source_gain(spark, sf):
     v = b.filter("window >= 20").crossJoin(w).join(F.broadcast(f), "bin", "left")  # ten bins
     g = v.agg(metrics.information_gain(F.coalesce("more", "base"), F.col("base"), F.col("y")).alias("g"))
     return g.select(fixed(F.col("g")).alias("gain"), F.when(F.col("g") > 0, "helps").otherwise("does not help").alias("verdict"))
+
+
+_DENSE = BPOS.replace("mag >= 2.0", "mag >= 1.5")
+
+
+@query(f"""WITH {EV}, {CELLS}, {WINS}, {_DENSE}, dn AS (SELECT w.win AS "window", ir, ic, count(*) FILTER (e.win = w.win - 1) AS n1, count(*) AS n7 FROM wins w JOIN ev e ON e.win < w.win AND e.win >= w.win - 7 AND e.mag >= 1.5 GROUP BY ALL)
+SELECT "window", ir, ic, coalesce(n1, 0)::DOUBLE AS dense_cnt1, coalesce(n7, 0)::DOUBLE AS dense_cnt7, {r6('b')} AS dense_b FROM bpos LEFT JOIN dn USING ("window", ir, ic)""")
+def q_dense_features(spark, sf):
+    """The columns that a denser catalog adds to the cells of every window."""
+    source = next(f for f in FEATURES if f.name == "dense_catalog")
+    out = source.add_columns(dense(spark, GRID, 7, 29), spark, sf)
+    return out.select("window", "ir", "ic", "dense_cnt1", "dense_cnt7", fixed(F.col("dense_b")).alias("dense_b"))

@@ -8,7 +8,8 @@ from rategrid.plans.base import GRID, events
 from rategrid.plans.contract import FEATURES
 from rategrid.plans.model import _kernel, kde
 from rategrid.operators.features import dense
-from rategrid.sources import tables, text
+from rategrid.__main__ import main
+from rategrid.sources import params, tables, text
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +62,29 @@ def test_pooling_by_brute_force(spark):
 
 def test_background_sums_to_one(spark):
     assert abs(kde(spark, SF).agg(F.sum("u")).first()[0] - 1) < 1e-12 and _kernel("ir", "ic") is not None and events(spark, SF).count() > 0
+
+
+def test_sources_do_not_see_past_a_cutoff_within_a_day(spark):
+    """The cutoff lies in the middle of a day: windows that begin before it are the same, the later ones are not."""
+    cells = dense(spark, GRID, 10, 12)
+    for source in FEATURES[:3]:
+        whole, cut = (sorted(df.collect()) for df in (source.add_columns(cells, spark, SF), source.truncated(cells, spark, SF, 11.5)))
+        assert [r for r in whole if r["window"] <= 11] == [r for r in cut if r["window"] <= 11]
+        assert whole != cut
+
+
+def test_parameters_come_back(spark, tmp_path):
+    path = str(tmp_path / "params")
+    params.save(spark, path, "a", {"mu": 1.5, "k": 0.1})
+    params.save(spark, path, "b", {"mu": 9.0})
+    params.save(spark, path, "a", {"mu": 2.5, "k": 1e-17})
+    assert params.load(spark, path, "a") == {"mu": 2.5, "k": 1e-17} and params.load(spark, path, "b") == {"mu": 9.0}
+    with pytest.raises(KeyError):
+        params.load(spark, path, "c")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    assert main(["list"]) == 0 and "q_feature_cube" in capsys.readouterr().out.split()
+    assert main(["run", "q_days", "--data", SF, "--out", str(tmp_path / "x"), "--format", "csv"], spark) == 0
+    assert spark.read.csv(str(tmp_path / "x"), header=True).count() == events(spark, SF).count()
+    assert main(["run", "nothing", "--data", SF], spark) == 2
