@@ -6,10 +6,9 @@ is ``h`` without its first word.  In a training text a context that isn't the en
 probabilities sum to 1.
 
 States are the contexts that occur in training.  A seen n-gram is an arc with the probability above.  The failure arc of a state leads
-to the longest shorter context with the weight ``PRIOR / (c(h) + PRIOR)``, which is what the formula gives an unseen n-gram.  One traversal from
-left to right carries the state, takes an arc or failure arcs for each token, and adds up log-probabilities.  Blocks of texts are
-traversed in bulk: the arcs and weights of all tokens are looked up at once, from the shortest context to the longest.  Every n-gram that
-occurs once is in the model; there is no cutoff.
+to the context without its first word with the weight ``PRIOR / (c(h) + PRIOR)``, which is what the formula gives an unseen n-gram.  One traversal
+from left to right carries the state, takes an arc or failure arcs for each token, and adds up log-probabilities.  A block of texts is traversed
+over the states and arcs that its n-grams reach.  Every n-gram that occurs once is in the model; there is no cutoff.
 
 Scale.  Neither word nor n-gram counts are collected or broadcast.  Texts are packed into rows of about ``BLOCK_BYTES`` (a longer text is
 a row of its own).  A block sends its distinct words and n-grams, sorted by their hashes, to shards of the hash space as one compressed
@@ -102,23 +101,82 @@ class Grams:
         ends = np.concatenate([self.pair_at, self.triple_at])
         return [np.bincount(p, w, len(k)).astype(np.uint64) for p, w, k in zip(self.place, (of, of[ends]), self.keys)]
 
-    def scores(self, count: list[np.ndarray], total: int, distinct: int) -> tuple[np.ndarray, ...]:
-        """n_known, base and model score of each text, from the training counts of its words and n-grams."""
-        n = len(self.sizes)
-        c = count[0][self.place[0]].astype(np.float64)
-        norm = total + ADD * (distinct + 1)
-        p = (c + ADD) / norm
-        base = np.log10(p)
-        grams = count[1][self.place[1]].astype(np.float64)
-        pairs, triples = np.split(grams, [len(self.pair_at)])
-        at = self.pair_at  # the state is the word before: its arc, or its failure arc
-        p[at] = (pairs + PRIOR * p[at]) / (c[at - 1] + PRIOR)
-        whole = np.zeros(len(c))
-        whole[at] = pairs
-        at = self.triple_at  # the state is the pair before
-        p[at] = (triples + PRIOR * p[at]) / (whole[at - 1] + PRIOR)
-        of = lambda x: np.bincount(self.doc, x, n)
-        return of(c > 0).astype(np.int64), of(base), of(np.log10(p))
+    def base(self, count: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+        """n_known and base score of each text, from the training counts of its words."""
+        c = count[self.place[0]].astype(np.float64)
+        of = lambda x: np.bincount(self.doc, x, len(self.sizes))
+        return of(c > 0).astype(np.int64), of(np.log10((c + ADD) / (total + ADD * (distinct + 1))))
+
+
+class Automaton:
+    """The part of the model that a block's texts can reach.
+
+    States are numbered: 0 is the empty context, then come the block's words and pairs that occur in training.  An arc has the number of its
+    n-gram among the block's words, and after them n-grams; ``next`` and ``weight`` are its end and logarithm.  ``arcs`` has for each level of a state (0
+    to 2 words) the arc that each token would take from it, or -1 where the n-gram does not occur in training.  ``fail`` and ``lost`` are the end and
+    logarithm of each state's failure arc, to the context without its first word.
+    """
+
+    def __init__(self, grams: Grams, count: list[np.ndarray], total: int, distinct: int):
+        word, gram = grams.place
+        c, g = (x.astype(np.float64) for x in count)
+        n_words, n_pairs = len(c), len(grams.pair_at)
+        known = c > 0
+        state = np.where(known, np.cumsum(known), 0).astype(np.int32)  # of each word
+        first_pair = int(known.sum()) + 1
+        # where each n-gram stands, and whether it has two words
+        stands = np.zeros(len(g), np.int64)
+        stands[gram] = np.arange(len(gram))
+        is_pair = stands < n_pairs
+        at = np.concatenate([grams.pair_at, grams.triple_at])[stands]
+        pair_of = np.full(len(word), -1, np.int32)
+        pair_of[grams.pair_at] = gram[:n_pairs]
+        pairs, triples = np.flatnonzero(is_pair & (g > 0)), np.flatnonzero(~is_pair & (g > 0))
+        pair_state = np.zeros(len(g), np.int32)
+        pair_state[pairs] = first_pair + np.arange(len(pairs))
+        self.level = np.zeros(first_pair + len(pairs), np.int8)
+        self.level[1:first_pair], self.level[first_pair:] = 1, 2
+
+        p1 = (c + ADD) / (total + ADD * (distinct + 1))
+        u, v = word[at[pairs] - 1], word[at[pairs]]
+        p2 = np.zeros(len(g))
+        p2[pairs] = (g[pairs] + PRIOR * p1[v]) / (c[u] + PRIOR)
+        before, after = pair_of[at[triples] - 1], pair_of[at[triples]]
+        self.next = np.zeros(n_words + len(g), np.int32)
+        self.next[:n_words], self.next[n_words + pairs], self.next[n_words + triples] = state, pair_state[pairs], pair_state[after]
+        chance = np.ones(len(self.next))
+        chance[:n_words], chance[n_words + pairs], chance[n_words + triples] = p1, p2[pairs], (g[triples] + PRIOR * p2[after]) / (g[before] + PRIOR)
+        self.weight = np.log10(chance)
+        self.fail = np.zeros(len(self.level), np.int32)
+        self.fail[first_pair:] = state[v]
+        held = np.concatenate([[0.0], c[known], g[pairs]])
+        self.lost = np.log10(PRIOR / (held + PRIOR))
+        arc = np.where(g > 0, n_words + np.arange(len(g)), -1).astype(np.int32)
+        self.arcs = [word.astype(np.int32), *(np.full(len(word), -1, np.int32) for _ in range(2))]
+        self.arcs[1][grams.pair_at] = arc[gram[:n_pairs]]
+        self.arcs[2][grams.triple_at] = arc[gram[n_pairs:]]
+        #: A token at which each state ends, for tests.
+        self.ends = np.concatenate([[-1], np.zeros(first_pair - 1, np.int64), at[pairs]])
+        self.ends[state[word[known[word]]]] = np.flatnonzero(known[word])
+
+    def scores(self, sizes: np.ndarray) -> np.ndarray:
+        """The log-probability of each text: one traversal from left to right, which carries the state."""
+        arcs, level = [memoryview(a) for a in self.arcs], memoryview(self.level)
+        fail, lost, ends, weight = memoryview(self.fail), memoryview(self.lost), memoryview(self.next), memoryview(self.weight)
+        out, t = [], 0
+        for size in sizes.tolist():
+            state, total = 0, 0.0
+            for t in range(t, t + size):  # noqa: B020
+                arc = arcs[level[state]][t]
+                while arc < 0:
+                    total += lost[state]
+                    state = fail[state]
+                    arc = arcs[level[state]][t]
+                total += weight[arc]
+                state = ends[arc]
+            t += size > 0
+            out.append(total)
+        return np.array(out)
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -232,7 +290,8 @@ def _scored(total: int, distinct: int):
             for kind, shard, counts in zip(*(replies.column(c).to_pylist() for c in ("kind", "shard", "counts"))):
                 by_kind[kind].append((shard, counts))
             counts = [np.concatenate([unpack(b) for _, b in sorted(x)] or [np.zeros(0, np.uint64)]) for x in by_kind]
-            known, base, score = grams.scores(counts, total, distinct)
+            known, base = grams.base(counts[0], total, distinct)
+            score = Automaton(grams, counts, total, distinct).scores(grams.sizes)
             out.append(pa.table(
                 [table.column("doc_id"), table.column("held_out"), pa.array(grams.sizes), pa.array(known), pa.array(np.full(len(known), total)), pa.array(base), pa.array(score)],
                 names=[x.split()[0] for x in OUT.split(", ")],

@@ -261,6 +261,39 @@ def test_automaton_states_sum_to_one():
         assert abs(sum(model.given(s, w) for w in words) + back * rest - 1) < 1e-9
 
 
+def test_arcs_and_failure_arcs_of_a_block():
+    """The operator's states, arcs and failure arcs are those of the automaton built plainly, one by one."""
+    r = random.Random(6)
+    say = lambda n: " ".join(r.choice("abcdefg") for _ in range(n))
+    texts = [say(r.randrange(25)) for _ in range(60)] + ["z z q", "", None, "a z b"]
+    train = np.array([i % 3 > 0 and i < 60 for i in range(len(texts))], float)
+    grams = lm.Grams(texts)
+    count = grams.counts(train)
+    own = lm.Automaton(grams, count, int(count[0].sum()), int((count[0] > 0).sum()))
+    split = lambda t: [*(t or "").lower().split(), "end"]
+    model = Automaton([split(t) for t, x in zip(texts, train) if x], lm.PRIOR)
+    tokens = [w for t in texts for w in split(t)]
+    context = lambda s: tuple(tokens[own.ends[s] - own.level[s] + 1 : own.ends[s] + 1])
+    states = {context(s): s for s in range(len(own.level))}
+    assert len(states) == len(own.level) and {s for s in states if s[-1:] != ("end",)} <= model.states | {()}  # none goes on from an end
+    starts = np.concatenate([[0], np.cumsum(grams.sizes)])
+    seen = set()
+    for s, state in states.items():
+        if s:
+            assert states[s[1:]] == own.fail[state] and own.lost[state] == pytest.approx(math.log10(lm.PRIOR / (model.c[s] + lm.PRIOR)))
+    for d in range(len(texts)):
+        for t in range(starts[d], starts[d + 1]):
+            for level in range(min(3, t - starts[d] + 1)):
+                h, w = tuple(tokens[t - level : t]), tokens[t]
+                arc = own.arcs[level][t]
+                if h in states and (arc >= 0):
+                    seen.add((h, w))
+                    assert own.weight[arc] == pytest.approx(math.log10(model.arc(h, w)))
+                    assert context(own.next[arc]) == (((*h, w)[-2:] if (*h, w)[-2:] in states else (w,)) if (w,) in states else ())
+                assert (arc >= 0) == (level == 0 or (*h, w) in model.c)
+    assert {g for g in model.c if len(g) > 1} == {(*h, w) for h, w in seen if h}  # every n-gram of the training texts has its arc
+
+
 @pytest.mark.parametrize("block", [200, 12 << 20])
 def test_lm_scores_of_all_ngrams(spark, block):
     """Scores are those of the automaton over every n-gram of the training texts, over many blocks and shards and over one."""
