@@ -74,26 +74,34 @@ def q_static_map(spark, sf):
     return e.agg(ll(F.col("lam")).alias("plain"), ll(F.col("lam") * F.col("s2")).alias("two_scalars"), ll(F.col("lam") * F.col("sc")).alias("static_map"))
 
 
-_NEWTON = 7
-_STEPS = ", ".join(
-    f"""g{k} AS (SELECT sum(y * lo / (a * lo + b * ln_) - lo) AS ga, sum(y * ln_ / (a * lo + b * ln_) - ln_) AS gb, sum(y * lo * lo / (a * lo + b * ln_) ** 2) AS haa, sum(y * lo * ln_ / (a * lo + b * ln_) ** 2) AS hab, sum(y * ln_ * ln_ / (a * lo + b * ln_) ** 2) AS hbb FROM l, s{k}),
-s{k + 1} AS (SELECT greatest(a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab), a / 4) AS a, greatest(b + (haa * gb - hab * ga) / (haa * hbb - hab * hab), b / 4) AS b FROM s{k}, g{k})"""
-    for k in range(_NEWTON)
-)
+_FITTED = 12
 
 
-@query(f"""WITH {PRED}, l AS (SELECT y, {RATE('own')} AS lo, {RATE('near')} AS ln_ FROM pred WHERE "window" < 18), s0 AS (SELECT 0.5::DOUBLE AS a, 0.5::DOUBLE AS b), {_STEPS}
-SELECT {r6('any_value(a)')} AS a, {r6('any_value(b)')} AS b, {r6('sum(y * ln(a * lo + b * ln_) - (a * lo + b * ln_))')} AS ll FROM l, s{_NEWTON}""")
+def _step_sql(k: int) -> str:
+    """From st<k> to st<k+1>: Newton's step where it changes neither factor more than fourfold, else one of expectation and maximisation."""
+    lam = "(a * lo + b * ln_)"
+    return f"""gr{k} AS MATERIALIZED (SELECT sum(y * lo / {lam} - lo) AS ga, sum(y * ln_ / {lam} - ln_) AS gb, sum(y * lo * lo / {lam} ** 2) AS haa, sum(y * lo * ln_ / {lam} ** 2) AS hab, sum(y * ln_ * ln_ / {lam} ** 2) AS hbb, sum(lo) AS la, sum(ln_) AS lb FROM l, st{k}),
+nw{k} AS MATERIALIZED (SELECT a, b, a + (hbb * ga - hab * gb) / greatest(haa * hbb - hab * hab, 1e-300) AS na, b + (haa * gb - hab * ga) / greatest(haa * hbb - hab * hab, 1e-300) AS nb, a * (ga + la) / la AS ea, b * (gb + lb) / lb AS eb FROM st{k}, gr{k}),
+st{k + 1} AS MATERIALIZED (SELECT CASE WHEN na BETWEEN a / 4 AND a * 4 AND nb BETWEEN b / 4 AND b * 4 THEN na ELSE ea END AS a, CASE WHEN na BETWEEN a / 4 AND a * 4 AND nb BETWEEN b / 4 AND b * 4 THEN nb ELSE eb END AS b FROM nw{k})"""
+
+
+@query(f"""WITH {PRED}, l AS (SELECT y, {RATE('own')} AS lo, {RATE('near')} AS ln_ FROM pred WHERE "window" < 18), st0 AS MATERIALIZED (SELECT 0.5::DOUBLE AS a, 0.5::DOUBLE AS b), {", ".join(map(_step_sql, range(_FITTED)))}
+SELECT {r6('any_value(a)')} AS a, {r6('any_value(b)')} AS b, {r6('sum(y * ln(a * lo + b * ln_) - (a * lo + b * ln_))')} AS ll FROM l, st{_FITTED}""")
 def q_two_scalars(spark, sf):
-    """Factors of two added rates that fit best, by Newton's steps on five sums; a factor falls to a quarter at most in a step, so both stay positive."""
+    """Factors of two added rates that fit best, by steps on seven sums: Newton's, or, where that would change a factor more than fourfold, one of
+    expectation and maximisation, which can't overshoot."""
     df = materialize(predictions(spark, sf).filter("window < 18").select("y", rate_of(F.col("own")).alias("lo"), rate_of(F.col("near")).alias("ln")), "scalars")
     y, lo, ln = F.col("y"), F.col("lo"), F.col("ln")
     a = b = 0.5
-    for _ in range(_NEWTON):
+    for _ in range(_FITTED):
         lam = a * lo + b * ln
-        ga, gb, haa, hab, hbb = df.agg(F.sum(y * lo / lam - lo), F.sum(y * ln / lam - ln), F.sum(y * lo * lo / (lam * lam)), F.sum(y * lo * ln / (lam * lam)), F.sum(y * ln * ln / (lam * lam))).first()
-        det = haa * hbb - hab * hab
-        a, b = max(a + (hbb * ga - hab * gb) / det, a / 4), max(b + (haa * gb - hab * ga) / det, b / 4)
+        ga, gb, haa, hab, hbb, la, lb = df.agg(
+            F.sum(y * lo / lam - lo), F.sum(y * ln / lam - ln), F.sum(y * lo * lo / (lam * lam)), F.sum(y * lo * ln / (lam * lam)), F.sum(y * ln * ln / (lam * lam)), F.sum(lo), F.sum(ln)
+        ).first()
+        det = max(haa * hbb - hab * hab, 1e-300)
+        na, nb = a + (hbb * ga - hab * gb) / det, b + (haa * gb - hab * ga) / det
+        near = a / 4 <= na <= a * 4 and b / 4 <= nb <= b * 4
+        a, b = (na, nb) if near else (a * (ga + la) / la, b * (gb + lb) / lb)
     lam = a * lo + b * ln
     return df.agg(fixed(F.lit(a)).alias("a"), fixed(F.lit(b)).alias("b"), fixed(F.sum(y * F.log(lam) - lam)).alias("ll"))
 
