@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,30 +34,47 @@ def drop_near_repeats(df: DataFrame, by: list[str], gap: int, dmag: float, block
     def walked(rows: DataFrame) -> DataFrame:
         """Of the rows of blocks, ``_own`` (0: before the block) and ``_seed`` (known state or null): rows kept, with the state before and after."""
         kinds = dict(df.dtypes)
-        schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", _b long, ids array<long>, before array<struct<t:long,m:double>>, after array<struct<t:long,m:double>>"
-
-        def walk(key, frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values(["t_us", "id"], kind="stable")
-            first, ids = int(key[-1]) * block, []
-            seed = frame["_seed"].iloc[0]
-            kept = [] if seed is None else [(x["t"], x["m"]) for x in seed]
-            before = None
-            for i, t, m, inside in zip(frame["id"].tolist(), frame["t_us"].tolist(), frame["mag"].tolist(), frame["_own"].tolist()):
-                if inside and before is None:
-                    before = [x for x in kept if first - x[0] <= gap]
-                if not inside and seed is not None:
-                    continue
-                kept = [x for x in kept if t - x[0] <= gap]
-                if all(abs(m - k) > dmag for _, k in kept):
-                    kept.append((t, m))
-                    if inside:
-                        ids.append(i)
-            before = [x for x in kept if first - x[0] <= gap] if before is None else before
-            state = lambda xs: [{"t": t, "m": m} for t, m in xs]
-            after = [x for x in kept if first + block - x[0] <= gap]
-            return pd.DataFrame({**{c: [v] for c, v in zip(by, key)}, "_b": [int(key[-1])], "ids": [ids], "before": [state(before)], "after": [state(after)]})
-
-        return rows.groupBy(*by, "_b").applyInPandas(walk, schema)
+        state = "array<struct<t:long,m:double>>"
+        schema = ", ".join(f"{c} {kinds[c]}" for c in by) + f", _b long, ids array<long>, before {state}, after {state}"
+        first = [*by, "_b"]
+
+        def walk(batches):
+            key = None
+            for batch in batches:
+                out = []
+                for *k, i, t, m, inside, seed in zip(*(c.to_pylist() for c in batch.columns)):
+                    if k != key:
+                        if key is not None:
+                            out.append(closed(key, ids, before, kept))
+                        key, ids, before = k, [], None
+                        kept = [] if seed is None else [(x["t"], x["m"]) for x in seed]
+                    if inside and before is None:
+                        before = [x for x in kept if k[-1] * block - x[0] <= gap]
+                    if not inside and seed is not None:
+                        continue
+                    kept = [x for x in kept if t - x[0] <= gap]
+                    if all(abs(m - a) > dmag for _, a in kept):
+                        kept.append((t, m))
+                        if inside:
+                            ids.append(i)
+                if out:
+                    yield table(out, batch.schema)
+            if key is not None:
+                yield table([closed(key, ids, before, kept)], batch.schema)
+
+        def closed(key, ids, before, kept):
+            start = key[-1] * block
+            before = [x for x in kept if start - x[0] <= gap] if before is None else before
+            after = [x for x in kept if start + block - x[0] <= gap]
+            return (*key, ids, *([{"t": t, "m": m} for t, m in xs] for xs in (before, after)))
+
+        def table(rows, schema):
+            states = pa.list_(pa.struct([("t", pa.int64()), ("m", pa.float64())]))
+            types = [*(schema.field(c).type for c in first), pa.list_(pa.int64()), states, states]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [*first, "ids", "before", "after"])
+
+        slim = rows.select(*first, "id", "t_us", "mag", "_own", "_seed")
+        return slim.repartition(*first).sortWithinPartitions(*first, "t_us", "id").mapInArrow(walk, schema)
 
     warm = own.filter(F.col("t_us") >= start("_b") + block - WARM * gap).withColumn("_b", F.col("_b") + 1)
     there = own.select(*by, "_b").distinct()
