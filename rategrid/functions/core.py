@@ -11,7 +11,21 @@ US_PER_DAY = 86_400_000_000
 def fixed(x: Column, digits: int = 6) -> Column:
     """``x`` to a number of decimals; halves go up, as in ``floor(x * 10^d + 0.5) / 10^d``."""
     scale = float(10**digits)
-    return F.floor(x.cast("double") * scale + F.lit(0.5)).cast("double") / F.lit(scale)
+    scaled = x.cast("double") * scale + F.lit(0.5)
+    # floor gives a long: infinities, NaN and doubles without a fraction stay as they are
+    return F.when(F.abs(scaled) < float(2**53), F.floor(scaled).cast("double")).otherwise(scaled) / F.lit(scale)
+
+
+def ln(x: Column) -> Column:
+    """The natural logarithm, minus infinity at 0, where Spark's has null."""
+    return F.when(x == 0, F.lit(float("-inf"))).otherwise(F.log(x))
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """``a / b`` as doubles divide: over 0 an infinity, or NaN for 0 over 0, where Spark's raises."""
+    a, b = a.cast("double"), b.cast("double")
+    over_0 = F.when(F.isnan(a) | (a == 0), F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf")))
+    return F.when(b == 0, over_0).otherwise(a / F.nullif(b, F.lit(0.0)))
 
 
 def micros_since(ts: Column, start: str) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rategrid.functions.core import rate_of
+from rategrid.functions.core import rate_of, ratio
 from rategrid.operators.isotonic import pool
 from rategrid.operators.quantiles import quantiles
 from rategrid.operators.resample import digits
@@ -114,7 +114,7 @@ def q_mechanism(spark, sf):
     d = predictions(spark, sf).select((F.col("window") < 18).cast("int").alias("early"), (F.col("ir") < 5).cast("int").alias("zone"), (F.col("y") * (F.log(a) - F.log(b))).alias("placement"), (b - a).alias("counts"))
     t = d.cube("early", "zone").agg(F.sum("placement").alias("placement"), F.sum("counts").alias("counts"))
     whole = F.col("placement") + F.col("counts")
-    share = whole / F.max(F.abs(whole)).over(Window.partitionBy())  # nine rows
+    share = ratio(whole, F.max(F.abs(whole)).over(Window.partitionBy()))  # nine rows
     return t.select(F.coalesce("early", F.lit(-1)).alias("early"), F.coalesce("zone", F.lit(-1)).alias("zone"), fixed(F.col("placement")).alias("placement"), fixed(F.col("counts")).alias("counts"), fixed(share).alias("share"))
 
 
