@@ -26,7 +26,7 @@ def q_reliability_q(spark, sf):
     b = df.join(q, "model").groupBy("model", F.size(F.filter("q", lambda x: x < F.col("p"))).alias("bin")).agg(F.avg("p").alias("p"), F.avg("y").alias("f"), F.count("*").cast("double").alias("n"), F.sum("y").alias("pos"))
     n, p, f = F.col("n"), F.col("p"), F.col("f")
     s = b.groupBy("model").agg(F.sum(n).alias("w"), F.sum(n * p).alias("x"), F.sum(n * f).alias("y"), F.sum(n * p * p).alias("xx"), F.sum(n * p * f).alias("xy"), F.sum("pos").alias("pos"), F.count("*").alias("bins"))
-    slope = (F.col("w") * F.col("xy") - F.col("x") * F.col("y")) / (F.col("w") * F.col("xx") - F.col("x") * F.col("x"))
+    slope = ratio(F.col("w") * F.col("xy") - F.col("x") * F.col("y"), F.col("w") * F.col("xx") - F.col("x") * F.col("x"))
     s = s.withColumn("slope", slope).withColumn("c", (F.col("y") - F.col("slope") * F.col("x")) / F.col("w"))
     good = F.col("slope").between(0.8, 1.25) & (F.abs("c") < 0.02)
     verdict = F.when(F.col("pos") < 10, "untestable").when(good, "calibrated").otherwise("miscalibrated")
