@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rategrid.functions.core import rate_of
+from rategrid.functions.core import ln, rate_of, ratio
 from rategrid.operators import joins
 from rategrid.operators.quantiles import quantiles
 from rategrid.operators.resample import stationary
@@ -262,7 +262,7 @@ SELECT count(*) FILTER (d > 0)::BIGINT AS plus, count(*) FILTER (d < 0)::BIGINT
 def q_top_share(spark, sf):
     per = predictions(spark, sf).groupBy("window").agg(F.sum(_gain()).alias("d"))
     size = F.abs("d")
-    return per.agg(F.count_if(F.col("d") > 0).alias("plus"), F.count_if(F.col("d") < 0).alias("minus"), fixed(F.max(size) / F.sum(size)).alias("top_share"), F.max_by("window", size).alias("top_window"))
+    return per.agg(F.count_if(F.col("d") > 0).alias("plus"), F.count_if(F.col("d") < 0).alias("minus"), fixed(ratio(F.max(size), F.sum(size))).alias("top_share"), F.max_by("window", F.struct(size, -F.col("window"))).alias("top_window"))
 
 
 def _gain():
