@@ -236,25 +236,25 @@ def q_block_target(spark, sf):
 @query(f"""WITH {PRED}, l AS (SELECT *, -ln(1 - p) AS lam FROM long), s AS (SELECT model, sum(y)::DOUBLE / sum(lam) AS s FROM l WHERE "window" < 20 GROUP BY model)
 SELECT model, "window", {r6("sum(lam) * any_value(s)")} AS expected, sum(y)::BIGINT AS seen FROM l JOIN s USING (model) WHERE "window" >= 20 GROUP BY ALL""")
 def q_occ_scalar(spark, sf):
-    lam = -F.log(1 - F.col("p"))
+    lam = -ln(1 - F.col("p"))
     per = long(spark, sf).groupBy("model", "window").agg(F.sum(lam).alias("lam"), F.sum("y").alias("seen"))
-    scale = per.filter("window < 20").groupBy("model").agg((F.sum("seen") / F.sum("lam")).alias("s"))
+    scale = per.filter("window < 20").groupBy("model").agg(ratio(F.sum("seen"), F.sum("lam")).alias("s"))
     return per.filter("window >= 20").join(F.broadcast(scale), "model").select("model", "window", fixed(F.col("lam") * F.col("s")).alias("expected"), "seen")
 
 
 @query(f"""WITH {PRED}, h AS (SELECT model, sum(-ln(1 - p)) / sum(y) AS h FROM long GROUP BY model) SELECT model, {r6("h")} AS h, {r6("h - 1 - ln(h)")} AS a, {r6("1 / h")} AS best FROM h""")
 def q_identity(spark, sf):
-    h = long(spark, sf).groupBy("model").agg((F.sum(-F.log(1 - F.col("p"))) / F.sum("y")).alias("h"))
-    return h.select("model", fixed(F.col("h")).alias("h"), fixed(F.col("h") - 1 - F.log("h")).alias("a"), fixed(1 / F.col("h")).alias("best"))
+    h = long(spark, sf).groupBy("model").agg(ratio(F.sum(-ln(1 - F.col("p"))), F.sum("y")).alias("h"))
+    return h.select("model", fixed(F.col("h")).alias("h"), fixed(F.col("h") - 1 - ln(F.col("h"))).alias("a"), fixed(ratio(F.lit(1.0), F.col("h"))).alias("best"))
 
 
 @query(f"""WITH {PRED}, b AS (SELECT *, (range * 0.25::DOUBLE) AS w, pow(-ln(1 - own), 1 - range * 0.25::DOUBLE) * pow(-ln(1 - near), range * 0.25::DOUBLE) AS lam FROM pred, range(5))
 SELECT w, {r6("sum(y * ln(lam) - lam)")} AS ll FROM b GROUP BY w""")
 def q_blend(spark, sf):
-    rate = lambda c: -F.log(1 - F.col(c))
+    rate = lambda c: -ln(1 - F.col(c))
     p = predictions(spark, sf).withColumn("w", F.explode(F.array(*[F.lit(k / 4) for k in range(5)])))
     lam = F.pow(rate("own"), 1 - F.col("w")) * F.pow(rate("near"), F.col("w"))
-    return p.groupBy("w").agg(fixed(F.sum(F.col("y") * F.log(lam) - lam)).alias("ll"))
+    return p.groupBy("w").agg(fixed(F.sum(F.col("y") * ln(lam) - lam)).alias("ll"))
 
 
 @query(f"""WITH {PRED}, d AS (SELECT "window", sum(y * (ln({RATE('own')}) - ln({RATE('near')})) - ({RATE('own')} - {RATE('near')})) AS d FROM pred GROUP BY ALL)
