@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rategrid.functions.core import ln, ratio
 from rategrid.operators.quantiles import all_equal, bucketed
 from rategrid.sources.shared import materialize
 
@@ -17,10 +18,10 @@ def information_gain(p: Column, base: Column, y: Column) -> Column:
     return F.sum(y * (F.log(a) - F.log(b)) - (a - b)) / F.greatest(F.sum(y), F.lit(1)).cast("double")
 
 
-def bernoulli_gain(p: Column, base: Column, y: Column) -> Column:
-    """The same under the Bernoulli likelihood."""
-    a, b = (F.least(F.greatest(x, F.lit(EPS)), F.lit(1 - EPS)) for x in (p, base))
-    return F.sum(y * (F.log(a) - F.log(b)) + (1 - y) * (F.log1p(-a) - F.log1p(-b))) / F.greatest(F.sum(y), F.lit(1)).cast("double")
+def bernoulli_gain(p: Column, base: Column, y: Column, eps: float = EPS) -> Column:
+    """The same under the Bernoulli likelihood.  With ``eps`` of 0 probabilities of 0 and 1 count as they are, and the gain may be infinite or NaN."""
+    a, b = (F.least(F.greatest(x, F.lit(eps)), F.lit(1 - eps)) for x in (p, base))
+    return F.sum(y * (ln(a) - ln(b)) + (1 - y) * (ln(1 - a) - ln(1 - b))) / F.greatest(F.sum(y), F.lit(1)).cast("double")
 
 
 def ranked(df: DataFrame, by: list[str]) -> DataFrame:
@@ -39,8 +40,8 @@ def ranked(df: DataFrame, by: list[str]) -> DataFrame:
     return joined.withColumn("tp", F.col("_pos") + F.sum("pos").over(down)).withColumn("seen", F.col("_n") + F.sum("n").over(down)).drop("_k", "_pos", "_n")
 
 
-def ranking(df: DataFrame, by: list[str]) -> DataFrame:
-    """average_precision, roc_auc and molchan (1 - 2 * area) of each group; null without both classes."""
+def ranking(df: DataFrame, by: list[str], plain: bool = False) -> DataFrame:
+    """average_precision, roc_auc and molchan (1 - 2 * area) of each group; null without both classes, or, if ``plain``, what their quotients give."""
     r = ranked(df, by)
     neg = F.col("n") - F.col("pos")
     sums = r.groupBy(*by).agg(
@@ -50,12 +51,12 @@ def ranking(df: DataFrame, by: list[str]) -> DataFrame:
         F.sum("pos").alias("pos"),
         F.sum("n").alias("n"),
     )
-    some = (F.col("pos") > 0) & (F.col("pos") < F.col("n"))
+    some = F.lit(plain) | ((F.col("pos") > 0) & (F.col("pos") < F.col("n")))
     return sums.select(
         *by,
-        F.when(some, F.col("ap") / F.col("pos")).alias("average_precision"),
-        F.when(some, F.col("above") / (F.col("pos") * (F.col("n") - F.col("pos")))).alias("roc_auc"),
-        F.when(some, 2 * F.col("caught") / (F.col("pos") * F.col("n")) - 1).alias("molchan"),
+        F.when(some, ratio(F.col("ap"), F.col("pos"))).alias("average_precision"),
+        F.when(some, ratio(F.col("above"), F.col("pos") * (F.col("n") - F.col("pos")))).alias("roc_auc"),
+        F.when(some, ratio(2 * F.col("caught"), F.col("pos") * F.col("n")) - 1).alias("molchan"),
     )
 
 
