@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rategrid.functions.core import rate_of
+from rategrid.functions.core import ln, rate_of
 from rategrid.operators import metrics
 from rategrid.operators.resample import multiplicities, ranked_draws, stationary
 from rategrid.plans.base import fixed, query, r6
@@ -24,7 +24,7 @@ def window_scores(df):
     """Of each model and window the sums that all additive scores are made of."""
     lam, p, y = rate_of(F.col("p")), F.col("p"), F.col("y")
     return df.groupBy("model", "window").agg(
-        F.sum(y * F.log(lam) - lam).alias("ll"), F.sum(y * F.log(p) + (1 - y) * F.log(1 - p)).alias("bl"), F.sum((p - y) * (p - y)).alias("sq"), F.sum(y).cast("double").alias("y"), F.count("*").cast("double").alias("n")
+        F.sum(y * F.log(lam) - lam).alias("ll"), F.sum(y * ln(p) + (1 - y) * ln(1 - p)).alias("bl"), F.sum((p - y) * (p - y)).alias("sq"), F.sum(y).cast("double").alias("y"), F.count("*").cast("double").alias("n")
     )
 
 
@@ -195,7 +195,7 @@ def q_three_scorings(spark, sf):
     df = three(spark, sf).join(k, ["window", "ir", "ic"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
     lam, p, y = rate_of(F.col("p")), F.col("p"), F.col("y")
     return df.groupBy("model").agg(
-        fixed(F.sum(F.col("k") * F.log(lam) - lam) / F.sum("k")).alias("per_event"), fixed(F.sum(y * F.log(lam) - lam) / F.sum(y)).alias("per_cell"), fixed(F.sum(y * F.log(p) + (1 - y) * F.log(1 - p)) / F.sum(y)).alias("bernoulli")
+        fixed(F.sum(F.col("k") * F.log(lam) - lam) / F.sum("k")).alias("per_event"), fixed(F.sum(y * F.log(lam) - lam) / F.sum(y)).alias("per_cell"), fixed(F.sum(y * ln(p) + (1 - y) * ln(1 - p)) / F.sum(y)).alias("bernoulli")
     )
 
 
