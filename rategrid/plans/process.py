@@ -47,10 +47,7 @@ def q_nearest_time(spark, sf):
 
 def nearest_times(spark, sf):
     """id, other, residual: for every event the one nearest in time in its cell, within four hours."""
-    e = events(spark, sf).select(F.col("id").alias("other"), "ir", "ic", "t_us")
-    asked = e.select(F.col("other").alias("id"), "ir", "ic", F.col("t_us").alias("at"), (F.col("t_us") - 4 * HOUR).alias("low"), (F.col("t_us") + 4 * HOUR).alias("high"))
-    found = joins.range_join(e, asked, "t_us", "low", "high", 8 * HOUR, ("ir", "ic")).filter("id <> other").withColumn("residual", F.col("t_us") - F.col("at"))
-    return found.groupBy("id").agg(F.min(F.struct(F.abs("residual").alias("d"), "other", "residual")).alias("m")).select("id", "m.other", "m.residual")
+    return joins.nearest_other(events(spark, sf), "id", "t_us", ["ir", "ic"], 4 * HOUR, 4 * HOUR)
 
 
 @query(f"""WITH {EV}, p AS (SELECT a.id, a.win, b.id AS other, b.t_us - a.t_us AS residual FROM ev a JOIN ev b ON a.ir = b.ir AND a.ic = b.ic AND a.id <> b.id

@@ -1,8 +1,11 @@
 """Steps whose work or memory must not grow faster than their input."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
-from rategrid.operators import joins
+from rategrid.operators import joins, snapshots
 
 
 def plan(df) -> str:
@@ -16,3 +19,38 @@ def test_copied_sides_of_range_joins_are_not_broadcast(spark):
         text = plan(joins.range_join(e, p, "t", "low", "high", 10, how=how))
         assert "SortMergeJoin" in text and "Broadcast" not in text
     assert joins.range_join(e, p, "t", "low", "high", 10).count() == sum(min(50, 1000 - i) for i in range(1000))
+
+
+def test_nearest_other_copies_no_row(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(2), rng.randrange(60) - 20) for k in range(90)]  # many at one time, some before the origin
+    df = spark.createDataFrame(rows, "id long, g int, t long")
+    got = joins.nearest_other(df, "id", "t", ["g"], 4, 3)
+    want = set()
+    for i, g, t in rows:
+        near = [(abs(u - t), j, u - t) for j, h, u in rows if h == g and j != i and t - 4 <= u < t + 3]
+        if near:
+            want.add((i, *min(near)[1:]))
+    assert {tuple(r) for r in got.collect()} == want
+    assert "Generate" not in plan(got)  # was a range join with all rows around
+
+
+def test_followed_copies_no_event_to_triggers(spark):
+    rng = random.Random(6)
+    day, hour = snapshots.US_PER_DAY, snapshots.US_PER_DAY // 24
+    rows = [(k, rng.randrange(2), rng.choice([rng.randrange(12 * day), rng.randrange(12 * 24) * hour, 3 * day]), round(rng.uniform(1.5, 3.6), 2)) for k in range(500)]
+    df = spark.createDataFrame(rows, "id long, g int, t_us long, mag double").withColumn("win", F.floor(F.col("t_us") / day))
+    out = snapshots.followed(df, df.filter("mag >= 3.3"), ["g"], (1, 3), 2, 1.0, enough=5)
+    got = {(r["id"], r["days"]): (r["n"], r["top"], round(r["b_drop"], 9), r["later_top"]) for r in out.collect()}
+    want = {}
+    for i, g, t, m in rows:
+        if m >= 3.3:
+            same = sorted((u, j, x) for j, h, u, x in rows if h == g and u > t)
+            heavy = [(u, x) for u, _, x in same if x >= 2.0]
+            for d in (1, 3):
+                inside = [x for u, _, x in same if u <= t + d * day]
+                steps = [y - x for (_, x), (u, y) in zip(heavy, heavy[1:]) if u <= t + d * day and y - x >= 0.1]
+                b = 1 / (math.log(10) * (sum(steps) / len(steps) - 0.1)) if len(steps) >= 5 else 1.0
+                late = [x for u, _, x in same if t + d * day < u <= t + (d + 2) * day]
+                want[i, d] = (len(inside), max(inside, default=None), round(1 - b, 9), max(late, default=None))
+    assert got == want
