@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from rategrid.functions.core import micros_since, omori_cumulative, omori_density, productivity
-from rategrid.operators import joins
+from rategrid.functions.core import micros_since, omori_cumulative, productivity
+from rategrid.operators.kernel_sums import kernel_sums
 from rategrid.plans import catalog  # noqa: F401  its SQL is used
-from rategrid.plans.base import EV, GRID, ORACLES, events, fixed, query, r6
+from rategrid.plans.base import EV, ORACLES, events, fixed, query, r6
 from rategrid.sources.shared import shared_folder
 from rategrid.streaming.counts import drained, sequences, sliding_counts, window_counts
 from rategrid.streaming.ordered import keyed_timers, without_near_repeats
@@ -19,17 +19,14 @@ r AS (SELECT ev.id, mag, t_us, coalesce(trig, 0) AS trig FROM ev LEFT JOIN x ON
 
 
 def triggered(e):
-    """id and the rate at each event that earlier events near it add up to."""
-    later = e.select("id", "ir", "ic", "t_us")
-    before = e.select("ir", "ic", F.col("mag").alias("m"), F.col("t_us").alias("from"), (F.col("t_us") + 1).alias("low"), (F.col("t_us") + REACH * HOUR + 1).alias("high"))
-    found = joins.range_join(later, GRID.neighbours(before, 1), "t_us", "low", "high", REACH * HOUR, ("ir", "ic"))
-    wait = (F.col("t_us") - F.col("from")) / 86_400_000_000.0
-    return found.groupBy("id").agg(F.sum(productivity(F.col("m"), K, ALPHA, 2) * omori_density(wait, C, P) / 9).alias("trig"))
+    """id, ir, ic, mag and the rate ``trig`` at each event that earlier events near it add up to."""
+    waiting = lambda us: (P - 1) * C ** (P - 1) * (us / 86_400_000_000 + C) ** -P / 9
+    sources = e.select("id", "ir", "ic", "t_us", "mag", productivity(F.col("mag"), K, ALPHA, 2).alias("offspring"))
+    return kernel_sums(sources, "offspring", REACH * HOUR, waiting, carry=("ir", "ic", "mag")).withColumnRenamed("total", "trig")
 
 
 def _rates(spark, sf):
-    e = events(spark, sf)
-    return e.select("id", "mag").join(triggered(e), "id", "left").withColumn("trig", F.coalesce("trig", F.lit(0.0)))
+    return triggered(events(spark, sf))
 
 
 @query(f"WITH {_TRIG} SELECT id, {r6(f'{MU}::DOUBLE / ({MU}::DOUBLE + trig)')} AS rho FROM r")

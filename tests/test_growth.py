@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from rategrid.operators import joins, snapshots
+from rategrid.operators.kernel_sums import kernel_sums
 
 
 def plan(df) -> str:
@@ -54,3 +55,18 @@ def test_followed_copies_no_event_to_triggers(spark):
                 late = [x for u, _, x in same if t + d * day < u <= t + (d + 2) * day]
                 want[i, d] = (len(inside), max(inside, default=None), round(1 - b, 9), max(late, default=None))
     assert got == want
+
+
+def test_kernel_sums_meet_no_pairs(spark):
+    rng = random.Random(7)
+    reach = 32 * 1000
+    rows = [(k, rng.randrange(3), rng.randrange(4), rng.choice([rng.randrange(-reach, 3 * reach), 500 * rng.randrange(150)]), rng.random()) for k in range(600)]
+    df = spark.createDataFrame([*rows, (600, 0, 0, None, 1.0), (601, 0, 0, 40_000, None)], "id long, ir int, ic int, t_us long, w double")
+    kernel = lambda us: (us / reach + 0.16) ** -1.2
+    out = kernel_sums(df, "w", reach, kernel)
+    got = {r["id"]: r["total"] for r in out.collect()}
+    assert len(got) == 602 and got.pop(600) == 0.0 and got.pop(601) > 0
+    for i, ir, ic, t, _ in rows:
+        want = sum(w * kernel(t - u) for _, a, b, u, w in rows if abs(a - ir) <= 1 and abs(b - ic) <= 1 and t - reach <= u < t)
+        assert abs(got[i] - want) <= 1e-11 * max(1.0, want)
+    assert "Join" not in plan(out)  # was a range join
