@@ -55,7 +55,7 @@ def followed(events: DataFrame, triggers: DataFrame, by: list[str], days: tuple,
     row a group and hour.  A step belongs to the event that ends it, so only the first of a horizon, which begins before it, is left out.
     """
     hour, per_day = US_PER_DAY // 24, 24
-    heavy = F.col("mag") >= mc
+    heavy = F.coalesce(F.col("mag") >= mc, F.lit(False))
     big = steps(events.filter(heavy), "mag", by).select(*by, "id", "t_us", "mag", F.lit(True).alias("heavy"), "step")
     rest = events.filter(~heavy).select(*by, "id", "t_us", "mag", F.lit(False).alias("heavy"), F.lit(None).cast("double").alias("step"))
     up = F.col("step") >= least
