@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +35,8 @@ def drop_near_repeats(df: DataFrame, by: list[str], gap: int, dmag: float, block
     start = lambda c: F.col(c) * block
 
     def walked(rows: DataFrame) -> DataFrame:
-        """Of the rows of blocks, ``_own`` (0: before the block) and ``_seed`` (known state or null): rows kept, with the state before and after."""
+        """Of the rows of blocks, ``_own`` (0: before the block; -1: no row, but the state ``_seed`` that is known): rows kept, with the state before and
+        after.  A state stands on a row of its own, the first of its block."""
         kinds = dict(df.dtypes)
         state = "array<struct<t:long,m:double>>"
         schema = ", ".join(f"{c} {kinds[c]}" for c in by) + f", _b long, ids array<long>, before {state}, after {state}"
@@ -42,19 +46,25 @@ def drop_near_repeats(df: DataFrame, by: list[str], gap: int, dmag: float, block
             key = None
             for batch in batches:
                 out = []
-                for *k, i, t, m, inside, seed in zip(*(c.to_pylist() for c in batch.columns)):
+                *of, ids_, times, mags_, kinds_, seeds = (c.to_pylist() for c in batch.columns)
+                for k, i, t, m, inside, seed in zip(zip(*of), ids_, times, mags_, kinds_, seeds):
                     if k != key:
                         if key is not None:
                             out.append(closed(key, ids, before, kept))
-                        key, ids, before = k, [], None
-                        kept = [] if seed is None else [(x["t"], x["m"]) for x in seed]
+                        # what was kept in the gap before, in order of time, and its magnitudes in their own order
+                        key, ids, before, kept, mags = k, [], None, deque(), []
+                    if inside < 0:
+                        kept = deque((x["t"], x["m"]) for x in seed)
+                        mags = sorted(x for _, x in kept)
+                        continue
                     if inside and before is None:
                         before = [x for x in kept if k[-1] * block - x[0] <= gap]
-                    if not inside and seed is not None:
-                        continue
-                    kept = [x for x in kept if t - x[0] <= gap]
-                    if all(abs(m - a) > dmag for _, a in kept):
+                    while kept and t - kept[0][0] > gap:
+                        del mags[bisect_left(mags, kept.popleft()[1])]
+                    at = bisect_left(mags, m)
+                    if (at == len(mags) or abs(m - mags[at]) > dmag) and (at == 0 or abs(m - mags[at - 1]) > dmag):
                         kept.append((t, m))
+                        mags.insert(at, m)
                         if inside:
                             ids.append(i)
                 if out:
@@ -74,7 +84,8 @@ def drop_near_repeats(df: DataFrame, by: list[str], gap: int, dmag: float, block
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [*first, "ids", "before", "after"])
 
         slim = rows.select(*first, "id", "t_us", "mag", "_own", "_seed")
-        return slim.repartition(*first).sortWithinPartitions(*first, "t_us", "id").mapInArrow(walk, schema)
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, as few bytes may be many rows to walk
+        return slim.repartition(parts, *first).sortWithinPartitions(*first, "t_us", "id").mapInArrow(walk, schema)
 
     warm = own.filter(F.col("t_us") >= start("_b") + block - WARM * gap).withColumn("_b", F.col("_b") + 1)
     there = own.select(*by, "_b").distinct()
@@ -89,7 +100,9 @@ def drop_near_repeats(df: DataFrame, by: list[str], gap: int, dmag: float, block
         wrong = materialize(checked.filter(F.col("before") != F.col("_came")).select(*by, "_b", F.col("_came").alias("_seed")), "wrong")
         if wrong.isEmpty():
             break
-        again = walked(own.withColumn("_own", F.lit(1)).join(wrong, [*by, "_b"]))
+        known = wrong.withColumn("_own", F.lit(-1))
+        again = own.withColumn("_own", F.lit(1)).join(wrong.drop("_seed"), [*by, "_b"], "left_semi").unionByName(known, allowMissingColumns=True)
+        again = walked(again)
         done = materialize(done.join(wrong, [*by, "_b"], "left_anti").unionByName(again), "walked")
     kept = done.select(*by, "_b", F.explode("ids").alias("id"))
     return own.join(kept, [*by, "_b", "id"], "left_semi").select(*names)
