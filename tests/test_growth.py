@@ -3,9 +3,10 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from rategrid.operators import catalog, joins, snapshots
+from rategrid.operators import catalog, joins, likelihood, snapshots
 from rategrid.operators.kernel_sums import kernel_sums
 
 
@@ -105,3 +106,43 @@ def test_nearest_meets_few_places_however_dense(spark, monkeypatch):
     want = {p: None if x is None else min((math.sqrt((x - u) * (x - u) + (y - v) * (y - v)), s) for s, u, v in places)[1] for p, x, y in points}
     assert got == want
     assert max(grids) > 100  # 3.0 over the first width: finer than the 0.5 that holds all places in one cell
+
+
+def test_likelihood_meets_no_pairs_of_many_events(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    n, tau, radius, beta = 1500, 0.125, 1.0, 2.3
+    t = rng.uniform(-0.05, 0.3, n)
+    t[:60] = rng.integers(0, 3, 60) * tau  # some at one time, and just tau apart
+    x, y, dm = rng.integers(0, 2, n) / 2.0, rng.integers(-1, 2, n) / 1.0, rng.exponential(0.4, n)
+    rows = [(i, *map(float, r), 0.01) for i, r in enumerate(zip(t, x, y, dm))] + [(n, 0.1, None, 0.5, 1.0, 0.01), (n + 1, 0.1, 0.5, None, 1.0, 0.01), (n + 2, None, 0.5, 0.5, 1.0, 0.01)]
+    monkeypatch.setattr(likelihood, "pairs", None)  # were written for all events
+    theta = likelihood.pack(beta, 900.0, 0.3, 0.9, 0.02, 1.2, 0.4, 1.6, 0.2)
+    problem = likelihood.Problem.of(spark.createDataFrame(rows, "id long, t double, x double, y double, dm double, u double"), 0.3, tau, radius, beta)
+    assert problem.blocks.count() <= 6 * len(rows)
+    nll, grad = problem.value(theta)
+    v = likelihood.unpack(theta, beta)
+    dt, r2 = t[:, None] - t, (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2
+    s = v["d"] * 10 ** (v["gamma"] * dm)
+    met = (dt > 0) & (dt <= tau) & (r2 <= radius**2)
+    place = v["k"] * np.exp(v["alpha"] * dm) * (v["p"] - 1) / v["c"] * (v["q"] - 1) / (math.pi * s) * (1 + r2 / s) ** -v["q"]
+    w = np.where(met, place * (1 + np.where(met, dt, 0) / v["c"]) ** -v["p"], 0).sum(axis=1)[t >= 0]
+    lam = np.append(v["mu"] * 0.01 + w, [v["mu"] * 0.01] * 2)
+    b1, b2 = (1 + z / v["c"] for z in (np.clip(-t, 0, tau), np.minimum(0.3 - t, tau)))
+    of = v["k"] * np.exp(v["alpha"] * dm) * (b1 ** (1 - v["p"]) - b2 ** (1 - v["p"])) * (1 - (1 + radius**2 / s) ** (1 - v["q"]))
+    s1 = v["d"] * 10 ** v["gamma"]  # the two without a place trigger all the same
+    lone = v["k"] * math.exp(v["alpha"]) * (1 - (1 + tau / v["c"]) ** (1 - v["p"])) * (1 - (1 + radius**2 / s1) ** (1 - v["q"]))
+    assert abs(nll - (v["mu"] * 0.3 + of.sum() + 2 * lone - np.log(lam).sum())) < 1e-10 * abs(nll)
+    assert abs(-grad[0] - ((v["mu"] * 0.01 / lam).sum() - v["mu"] * 0.3)) < 1e-9 * n
+    grid = likelihood._Grid(likelihood._Kernels(*(v[k] for k in ("k", "alpha", "c", "p", "d", "q", "gamma"))), tau, 32, -tau, np.sort(t))
+    order, asked = np.argsort(t), np.flatnonzero((t >= 0) & (t < tau))
+    sums = grid.sums(t[asked], np.arange(n), np.ones((n, 5)))
+    for a, i in enumerate(asked):
+        d = t[i] - t[order]
+        for got, want in zip(sums[a, [0, 5, 6]], grid_kernel(v, d[(d > 0) & (d <= tau)])):
+            assert abs(got - want) < 1e-10 * max(1.0, abs(want))
+
+
+def grid_kernel(v: dict, dt):
+    a = 1 + dt / v["c"]
+    f = a ** -v["p"]
+    return f.sum(), (f * (v["p"] * (dt / v["c"]) / a - 1)).sum(), (f * (1 - (v["p"] - 1) * np.log(a))).sum()
