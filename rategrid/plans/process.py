@@ -45,9 +45,9 @@ def q_nearest_time(spark, sf):
     return nearest_times(spark, sf)
 
 
-def nearest_times(spark, sf):
-    """id, other, residual: for every event the one nearest in time in its cell, within four hours."""
-    return joins.nearest_other(events(spark, sf), "id", "t_us", ["ir", "ic"], 4 * HOUR, 4 * HOUR)
+def nearest_times(spark, sf, carry=()):
+    """id, ``carry``, other, residual: for every event the one nearest in time in its cell, within four hours."""
+    return joins.nearest_other(events(spark, sf), "id", "t_us", ["ir", "ic"], 4 * HOUR, 4 * HOUR, carry)
 
 
 @query(f"""WITH {EV}, p AS (SELECT a.id, a.win, b.id AS other, b.t_us - a.t_us AS residual FROM ev a JOIN ev b ON a.ir = b.ir AND a.ic = b.ic AND a.id <> b.id
@@ -55,8 +55,7 @@ AND b.t_us >= a.t_us - {4 * HOUR} AND b.t_us < a.t_us + {4 * HOUR}), n AS (SELEC
 SELECT (win >= 15)::INT AS late, count(*)::BIGINT AS n, {r6("quantile_cont(residual, 0.5)")} AS median_us, max(abs(residual))::BIGINT AS max_us FROM n WHERE n = 1 GROUP BY 1""")
 def q_residual_seasons(spark, sf):
     """The residuals of the nearest matches by season: count, median and largest."""
-    season = events(spark, sf).select("id", (F.col("win") >= 15).cast("int").alias("late"))
-    r = materialize(nearest_times(spark, sf).join(season, "id"), "residuals")
+    r = materialize(nearest_times(spark, sf, ("win",)).select((F.col("win") >= 15).cast("int").alias("late"), "residual"), "residuals")
     middle = quantiles(r, ["late"], "residual", [0.5]).select("late", fixed(F.col("p")[0]).alias("median_us"))
     return r.groupBy("late").agg(F.count("*").alias("n"), F.max(F.abs("residual")).alias("max_us")).join(middle, "late").select("late", "n", "median_us", "max_us")
 

@@ -37,6 +37,12 @@ def test_nearest_other_copies_no_row(spark):
     assert "Generate" not in plan(got)  # was a range join with all rows around
 
 
+def test_nearest_other_carries_columns(spark):
+    df = spark.createDataFrame([(k, 0, 10 * (k // 2), k % 3) for k in range(12)], "id long, g int, t long, season int")
+    got = joins.nearest_other(df, "id", "t", ["g"], 4, 4, ("season",))
+    assert {tuple(r) for r in got.collect()} == {(k, k % 3, k ^ 1, 0) for k in range(12)}  # were joined to the events by id afterwards
+
+
 def test_followed_copies_no_event_to_triggers(spark):
     rng = random.Random(6)
     day, hour = snapshots.US_PER_DAY, snapshots.US_PER_DAY // 24
