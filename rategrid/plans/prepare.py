@@ -54,8 +54,8 @@ def q_encoded_bulletin(spark, sf):
     folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
     release_later(spark, folder)
     encoded.write_pages(head.unionByName(rows).unionByName(foot), folder, "page_id", ["part", "id"], "cp1254")
-    pages = encoded.read_pages(spark, folder, "cp1254", "*.csv").withColumn("page_id", F.col("page_id").cast("long"))
-    got = text.bulletin(pages)
+    lines = encoded.read_lines(spark, folder, "cp1254", "*.csv").withColumn("page_id", F.col("page_id").cast("long"))
+    got, pages = text.bulletin_of_lines(lines.select("page_id", "at", "line"))
     sums = got.groupBy("page_id").agg(F.count_if(F.col("place") == _PLACE).alias("places"), fixed(F.sum(text.number(F.col("pref")))).alias("mag"))
     return encoded.judged(pages, got).join(sums, "page_id", "left").select("page_id", "announced", "rows", "ok", F.coalesce("places", F.lit(0)).alias("places"), F.coalesce("mag", F.lit(0.0)).alias("mag"))
 

@@ -24,6 +24,26 @@ def read_pages(spark: SparkSession, path: str, encoding: str, pattern: str = "*"
     return files.select("content", "path", *rest).mapInArrow(decode, f"{column} string, {kinds}")
 
 
+def read_lines(spark: SparkSession, path: str, encoding: str, pattern: str = "*") -> DataFrame:
+    """path, at, line and the folders' columns of every line of the files below ``path``; ``at`` orders the lines of a file.
+
+    Spark splits files at line feeds, so what a task holds doesn't grow with a file; in ``encoding`` no other character may have the byte of one.
+    ``at`` is from where a split begins and the order of reading, so it holds within one run over the rows.
+    """
+    files = spark.read.option("pathGlobFilter", pattern).option("lineSep", "\n").text(path)
+    rest = [c for c in files.columns if c != "value"]
+    at = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"))
+    raw = files.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("path"), at.alias("at"), *rest)
+
+    def decode(batches):
+        for batch in batches:
+            texts = [b.decode(encoding, "replace") for b in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], ["line", *batch.schema.names[1:]])
+
+    kinds = ", ".join(f"{c} {raw.schema[c].dataType.simpleString()}" for c in raw.columns[1:])
+    return raw.mapInArrow(decode, f"line string, {kinds}")
+
+
 def write_pages(lines: DataFrame, path: str, page: str, order: list[str], encoding: str) -> None:
     """Writes ``lines`` (line, ``page`` and ``order``) as one file a page, in folders ``page=value``, in ``encoding``; a page is never one value.
 
@@ -43,8 +63,10 @@ def write_pages(lines: DataFrame, path: str, page: str, order: list[str], encodi
 
 
 def judged(pages: DataFrame, rows: DataFrame) -> DataFrame:
-    """page_id, announced, rows, ok of every page: whether it holds as many rows as it says.  ``rows`` are those ``bulletin`` found."""
-    said = pages.select("page_id", F.regexp_extract("html", r"(\d+) rows", 1).try_cast("long").alias("announced"))
+    """page_id, announced, rows, ok of every page (page_id, and html or announced): whether it holds as many rows as it says.  ``rows`` are those
+    ``bulletin`` found."""
+    announced = F.col("announced") if "announced" in pages.columns else F.regexp_extract("html", r"(\d+) rows", 1).try_cast("long")
+    said = pages.select("page_id", announced.alias("announced"))
     found = rows.filter("no IS NOT NULL").groupBy("page_id").agg(F.count("*").alias("rows"))
     out = said.join(found, "page_id", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     return out.withColumn("ok", F.coalesce(F.col("announced") == F.col("rows"), F.lit(False)))

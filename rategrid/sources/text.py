@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rategrid.sources.shared import materialize
+
 #: Columns of a line of the bulletin.
 FIELDS = ("no", "code", "date", "time", "lat", "lon", "depth", "pref", "md", "ml", "mw", "ms", "mb", "kind", "place")
 
@@ -25,10 +27,31 @@ def bulletin(pages: DataFrame) -> DataFrame:
     """
     body = F.regexp_extract("html", r"(?s)<pre>(.*?)</pre>", 1)
     announced = F.regexp_extract("html", r"(\d+) rows", 1).try_cast("long")
-    lines = pages.select("page_id", announced.alias("announced"), F.explode(F.split(body, "\n")).alias("line")).withColumn("f", F.split("line", "\t"))
-    rows = lines.filter(F.size("f") == len(FIELDS))
+    return _table(pages.select("page_id", announced.alias("announced")), pages.select("page_id", F.explode(F.split(body, "\n")).alias("line")))
+
+
+def bulletin_of_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``bulletin`` finds, for pages that come as lines (page_id, at: what orders them, line), so a page of any length is never one value; and
+    page_id, announced of every page with a line."""
+    lines = materialize(lines, "lines")
+    n = F.regexp_extract("line", r"(\d+) rows", 1)
+    first = lambda found, value: F.min(F.when(found, value))
+    said = lines.groupBy("page_id").agg(first(n != "", F.struct("at", n.try_cast("long").alias("n"))).alias("_n"), first(F.contains("line", F.lit("<pre>")), F.col("at")).alias("_open"))
+    said = materialize(said.select("page_id", F.col("_n.n").alias("announced"), "_open"), "said")
+    after = F.when(F.col("at") == F.col("_open"), F.expr("substring(line, locate('<pre>', line) + 5)")).otherwise(F.col("line"))
+    opened = lines.join(said.filter("_open IS NOT NULL").select("page_id", "_open"), "page_id").filter(F.col("at") >= F.col("_open")).select("page_id", "at", after.alias("line"))
+    closed = opened.groupBy("page_id").agg(first(F.contains("line", F.lit("</pre>")), F.col("at")).alias("_close")).filter("_close IS NOT NULL")
+    before = F.when(F.col("at") == F.col("_close"), F.substring_index("line", "</pre>", 1)).otherwise(F.col("line"))
+    inside = opened.join(closed, "page_id").filter(F.col("at") <= F.col("_close")).select("page_id", before.alias("line"))
+    said = said.select("page_id", "announced")
+    return _table(said, inside), said
+
+
+def _table(said: DataFrame, lines: DataFrame) -> DataFrame:
+    """The rows among the lines (page_id, line) of pages, with what these announce (page_id, announced)."""
+    rows = lines.withColumn("f", F.split("line", "\t")).filter(F.size("f") == len(FIELDS))
     found = rows.groupBy("page_id").agg(F.count("*").alias("rows"))
-    every = pages.select("page_id", announced.alias("announced")).join(found, "page_id", "left").filter("rows > 0 OR announced > 0")
+    every = said.join(found, "page_id", "left").filter("rows > 0 OR announced > 0")
     own = rows.select(F.col("page_id").alias("_page"), *[F.trim(F.col("f")[k]).alias(name) for k, name in enumerate(FIELDS)])
     return every.join(own, F.col("page_id") == F.col("_page"), "left").select("page_id", "announced", F.coalesce("rows", F.lit(0)).alias("rows"), *FIELDS)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rategrid.operators import catalog, joins, likelihood, snapshots
 from rategrid.operators.kernel_sums import kernel_sums
+from rategrid.sources import encoded, text
 
 
 def plan(df) -> str:
@@ -166,3 +167,27 @@ def test_points_far_from_all_places_meet_few(spark):
     for bits in (1, 4):
         asked = joins._descend(p, spots, "p", 6, bits).groupBy("p").count().agg(F.count("*"), F.sum("count")).first()
         assert asked[0] == len(points) and asked[1] < 8 * len(points)  # of 2,500 cells; met all of them
+
+
+def test_pages_in_lines_read_as_whole_ones(spark, tmp_path):
+    row = "\t".join(["1", "c", "2020.01.01", "00:00:00", "40", "27", "5", "3.1", "-.-", "3.1", "", "", "0.0", "Ke", "ŞİLE ğ�"])
+    rng = random.Random(12)
+    pages = {
+        "1": f"<b>2 rows</b>\n<pre>head\n{row}\n{row}\n</pre>\n{row}\n<pre>\n{row}\n</pre>", "2": f"9 rows\n{row}\n<pre>\n{row}\n", "3": f"</pre><pre>{row}\n{row}</pre> 3 rows 4 rows\n5 rows", "4": f"{row}\n4 rows",
+        "5": f"<pre>{row}</pre>\n{row}\r\n</pre>", "6": "99999999999999999999 rows\n7 rows<pre>\n</pre>", "7": "no\n\n", "8": "<b>3000 rows</b><pre>\n" + "".join(f"{row}\n" for _ in range(3000)) + f"</pre>\n{row}",
+    }
+    for k, page in pages.items():
+        (tmp_path / f"page_id={k}").mkdir()
+        (tmp_path / f"page_id={k}" / f"{rng.random()}.csv").write_bytes(page.encode("cp1254", "replace"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = encoded.read_lines(spark, str(tmp_path), "cp1254", "*.csv")
+        assert lines.select("path", "at.split").distinct().groupBy("path").count().agg(F.max("count")).first()[0] > 5  # a page was one value
+        got, said = text.bulletin_of_lines(lines.select("page_id", "at", "line"))
+        whole = encoded.read_pages(spark, str(tmp_path), "cp1254", "*.csv")
+        want = text.bulletin(whole)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 3000
+        assert sorted(map(tuple, encoded.judged(said, got).collect())) == sorted(map(tuple, encoded.judged(whole, want).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
