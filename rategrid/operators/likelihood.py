@@ -99,7 +99,9 @@ class Problem:
     @classmethod
     def of(cls, events: DataFrame, span: float, tau: float, radius: float, beta: float) -> Problem:
         events = materialize(events.select("id", "t", "x", "y", "dm", "u").filter(F.col("t") < span), "fit-events")
-        written = bucketed_table(blocks(events, tau, radius), "blocks", ["_j", "_b"])
+        spark = events.sparkSession
+        buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, events.count() // 8_000))  # each step runs a task a bucket
+        written = bucketed_table(blocks(events, tau, radius), "blocks", ["_j", "_b"], buckets)
         ends = F.least(F.lit(span) - F.col("t"), F.lit(tau))
         sources = materialize(events.select("dm", F.least(F.greatest(-F.col("t"), F.lit(0.0)), F.lit(tau)).alias("t1"), ends.alias("t2")), "fit-sources")
         return cls(events, written, sources, span, tau, radius, beta)
