@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rategrid.operators import catalog, joins, likelihood, snapshots
 from rategrid.operators.kernel_sums import kernel_sums
+from rategrid.plans import process
 from rategrid.sources import encoded, text
 
 
@@ -191,3 +192,34 @@ def test_pages_in_lines_read_as_whole_ones(spark, tmp_path):
         assert sorted(map(tuple, encoded.judged(said, got).collect())) == sorted(map(tuple, encoded.judged(whole, want).collect()))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_pairs_after_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(joins, "RUN", 3)
+    monkeypatch.setattr(joins, "PART", 2)
+    rng = random.Random(19)
+    rows = [(k, rng.randrange(-2, 4), rng.randrange(4), rng.choice([rng.randrange(-90, 150), 10 * rng.randrange(-9, 15)])) for k in range(150)]
+    rows += [(k, 1, 1, 40 + k % 7) for k in range(150, 200)]  # a crowd of several parts, with equal times
+    rows += [(None, 1, 2, 45), (200, 1, 1, None), (201, None, 1, 45), (7, 1, 1, 46)]
+    got = joins.pairs_after(spark.createDataFrame(rows, "id long, ir int, ic int, t long"), "id", "t", 10)
+    there = [r for r in rows if None not in r[1:]]
+    want = [(i, j, u - t) for i, a, b, t in there for j, c, d, u in there if abs(a - c) <= 1 and abs(b - d) <= 1 and 0 < u - t <= 10]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0, r[2])
+    assert got.columns == ["earlier", "later", "dt"] and sorted((tuple(r) for r in got.collect()), key=order) == sorted(want, key=order)
+    assert any(i is None for i, _, _ in want) and any(d == 10 for _, _, d in want)
+
+
+def test_pairs_meet_runs_of_rows(spark, tmp_path, monkeypatch):
+    met, join, n = [], joins.range_join, 3000
+
+    def spy(events, probes, *a, **b):
+        met.extend([events.count(), probes.count()])
+        return join(events, probes, *a, **b)
+
+    monkeypatch.setattr(joins, "range_join", spy)
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + 1_000_000 * F.when(F.col("id") < n // 2, F.col("id")).otherwise(5000))  # half of them at one time
+    e = spark.range(n).select(F.col("id").alias("event_id"), at.alias("ts"), F.lit(55).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    pairs = process.q_pairs(spark, str(tmp_path)).count()
+    assert pairs == (n // 2) * (n // 2 - 1) // 2 + (n // 2) * sum(5000 - i <= 3600 for i in range(n // 2))
+    assert n <= sum(met) <= 1.1 * n  # were 10 * n: each row, and its copies to nine cells
