@@ -1,5 +1,7 @@
 """Comparing forecasts: bootstrap intervals, pairs, verdicts and weights."""
 
+from itertools import combinations
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,17 +17,29 @@ THREE = f"""{PRED}, three AS (SELECT * FROM long UNION ALL SELECT 'mix', "window
 lls AS (SELECT model, "window", sum(y * ln({RATE('p')}) - {RATE('p')}) AS ll, sum(y * ln(p) + (1 - y) * ln(1 - p)) AS bl, sum((p - y) * (p - y)) AS sq, sum(y)::DOUBLE AS y, count(*)::DOUBLE AS n FROM three GROUP BY ALL)"""
 
 
+MODELS = ("own", "near", "mix")
+
+
+def abreast(spark, sf):
+    """The three forecasts of a cell and window in one row."""
+    return predictions(spark, sf).withColumn("mix", 1 - F.exp(-F.sqrt(rate_of(F.col("own")) * rate_of(F.col("near")))))
+
+
 def three(spark, sf):
-    p = predictions(spark, sf).withColumn("mix", 1 - F.exp(-F.sqrt(rate_of(F.col("own")) * rate_of(F.col("near")))))
-    return p.unpivot(["window", "ir", "ic", "y"], ["own", "near", "mix"], "model", "p")
+    return abreast(spark, sf).unpivot(["window", "ir", "ic", "y"], list(MODELS), "model", "p")
+
+
+def cell_scores(p, y):
+    """Log-likelihoods of a cell under the Poisson and the Bernoulli form."""
+    lam = rate_of(p)
+    return y * F.log(lam) - lam, y * ln(p) + (1 - y) * ln(1 - p)
 
 
 def window_scores(df):
     """Of each model and window the sums that all additive scores are made of."""
-    lam, p, y = rate_of(F.col("p")), F.col("p"), F.col("y")
-    return df.groupBy("model", "window").agg(
-        F.sum(y * F.log(lam) - lam).alias("ll"), F.sum(y * ln(p) + (1 - y) * ln(1 - p)).alias("bl"), F.sum((p - y) * (p - y)).alias("sq"), F.sum(y).cast("double").alias("y"), F.count("*").cast("double").alias("n")
-    )
+    p, y = F.col("p"), F.col("y")
+    ll, bl = cell_scores(p, y)
+    return df.groupBy("model", "window").agg(F.sum(ll).alias("ll"), F.sum(bl).alias("bl"), F.sum((p - y) * (p - y)).alias("sq"), F.sum(y).cast("double").alias("y"), F.count("*").cast("double").alias("n"))
 
 
 def plan_sql(block: int = 3, draws: int = DRAWS, name: str = "plan") -> str:
@@ -65,6 +79,9 @@ def q_bootstrap_scores(spark, sf):
 
 _ORDER = "CASE {} WHEN 'own' THEN 0 WHEN 'near' THEN 1 ELSE 2 END"
 PAIRS = f"""pairs AS (SELECT a.model AS a, b.model AS b, a."window", a.ll - b.ll AS d, a.bl - b.bl AS bd, a.y FROM lls a JOIN lls b ON a."window" = b."window" AND {_ORDER.format('a.model')} < {_ORDER.format('b.model')})"""
+#: The same pairs with differences taken cell by cell: where forecasts are equal they are 0 in every cell, so a tie does not hang on the order of summation.
+CELLWISE = f"""pairs AS (SELECT x.model AS a, z.model AS b, "window", sum((x.y * ln({RATE('x.p')}) - {RATE('x.p')}) - (z.y * ln({RATE('z.p')}) - {RATE('z.p')})) AS d, sum(x.y)::DOUBLE AS y
+FROM three x JOIN three z USING ("window", ir, ic) WHERE {_ORDER.format('x.model')} < {_ORDER.format('z.model')} GROUP BY ALL)"""
 
 
 def _order(c):
@@ -72,12 +89,14 @@ def _order(c):
 
 
 def pairs(df):
-    """All pairs of models, in order, with their differences in each window."""
-    s = window_scores(df)
-    left = s.select(F.col("model").alias("a"), "window", F.col("ll").alias("la"), F.col("bl").alias("ba"), "y")
-    right = s.select(F.col("model").alias("b"), "window", F.col("ll").alias("lb"), F.col("bl").alias("bb"))
-    both = left.join(right, "window").filter(_order("a") < _order("b"))
-    return both.select("a", "b", "window", (F.col("la") - F.col("lb")).alias("d"), (F.col("ba") - F.col("bb")).alias("bd"), "y")
+    """All pairs of models, in order, with their differences in each window.
+
+    Differences are taken cell by cell (``df`` is ``abreast``), so forecasts that are equal in every cell tie exactly, in whatever order cells are summed."""
+    scores = {m: cell_scores(F.col(m), F.col("y")) for m in MODELS}
+    sums = {(a, b): [F.sum(x - z).alias(f"{a}_{b}_{c}") for c, x, z in zip(("d", "bd"), scores[a], scores[b])] for a, b in combinations(MODELS, 2)}
+    per = df.groupBy("window").agg(F.sum("y").cast("double").alias("y"), *[x for both in sums.values() for x in both])
+    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}_{b}_d").alias("d"), F.col(f"{a}_{b}_bd").alias("bd")) for a, b in sums]
+    return per.select("window", "y", F.explode(F.array(*rows)).alias("_p")).select("_p.a", "_p.b", "window", "_p.d", "_p.bd", "y")
 
 
 def _interval(x):
@@ -88,7 +107,7 @@ def _interval(x):
 p AS (SELECT a, b, sum(d) / greatest(sum(y), 1) AS point FROM pairs GROUP BY ALL)
 SELECT a, b, {r6("any_value(point)")} AS point, {r6("quantile_cont(gain, 0.025)")} AS low, {r6("quantile_cont(gain, 0.975)")} AS high, {r6("avg((gain > 0)::INT)")} AS wins FROM g JOIN p USING (a, b) GROUP BY a, b""")
 def q_pairs_models(spark, sf):
-    pr = pairs(three(spark, sf))
+    pr = pairs(abreast(spark, sf))
     gain = F.sum("d") / F.greatest(F.sum("y"), F.lit(1.0))
     draws = plan(spark).join(pr, "window").groupBy("a", "b", "draw").agg(gain.alias("gain"))
     low, high = _interval("gain")
@@ -103,7 +122,7 @@ SELECT b AS a, a AS b, {r6("-quantile_cont(gain, 0.975)")} AS low, {r6("-quantil
 @query(_FLIP)
 def q_flip_pair(spark, sf):
     """Every pair seen from its other side: bounds negated and swapped."""
-    draws = plan(spark).join(pairs(three(spark, sf)), "window").groupBy("a", "b", "draw").agg((F.sum("d") / F.greatest(F.sum("y"), F.lit(1.0))).alias("gain"))
+    draws = plan(spark).join(pairs(abreast(spark, sf)), "window").groupBy("a", "b", "draw").agg((F.sum("d") / F.greatest(F.sum("y"), F.lit(1.0))).alias("gain"))
     low, high = _interval("gain")
     return draws.groupBy("a", "b").agg(fixed(-high).alias("low"), fixed(-low).alias("high")).select(F.col("b").alias("a"), F.col("a").alias("b"), "low", "high")
 
@@ -118,7 +137,7 @@ verdicts AS (SELECT *, CASE WHEN gain_sign > 0 AND pr_sign > 0 THEN a || ' bette
 def verdicts(spark, sf):
     """Verdict of each pair: both intervals exclude 0 in one direction.  ``two_axis``: each does, in any direction."""
     df = three(spark, sf)
-    gain = plan(spark).join(pairs(df), "window").groupBy("a", "b", "draw").agg((F.sum("d") / F.greatest(F.sum("y"), F.lit(1.0))).alias("gain"))
+    gain = plan(spark).join(pairs(abreast(spark, sf)), "window").groupBy("a", "b", "draw").agg((F.sum("d") / F.greatest(F.sum("y"), F.lit(1.0))).alias("gain"))
     r = ranks(spark, df)
     x = gain.join(r.select(F.col("draw"), F.col("model").alias("a"), F.col("pr").alias("pa")), ["draw", "a"]).join(r.select(F.col("draw"), F.col("model").alias("b"), F.col("pr").alias("pb")), ["draw", "b"])
     x = x.withColumn("pr", F.col("pa") - F.col("pb"))
@@ -168,7 +187,7 @@ def q_block_lengths(spark, sf):
     every = plan(spark, _BLOCKS[0]).withColumn("block", F.lit(_BLOCKS[0]))
     for k in _BLOCKS[1:]:
         every = every.unionByName(plan(spark, k).withColumn("block", F.lit(k)))
-    g = every.join(pairs(three(spark, sf)), "window").groupBy("block", "a", "b", "draw").agg((F.sum("d") / F.greatest(F.sum("y"), F.lit(1.0))).alias("gain"))
+    g = every.join(pairs(abreast(spark, sf)), "window").groupBy("block", "a", "b", "draw").agg((F.sum("d") / F.greatest(F.sum("y"), F.lit(1.0))).alias("gain"))
     low, high = _interval("gain")
     return g.groupBy("block", "a", "b").agg(F.when(low > 0, 1).when(high < 0, -1).otherwise(0).alias("sign"))
 
@@ -178,7 +197,7 @@ g AS (SELECT a, b, scoring, draw, sum(d) / greatest(sum(y), 1) AS gain FROM plan
 SELECT a, b, scoring, {r6("quantile_cont(gain, 0.025)")} AS low, {r6("quantile_cont(gain, 0.975)")} AS high FROM g GROUP BY a, b, scoring""")
 def q_two_scorings(spark, sf):
     """Every pair under two scorings side by side."""
-    x = pairs(three(spark, sf)).select("a", "b", "window", "y", F.col("d").alias("poisson"), F.col("bd").alias("bernoulli")).unpivot(["a", "b", "window", "y"], ["poisson", "bernoulli"], "scoring", "d")
+    x = pairs(abreast(spark, sf)).select("a", "b", "window", "y", F.col("d").alias("poisson"), F.col("bd").alias("bernoulli")).unpivot(["a", "b", "window", "y"], ["poisson", "bernoulli"], "scoring", "d")
     g = plan(spark).join(x, "window").groupBy("a", "b", "scoring", "draw").agg((F.sum("d") / F.greatest(F.sum("y"), F.lit(1.0))).alias("gain"))
     low, high = _interval("gain")
     return g.groupBy("a", "b", "scoring").agg(fixed(low).alias("low"), fixed(high).alias("high"))
@@ -206,17 +225,17 @@ def _arm(windows: str):
 @query(f"""WITH {THREE}, {PAIRS}, early AS ({_arm('< 18')}), late AS ({_arm('>= 18')}) SELECT e.a, e.b, e.leader AS early, l.leader AS late, e.leader <> l.leader AS changed FROM early e JOIN late l USING (a, b)""")
 def q_verdict_diff(spark, sf):
     """Which pairs change their leader between two arms of the evaluation."""
-    pr = pairs(three(spark, sf)).withColumn("arm", F.when(F.col("window") < 18, "early").otherwise("late"))
+    pr = pairs(abreast(spark, sf)).withColumn("arm", F.when(F.col("window") < 18, "early").otherwise("late"))
     led = pr.groupBy("a", "b").pivot("arm", ["early", "late"]).agg(F.when(F.sum("d") > 0, F.first("a")).otherwise(F.first("b")))
     return led.withColumn("changed", F.col("early") != F.col("late"))
 
 
-@query(f"""WITH {THREE}, {PAIRS}, arms AS (SELECT 'early' AS arm, * FROM ({_arm('< 18')}) UNION ALL SELECT 'late', * FROM ({_arm('>= 18')}) UNION ALL SELECT 'all', * FROM ({_arm('>= 0')}))
+@query(f"""WITH {THREE}, {CELLWISE}, arms AS (SELECT 'early' AS arm, * FROM ({_arm('< 18')}) UNION ALL SELECT 'late', * FROM ({_arm('>= 18')}) UNION ALL SELECT 'all', * FROM ({_arm('>= 0')}))
 SELECT arm, a, b, leader, gain, bool_and(leader = 'own') OVER (PARTITION BY a, b) AS anchored FROM arms""")
 def q_collate(spark, sf):
-    """Leaders of all arms in one table, and whether a pair keeps its anchor in every arm."""
+    """Leaders of all arms in one table, and whether a pair keeps its anchor in every arm.  Where a pair ties, its second forecast leads."""
     arms = F.array(F.lit("all"), F.when(F.col("window") < 18, F.lit("early")).otherwise("late"))
-    led = pairs(three(spark, sf)).withColumn("arm", F.explode(arms)).groupBy("arm", "a", "b")
+    led = pairs(abreast(spark, sf)).withColumn("arm", F.explode(arms)).groupBy("arm", "a", "b")
     led = led.agg(F.when(F.sum("d") > 0, F.first("a")).otherwise(F.first("b")).alias("leader"), fixed(F.sum("d") / F.greatest(F.sum("y"), F.lit(1.0))).alias("gain"))
     return led.withColumn("anchored", F.bool_and(F.col("leader") == "own").over(Window.partitionBy("a", "b")))
 
@@ -239,7 +258,7 @@ s AS (SELECT a, b, count(*) FILTER (d > 0)::BIGINT AS plus, sum(y)::BIGINT AS po
 SELECT a, b, {r6("quantile_cont(gain, 0.025)")} AS low, {r6("quantile_cont(gain, 0.975)")} AS high, any_value(plus) AS plus, any_value(pos) AS pos FROM g JOIN s USING (a, b) GROUP BY a, b""")
 def q_leave_out(spark, sf):
     """Intervals without the windows that overlap a period, with the positives and signs of the windows left."""
-    k = pairs(three(spark, sf)).filter("window NOT BETWEEN 12 AND 15")
+    k = pairs(abreast(spark, sf)).filter("window NOT BETWEEN 12 AND 15")
     g = plan(spark).join(k, "window").groupBy("a", "b", "draw").agg((F.sum("d") / F.greatest(F.sum("y"), F.lit(1.0))).alias("gain"))
     low, high = _interval("gain")
     s = k.groupBy("a", "b").agg(F.count_if(F.col("d") > 0).alias("plus"), F.sum("y").cast("long").alias("pos"))
